@@ -12,8 +12,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +27,11 @@ _S = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The byte-level pre-tokenizer's pattern (fixed values).
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Entries that a cache holds before it is emptied.
-CACHE = 300_000
+CACHE = 500_000
 #: Characters of text that are encoded together.
 CHUNK = 1 << 20
+#: Odd factor and mask that fold two 64-bit numbers into a sort key; matches are compared in full.
+_MIX, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _NEVER = np.iinfo(np.int64).max
 
 #: Scripts whose letters and digits have long been the same in all Unicode versions; pieces with other letters are cut by the tokenizers library itself.
@@ -82,6 +83,7 @@ class ByteBpe:
         alone[made] = self.compatible(self.left[made], self.right[made], self.rank[made])
         for t in made[np.argsort(self.rank[made])].tolist():
             sound[t] = alone[t] and sound[self.left[t]] and sound[self.right[t]]
+        self.sizes = np.array([len(b) for b in self.tokens], np.int64)
         #: Tokens that their own bytes encode to; only these are proposed.
         self.known = {b: i for b, i in self.ids.items() if sound[i]}
         lengths: dict[bytes, set[int]] = {}
@@ -90,6 +92,15 @@ class ByteBpe:
                 lengths.setdefault(b[:3], set()).add(len(b))
         #: Lengths of the tokens that start with these three bytes, longest first.
         self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
+        heads = sorted((int.from_bytes(k), v[0]) for k, v in self.lengths.items())
+        self.heads, self.head_longest = np.array([k for k, _ in heads], np.uint64), np.array([v for _, v in heads], np.int64)
+        #: For each length up to 16, the tokens as sorted numbers: the first eight bytes, then the rest.
+        self.of_length = []
+        for k in range(2, 17):
+            own = sorted((int.from_bytes(b[:8]), int.from_bytes(b[8:]), i) for b, i in self.known.items() if len(b) == k)
+            key = np.array([x * _MIX + y & _MASK for x, y, _ in own], np.uint64)
+            by = np.argsort(key)
+            self.of_length.append((key[by], np.array([x for x, _, _ in own], np.uint64)[by], np.array([y for _, y, _ in own], np.uint64)[by], np.array([i for *_, i in own], np.int64)[by]))
         self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
 
     def rank_of(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +135,7 @@ class ByteBpe:
         return good
 
     def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
+        """Greedy longest match of one word; for words with tokens of over 16 bytes."""
         known, lengths, out, i, n = self.known, self.lengths, [], 0, len(word)
         while i < n:
             for k in lengths.get(word[i : i + 3], ()):
@@ -137,6 +148,57 @@ class ByteBpe:
             i += k
         return out
 
+    def propose_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of all words at once: the ids one after the other, and how many each word has."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size)
+        raw = np.frombuffer(b"".join(words) + bytes(24), np.uint8)
+        n = len(raw) - 24
+        left = np.repeat(ends, size) - np.arange(n)
+        eight = np.zeros(n + 16, np.uint64)
+        for j in range(8):
+            eight = eight << np.uint64(8) | raw[j : j + n + 16]
+        head = eight[:n] >> np.uint64(40)
+        at = np.minimum(np.searchsorted(self.heads, head), len(self.heads) - 1)
+        longest = np.minimum(np.where(self.heads[at] == head, self.head_longest[at], 2), left)
+        step, best = np.ones(n, np.int64), self.byte_ids[raw[:n]]
+        for k, (keys, first, second, ids) in enumerate(self.of_length, 2):
+            where = np.flatnonzero(longest >= k)
+            if not len(keys) or not len(where):
+                continue
+            x = eight[where] >> np.uint64(8 * (8 - min(k, 8)))
+            y = eight[where + 8] >> np.uint64(8 * (16 - k)) if k > 8 else np.zeros(len(where), np.uint64)
+            key = x * np.uint64(_MIX) + y
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = (first[at] == x) & (second[at] == y)
+            step[where[hit]], best[where[hit]] = k, ids[at[hit]]
+        word, pos = np.arange(len(words)), ends - size
+        owners, found = [], []
+        while len(word):
+            go = pos < ends[word]
+            word, pos = word[go], pos[go]
+            owners.append(word)
+            found.append(best[pos])
+            pos = pos + step[pos]
+        owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
+        flat = np.concatenate(found)[by] if len(by := np.argsort(owner, kind="stable")) else np.empty(0, np.int64)
+        count = np.bincount(owner, minlength=len(words))
+        far = np.unique(np.searchsorted(ends, np.flatnonzero(longest > 16), "right"))
+        return self._replaced(flat, count, {k: self.propose(words[k]) for k in far.tolist()})
+
+    @staticmethod
+    def _replaced(flat: np.ndarray, count: np.ndarray, new: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """flat and count with the ids of some words put in place of theirs."""
+        if not new:
+            return flat, count
+        cuts, parts, at = np.cumsum(count), [], 0
+        for k in sorted(new):
+            parts += [flat[at : cuts[k] - count[k]], np.array(new[k], np.int64)]
+            at = cuts[k]
+        count = count.copy()
+        count[list(new)] = [len(v) for v in new.values()]
+        return np.concatenate([*parts, flat[at:]]), count
+
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """The encodings by definition: in each word the pair of the least rank merges, the leftmost first, until none is left.
 
@@ -168,25 +230,22 @@ class ByteBpe:
             rank[r, k], made[r, k] = self.rank_of(cells[r, k], cells[r, at[some]])
         return [c[c >= 0].tolist() for c in cells]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, one word after the other, and how many each has."""
         raw = [w.encode() for w in words]
-        out = [self.propose(b) for b in raw]
-        sizes = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter((t for ids in out for t in ids), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(out)), sizes)
+        flat, count = self.propose_all(raw)
+        owner = np.repeat(np.arange(len(raw)), count)
         side = np.flatnonzero(owner[1:] == owner[:-1])
         code, back = np.unique(flat[side] << 32 | flat[side + 1], return_inverse=True)
         fails = ~self.compatible(code >> 32, code & 0xFFFFFFFF)[back]
         failing = sorted(set(owner[side[fails]].tolist()), key=lambda k: len(raw[k]))
-        for start in range(0, len(failing), 4096):  # words of like length share a matrix
-            own = failing[start : start + 4096]
-            while own:
-                top = 2 * len(raw[own[0]]) + 8
-                now = [k for k in own if len(raw[k]) <= top]
-                own = own[len(now) :]
-                for k, ids in zip(now, self.merge([raw[k] for k in now]), strict=True):
-                    out[k] = ids
-        return out
+        exact: dict[int, list[int]] = {}
+        while failing:  # words of like length share a matrix
+            top = 2 * len(raw[failing[0]]) + 8
+            now = [k for k in failing[:4096] if len(raw[k]) <= top]
+            failing = failing[len(now) :]
+            exact.update(zip(now, self.merge([raw[k] for k in now]), strict=True))
+        return self._replaced(flat, count, exact)
 
 
 @functools.lru_cache(maxsize=2)
@@ -195,22 +254,35 @@ def load(path: str) -> ByteBpe:
 
 
 def pieces(text: str) -> list[str]:
-    """The text cut before each lone space; all but the first piece go without that space."""
-    return _cut(text) if _uneven(text) else text.split(" ")
+    """The text cut before each lone space."""
+    own = _cut(text) if _uneven(text) else text.split(" ")
+    own = [" " + p for p in own]
+    own[0] = own[0][1:]
+    return own if own[0] else own[1:]
 
 
 class Encoder:
-    """Encodes texts piece by piece; `encode_new(list of str) -> list of ids` does the pieces that the cache lacks."""
-
-    def __init__(self, encode_new, specials: dict[str, int]):
-        self.new, self.specials = encode_new, specials
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def _fill(self, cache: dict[str, bytes], lead: str, wanted: Iterable[str]) -> None:
-        missing = [p for p in set(wanted) if p not in cache]
-        for p, ids in zip(missing, self.new([lead + p for p in missing]), strict=True):
-            cache[p] = array("I", ids).tobytes()
+    """Encodes texts piece by piece; `encode(str) -> ids` does what the cache lacks, many pieces in one string."""
+
+    def __init__(self, encode, sizes: np.ndarray, specials: dict[str, int]):
+        self.whole, self.sizes, self.specials = encode, sizes, specials
+        self.cache: dict[str, bytes] = {}
+
+    def _fill(self, missing: list[str]) -> None:
+        """Many pieces in one string: those after a space as they are, those that start a text with line ends between."""
+        even = [p for p in missing if not p[-1].isspace() and not p[:2].strip(" ")[:1].isspace() and p[:2] != "  "]
+        for lead, own in ((" ", [p for p in even if p[0] == " "]), ("\n", [p for p in even if p[0] != " "])):
+            if own:
+                gap = int(lead != " ")
+                ids = self.whole((lead * gap).join(own)).astype("<u4")
+                bytes_at = np.cumsum([len(p.encode()) + gap for p in own]) - gap
+                ends = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), bytes_at) + 1)).tolist()
+                data, at = ids.tobytes(), 0
+                for p, end in zip(own, ends, strict=True):
+                    self.cache[p] = data[at:end]
+                    at = end + 4 * gap
+        for p in set(missing).difference(even):
+            self.cache[p] = self.whole(p).astype("<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -220,14 +292,11 @@ class Encoder:
             for s in self.specials:
                 own = [x for p in own for x in (self._between(p, s) if isinstance(p, str) and s in p else [p])]
             parts.append([pieces(p) if isinstance(p, str) else p for p in own if p != ""])
-        if len(self.first) + len(self.rest) > CACHE:
-            self.first.clear()
-            self.rest.clear()
-        runs = [p for own in parts for p in own if isinstance(p, list)]
-        self._fill(self.first, "", [p[0] for p in runs])
-        self._fill(self.rest, " ", (x for p in runs for x in p[1:]))
-        first, rest = self.first, self.rest
-        return [b"".join(p if isinstance(p, bytes) else first[p[0]] + b"".join(map(rest.__getitem__, p[1:])) for p in own) for own in parts]
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        cache = self.cache
+        self._fill(list({x for own in parts for p in own if isinstance(p, list) for x in p if x not in cache}))
+        return [b"".join(p if isinstance(p, bytes) else b"".join(map(cache.__getitem__, p)) for p in own) for own in parts]
 
     def _between(self, text: str, special: str) -> list:
         mark = np.array([self.specials[special]], "<u4").tobytes()
@@ -239,21 +308,21 @@ class Encoder:
 
 def own_encoder(path: str) -> Encoder:
     bpe = load(path)
-    memo: dict[str, list[int]] = {}
+    memo: dict[str, bytes] = {}
     library = Tokenizer.from_file(path).pre_tokenizer
 
-    def words(text: str) -> list[str]:
-        return [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)] if _odd(text) else _plain(text)
-
-    def new(texts: list[str]) -> list[list[int]]:
+    def whole(text: str) -> np.ndarray:
         if len(memo) > CACHE:
             memo.clear()
-        cut = [words(t) for t in texts]
-        missing = list({w for ws in cut for w in ws if w not in memo})
-        memo.update(zip(missing, bpe.encode_words(missing), strict=True))
-        return [[i for w in ws for i in memo[w]] for ws in cut]
-
-    return Encoder(new, bpe.specials)
+        words = [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)] if _odd(text) else _plain(text)
+        missing = list({w for w in words if w not in memo})
+        if missing:
+            flat, count = bpe.encode_words(missing)
+            data, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
+            memo.update(zip(missing, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        return np.frombuffer(b"".join(map(memo.__getitem__, words)), "<u4")
+
+    return Encoder(whole, bpe.sizes, bpe.specials)
 
 
 def grouped(texts: list[str], chars: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
