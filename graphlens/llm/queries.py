@@ -1,7 +1,7 @@
 """All queries of this package and their SQL."""
 
-from . import exact_dedup, reshard, url_filter, warc
+from . import bpe, exact_dedup, packing, reshard, url_filter, warc
 
-MODULES = [exact_dedup, url_filter, reshard, warc]
+MODULES = [exact_dedup, url_filter, reshard, warc, bpe, packing]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
