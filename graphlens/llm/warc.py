@@ -1,9 +1,10 @@
 """WARC archives written and read with Spark's own text source, and a boundary chain that keeps payloads from posing as records.
 
 Writing: a record is a header block, an empty line and the payload, and records end with an empty line, so a text file whose
-line separator is CR LF CR LF is an archive. Equal payloads are written once; the others revisit that record.
+line separator is CR LF CR LF is an archive. Equal payloads are written once; the others revisit that record. Files are
+compressed and end after a fixed number of records.
 
-Reading: files are split anywhere. Tasks cut their splits at CR LF CR LF and report, for each piece that starts like a
+Reading: files are split anywhere (compressed ones are one split each); offsets are those of the plain bytes. Tasks cut their splits at CR LF CR LF and report, for each piece that starts like a
 record, its offset and the offset its Content-Length points to. Payloads can hold the same magic, so only what is reached
 from a file's start counts: pointer jumping doubles the length of the links each round, and a chain of n records takes log2 n rounds.
 """
@@ -58,7 +59,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "p
         F.when(again, line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))).otherwise(""),
         line("Content-Length", F.octet_length(payload)), F.lit(BREAK), payload,
     )
-    full.select(record.alias("value")).write.option("lineSep", BREAK).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    full.select(record.alias("value")).write.option("lineSep", BREAK).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def _field(name: str) -> Column:
@@ -108,17 +109,18 @@ def read_warc(spark, path: str) -> DataFrame:
     )
     links = materialize(links.where("end IS NOT NULL"))
     records = links.join(reachable(links.withColumn("next", F.col("end") + len(BREAK))), ["file", "at"], "left_semi")
-    pieces = _pieces(spark, path, [F.col("value").cast("binary").alias("value")])
-    marks = records.select("file", F.col("body").alias("at"), F.struct("at", "body", "end").alias("record"), F.lit(None).cast("binary").alias("value"), F.lit(0).cast("long").alias("len"))
-    both = pieces.select("file", "at", F.lit(None).cast("struct<at:bigint,body:bigint,end:bigint>").alias("record"), "value", "len").unionByName(marks)
-    owner = F.last("record", ignorenulls=True).over(Window.partitionBy("file").orderBy("at", F.col("record").isNull()).rowsBetween(Window.unboundedPreceding, 0))
-    inside = both.withColumn("record", owner).where("value IS NOT NULL AND at < record.end")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"])
+    pieces = _pieces(spark, path, [F.col("value").cast("binary").alias("value")]).select("file", "at", "value")
+    fields = [c for c in records.columns if c != "file"]
+    marks = records.select("file", F.col("body").alias("at"), F.struct(*fields).alias("record"))
+    both = pieces.unionByName(marks, allowMissingColumns=True)
+    owner = F.last("record", ignorenulls=True).over(Window.partitionBy("file").orderBy("at", F.col("value").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    inside = both.withColumn("record", owner).where("value IS NULL OR at < record.end")
+    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("at", "value")))), lambda x: x["value"])
     sep = F.lit(BREAK.encode())
     joined = F.aggregate(parts, F.lit(None).cast("binary"), lambda a, x: F.when(a.isNull(), x).otherwise(F.concat(a, sep, x)))
-    cut = F.substring(F.rpad(joined, (F.col("record.end") - F.col("record.body")).cast("int"), sep), F.lit(1), (F.col("record.end") - F.col("record.body")).cast("int"))
-    payloads = inside.groupBy("file", "record").agg(cut.alias("payload")).select("file", F.col("record.at").alias("at"), "payload")
-    return records.join(payloads, ["file", "at"], "left").withColumn("payload", F.coalesce("payload", F.lit(b""))).drop("body", "end")
+    size = (F.col("record.end") - F.col("record.body")).cast("int")
+    grouped = inside.groupBy("file", "record.at").agg(F.first("record", ignorenulls=True).alias("record"), joined.alias("joined"))
+    return grouped.withColumn("payload", F.coalesce(F.substring(F.rpad("joined", size, sep), F.lit(1), size), F.lit(b""))).select("file", "record.*", "payload").drop("body", "end")
 
 
 def op6_warc(spark, sf_dir):
