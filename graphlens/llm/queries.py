@@ -1,7 +1,7 @@
 """All queries of this package and their SQL."""
 
-from . import bpe, exact_dedup, langid, packing, quality_rules, reshard, url_filter, warc
+from . import bpe, exact_dedup, langid, packing, pu_quality, quality_rules, reshard, url_filter, warc
 
-MODULES = [quality_rules, exact_dedup, url_filter, reshard, langid, warc, bpe, packing]
+MODULES = [quality_rules, exact_dedup, url_filter, reshard, langid, warc, pu_quality, bpe, packing]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
