@@ -67,9 +67,9 @@ def _field(name: str) -> Column:
 
 
 def _pieces(spark, path: str, columns) -> DataFrame:
-    """The pieces between empty lines with their file and byte offset, whatever the splits: offsets are running sums of lengths."""
+    """The pieces between empty lines with their file (a hash of its path) and byte offset, whatever the splits: offsets are running sums of lengths."""
     raw = spark.read.option("lineSep", BREAK).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("i"),
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("i"),
         F.octet_length("value").cast("long").alias("len"), *columns,
     )
     before = Window.partitionBy("file").orderBy("split", "i").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,7 +93,7 @@ def reachable(links: DataFrame) -> DataFrame:
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """The records below path: file, at, record_type, page_id, url, refers_to, declared digest and length, payload (bytes).
+    """The records below path: file (a hash of its path), at, record_type, page_id, url, refers_to, declared digest and length, payload (bytes).
 
     Only records that the chain from the file's start reaches are returned; text inside payloads that looks like a record
     is not. A chain that breaks (a wrong Content-Length) ends there. No files, no rows.
