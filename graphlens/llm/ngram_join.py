@@ -1,6 +1,6 @@
 """Near duplicates: an exact Jaccard self-join on sets of word n-grams, by prefixes and tries, and its components.
 
-All n-grams have one global order: rare ones first, by a count sketch of fixed size over all documents, then by hash. Two
+Documents of one and the same set (by a 128-bit hash) link to the first of them, which alone goes on. All n-grams have one global order: rare ones first, by a count sketch of fixed size over all documents, then by hash. Two
 sets that are similar enough share at least `ELL` of the first grams of each (fewer only if they are tiny), so documents
 meet by the grams of their prefixes. Pairs are made in two rounds. In the first each gram pairs its documents with the
 least of them only; pairs that share enough prefix grams are verified, and the links give components. In the second,
@@ -87,20 +87,21 @@ def similar(a: int, b: int, overlap: int) -> bool:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
-        sizes = []
+        sizes, prints = [], []
         for text in batch.column(1):
             h = gram_hashes(text.as_py())
             sizes.append(len(h))
+            prints.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
             if len(h):
                 np.add.at(counts, h >> np.uint64(64 - SKETCH_BITS), 1)
         k = len(batch)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
     blocks = [(b, counts[b * _BLOCK : (b + 1) * _BLOCK]) for b in range(len(counts) // _BLOCK)]
     blocks = [(b, c.tobytes()) for b, c in blocks if c.any()]
     if blocks:
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(blocks), pa.int64()), pa.nulls(len(blocks), pa.int64()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(blocks), pa.int64()), pa.nulls(len(blocks), pa.int64()), pa.nulls(len(blocks), pa.binary()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())], schema=schema)
 
 
 def _sum_blocks(key, group):
@@ -177,18 +178,36 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (gram, doc, pos, n, star, star_n)], names=_STARRED)
 
 
+_PAIR = ["a", "b", "na", "nb", "k", "pa", "pb"]
+
+
+def _combined(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """Pairs met by several grams become one row: how many, and the first place in each."""
+    a, b, na, nb, p, q = (np.concatenate(c) for c in zip(*held, strict=True))
+    by = np.lexsort((b, a))
+    a, b, na, nb, p, q = (c[by] for c in (a, b, na, nb, p, q))
+    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    count = np.diff(np.r_[start, len(a)])
+    cols = [a[start], b[start], na[start], nb[start], count.astype(np.int64), np.minimum.reduceat(p, start), np.minimum.reduceat(q, start)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=_PAIR)
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram -> pairs of documents of one gram that are in different components and can be similar by size."""
-    held = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int64)]
+    """Rows sorted by star and gram -> pairs of documents of one gram that are in different components and can be similar by size.
+
+    The grams that a group of documents shares mostly have one star, so they come together and their pairs are combined here.
+    """
+    rest = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int64)]
+    held: list[list[np.ndarray]] = []
+    size = 0
 
     def of(gram, doc, pos, n, comp):
         # all complete grams of a batch at once: pair each row with the next 1, 2, ... rows of its gram in the order of size
         by = np.lexsort((n, gram))
         gram, doc, pos, n, comp = (x[by] for x in (gram, doc, pos, n, comp))
         start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        size = np.diff(np.r_[start, len(gram)])
-        mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
-        use = np.repeat(mixed, size)
+        count = np.diff(np.r_[start, len(gram)])
+        use = np.repeat(np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start), count)
         gram, doc, pos, n, comp = (x[use] for x in (gram, doc, pos, n, comp))
         live, gap = np.arange(len(gram)), 0
         while len(live):
@@ -197,28 +216,38 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other = live + gap
             fits = (gram[live] == gram[other]) & (3 * n[other].astype(np.int64) <= 4 * n[live].astype(np.int64))
             live, other = live[fits], other[fits]  # beyond the first that doesn't fit, none does
-            new = (comp[live] != comp[other]) & (doc[live] != doc[other])
-            a, b = live[new], other[new]
+            # a pair's own prefixes are shorter than those of its sizes alone
+            room = ELL - least_overlap(n[live].astype(np.int64), n[other].astype(np.int64))
+            ok = (comp[live] != comp[other]) & (doc[live] != doc[other]) & (pos[live] < n[live] + room) & (pos[other] < n[other] + room)
+            a, b = live[ok], other[ok]
             if len(a):
-                bound = np.minimum(pos[a], pos[b]) + 1 + np.minimum(n[a] - 1 - pos[a], n[b] - 1 - pos[b])
-                ok = bound >= least_overlap(n[a].astype(np.int64), n[b].astype(np.int64))
-                a, b = a[ok], b[ok]
                 swap = doc[a] > doc[b]
                 a, b = np.where(swap, b, a), np.where(swap, a, b)
-                for s in range(0, len(a), _ROWS):
-                    x, y = a[s : s + _ROWS], b[s : s + _ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[x], doc[y], n[x], n[y], pos[x], pos[y])], names=["a", "b", "na", "nb", "pa", "pb"])
+                yield [doc[a], doc[b], n[a], n[b], pos[a], pos[b]]
+
+    def take(cols):
+        nonlocal size
+        for pairs in of(*cols):
+            held.append(pairs)
+            size += len(pairs[0])
+            if size > 16 * _ROWS:
+                yield _combined(held)
+                held.clear()
+                size = 0
 
     for batch in batches:
-        cols = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+        cols = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True)]
         if not len(cols[0]):
             continue
-        last = np.searchsorted(cols[0], cols[0][-1])  # the last gram may go on
-        held = [c[last:] for c in cols]
+        other = np.flatnonzero(cols[0] != cols[0][-1])
+        last = other[-1] + 1 if len(other) else 0  # the last gram may go on
+        rest = [c[last:] for c in cols]
         if last:
-            yield from of(*(c[:last] for c in cols))
-    if len(held[0]):
-        yield from of(*held)
+            yield from take([c[:last] for c in cols])
+    if len(rest[0]):
+        yield from take(rest)
+    if held:
+        yield _combined(held)
 
 
 # -- verification -----------------------------------------------------------
@@ -328,9 +357,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    measured = materialize(rows.mapInArrow(_measure, "doc_id long, n long, block int, counts binary"))
+    measured = materialize(rows.mapInArrow(_measure, "doc_id long, n long, print binary, block int, counts binary"))
     shared = spark.sparkContext.broadcast(_classes(measured.where("block IS NOT NULL").select("block", "counts")))
-    named = rows.where("doc_id IS NOT NULL")
+    sets = measured.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("print").alias("print"), F.max("print").alias("other")).where("print = other")
+    first = sets.groupBy("print").agg(F.min("doc_id").alias("v"), F.count("*").alias("k")).where("k > 1").select("print", "v")
+    copies = materialize(sets.join(narrow_side(materialize(first)), "print").where("doc_id != v").select(F.col("doc_id").alias("u"), "v"))
+    named = rows.where("doc_id IS NOT NULL").join(narrow_side(copies.select(F.col("u").alias("doc_id"))), "doc_id", "left_anti")
     grams = named.mapInArrow(_prefixes(shared), "gram long, doc long, pos int, n int")
     postings = materialize(grams.repartition(parts, "gram").sortWithinPartitions("gram", "doc").mapInArrow(_stars, "gram long, doc long, pos int, n int, star long, star_n int"))
     seen = postings.groupBy("doc").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= F.least(F.lit(ELL), F.ceil(F.col("n") * 3 / 4)))
@@ -341,11 +373,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = postings.where("doc != star AND 4 * least(n, star_n) >= 3 * greatest(n, star_n)")
     stars = stars.groupBy(F.col("star").alias("a"), F.col("doc").alias("b"), F.col("star_n").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("k"))
     links = verified(stars.where(F.col("k") >= F.least(F.lit(ELL), need)).select("a", "b", "nb"), texts, shared, parts)
+    links = links.unionByName(copies)
     found = components(links)
 
-    joined = postings.select("gram", "doc", "pos", "n").join(narrow_side(found), "doc", "left").select("gram", "doc", "pos", "n", F.coalesce("component", "doc").alias("comp"))
-    crossing = joined.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_pairs, "a long, b long, na int, nb int, pa int, pb int")
-    crossing = crossing.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
+    joined = postings.join(narrow_side(found), "doc", "left").select("gram", "doc", "pos", "n", F.coalesce("component", "doc").alias("comp"), "star")
+    by_star = joined.repartition(parts, "star").sortWithinPartitions("star", "gram").select("gram", "doc", "pos", "n", "comp")
+    crossing = by_star.mapInArrow(_pairs, "a long, b long, na int, nb int, k long, pa int, pb int")
+    crossing = crossing.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
     reach = 1 + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
     crossing = crossing.where((F.col("k") >= F.least(F.lit(ELL), need)) & (reach >= need)).select("a", "b", "nb")
     more = verified(crossing, texts, shared, parts)
