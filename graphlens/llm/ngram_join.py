@@ -154,28 +154,69 @@ def _prefixes(shared):
 _STARRED = ["gram", "doc", "pos", "n", "star", "star_n"]
 
 
+#: Rows of one gram up to which each is held against the others at once, and beyond which they pass on as they come.
+_SMALL, _BIG = 32, 1 << 17
+
+
+def _partnered(gram, doc, pos, n) -> np.ndarray:
+    """Marks rows that have a partner in their gram that fits by size and by place; all rows of grams with many rows."""
+    start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    count = np.diff(np.r_[start, len(gram)])
+    keep = np.repeat(count > _SMALL, count)
+    live = np.flatnonzero(np.repeat((count > 1) & (count <= _SMALL), count))
+    gap = 0
+    while len(live):
+        gap += 1
+        live = live[live + gap < len(gram)]
+        live = live[gram[live] == gram[live + gap]]
+        a, b = live, live + gap
+        na, nb = n[a].astype(np.int64), n[b].astype(np.int64)
+        room = ELL - least_overlap(na, nb)
+        ok = (doc[a] != doc[b]) & (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (pos[a] < na + room) & (pos[b] < nb + room)
+        keep[a[ok]] = keep[b[ok]] = True
+    return keep
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram and document -> those of grams with two rows or more, with the first document of the gram."""
-    held = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]  # the last gram's row, if it is the only one so far
-    at = None  # (gram, star, its size) of the gram at hand, once it has two rows
+    """Rows sorted by gram and document -> those with a possible partner, and the first such document of their gram, its star."""
+    rest = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
+    big = None  # (gram, star, its size) of a gram with so many rows that they pass on unheld
+
+    def of(cols, star=None):
+        if star is None:
+            keep = _partnered(*cols)
+            cols = [c[keep] for c in cols]
+            start = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]]) if keep.any() else np.empty(0, np.int64)
+            count = np.diff(np.r_[start, len(cols[0])])
+            star = [np.repeat(cols[1][start], count), np.repeat(cols[3][start], count)]
+        else:
+            star = [np.full(len(cols[0]), star[0], np.int64), np.full(len(cols[0]), star[1], np.int32)]
+        if len(cols[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, *star)], names=_STARRED)
+
     for batch in batches:
-        gram, doc, pos, n = (np.concatenate([a, b.to_numpy()]) for a, b in zip(held, batch.columns, strict=True))
-        if not len(gram):
+        cols = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True)]
+        if not len(cols[0]):
             continue
-        start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        size = np.diff(np.r_[start, len(gram)])
-        goes_on = at is not None and gram[0] == at[0]
-        star, star_n = np.repeat(doc[start], size), np.repeat(n[start], size)
-        keep = np.repeat(size > 1, size)
-        if goes_on:
-            star[: size[0]], star_n[: size[0]], keep[: size[0]] = at[1], at[2], True
-        last = start[-1]
-        if size[-1] == 1 and not (goes_on and last == 0):
-            held, at = [x[last:] for x in (gram, doc, pos, n)], None
-        else:
-            held, at = [x[:0] for x in (gram, doc, pos, n)], (gram[last], star[-1], star_n[-1])
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (gram, doc, pos, n, star, star_n)], names=_STARRED)
+        if big is not None:
+            more = int(np.searchsorted(cols[0] != big[0], True))
+            yield from of([c[:more] for c in cols], big[1:])
+            cols = [c[more:] for c in cols]
+            if not len(cols[0]):
+                rest = cols
+                continue
+            big = None
+        other = np.flatnonzero(cols[0] != cols[0][-1])
+        last = other[-1] + 1 if len(other) else 0
+        if last:
+            yield from of([c[:last] for c in cols])
+        rest = [c[last:] for c in cols]
+        if len(rest[0]) > _BIG:
+            big = (rest[0][0], rest[1][0], rest[3][0])
+            yield from of(rest, big[1:])
+            rest = [c[:0] for c in rest]
+    if len(rest[0]):
+        yield from of(rest)
 
 
 _PAIR = ["a", "b", "na", "nb", "k", "pa", "pb"]
