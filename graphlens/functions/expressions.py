@@ -18,7 +18,7 @@ def saturate(x: Column, k: float) -> Column:
 def recency(modified: Column, now: Column, rate: float = 0.02) -> Column:
     """Exponential decay by whole days; 0.5 where the time is unknown."""
     days = F.greatest(F.lit(0), F.floor((F.unix_micros(now) - F.unix_micros(modified)) / F.lit(86_400_000_000)))
-    return F.coalesce(F.exp(-F.lit(rate) * days), F.lit(0.5))
+    return F.when(modified.isNull() | now.isNull(), F.lit(0.5)).otherwise(F.exp(-F.lit(rate) * days))
 
 
 def dot(a: Column, b: Column) -> Column:
