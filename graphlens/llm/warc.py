@@ -11,6 +11,10 @@ from a file's start counts: pointer jumping doubles the length of the links each
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,14 +70,30 @@ def _field(name: str) -> Column:
     return F.regexp_extract("head", f"(?i)\\r\\n{name}:[ \\t]*([^\\r\\n]*)", 1)
 
 
-def _pieces(spark, path: str, columns) -> DataFrame:
-    """The pieces between empty lines with their file (a hash of its path) and byte offset, whatever the splits: offsets are running sums of lengths."""
-    raw = spark.read.option("lineSep", BREAK).text(path).select(
-        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("i"),
-        F.octet_length("value").cast("long").alias("len"), *columns,
-    )
-    before = Window.partitionBy("file").orderBy("split", "i").rowsBetween(Window.unboundedPreceding, -1)
-    return raw.withColumn("at", F.coalesce(F.sum(F.col("len") + len(BREAK)).over(before), F.lit(0)))
+def _run_offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of a split come in order: adds each one's offset in its split."""
+    at, run = None, 0
+    for batch in batches:
+        key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        size = batch.column(2).to_numpy() + len(BREAK)
+        if not len(size):
+            continue
+        start = np.flatnonzero(np.r_[True, (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])])
+        total = np.cumsum(size)
+        before = np.repeat((total - size)[start], np.diff(np.r_[start, len(size)]))
+        offset = total - size - before
+        if (key[0][0], key[1][0]) == at:
+            offset[: start[1] if len(start) > 1 else len(size)] += run
+        at, run = (key[0][-1], key[1][-1]), int(offset[-1] + size[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(offset)], names=[*batch.schema.names, "offset"])
+
+
+def _pieces(spark, path: str, name: str, column: Column) -> DataFrame:
+    """The pieces between empty lines: file (a hash of its path), split, len, one more column, offset in the split."""
+    raw = spark.read.option("lineSep", BREAK).text(path)
+    own = raw.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.octet_length("value").cast("long").alias("len"), column.alias(name))
+    kind = own.schema[name].dataType.simpleString()
+    return own.mapInArrow(_run_offsets, f"file long, split long, len long, {name} {kind}, offset long")
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -98,8 +118,12 @@ def read_warc(spark, path: str) -> DataFrame:
     Only records that the chain from the file's start reaches are returned; text inside payloads that looks like a record
     is not. A chain that breaks (a wrong Content-Length) ends there. No files, no rows.
     """
-    head = F.when(F.col("value").rlike(_MAGIC), F.regexp_extract("value", "^[\\r\\n]*", 0)).alias("lead")
-    starts = _pieces(spark, path, [head, F.when(F.col("value").rlike(_MAGIC), F.col("value")).alias("head")]).where("head IS NOT NULL")
+    narrow = materialize(_pieces(spark, path, "head", F.when(F.col("value").rlike(_MAGIC), F.col("value"))))
+    ends = narrow.groupBy("file", "split").agg(F.max(F.col("offset") + F.col("len") + len(BREAK)).alias("bytes"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    bases = narrow_side(materialize(ends.select("file", "split", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))))
+    placed = lambda df: df.join(bases, ["file", "split"]).withColumn("at", F.col("base") + F.col("offset"))
+    starts = placed(narrow.where("head IS NOT NULL")).withColumn("lead", F.regexp_extract("head", "^[\\r\\n]*", 0))
     lead = F.length("lead")
     body = F.col("at") + F.col("len") + len(BREAK)
     links = starts.select(
@@ -109,7 +133,7 @@ def read_warc(spark, path: str) -> DataFrame:
     )
     links = materialize(links.where("end IS NOT NULL"))
     records = links.join(reachable(links.withColumn("next", F.col("end") + len(BREAK))), ["file", "at"], "left_semi")
-    pieces = _pieces(spark, path, [F.col("value").cast("binary").alias("value")]).select("file", "at", "value")
+    pieces = placed(_pieces(spark, path, "value", F.col("value").cast("binary"))).select("file", "at", "value")
     fields = [c for c in records.columns if c != "file"]
     marks = records.select("file", F.col("body").alias("at"), F.struct(*fields).alias("record"))
     both = pieces.unionByName(marks, allowMissingColumns=True)
