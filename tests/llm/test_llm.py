@@ -138,6 +138,23 @@ def test_languages(spark):
     assert langid.identify(df, langid.train(df.limit(0))).where("lang_pred != 'und'").count() == 0
 
 
+def test_language_models_as_tables_leave_no_gram_out(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = [(k // 2 if k % 7 else None, " ".join("".join(rnd.choices(x, k=rnd.randrange(1, 9))) for _ in range(rnd.randrange(40))), name) for k, (name, x) in enumerate([("xx", "abcdefgh"), ("yy", "efghijßü日本")] * 40)]
+    df = spark.createDataFrame([*rows, (900, None, "xx"), (901, "12 !!", "yy"), (902, "qqq abc", None)], "doc_id long, text string, lang string")
+    held = langid.train(df)
+    monkeypatch.setattr(langid, "HELD_CELLS", 0)
+    monkeypatch.setattr(langid, "MAX_GRAMS", 100, raising=False)
+    tables = langid.train(df)
+    assert isinstance(tables, langid.Tables) and sum(map(len, held.keys)) > 500
+    # every n-gram that the models know, and some that they do not
+    grams = np.concatenate([held.keys[-1], langid.gram_keys([b"zzz", b"abz", "日z".encode(), b"ghab"])[0]])
+    got = {r.gram: r.logp for r in tables.log_probabilities(spark.createDataFrame([(int(x),) for x in grams.view(np.int64)], "gram long")).collect()}
+    assert np.allclose([got[int(x)] for x in grams.view(np.int64)], held.letters(grams))
+    key = lambda r: (str(r.doc_id), r.lang_pred, round(r.score, 4), r.rejected)
+    assert sorted(map(key, langid.identify(df, tables).collect())) == sorted(map(key, langid.identify(df, held).collect()))
+
+
 def test_letter_probabilities_sum_to_one():
     m = langid.build({"a": tuple(np.unique(langid.gram_keys([b"abab", b"ba", b"abc"])[0], return_counts=True))})
     context = np.uint64(ord("a") << 16 | ord("b")) << np.uint64(16)
