@@ -162,7 +162,7 @@ def context_of(edges: DataFrame, members: DataFrame, kind: str, score: float) ->
 def new_cycles(edges: DataFrame, new_edges: DataFrame, kinds, max_length: int = 4, limit: int | None = None) -> DataFrame:
     """Simple cycles of at most max_length edges with a new edge in them: cycle (ids, the least first), length, is_new count.
 
-    From each new edge u -> v paths are grown from v until they come back to u.
+    From each new edge u -> v paths are grown from v until they come back to u; the edge that closes one joins on both ends.
     """
     allowed = F.col("kind").isin(*kinds)
     fresh = new_edges.where(allowed).select("source", "target").distinct()
@@ -171,10 +171,10 @@ def new_cycles(edges: DataFrame, new_edges: DataFrame, kinds, max_length: int =
     loops = [path.where(F.col("p")[0] == F.col("p")[1]).select(F.array(F.col("p")[0]).alias("cycle"))]
     path = path.where(F.col("p")[0] != F.col("p")[1])
     for length in range(2, max_length + 1):
-        grown = path.withColumn("source", F.element_at("p", -1)).join(every, "source")
-        loops.append(grown.where(F.col("target") == F.col("p")[0]).select(F.col("p").alias("cycle")))
+        ends = path.withColumn("source", F.element_at("p", -1))
+        loops.append(ends.withColumn("target", F.col("p")[0]).join(every, ["source", "target"]).select(F.col("p").alias("cycle")))
         if length < max_length:
-            path = grown.where(~F.array_contains("p", F.col("target"))).select(F.concat("p", F.array("target")).alias("p"))
+            path = ends.join(every, "source").where(~F.array_contains("p", F.col("target"))).select(F.concat("p", F.array("target")).alias("p"))
     cycles = reduce(DataFrame.unionByName, loops)
     least = F.array_min("cycle")
     at = F.array_position("cycle", least).cast("int")

@@ -25,6 +25,21 @@ def query(sql: str | None = None):
     return add
 
 
+def whole(f):
+    """Registers f over whole tables too, as NAME_all; its SQL covers the share that DuckDB is compared on."""
+
+    def every(spark, d):
+        return f(spark, d, every=True)
+
+    every.__name__ = f"{f.__name__}_all"
+    QUERIES[every.__name__] = every
+    return f
+
+
+def _share(rows: DataFrame, condition: str, every: bool) -> DataFrame:
+    return rows if every else rows.where(condition)
+
+
 def _r(column: str, digits: int = 6):
     return F.round(F.col(column), digits).alias(column)
 
@@ -100,36 +115,40 @@ def contains_closure(spark, d):
     return graph.descendants(edges(spark, d), roots, 4).groupBy("root", "depth").agg(F.count("*").alias("cnt"))
 
 
+@whole
 @query(f"""WITH RECURSIVE {SQL_EDGES}, t AS (SELECT 'p:' || p_partkey AS id, 0 AS hop FROM part WHERE p_partkey % 50 = 1 UNION SELECT e.source, hop + 1 FROM t JOIN edges e ON e.target = t.id AND (e.kind IN ('calls','uses_type','inherits','implements') OR (e.kind = 'imports' AND hop >= 1)) WHERE hop < 3)
 SELECT id, min(hop) AS hop FROM t GROUP BY id HAVING min(hop) > 0""")
-def impact_hops(spark, d):
-    targets = table(spark, d, "part").where("p_partkey % 50 = 1").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"))
+def impact_hops(spark, d, every=False):
+    targets = _share(table(spark, d, "part"), "p_partkey % 50 = 1", every).select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"))
     return graph.impact(edges(spark, d), targets, 3)
 
 
+@whole
 @query(f"WITH RECURSIVE {SQL_EDGES}, t AS (SELECT 'c:' || c_custkey AS id, 0 AS hop FROM customer WHERE c_custkey % 100 = 1 UNION SELECT e.target, hop + 1 FROM t JOIN edges e ON e.source = t.id WHERE hop < 4) SELECT id, min(hop) AS hop FROM t GROUP BY id")
-def shortest_path_len(spark, d):
-    sources = table(spark, d, "customer").where("c_custkey % 100 = 1").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
+def shortest_path_len(spark, d, every=False):
+    sources = _share(table(spark, d, "customer"), "c_custkey % 100 = 1", every).select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
     return graph.distances(edges(spark, d), sources, 4)
 
 
 _NEW = "fresh AS (SELECT DISTINCT 'p:' || l_partkey AS source, 'c:' || o_custkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 10 = 0 AND o_custkey % 10 = 0)"
 
 
-def _new_edges(spark, d) -> DataFrame:
-    line = table(spark, d, "lineitem").where("l_partkey % 10 = 0").select("l_orderkey", "l_partkey")
-    pairs = line.join(table(spark, d, "orders").where("o_custkey % 10 = 0").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_partkey", "o_custkey").distinct()
+def _new_edges(spark, d, every=False) -> DataFrame:
+    line = _share(table(spark, d, "lineitem"), "l_partkey % 10 = 0", every).select("l_orderkey", "l_partkey")
+    pairs = line.join(_share(table(spark, d, "orders"), "o_custkey % 10 = 0", every).select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_partkey", "o_custkey").distinct()
     ident = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     return pairs.select(ident("p:", "l_partkey").alias("source"), ident("c:", "o_custkey").alias("target"), F.lit("imports").alias("kind"))
 
 
+@whole
 @query(f"""WITH {SQL_EDGES}, {_NEW}, every AS (SELECT source, target FROM edges WHERE kind IN ('imports','calls') UNION SELECT source, target FROM fresh)
 SELECT a.source AS part, count(*) AS cycles FROM fresh a JOIN every b ON b.source = a.target JOIN every c ON c.source = b.target AND c.target = a.source WHERE b.target <> a.source AND b.target <> a.target GROUP BY 1""")
-def cycles_new_edges(spark, d):
-    found = graph.new_cycles(edges(spark, d), _new_edges(spark, d), ("imports", "calls"), 3)
+def cycles_new_edges(spark, d, every=False):
+    found = graph.new_cycles(edges(spark, d), _new_edges(spark, d, every), ("imports", "calls"), 3)
     return found.withColumn("part", F.filter("cycle", lambda x: x.startswith("p:"))[0]).groupBy("part").agg(F.count("*").alias("cycles"))
 
 
+@whole
 @query(f"""WITH {SQL_GRAPH}, seeds AS (SELECT id, 0.9::DOUBLE AS score FROM nodes WHERE kind = 'class' AND seq % 40 = 1), sim AS (SELECT id, (seq % 10) / 10.0::DOUBLE AS sim FROM nodes WHERE seq % 3 > 0),
 w AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in EDGE_WEIGHTS.items())}) v(kind, w)),
 both_ends AS (SELECT source AS id, target AS t, kind FROM edges UNION ALL SELECT target, source, kind FROM edges),
@@ -137,16 +156,17 @@ h1 AS (SELECT n.id, coalesce(sim, 0.5) * max(w) AS score FROM seeds s JOIN both_
 f1 AS (SELECT id, score, 0 AS hop FROM seeds UNION ALL SELECT id, score, 1 FROM h1),
 h2 AS (SELECT n.id, coalesce(sim, 0.5) * max(w) AS score FROM h1 s JOIN both_ends b ON b.id = s.id JOIN w USING (kind) JOIN nodes n ON n.id = b.t LEFT JOIN sim ON sim.id = n.id WHERE n.id NOT IN (SELECT id FROM f1) AND (sim IS NULL OR sim >= 0.3) GROUP BY n.id, sim)
 SELECT id, round(score, 6) AS score, hop FROM f1 UNION ALL SELECT id, round(score, 6), 2 FROM h2""")
-def expand_khop(spark, d):
+def expand_khop(spark, d, every=False):
     n = nodes(spark, d)
-    seeds = n.where("kind = 'class' AND seq % 40 = 1").select("id", F.lit(0.9).alias("score"))
+    seeds = _share(n.where("kind = 'class'"), "seq % 40 = 1", every).select("id", F.lit(0.9).alias("score"))
     sim = n.where("seq % 3 > 0").select("id", ((F.col("seq") % 10) / 10).alias("sim"))
     return graph.expand(n, edges(spark, d), seeds, sim, 2, 0.3).select("id", _r("score"), "hop")
 
 
+@whole
 @query(f"WITH {SQL_EDGES} SELECT DISTINCT target AS id, 0.3::DOUBLE AS score FROM edges WHERE kind = 'uses_type' AND source IN (SELECT 'o:' || o_orderkey FROM orders WHERE o_orderkey % 100 = 1)")
-def type_context(spark, d):
-    members = table(spark, d, "orders").where("o_orderkey % 100 = 1").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("id"))
+def type_context(spark, d, every=False):
+    members = _share(table(spark, d, "orders"), "o_orderkey % 100 = 1", every).select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("id"))
     return graph.context_of(edges(spark, d), members, "uses_type", 0.3)
 
 
@@ -163,9 +183,10 @@ def paginate(spark, d):
     return graph.page(nodes(spark, d), 25, 10, kind="class").select("id", "kind", "name")
 
 
+@whole
 @query(f"WITH {SQL_GRAPH}, m AS (SELECT id FROM nodes WHERE seq % 20 = 0) SELECT source, target, kind FROM edges WHERE source IN (SELECT id FROM m) AND target IN (SELECT id FROM m)")
-def induced_subgraph(spark, d):
-    return graph.induced(edges(spark, d), nodes(spark, d).where("seq % 20 = 0")).select("source", "target", "kind")
+def induced_subgraph(spark, d, every=False):
+    return graph.induced(edges(spark, d), _share(nodes(spark, d), "seq % 20 = 0", every)).select("source", "target", "kind")
 
 
 @query(f"WITH {SQL_GRAPH}, gone AS (SELECT id FROM nodes WHERE path LIKE 'ASIA/%' AND kind <> 'module') SELECT kind, count(*) AS cnt FROM edges WHERE source NOT IN (SELECT id FROM gone) AND target NOT IN (SELECT id FROM gone) GROUP BY 1")
@@ -272,20 +293,22 @@ sc AS (SELECT id, sum(qn * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl /
 bm AS (SELECT id, CASE WHEN max(raw) OVER () > 0 THEN raw / max(raw) OVER () END AS score, raw FROM (SELECT * FROM sc ORDER BY raw DESC, id LIMIT 9))"""
 
 
-def _bm25(spark, d) -> DataFrame:
-    return text.bm25(table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "text"), _ASK)
+def _bm25(spark, d, every=False) -> DataFrame:
+    return text.bm25(_share(table(spark, d, "documents"), "lang = 'en'", every).select(F.col("doc_id").alias("id"), "text"), _ASK)
 
 
+@whole
 @query(f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm WHERE raw > 0")
-def bm25_topk(spark, d):
-    return _bm25(spark, d).select("id", _r("score"))
+def bm25_topk(spark, d, every=False):
+    return _bm25(spark, d, every).select("id", _r("score"))
 
 
+@whole
 @query(f"""WITH {_BM25}, {_Q}, v AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS v FROM embeddings, q ORDER BY v DESC, vec_id LIMIT 200)
 SELECT id, round(CASE WHEN k IS NULL THEN v WHEN v IS NULL THEN 0.3::DOUBLE * k ELSE 0.7::DOUBLE * v + 0.3::DOUBLE * k END, 6) AS score FROM v FULL JOIN (SELECT id, score AS k FROM bm WHERE raw > 0) USING (id)""")
-def hybrid_blend(spark, d):
+def hybrid_blend(spark, d, every=False):
     v = vector.top_k(_vectors(spark, d), _query_vector(spark, d), 200).select("id", "score")
-    return text.blend(v, _bm25(spark, d), 0.7).select("id", _r("score"))
+    return text.blend(v, _bm25(spark, d, every), 0.7).select("id", _r("score"))
 
 
 _WORDS = text.query_words("find Supplier large plated Almond steel burnished")
@@ -322,17 +345,19 @@ _KEYS = ", ".join(f"'{k}'" for k in KEYWORDS)
 _IDS = f"list_filter(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]+')), lambda x: length(x) > 1 AND regexp_matches(x, '^[A-Za-z_]') AND x NOT IN ({_KEYS}))"
 
 
+@whole
 @query(f"SELECT doc_id, len({_IDS}) AS n, list_min({_IDS}) AS first FROM documents WHERE lang = 'en'")
-def ident_extract(spark, d):
+def ident_extract(spark, d, every=False):
     ids = identifiers(F.col("text"), KEYWORDS)
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", ids.alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("first"))
+    return _share(table(spark, d, "documents"), "lang = 'en'", every).select("doc_id", ids.alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("first"))
 
 
+@whole
 @query(f"""WITH s AS (SELECT doc_id AS id, regexp_extract(text, '[A-Za-z]{{4,}}', 0) AS name, CASE WHEN doc_id % 2 = 0 THEN 'class' ELSE 'function' END AS kind, text FROM documents WHERE lang = 'en' AND text <> ''),
 few AS (SELECT name FROM s GROUP BY 1 HAVING count(*) <= 20), i AS (SELECT id AS source, name AS own, unnest({_IDS}) AS name FROM s)
 SELECT source, t.id AS target, CASE WHEN t.kind = 'class' THEN 'uses_type' ELSE 'calls' END AS kind FROM i JOIN s t USING (name) JOIN few USING (name) WHERE name <> own AND source <> t.id GROUP BY ALL""")
-def crossfile_link(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en' AND text != ''")
+def crossfile_link(spark, d, every=False):
+    docs = _share(table(spark, d, "documents"), "lang = 'en'", every).where("text != ''")
     s = docs.select(F.col("doc_id").alias("id"), F.regexp_extract("text", "[A-Za-z]{4,}", 0).alias("name"), F.when(F.col("doc_id") % 2 == 0, "class").otherwise("function").alias("kind"), F.col("text").alias("raw_code"), F.lit("").alias("signature"))
     return link.link_names(s)
 
@@ -356,12 +381,13 @@ def budget_prefix(spark, d):
     return prefix(t, 8000).select("id", F.col("cum").cast("long").alias("cum"))
 
 
+@whole
 @query(f"""WITH {SQL_GRAPH}, m AS (SELECT id, kind, (seq % 13)::DOUBLE AS score, seq FROM nodes WHERE seq % 60 = 0 AND kind <> 'function' OR kind = 'function' AND seq % 600 = 0), tg AS (SELECT DISTINCT target AS id FROM edges WHERE source IN (SELECT id FROM m) AND target IN (SELECT id FROM m)),
 b AS (SELECT m.*, CASE WHEN kind = 'type' THEN 0 WHEN kind IN ('config', 'constant') THEN 1 WHEN tg.id IS NOT NULL THEN 2 ELSE 3 END AS bucket FROM m LEFT JOIN tg USING (id)) SELECT id, bucket, row_number() OVER (ORDER BY bucket, score DESC, seq, id) - 1 AS ord FROM b""")
-def order_buckets(spark, d):
+def order_buckets(spark, d, every=False):
     from .search import ordered
 
-    m = nodes(spark, d).where("seq % 60 = 0 AND kind != 'function' OR kind = 'function' AND seq % 600 = 0").select("id", "kind", (F.col("seq") % 13).cast("double").alias("score"), "seq")
+    m = _share(nodes(spark, d), "seq % 60 = 0 AND kind != 'function' OR kind = 'function' AND seq % 600 = 0", every).select("id", "kind", (F.col("seq") % 13).cast("double").alias("score"), "seq")
     return ordered(m, graph.induced(edges(spark, d), m)).select("id", "bucket", F.col("ord").cast("long"))
 
 
@@ -467,11 +493,12 @@ def metric_rule(spark, d):
     return guardrails.metric_threshold(n, edges(spark, d), n.where("kind = 'class'"), "afferent_coupling", 50)
 
 
+@whole
 @query(f"""WITH RECURSIVE {SQL_EDGES}, t AS (SELECT 's:' || s_suppkey AS root, 's:' || s_suppkey AS id, 0 AS hop FROM supplier WHERE s_suppkey % 20 = 3 UNION SELECT root, e.source, hop + 1 FROM t JOIN edges e ON e.target = t.id AND (e.kind IN ('calls','uses_type','inherits','implements') OR (e.kind = 'imports' AND hop >= 1)) WHERE hop < 2)
 SELECT root AS id, count(DISTINCT id) AS total FROM t WHERE id <> root GROUP BY 1 HAVING count(DISTINCT id) > 10""")
-def impact_rule(spark, d):
+def impact_rule(spark, d, every=False):
     n = nodes(spark, d)
-    return guardrails.impact_threshold(n, edges(spark, d), n.where("kind = 'class' AND seq % 20 = 3"), 10, 2)
+    return guardrails.impact_threshold(n, edges(spark, d), _share(n.where("kind = 'class'"), "seq % 20 = 3", every), 10, 2)
 
 
 @query(f"WITH {SQL_NODES} SELECT DISTINCT path FROM nodes WHERE kind = 'file' AND regexp_matches(path, '(?s)^AMERICA/.*[05]$')")
