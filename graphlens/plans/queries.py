@@ -410,7 +410,7 @@ def search_bundle(spark, d):
     n = nodes(spark, d)
     docs = n.where("kind = 'class' OR kind = 'type'").select("id", F.coalesce("raw_code", "summary", "name").alias("text"))
     found = search(n, edges(spark, d), v, docs, "where is Supplier 7 defined", _query_vector(spark, d))
-    return found.select("id", _r("score"), "ord")
+    return found.select("id", _r("score"), "ord", "summarised")
 
 
 # -- catalogue --------------------------------------------------------------

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,28 +33,36 @@ def fit(items: list[dict], budget: int) -> list[tuple[str, bool]]:
     While the result is over its budget, the item of the least score that is no seed, and that no kept item points to if
     there is such a one, falls back to its summary; if that is not enough it goes. Only seeds left ends it.
     """
-    kept = {x["id"]: dict(x, summarised=False) for x in items}
-    total = sum(x["tokens"] for x in items)
+    kept = {x["id"]: dict(x, summarised=False, targets=set(x["targets"])) for x in items}
+    total = sum(x["tokens"] for x in kept.values())
+    pointers = Counter(t for x in kept.values() for t in x["targets"])
+    rank = lambda x: (x["score"], x["id"])
+    free = sorted((rank(x) for x in kept.values() if not x["is_seed"]), reverse=True)
+    leaves = [r for r in reversed(free) if not pointers[r[1]]]  # a heap, as it is sorted
     while total > budget:
-        free = [x for x in kept.values() if not x["is_seed"]]
+        while free and free[-1][1] not in kept:
+            free.pop()
         if not free:
             break
-        pointed = {t for x in kept.values() for t in x["targets"]}
-        x = min([x for x in free if x["id"] not in pointed] or free, key=lambda x: (x["score"], x["id"]))
-        if x["has_summary"] and not x["summarised"]:
+        x = kept[heapq.heappop(leaves)[1] if leaves else free[-1][1]]
+        if x["has_summary"]:
             total += x["summary_tokens"] - x["tokens"]
             x["tokens"], x["summarised"] = x["summary_tokens"], True
             if total <= budget:
                 break
         total -= x["tokens"]
         del kept[x["id"]]
+        for t in x["targets"]:
+            pointers[t] -= 1
+            if not pointers[t] and t in kept and not kept[t]["is_seed"]:
+                heapq.heappush(leaves, rank(kept[t]))
     return [(x["id"], x["summarised"]) for x in kept.values()]
 
 
 def fit_budgets(items: DataFrame, budget: int) -> DataFrame:
     """fit() for each query_id of items(query_id, id, score, is_seed, tokens, summary_tokens, has_summary, targets).
 
-    A result is a few hundred rows by its seeds and hops, so a group is small.
+    Each eviction depends on those before, so one task fits a whole result; it holds narrow rows and takes n log n steps.
     """
 
     kind = items.schema["query_id"].dataType.simpleString()
@@ -74,7 +85,7 @@ def ordered(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def search(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame, question: str, query_vector: Column, budget: int = 8000, width: int = 3, repos=None, flat: bool = False) -> DataFrame:
-    """The result of one question: id, score, ord.
+    """The result of one question: id, score, ord, summarised (only the summary fits).
 
     nodes and edges of a graph, vectors(id, embedding), docs(id, text). Intent sets the blend, hops and gate. Text hits are
     cut before the repository filter, as the vector search filters before its cut only for a single repository.
@@ -89,12 +100,14 @@ def search(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFra
     seeds = in_repo(seeds)
     seeds = materialize(seeds)
     if not seeds.limit(1).count():
-        return spark.createDataFrame([], "id string, score double, ord int")
+        return spark.createDataFrame([], "id string, score double, ord int, summarised boolean")
     blended = text.blend(seeds, in_repo(text.bm25(docs, question, 3 * width)), alpha)
     blended = text.raise_scores(blended, in_repo(text.name_match(nodes, question)))
     if "route_path" in nodes.columns:
         blended = text.raise_scores(blended, in_repo(text.route_match(nodes.where("kind = 'api_endpoint'"), question)))
-    tokens = nodes.select("id", token_estimate(token_text(F.col("raw_code"), F.col("summary"))).alias("tokens"))
+    both = (F.coalesce("raw_code", F.lit("")) != "") & (F.coalesce("summary", F.lit("")) != "")
+    size = lambda x: token_estimate(x).cast("long")
+    tokens = nodes.select("id", size(token_text(F.col("raw_code"), F.col("summary"))).alias("tokens"), size(F.coalesce("summary", F.lit(""))).alias("summary_tokens"), both.alias("has_summary"))
     kept = budget_prefix(blended.join(tokens, "id"), budget).select("id", "score")
     kept = materialize(kept)
     similarity = vectors.select("id", cosine(F.col("embedding"), query_vector).alias("sim"))
@@ -107,13 +120,10 @@ def search(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFra
     good = quality.scores(nodes.join(grown.select("id"), "id", "left_semi"), touching).select("id", "quality")
     good = materialize(good)
     scored = materialize(grown.join(good, "id").join(nodes.select("id", "kind", "seq"), "id").join(tokens, "id").withColumn("score", 0.85 * F.coalesce("score", F.lit(0.5)) + 0.15 * F.col("quality")))
-    # what cannot fit even alone is cut before one task fits the rest
-    best = scored.orderBy(F.desc(F.col("hop") == 0), F.desc("score"), "id").limit(max(1, budget // 16) + 200)
     targets = near.groupBy(F.col("source").alias("id")).agg(F.collect_set("target").alias("targets"))
-    items = best.join(targets, "id", "left").select(
-        F.lit(question).alias("query_id"), "id", "score", (F.col("hop") == 0).alias("is_seed"), F.col("tokens").cast("long").alias("tokens"), F.lit(16).cast("long").alias("summary_tokens"),
-        F.lit(False).alias("has_summary"), F.coalesce("targets", F.array().cast("array<string>")).alias("targets"),
+    items = scored.join(targets, "id", "left").select(
+        F.lit(question).alias("query_id"), "id", "score", (F.col("hop") == 0).alias("is_seed"), "tokens", "summary_tokens", "has_summary",
+        F.coalesce("targets", F.array().cast("array<string>")).alias("targets"),
     )
-    final = materialize(scored.join(fit_budgets(items, budget).select("id"), "id", "left_semi"))
-    return ordered(final.select("id", "kind", "score", "seq"), graph.induced(near, final)).select("id", "score", "ord")
-
+    final = materialize(scored.join(fit_budgets(items, budget).select("id", "summarised"), "id"))
+    return ordered(final.select("id", "kind", "score", "seq", "summarised"), graph.induced(near, final)).select("id", "score", "ord", "summarised")

@@ -1,4 +1,5 @@
 import fnmatch
+import random
 import re
 
 import pytest
@@ -9,7 +10,7 @@ from graphlens.operators import catalog, graph, guardrails, link, quality, sessi
 from graphlens.plans.adapters import edges as star_edges
 from graphlens.plans.adapters import nodes as star_nodes
 from graphlens.plans.queries import QUERIES
-from graphlens.plans.search import budget_prefix, fit, ordered
+from graphlens.plans.search import budget_prefix, fit, ordered, search
 from graphlens.sources import config, parse
 from graphlens.sources.snapshots import Store
 from graphlens.streaming import changes
@@ -77,6 +78,41 @@ def test_budget(spark):
     assert fit([item("a", 1, 500, is_seed=True)], 100) == [("a", False)]
 
 
+def slow_fit(items, budget):
+    kept = {x["id"]: dict(x, summarised=False) for x in items}
+    while sum(x["tokens"] for x in kept.values()) > budget and (free := [x for x in kept.values() if not x["is_seed"]]):
+        pointed = {t for x in kept.values() for t in x["targets"]}
+        x = min([x for x in free if x["id"] not in pointed] or free, key=lambda x: (x["score"], x["id"]))
+        if x["has_summary"]:
+            x["tokens"], x["summarised"] = x["summary_tokens"], True
+            if sum(x["tokens"] for x in kept.values()) <= budget:
+                break
+        del kept[x["id"]]
+    return [(x["id"], x["summarised"]) for x in kept.values()]
+
+
+def test_fit_as_brute_force():
+    rnd = random.Random(4)
+    for n in range(60):
+        ids = [str(k) for k in range(n)]
+        items = [{"id": i, "score": rnd.randrange(9) / 9, "tokens": rnd.randrange(16, 90), "is_seed": rnd.random() < 0.1, "summary_tokens": rnd.randrange(16, 40), "has_summary": rnd.random() < 0.4, "targets": rnd.choices(ids, k=rnd.randrange(3))} for i in ids]
+        budget = rnd.randrange(1, 40 * n + 2)
+        assert fit(items, budget) == slow_fit(items, budget)
+
+
+def test_search_fits_all_rows_and_swaps_for_summaries(spark):
+    row = lambda i, kind, name, code, summary, k: (i, "r", kind, name, f"p/{i}", 1, 5, code, summary, None, False, k)
+    leaves = [f"leaf{k:03}" for k in range(300)]
+    rows = [row("s", "class", "zeta", "zeta", None, 0), row("t", "type", "other", "x", None, 1)] + [row(x, "function", x, "c" * 400, "y", k + 2) for k, x in enumerate(leaves)]
+    n = spark.createDataFrame(rows, "id string, repo string, kind string, name string, path string, start_line int, end_line int, raw_code string, summary string, docstring string, has_embedding boolean, seq long")
+    e = _edges(spark, [("s", "t", "uses_type", 2)] + [(x, "s", "calls", 1) for x in leaves])
+    v = spark.createDataFrame([("s", [1.0, 0.0])], "id string, embedding array<float>")
+    docs = spark.createDataFrame([("s", "zeta")], "id string, text string")
+    got = {r.id: r.summarised for r in search(n, e, v, docs, "where is zeta defined", vector.literal([1.0, 0.0]), budget=200).collect()}
+    # the type scores less than 300 leaves, but the seed points to it; two leaves fit, one by its summary
+    assert {"s", "t"} <= set(got) and len(got) == 4 and sum(got.values()) == 1
+
+
 def test_order(spark):
     m = spark.createDataFrame([("t", "type", 0.1, 0), ("c", "config", 0.9, 1), ("f", "function", 0.5, 2), ("g", "function", 0.7, 3)], "id string, kind string, score double, seq long")
     assert [r.id for r in ordered(m, _edges(spark, [("g", "f", "calls", 0)])).orderBy("ord").collect()] == ["t", "c", "f", "g"]
