@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,12 +65,48 @@ def client_urls(code: Column) -> Column:
 def api_contracts(callers: DataFrame, endpoints: DataFrame) -> DataFrame:
     """callers(id, repo, raw_code) x endpoints(id, repo, route_path, seq) -> source, target, url of calls between repositories.
 
-    Routes are normalised; of endpoints with one route the last inserted counts. A route joins by equality.
+    Routes are normalised; of endpoints with one route the last inserted counts. A call takes the endpoint of an equal route,
+    else the first inserted route that its own ends with behind a slash.
+    """
+    ends = endpoints.where("route_path != ''").select(normalize_route(F.col("route_path")).alias("route"), F.struct("seq", F.col("id").alias("target"), F.col("repo").alias("target_repo")).alias("e"))
+    ends = ends.groupBy("route").agg(F.max("e").alias("last"), F.min("e.seq").alias("s")).select("route", "s", "last.target", "last.target_repo")
+    calls = callers.select(F.col("id").alias("source"), "repo", F.explode(client_urls(F.col("raw_code"))).alias("url")).distinct().withColumn("route", normalize_route(F.col("url")))
+    equal = calls.join(ends, "route").select("source", "repo", "url", "target", "target_repo")
+    rest = calls.join(ends.select("route"), "route", "left_anti")
+    behind = F.filter(F.sequence(F.lit(1), F.length("route")), lambda k: F.substring(F.col("route"), k, F.lit(1)) == "/")
+    tails = rest.select("source", "repo", "url", F.explode(F.transform(behind, lambda k: F.substring(F.col("route"), k + 1, F.length("route")))).alias("route"))
+    found = tails.join(ends, "route").groupBy("source", "repo", "url").agg(F.min(F.struct("s", "route", "target", "target_repo")).alias("e"))
+    found = equal.unionByName(found.select("source", "repo", "url", "e.target", "e.target_repo"))
+    return found.where("repo != target_repo").select("source", "target", "url").distinct()
+
+
+#: Words in the path of a file that wires others.
+WIRING = ("container", "factory", "di", "module", "injector", "provider")
+
+
+def write_context(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
+    """files(id) -> file, role, id of what to know before an edit.
+
+    Roles: symbol, interface (of a class or type), sibling (others with that interface by the edge kind that found it first),
+    test, wiring (callers and users of a class from files that wire), imports, imported_by.
     """
-    ends = endpoints.select(normalize_route(F.col("route_path")).alias("route"), F.col("id").alias("target"), F.col("repo").alias("target_repo"), F.col("seq").alias("s"))
-    ends = first_by(ends, ["route"], [F.desc("s"), F.desc("target")]).drop("s")
-    calls = callers.select(F.col("id").alias("source"), "repo", F.explode(client_urls(F.col("raw_code"))).alias("url")).withColumn("route", normalize_route(F.col("url")))
-    return calls.join(ends, "route").where("repo != target_repo").select("source", "target", "url").distinct()
+    own = nodes.join(files.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("file"), "path")
+    link = lambda *kinds: edges.where(F.col("kind").isin(*kinds)).select("source", "target", F.col("kind").alias("via"))
+    role = lambda df, name, column: df.select("file", F.lit(name).alias("role"), F.col(column).alias("id"))
+    sym = own.join(link("contains"), F.col("file") == F.col("source")).join(nodes.select(F.col("id").alias("sym"), F.col("kind").alias("k"), "seq"), F.col("target") == F.col("sym")).select("file", "sym", "k", "seq")
+    up = sym.where("k IN ('class', 'type')").join(link("inherits", "implements"), F.col("sym") == F.col("source")).select("file", "sym", "seq", F.col("target").alias("iface"), "via")
+    up = first_by(up, ["file", "iface"], [F.col("seq"), F.col("sym"), F.desc("via")])
+    sib = up.join(link("inherits", "implements").withColumnRenamed("target", "iface"), ["iface", "via"]).where("source != sym")
+    wired = F.lit(False)
+    for w in WIRING:
+        wired = wired | F.contains(F.lower("path"), F.lit(w))
+    wire = sym.where("k = 'class'").join(link("calls", "uses_type"), F.col("sym") == F.col("target")).select("file", "source").join(nodes.where(wired).select(F.col("id").alias("source")), "source")
+    every = nodes.where("kind = 'file'").select("path", "seq", F.col("id").alias("test"))
+    tests = own.join(test_files(own.select("path").distinct(), every), "path").join(every.select(F.col("path").alias("test_path"), "test"), "test_path")
+    out = own.join(link("imports"), F.col("file") == F.col("source"))
+    into = own.join(link("imports"), F.col("file") == F.col("target"))
+    parts = [role(sym, "symbol", "sym"), role(up, "interface", "iface"), role(sib, "sibling", "source"), role(tests, "test", "test"), role(wire, "wiring", "source"), role(out, "imports", "target"), role(into, "imported_by", "source")]
+    return reduce(DataFrame.unionByName, parts).join(nodes.select("id"), "id", "left_semi").select("file", "role", "id").distinct()
 
 
 def shared_imports(nodes: DataFrame, edges: DataFrame) -> DataFrame:

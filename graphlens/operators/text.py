@@ -66,7 +66,7 @@ def name_match(nodes: DataFrame, query: str, boost: float = 0.7, k: int = 30) ->
 def route_match(endpoints: DataFrame, query: str) -> DataFrame:
     """endpoints(id, http_method, route_path) -> id, score: 1.0 for the path, 1.2 with the method, 0.6 if methods differ.
 
-    Only {..} parameters are collapsed here; numbers and :names are left as they are.
+    Only {..} parameters are collapsed here; numbers and :names are left as they are. The path may stand behind a slash at the end of a route.
     """
     import re
 
@@ -79,7 +79,7 @@ def route_match(endpoints: DataFrame, query: str) -> DataFrame:
     path = F.when(path == "", F.lit("/")).otherwise(path)
     own = F.upper(F.coalesce("http_method", F.lit("")))
     score = F.when(F.lit(method == "") | (own == ""), 1.0).when(own == method, 1.2).otherwise(0.6)
-    return endpoints.where(path == wanted).select("id", score.alias("score"))
+    return endpoints.where((path == wanted) | F.endswith(path, F.lit("/" + wanted))).select("id", score.alias("score"))
 
 
 def blend(vector: DataFrame, keyword: DataFrame, alpha: float) -> DataFrame:

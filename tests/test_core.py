@@ -196,6 +196,23 @@ def test_parsing_and_linking(spark, tmp_path):
     assert links == {("Child", "Base", "inherits"), ("S", "Base", "inherits"), ("helper", "Child", "uses_type"), ("Base", "run", "calls")}
 
 
+def test_contracts_by_the_end_of_a_route(spark):
+    callers = spark.createDataFrame([("x", "r", "fetch('http://h/api/orders')"), ("y", "r", "fetch('/v1/users')"), ("z", "r", "fetch('/v1/myorders')"), ("w", "r", "fetch('/b/c/d')")], "id string, repo string, raw_code string")
+    ends = spark.createDataFrame([("e0", "r", "c/d", 4), ("e1", "q", "orders", 1), ("e2", "q", "/v1/users", 2), ("e3", "p", "users", 0), ("e4", "q", "d", 5), ("e5", "q", "orders/", 6)], "id string, repo string, route_path string, seq long")
+    # an equal route goes first; of routes at the end the first inserted one counts, even if it lies in the caller's repository
+    assert {(r.source, r.target, r.url) for r in link.api_contracts(callers, ends).collect()} == {("x", "e5", "http://h/api/orders"), ("y", "e2", "/v1/users")}
+    routes = spark.createDataFrame([("a", None, "/api//orders"), ("b", None, "/api/orders")], "id string, http_method string, route_path string")
+    assert [r.id for r in text.route_match(routes, "/orders").collect()] == ["a"]
+
+
+def test_write_context(spark):
+    rows = [("f", "file", "src/a.py"), ("g", "file", "src/di/b.py"), ("ft", "file", "t/test_a.py"), ("C", "class", "src/a.py"), ("fn", "function", "src/a.py"), ("I", "type", "src/i.py"), ("S", "class", "src/s.py"), ("W", "function", "src/container.py"), ("V", "function", "src/v.py")]
+    n = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "id string, kind string, path string, seq long")
+    e = _edges(spark, [("f", "C", "contains", 0), ("f", "fn", "contains", 0), ("C", "I", "implements", 0), ("S", "I", "implements", 0), ("W", "C", "calls", 0), ("V", "C", "calls", 0), ("W", "fn", "calls", 0), ("g", "f", "imports", 0), ("f", "ft", "imports", 0), ("f", "gone", "imports", 0)])
+    got = {(r.role, r.id) for r in link.write_context(n, e, n.where("id = 'f'")).collect()}
+    assert got == {("symbol", "C"), ("symbol", "fn"), ("interface", "I"), ("sibling", "S"), ("test", "ft"), ("wiring", "W"), ("imports", "ft"), ("imported_by", "g")}
+
+
 def test_catalog(spark):
     got = {r.name: r.status for r in catalog.drift(spark.createDataFrame([("a",), ("b",)], "name string"), spark.createDataFrame([("b",), ("c",)], "name string")).collect()}
     assert got == {"a": "missing", "b": "ok", "c": "undeclared"}
