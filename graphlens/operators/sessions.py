@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import numbered
+
 
 def weight(turns_ago: Column, topic: Column | None = None, half_life: float = 5.0) -> Column:
     """Half-life decay by turns, plus a fifth of a positive topic similarity, at most 1."""
@@ -33,12 +35,22 @@ def dedup(bundle: DataFrame, context: DataFrame, current_turn: int, half_life: f
 
 
 def topic(queries: DataFrame, alpha: float = 0.3) -> DataFrame:
-    """queries(session_id, turn, vec) -> session_id, topic: the moving average alpha * query + (1 - alpha) * topic over the turns."""
-    turns = F.array_sort(F.collect_list(F.struct("turn", "vec")))
-    rows = queries.groupBy("session_id").agg(turns.alias("t"))
-    first = F.transform(F.col("t")[0]["vec"], lambda x: x.cast("double"))
-    fold = F.aggregate(F.slice("t", F.lit(2), F.size("t")), first, lambda a, x: F.zip_with(x["vec"], a, lambda q, s: alpha * q.cast("double") + (1 - alpha) * s))
-    return rows.select("session_id", fold.alias("topic"))
+    """queries(session_id, turn, vec) -> session_id, topic: the moving average alpha * query + (1 - alpha) * topic over the turns.
+
+    A turn weighs alpha * (1 - alpha)^(later turns), the first one without alpha; sums are taken per dimension.
+    """
+    rows = numbered(queries.select("session_id", "turn", "vec"), F.col("session_id"), F.col("turn"), F.col("vec"))
+    ends = rows.groupBy(F.col("session_id").alias("s")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("vec").isNull()).alias("gap"))
+    rows = rows.join(ends, F.col("session_id").eqNullSafe(F.col("s")))
+    w = F.when(F.col("n") == F.col("lo"), 1.0).otherwise(alpha) * F.pow(F.lit(1.0 - alpha), F.col("hi") - F.col("n"))
+    parts = rows.select("s", "lo", "hi", w.alias("w"), F.posexplode("vec").alias("dim", "x")).groupBy("s", "lo", "hi", "dim")
+    sums = parts.agg(F.sum(F.col("w") * F.col("x").cast("double")).alias("x"), F.count("x").alias("k"))
+    # a dimension that a turn lacks is null
+    sums = sums.withColumn("x", F.when(F.col("k") == F.col("hi") - F.col("lo") + 1, F.col("x")))
+    sums = sums.groupBy("lo").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda c: c["x"]).alias("topic"))
+    # sessions are told apart by their first number, as ids may be null
+    topic = F.when(~F.col("gap"), F.coalesce("topic", F.array().cast("array<double>")))
+    return ends.join(sums, "lo", "left").select(F.col("s").alias("session_id"), topic.alias("topic"))
 
 
 def unexpired(sessions: DataFrame, now: Column, days: int = 7) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import cosine, token_estimate, token_text
 from ..operators import graph, quality, text, vector
 from ..schemas import PROFILES, SYMBOL_KINDS
-from ..sources.shared import materialize
+from ..sources.shared import materialize, numbered
 
 
 def budget_prefix(seeds: DataFrame, budget: int, share: float = 0.75) -> DataFrame:
@@ -80,8 +80,7 @@ def ordered(members: DataFrame, edges: DataFrame) -> DataFrame:
     pointed = edges.select(F.col("target").alias("id")).distinct().withColumn("p", F.lit(True))
     bucket = F.when(F.col("kind") == "type", 0).when(F.col("kind").isin("config", "constant"), 1).when(F.col("p"), 2).otherwise(3)
     out = members.join(pointed, "id", "left").withColumn("bucket", bucket).drop("p")
-    by = Window.partitionBy(F.lit(0)).orderBy("bucket", F.desc("score"), "seq", "id")  # a bundle: bounded by its budget
-    return out.withColumn("ord", F.row_number().over(by) - 1)
+    return numbered(out, F.col("bucket"), F.desc("score"), F.col("seq"), F.col("id"), name="ord").withColumn("ord", F.col("ord").cast("int"))
 
 
 def search(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame, question: str, query_vector: Column, budget: int = 8000, width: int = 3, repos=None, flat: bool = False) -> DataFrame:

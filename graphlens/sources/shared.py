@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -15,3 +16,18 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *order, name: str = "n") -> DataFrame:
+    """df with each row's number from 0 in the whole order: its place in its range partition plus the rows of those before."""
+    place = f"_{name}"
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.withColumn(place, F.monotonically_increasing_id()))  # partition << 33 | place
+    part = F.shiftright(place, 33)
+    total, offsets = 0, []
+    for p, n in sorted(tuple(r) for r in ranged.groupBy(part).count().collect()):
+        offsets.append((p, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(offsets, "_p long, _offset long")
+    out = ranged.withColumn("_p", part).join(F.broadcast(offsets), "_p")
+    return out.withColumn(name, F.col("_offset") + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_offset", place)

@@ -152,6 +152,23 @@ def test_temporal_and_sessions(spark):
     assert [round(x, 6) for x in sessions.topic(q).first()["topic"]] == [0.7, 0.3]
 
 
+def test_topic_and_order_over_many_partitions(spark):
+    rnd = random.Random(6)
+    rows = [(s, t, [rnd.random(), rnd.random()]) for s in ("a", "b", None) for t in range(50)] + [("gap", 1, [1.0, 2.0]), ("gap", 2, None), ("short", 1, [1.0, 2.0]), ("short", 2, [1.0])]
+    q = spark.createDataFrame(rows, "session_id string, turn int, vec array<double>").repartition(7)
+    want = {}
+    for s, _, v in sorted(rows[:150], key=lambda r: (str(r[0]), r[1])):
+        want[s] = [0.3 * x + 0.7 * y for x, y in zip(v, want[s], strict=True)] if s in want else v
+    out = sessions.topic(q)
+    got = {r.session_id: r.topic for r in out.collect()}
+    assert all(got[s] == pytest.approx(want[s]) for s in want) and got["gap"] is None and got["short"] == [pytest.approx(1.0), None] and len(got) == 5
+    assert "collect_list(struct(turn" not in out._jdf.queryExecution().toString()
+    m = spark.range(500).select(F.col("id").cast("string").alias("id"), F.lit("function").alias("kind"), (F.col("id") % 7).cast("double").alias("score"), F.col("id").alias("seq"))
+    ranked = ordered(m, _edges(spark, [("1", "3", "calls", 0)]))
+    assert [int(r.id) for r in ranked.orderBy("ord").collect()] == sorted(range(500), key=lambda k: (k != 3, -(k % 7), k)) and "Window" not in ranked._jdf.queryExecution().toString()
+    assert ordered(m.limit(0), _edges(spark, []).limit(0)).count() == 0
+
+
 def test_rules(spark, tmp_path):
     n = _nodes(spark, ["a", "b"])
     e = _edges(spark, [("a", "b", "imports", 0), ("a", "ext/lib.py", "imports", 0)])
