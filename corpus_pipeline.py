@@ -7,6 +7,7 @@ with all their columns; the last returns packed pieces.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphlens.llm import exact_dedup, ngram_join, packing, pu_quality, quality_rules
 from graphlens.llm.bpe import byte_bpe_path
@@ -24,9 +25,17 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text, the one with the smallest id."""
-    gone = materialize(exact_dedup.exact_duplicates(docs).where("NOT kept").select("doc_id").distinct())
-    return docs.join(narrow_side(gone), "doc_id", "left_anti").select(docs.columns)
+    """Of documents with equal text, one with the smallest id.
+
+    A row goes by its id and text, so other texts of its id stay. Null ids lose against any id; of a group with null ids only,
+    and of rows with the same id and equal text, one stays.
+    """
+    sha = F.sha2(exact_dedup.normalised("text").cast("binary"), 256)
+    found = materialize(exact_dedup.exact_duplicates(docs).where("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1"))
+    side = found.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
+    both = docs.withColumn("_own", sha).join(narrow_side(side), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left")
+    again = both.where("kept").dropDuplicates(["_id", "_sha"])
+    return both.where("kept IS NULL").unionByName(again).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from graphlens.llm import bpe, exact_dedup, langid, ngram_join, packing, pu_quality, quality_rules, reshard, url_filter, warc
 from graphlens.llm.common import shared_dir
 
@@ -60,6 +61,14 @@ def test_exact_duplicates(docs, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
 
+def test_exact_stage_with_null_and_repeated_ids(spark):
+    rows = [(1, "a b"), (2, "a  b"), (2, "other"), (None, "a b"), (None, "alone"), (None, "x y"), (None, "x  y"), (5, "same"), (5, "same"), (6, "same"), (7, None), (8, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, re.sub(" +", " ", r.text or "")) for r in corpus_pipeline.exact(spark, df, "").collect())
+    assert got == collections.Counter([(1, "a b"), (2, "other"), (None, "alone"), (None, "x y"), (5, "same"), (7, "")])
+    assert corpus_pipeline.exact(spark, df.limit(0), "").count() == 0
+
+
 def test_directory_doubles_and_chains():
     buckets = exact_dedup.double_directory({0: (10, True), 1: (1, False), 4095: (50, False)}, 4)
     assert len(set(buckets)) > 2 and buckets[0] != buckets[1] and sorted(buckets) == buckets
