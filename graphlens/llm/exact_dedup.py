@@ -1,9 +1,9 @@
 """Exact duplicates by an extendible-hash index kept on shared files.
 
-Every row's normalised text has a 64-bit key. A directory over the key's leading bits doubles until no bucket that can
-be split holds more than `capacity` distinct texts; each bucket is a key range with one owner task. The index is written
-to the shared folder, sorted by bucket and key. Keys that occur more than once have their texts sent to the owners
-(copies are merged in each task before the shuffle, so a text with very many copies is sent a few times only); an owner
+Every row's normalised text has a 64-bit key. A directory over the key's leading bits doubles until no bucket that can be
+split holds more than `capacity` distinct texts; each bucket is a key range with one owner task. Directory and index are
+tables in the shared folder, the index sorted by bucket and key. Keys that occur more than once have their texts sent to the
+owners (copies are merged in each task before the shuffle, so a text with very many copies is sent a few times only); an owner
 walks its key range, chains the different texts of one key and compares bytes along the chain.
 """
 
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, materialize, narrow_side, table, text_of
 
-#: Most bits of the directory: 2**12 pointers, whatever the size of the input.
-MAX_DEPTH = 12
+#: Bits of the directory beyond those that equal buckets would need.
+SPARE_BITS = 3
 #: Bytes of texts that a task merges before it passes them on.
 MERGE_BYTES = 32 << 20
 
@@ -30,34 +30,27 @@ def normalised(text):
 
 def prefix_of(key, depth: int):
     """The leading bits of a signed 64-bit key, in the order of the unsigned key."""
-    return F.shiftrightunsigned(key, 64 - depth).cast("int")
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def double_directory(counts: dict[int, tuple[int, bool]], capacity: int, max_depth: int = MAX_DEPTH) -> list[int]:
-    """The bucket of each of the 2**max_depth prefixes.
+def double_directory(index: DataFrame, capacity: int, bits: int) -> tuple[DataFrame, int]:
+    """The directory over index(key), pointer, bucket, depth for each prefix of `bits` bits that occurs, and its bits.
 
-    counts: texts of each prefix and whether the prefix has more than one key. A bucket splits while it is overfull and its
-    keys differ; the directory doubles when a bucket as deep as itself splits. Beyond max_depth a bucket keeps an overflow chain.
+    A bucket as deep as d holds the keys with its d leading bits; it splits while it is overfull, so a pointer's bucket is the
+    first depth at which the texts below are at most `capacity`. Its number is its first pointer. A bucket that is still
+    overfull at the last bit gives the directory more bits, unless all its texts have one key: these make an overflow chain.
     """
-    depth, local = 0, {0: 0}  # first prefix of a bucket -> its depth
     while True:
-        over = []
-        for first, d in local.items():
-            inside = [counts[p] for p in range(first, first + (1 << max_depth - d)) if p in counts]
-            if d < max_depth and sum(n for n, _ in inside) > capacity and (len(inside) > 1 or any(many for _, many in inside)):
-                over.append(first)
-        if not over:
-            break
-        if any(local[first] == depth for first in over):
-            depth += 1  # the directory doubles
-        for first in over:
-            local[first] += 1
-            local[first + (1 << max_depth - local[first])] = local[first]
-    buckets = [0] * (1 << max_depth)
-    for number, first in enumerate(sorted(local)):
-        for p in range(first, first + (1 << max_depth - local[first])):
-            buckets[p] = number
-    return buckets
+        key = F.col("key")
+        fine = materialize(index.groupBy(prefix_of(key, bits).alias("pointer")).agg(F.count("*").alias("n"), (F.min("key") != F.max("key")).alias("many")))
+        depths = fine.select("pointer", "n", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
+        at = depths.withColumn("first", F.expr(f"pointer - pmod(pointer, shiftleft(1L, {bits} - depth))"))
+        fits = at.groupBy("depth", "first").agg(F.sum("n").alias("inside")).where(F.col("inside") <= capacity)
+        leaf = at.join(narrow_side(materialize(fits)), ["depth", "first"]).groupBy("pointer").agg(F.min(F.struct("depth", "first")).alias("leaf"))
+        out = materialize(fine.join(leaf, "pointer", "left").select("pointer", F.coalesce("leaf.first", "pointer").alias("bucket"), F.coalesce("leaf.depth", F.lit(bits)).alias("depth"), (F.col("leaf").isNull() & F.col("many")).alias("over")))
+        if bits >= 60 or not out.where("over").limit(1).count():
+            return out.drop("over"), bits
+        bits = min(60, bits + 4)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,27 +78,27 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-_MERGED = pa.schema([("key", pa.int64()), ("text", pa.binary()), ("bucket", pa.int32()), ("head", pa.int64()), ("copies", pa.int64())])
+_MERGED = pa.schema([("key", pa.int64()), ("text", pa.binary()), ("bucket", pa.int64()), ("head", pa.int64()), ("copies", pa.int64())])
 
 
 def _rows(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _MERGED, strict=True)], schema=_MERGED)
 
 
+_OWNED = pa.schema([("key", pa.int64()), ("sha", pa.string()), ("head", pa.int64()), ("copies", pa.int64()), ("chain", pa.int32())])
+
+
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """An owner's pass over its sorted key range: a chain of different texts for the key at hand."""
-    at, chain = None, []
+    at, chain, out = None, [], []
 
-    def close():
-        rows = [(at, hashlib.sha256(text).hexdigest(), head, n, len(chain)) for text, head, n in chain]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["key", "sha", "head", "copies", "chain"])
+    def flush():
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _OWNED, strict=True)], schema=_OWNED)
 
-    out: list[pa.RecordBatch] = []
     for batch in batches:
         for key, text, head, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if key != at:
-                if chain:
-                    out.append(close())
+                out += [(at, hashlib.sha256(link[0]).hexdigest(), link[1], link[2], len(chain)) for link in chain]
                 at, chain = key, []
             for link in chain:
                 if link[0] == text:  # bytes
@@ -115,11 +108,11 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 chain.append([text, head, n])
         if out:
-            yield from out
+            yield flush()
             out = []
-    if chain:
-        out.append(close())
-    yield from out
+    out += [(at, hashlib.sha256(link[0]).hexdigest(), link[1], link[2], len(chain)) for link in chain]
+    if out:
+        yield flush()
 
 
 def exact_duplicates(docs: DataFrame, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,31 +121,31 @@ def exact_duplicates(docs: DataFrame, capacity: int = 4096, id_col: str = "doc_i
     Texts are equal when they are after each run of white space became one space. The row with the smallest id of equal
     texts stays. A null text counts as empty; null ids lose against any id (a group with null ids only keeps null);
     repeated rows with one id and one text are all marked as kept. An empty table gives an empty result; other columns of docs are not looked at.
-    `capacity` is the least size of a bucket; it grows with the input so that the directory stays within 2**12 pointers.
+    `capacity` is the size of a bucket in distinct texts; the directory's depth follows from how many there are.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("text"))
     entries = materialize(rows.select("doc_id", F.xxhash64("text").alias("key"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
-    index = entries.groupBy("key", "sha").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
-    counts = {r[0]: (r[1], r[2]) for r in index.groupBy(prefix_of(F.col("key"), MAX_DEPTH).alias("p")).agg(F.count("*").alias("n"), (F.min("key") != F.max("key")).alias("many")).collect()}
-    distinct = sum(n for n, _ in counts.values())
-    buckets = double_directory(counts, max(capacity, distinct >> MAX_DEPTH - 2))
-    directory = F.broadcast(spark.createDataFrame(list(enumerate(buckets)), "p int, bucket int"))
-    owners = max(1, min(buckets[-1] + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    placed = index.withColumn("p", prefix_of(F.col("key"), MAX_DEPTH)).join(directory, "p").drop("p")
+    index = materialize(entries.groupBy("key", "sha").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")))
+    bits = max(1, (index.count() // capacity).bit_length() + SPARE_BITS)
+    directory, bits = double_directory(index, capacity, bits)
+    pointer = prefix_of(F.col("key"), bits).alias("pointer")
+    pointers = narrow_side(directory.select("pointer", "bucket"))
+    owners = max(1, min(directory.select("bucket").distinct().count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    placed = index.select("*", pointer).join(pointers, "pointer").drop("pointer")
     index = materialize(placed.repartition(owners, "bucket").sortWithinPartitions("bucket", "key"))
     again = index.groupBy("bucket", "key").agg(F.sum("copies").alias("n")).where("n > 1").select("bucket", "key")
     texts = rows.withColumn("key", F.xxhash64("text")).join(narrow_side(again), "key").select("bucket", "key", F.col("text").cast("binary").alias("text"), "doc_id")
-    merged = texts.mapInArrow(_merge, "key long, text binary, bucket int, head long, copies long")
+    merged = texts.mapInArrow(_merge, "key long, text binary, bucket long, head long, copies long")
     owned = merged.repartition(owners, "bucket").sortWithinPartitions("bucket", "key").select("key", "text", "head", "copies")
     groups = materialize(owned.mapInArrow(_own, "key long, sha string, head long, copies long, chain int"))
-    out = entries.join(narrow_side(groups.select("key", "sha", "head", "copies")), ["key", "sha"], "left").withColumn("p", prefix_of(F.col("key"), MAX_DEPTH)).join(directory, "p")
+    out = entries.join(narrow_side(groups.select("key", "sha", "head", "copies")), ["key", "sha"], "left").select("*", pointer).join(pointers, "pointer")
     keep = F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("head"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"), "bucket")
 
 
 def op2_exact_dedup(spark, sf_dir):
-    return exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("bucket")
 
 
 QUERIES = {"op2_exact_dedup": op2_exact_dedup}

@@ -69,11 +69,25 @@ def test_exact_stage_with_null_and_repeated_ids(spark):
     assert corpus_pipeline.exact(spark, df.limit(0), "").count() == 0
 
 
-def test_directory_doubles_and_chains():
-    buckets = exact_dedup.double_directory({0: (10, True), 1: (1, False), 4095: (50, False)}, 4)
-    assert len(set(buckets)) > 2 and buckets[0] != buckets[1] and sorted(buckets) == buckets
-    assert set(exact_dedup.double_directory({}, 4)) == {0}
-    owned = [r for b in exact_dedup._own(iter([exact_dedup.pa.RecordBatch.from_pydict({"key": [1, 1, 1, 2], "text": [b"a", b"b", b"a", b"a"], "head": [5, 6, 2, 9], "copies": [1, 1, 3, 1]})])) for r in b.to_pylist()]
+def test_directory_doubles_and_chains(spark):
+    rnd = random.Random(4)
+    keys = [rnd.getrandbits(64) - (1 << 63) for _ in range(300)] + list(range(40)) + [7] * 30  # many near 0 share all leading bits
+    index = spark.createDataFrame([(k,) for k in keys], "key long")
+    directory, bits = exact_dedup.double_directory(index, 8, 3)
+    own = {r.pointer: (r.bucket, r.depth) for r in directory.collect()}
+    assert bits == 60
+    inside = collections.Counter()
+    pointers = [(k % (1 << 64)) >> 64 - bits for k in keys]
+    for p in pointers:
+        bucket, depth = own[p]
+        assert bucket == p >> bits - depth << bits - depth
+        inside[bucket, depth] += 1
+    for (bucket, depth), n in inside.items():
+        assert n <= 8 or depth == bits
+        if depth:  # the bucket above was overfull
+            assert sum(p >> bits - depth + 1 == bucket >> bits - depth + 1 for p in pointers) > 8
+    batch = exact_dedup.pa.RecordBatch.from_pydict({"key": [1, 1, 1, 2], "text": [b"a", b"b", b"a", b"a"], "head": [5, 6, 2, 9], "copies": [1, 1, 3, 1]})
+    owned = [r for b in exact_dedup._own(iter([batch])) for r in b.to_pylist()]
     assert [(r["key"], r["head"], r["copies"], r["chain"]) for r in owned] == [(1, 2, 4, 2), (1, 6, 1, 2), (2, 9, 1, 1)]
 
 
@@ -230,6 +244,62 @@ def test_encoding(docs):
     assert {r.doc_id: r.text for r in bpe.decode_documents(encoded, bpe.byte_bpe_path()).collect()} == {r[0]: r[1] or "" for r in rows}
 
 
+def best_fit_by_hand(sizes, capacity):
+    free, bins = [], []
+    for x in sorted(sizes, reverse=True):
+        fits = [k for k, room in enumerate(free) if room >= x]
+        if fits:
+            k = min(fits, key=lambda k: free[k])
+        else:
+            k = len(free)
+            free.append(capacity)
+            bins.append([])
+        free[k] -= x
+        bins[k].append(x)
+    return sorted(map(tuple, bins))
+
+
+def test_best_fit_of_counts():
+    rnd = random.Random(7)
+    for _ in range(150):
+        capacity = rnd.randrange(1, 60)
+        sizes = [rnd.randrange(1, capacity + 1) for _ in range(rnd.randrange(80))]
+        placed, bins = packing.best_fit(collections.Counter(sizes), capacity)
+        got, seen = collections.defaultdict(list), collections.Counter()
+        for size, lo, hi, first, each, base in placed:
+            assert lo == seen[size]
+            seen[size] = hi
+            for k in range(hi - lo):
+                assert sum(got[first + k // each]) == base + k % each * size
+                got[first + k // each].append(size)
+        assert seen == collections.Counter(sizes)
+        assert sorted(sum(x) for x in got.values()) == sorted(sum(x) for x in best_fit_by_hand(sizes, capacity))  # which of equal bins takes an item is open
+        assert sorted(sum(x) for x in got.values()) == sorted(f for a, b, f in bins for _ in range(b - a))
+
+
+def test_no_bin_is_closed_early(spark):
+    """Bins that only fit with bins of other groups, through all levels, however many there are."""
+    n = 1200
+    rows = [(k, 0, 0, 1500 if k % 2 else 548, 0) for k in range(n)] + [(None, 0, 0, 700, 0)] * 6
+    items = spark.createDataFrame(rows, packing._PIECE)
+    for own in (7, 300):  # 7: every group has a few pieces, 173 groups, 4 levels
+        got = packing.pack(items, per_group=own).collect()
+        assert len(got) == n + 6
+        bins = collections.defaultdict(list)
+        for r in got:
+            bins[r.sequence_id].append((r.offset, r.length))
+        for own_rows in bins.values():
+            at = 0
+            for offset, length in sorted(own_rows):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        assert len(bins) <= 1.1 * (n // 2 + 3)  # groups of 7 pieces pair some small ones with each other
+    # a last level over pairs that fit exactly
+    halves = spark.createDataFrame([(k, 0, 0, 1200 if k < 300 else 848, 0) for k in range(600)], packing._PIECE)
+    assert packing.pack(halves, per_group=50).select("sequence_id").distinct().count() == 300
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
