@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 SPACES = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 #: A side of a join is broadcast up to so many rows (narrow rows of a few numbers); beyond that it is shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:

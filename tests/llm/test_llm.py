@@ -2,11 +2,14 @@
 
 import base64
 import collections
+import glob
+import gzip
 import hashlib
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -134,20 +137,79 @@ def test_shards(docs):
     assert all(sorted(r.slot for r in own) == list(range(len(own))) for own in by.values()) and set(by) <= set(range(16))
 
 
-def test_warc(spark):
-    magic = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
-    html = ["<p>a</p>", "", None, "<p>a</p>", "x\r\n\r\n" + magic, "\r\n", "ends\r\n\r\n", magic, "é" * 50] + [f"<i>{k}</i>" for k in range(40)]
-    pages = spark.createDataFrame([(k, f"http://h/{k}", h) for k, h in enumerate(html)], "page_id long, url string, html string").repartition(2)
+MAGIC = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+
+
+def warc_pages():
+    html = ["<p>a</p>", "", None, "<p>a</p>", "x\r\n\r\n" + MAGIC, "\r\n", "ends\r\n\r\n", MAGIC, "é" * 50, "\0 \U0001f600"] + [f"<i>{k}</i>" for k in range(40)]
+    rows = [(k, f"http://h/{k}", h) for k, h in enumerate(html)]
+    rows += [(-5, "u", "<p>a</p>"), (-7, None, "alone"), (1, "u", "<p>b</p>"), (3, "u", "<p>b</p>"), (3, "v", "<p>b</p>"), (1, "w", "<p>b</p>"), (None, "u", "<p>b</p>")]
+    return rows + [(None, "u", "no id"), (None, "v", "no id"), (0, "u", "B"), (1, "u", "A"), (1, "u", "B"), (9, "long", "l\r\n\r\n" * 30_000)]
+
+
+def warc_by_hand(rows):
+    groups = collections.defaultdict(list)
+    for page_id, _, h in rows:
+        groups[(h or "").encode()].append(page_id)
+    want = []
+    for raw, ids in groups.items():
+        ids.sort(key=lambda x: (x is None, x or 0))
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        want += [(str(x), len(raw), digest, "revisit" if k else "response", str(ids[0] if k else None)) for k, x in enumerate(ids)]
+    return sorted(want)
+
+
+def test_warc_query_with_odd_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 500)  # records that span ranges, and many in one
+    rows = warc_pages()
+    spark.createDataFrame([(*r, 1, "clash") for r in rows], "page_id long, url string, html string, at int, digest string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.op6_warc(spark, str(tmp_path)).collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in got) == warc_by_hand(rows)
+    unique = [r for k, r in enumerate(rows) if r[0] is not None and (r[0], r[2]) not in {(x[0], x[2]) for x in rows[:k]}]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [r for r in unique if "\0" not in (r[2] or "")])
+    sql = con.sql(warc.ORACLES["op6_warc"]).fetchall()
+    assert sorted((str(a), b, c, d, str(e)) for a, b, c, d, e in sql) == warc_by_hand([r for r in unique if "\0" not in (r[2] or "")])
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert warc.op6_warc(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_warc_archives(spark, monkeypatch):
+    """Other readers can use the files: a gzip member a record, the fields that the standard asks for, payloads whole."""
+    rows = warc_pages()
     path = shared_dir(spark)
-    warc.write_warc(pages, path)
-    got = {r.page_id: r for r in warc.read_warc(spark, path).collect()}
-    first = {}
-    for k, h in enumerate(html):
-        raw = (h or "").encode()
-        at = first.setdefault(raw, k)
-        assert got[k].record_type == ("response" if at == k else "revisit") and got[k].refers_to == (None if at == k else at)
-        assert bytes(got[k].payload) == (raw if at == k else b"") and got[k].digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
-    assert len(got) == len(html)
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, min_bytes=5, date="2024-01-02T03:04:05Z")
+    found, members = [], 0
+    for name in glob.glob(path.removeprefix("file://") + "/*.warc.gz"):
+        data, plain = open(name, "rb").read(), b""
+        while data:
+            own = zlib.decompressobj(31)
+            plain += own.decompress(data)
+            members += 1
+            assert own.eof
+            data = own.unused_data
+        while plain:
+            head, _, rest = plain.partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            n = int(fields["Content-Length"])
+            assert rest[n : n + 4] == b"\r\n\r\n" and fields["WARC-Date"] == "2024-01-02T03:04:05Z"
+            found.append((fields, rest[:n]))
+            plain = rest[n + 4 :]
+    assert len(found) == len(rows) and members == len(rows)
+    monkeypatch.setattr(warc, "_MEMBER", 1000)  # a larger record takes several members that read as one
+    batch = warc.pa.RecordBatch.from_pydict({"value": [b"a" * 1000, b"b" * 3500]})
+    parts = [x + b"\0" for b in warc._members(iter([batch])) for x in b.column(0).to_pylist()]
+    assert [gzip.decompress(x) for x in parts] == [b"a" * 1000, b"b" * 3500]
+    names = [f["WARC-Record-ID"] for f, _ in found]
+    assert len(set(names)) == len(names)
+    by_name = {f["WARC-Record-ID"]: (f, x) for f, x in found}
+    for f, _ in found:
+        if f["WARC-Type"] == "revisit":
+            first = by_name[f["WARC-Refers-To"]]
+            assert first[0]["WARC-Type"] == "response" and first[0]["WARC-Payload-Digest"] == f["WARC-Payload-Digest"] and f["WARC-Profile"] == warc.REVISIT
+    small = [(r.page_id, bytes(r.payload)) for r in warc.read_warc(spark, path).collect() if len(r.payload) < 5 and r.record_type == "response"]
+    assert sorted(map(str, small)) == sorted(str((i, (h or "").encode())) for i, _, h in rows if len((h or "").encode()) < 5)
 
 
 def test_languages(spark):
