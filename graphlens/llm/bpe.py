@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ _S = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Entries that a cache holds before it is emptied.
 CACHE = 500_000
+#: Bytes of a failing word from which on it is merged alone, over a heap.
+LONG_WORD = 256
 #: Characters of text that are encoded together.
 CHUNK = 1 << 20
 #: Odd factor and mask that fold two 64-bit numbers into a sort key; matches are compared in full.
@@ -230,6 +233,30 @@ class ByteBpe:
             rank[r, k], made[r, k] = self.rank_of(cells[r, k], cells[r, at[some]])
         return [c[c >= 0].tolist() for c in cells]
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """As merge(), for one long word: a heap of the pairs that can merge, by rank and place, in n log n steps."""
+        cells = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        n = len(cells)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = self.pairs.get
+        heap = [(p[0], k, p[1]) for k in range(n - 1) if (p := pair((cells[k], cells[k + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            rank, at, made = heapq.heappop(heap)
+            nxt = after[at]
+            if cells[at] < 0 or nxt >= n or pair((cells[at], cells[nxt])) != (rank, made):
+                continue  # a side has merged since
+            cells[at], cells[nxt] = made, -1
+            after[at] = nxt = after[nxt]
+            if nxt < n:
+                before[nxt] = at
+                if p := pair((made, cells[nxt])):
+                    heapq.heappush(heap, (p[0], at, p[1]))
+            last = before[at]
+            if last >= 0 and (p := pair((cells[last], made))):
+                heapq.heappush(heap, (p[0], last, p[1]))
+        return [c for c in cells if c >= 0]
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words, one word after the other, and how many each has."""
         raw = [w.encode() for w in words]
@@ -239,7 +266,8 @@ class ByteBpe:
         code, back = np.unique(flat[side] << 32 | flat[side + 1], return_inverse=True)
         fails = ~self.compatible(code >> 32, code & 0xFFFFFFFF)[back]
         failing = sorted(set(owner[side[fails]].tolist()), key=lambda k: len(raw[k]))
-        exact: dict[int, list[int]] = {}
+        exact: dict[int, list[int]] = {k: self.merge_long(raw[k]) for k in failing if len(raw[k]) > LONG_WORD}
+        failing = failing[: len(failing) - len(exact)]
         while failing:  # words of like length share a matrix
             top = 2 * len(raw[failing[0]]) + 8
             now = [k for k in failing[:4096] if len(raw[k]) <= top]
@@ -373,7 +401,11 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids, joined by commas), decoded_sha256 of each row, encoded and decoded in one pass."""
+    """doc_id, n_tokens, ids_sha256 (decimal ids, joined by commas), decoded_sha256 of each row, encoded and decoded in one pass.
+
+    A null text counts as empty and has no tokens; repeated rows and null ids each give their row; an empty table gives an
+    empty result. Texts of any length are encoded whole, a word of n bytes in n log n steps.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tokens = own_encoder(tokenizer), load(tokenizer).tokens

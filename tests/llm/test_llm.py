@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -361,6 +362,22 @@ def test_no_bin_is_closed_early(spark):
     assert packing.pack(halves, per_group=50).select("sequence_id").distinct().count() <= 330
 
 
+def test_long_words_merge_exactly(spark, empty):
+    from tokenizers import Tokenizer
+
+    tk, own, rnd = Tokenizer.from_file(bpe.byte_bpe_path()), bpe.load(bpe.byte_bpe_path()), random.Random(9)
+    texts = ["ab" * 3000, "a" * 5000, "xyx" * 700] + ["".join(rnd.choice(a) for _ in range(rnd.randrange(300, 4000))) for a in ("ab", "the", "aeiouxyz", "éüaßn") for _ in range(5)]
+    for t in texts:
+        want = tk.encode(t, add_special_tokens=False).ids
+        assert own.merge_long(t.encode()) == want == own.merge([t.encode()])[0]
+    began = time.time()
+    own.merge_long(b"ab" * 100_000)
+    assert time.time() - began < 5  # n log n; a scan for each merge takes over a minute
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in bpe.round_trip(rows, bpe.byte_bpe_path()).collect()} == {k: len(tk.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    assert bpe.round_trip(empty, bpe.byte_bpe_path()).count() == 0
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
