@@ -3,7 +3,8 @@
 A page that a rule fits is a labelled outcome (block: bad, allow: good). Bad rates are shrunk down the tree of names with
 beta-binomial priors: all pages -> suffix -> registered domain -> host. The prior of a level has the posterior mean of the
 level above and a strength that the spread of the level's own rates gives (method of moments). A page of no rule is
-blocked when the lower bound of its host's posterior bad rate is at least `max_bad`.
+blocked when the lower bound of its host's posterior bad rate is at least `times` the rate of all labelled pages, so a
+host needs evidence, its own or its domain's, that it is clearly worse than the rest.
 """
 
 from __future__ import annotations
@@ -11,10 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, narrow_side, table
+from .common import ascii_lower, let, materialize, narrow_side, table
 
 #: (verdict, rule); the longest rule that fits decides.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+#: Second labels that make a suffix together with a country's two letters.
+SECOND = "ac|co|com|edu|go|gov|ne|net|or|org"
+_IP = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*)$"
+_SUFFIX = rf"(?:^|\.)((?:{SECOND})\.[a-z]{{2}}|[^.]*)$"
+_DOMAIN = rf"(?:^|\.)([^.]*\.(?:{SECOND})\.[a-z]{{2}}|[^.]*\.[^.]*)$"
 
 
 def host_and_path(url: Column) -> Column:
@@ -38,6 +44,17 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def host_name(host: Column) -> Column:
+    """A host without user, port and closing dots."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), "(:[0-9]*|\\.+)+$", "")
+
+
+def suffix_and_domain(name: Column) -> tuple[Column, Column]:
+    """Suffix and registered domain of a host name; an address is both, and so is a name of one label."""
+    own = lambda p: F.when(name.rlike(_IP), name).otherwise(F.coalesce(F.nullif(F.regexp_extract(name, p, 1), F.lit("")), name))
+    return own(_SUFFIX), own(_DOMAIN)
+
+
 def _strength(level: DataFrame, parent_mean: str) -> float:
     """Prior strength from the spread of rates around their parents' means, between 1 and 1000."""
     m = F.col(parent_mean)
@@ -53,14 +70,15 @@ def _strength(level: DataFrame, parent_mean: str) -> float:
     return min(1000.0, max(1.0, within / between - 1)) if between > 0 else 1000.0
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """outcomes: host, labelled (boolean), bad (boolean) of each page -> one row per host: n, bad, mean, low.
+def host_reputation(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, float]:
+    """outcomes(host, labelled, bad) of each page -> (one row per host name: name, n, bad, mean, low; the rate of all pages).
 
-    Hosts without labelled pages take their domain's rate; an empty host counts under an empty domain and suffix.
+    Names without labelled pages take their domain's rate; an empty host counts under an empty domain and suffix.
     """
     labelled = F.col("labelled")
-    host = outcomes.groupBy("host").agg(F.count_if(labelled).alias("n"), F.count_if(labelled & F.col("bad")).alias("bad"))
-    host = host.withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)).withColumn("suffix", F.regexp_extract("host", r"[^.]*$", 0)).persist()
+    suffix, domain = suffix_and_domain(F.col("name"))
+    host = outcomes.groupBy(host_name(F.col("host")).alias("name")).agg(F.count_if(labelled).alias("n"), F.count_if(labelled & F.col("bad")).alias("bad"))
+    host = materialize(host.withColumns({"domain": domain, "suffix": suffix}))
     total = host.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     m0 = ((total["bad"] or 0) + 1) / ((total["n"] or 0) + 2)
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -74,29 +92,30 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     k = _strength(full, "domain_mean")
     a, b = F.col("bad") + k * F.col("domain_mean"), F.col("n") - F.col("bad") + k * (1 - F.col("domain_mean"))
     mean = a / (a + b)
-    return full.select("host", "n", "bad", mean.alias("mean"), (mean - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("low"))
+    return full.select("name", "n", "bad", mean.alias("mean"), (mean - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("low")), m0
 
 
-def filter_urls(pages: DataFrame, rules=RULES, max_bad: float = 0.5, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict, bad_low for each row of pages.
+def filter_urls(pages: DataFrame, rules=RULES, times: float = 1.5, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """page_id, host, path, rule, verdict, bad_low (the bound of the host's bad rate) for each row of pages.
 
     A null url, or one without ://, has an empty host and path; such pages share one reputation and no rule fits them.
-    Repeated rows each get their own result; null ids pass through. An empty table gives an empty result.
+    Repeated rows each get their own result; null ids pass through. An empty table gives an empty result; other columns of
+    pages are not looked at. Without labelled pages nothing is blocked.
     """
     parts = pages.select(F.col(id_col).alias("page_id"), host_and_path(F.coalesce(F.col(url_col), F.lit(""))).alias("p")).select("page_id", "p.host", "p.path")
     ruled = parts.withColumn("r", matching_rule(F.col("host"), F.col("path"), rules))
     verdict = F.col("r.verdict")
-    known = host_reputation(ruled.select("host", verdict.isNotNull().alias("labelled"), F.coalesce(verdict == "block", F.lit(False)).alias("bad")), z)
-    out = ruled.join(narrow_side(known.select("host", "low")), "host", "left")
-    method = F.when(F.col("low") >= max_bad, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(verdict, method).alias("verdict"))
+    known, average = host_reputation(ruled.select("host", verdict.isNotNull().alias("labelled"), F.coalesce(verdict == "block", F.lit(False)).alias("bad")), z)
+    out = ruled.withColumn("name", host_name(F.col("host"))).join(narrow_side(known.select("name", F.col("low").alias("bad_low"))), "name", "left")
+    method = F.when(F.col("bad_low") >= times * average, "block").otherwise("allow")
+    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(verdict, method).alias("verdict"), "bad_low")
 
 
 def op3_url_filter(spark, sf_dir):
-    return filter_urls(table(spark, sf_dir, "pages"))
+    return filter_urls(table(spark, sf_dir, "pages")).drop("bad_low")
 
 
-def _sql(rules=RULES, max_bad: float = 0.5, z: float = 1.645) -> str:
+def _sql(rules=RULES, times: float = 1.5, z: float = 1.645) -> str:
     ordered = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
 
     def case(value) -> str:
@@ -110,12 +129,12 @@ def _sql(rules=RULES, max_bad: float = 0.5, z: float = 1.645) -> str:
         return f"""SELECT CASE WHEN count(*) < 2 THEN 1000.0 WHEN (sum(n * power(bad / n - {mean}, 2)) - count(*) * (sum(n * {mean} * (1 - {mean})) / sum(n))) <= 0 THEN 1000.0
  ELSE least(1000.0, greatest(1.0, (sum(n * {mean} * (1 - {mean})) / sum(n)) / ((sum(n * power(bad / n - {mean}, 2)) - count(*) * (sum(n * {mean} * (1 - {mean})) / sum(n))) / sum(n)) - 1)) END::DOUBLE AS k FROM {level} WHERE n > 0"""
 
+    own = lambda p: f"CASE WHEN regexp_matches(name, '{_IP}') THEN name ELSE coalesce(nullif(regexp_extract(name, '{p}', 1), ''), name) END"
     return f"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-r AS (SELECT *, {case(lambda v, r: r)} AS rule, {case(lambda v, r: v)} AS ruled FROM p),
-h AS (SELECT host, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix,
- count(ruled)::DOUBLE AS n, count(*) FILTER (ruled = 'block')::DOUBLE AS bad FROM r GROUP BY host),
+r AS (SELECT *, {case(lambda v, r: r)} AS rule, {case(lambda v, r: v)} AS ruled, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*|\\.+)+$', '') AS name FROM p),
+h AS (SELECT name, {own(_DOMAIN)} AS domain, {own(_SUFFIX)} AS suffix, count(ruled)::DOUBLE AS n, count(*) FILTER (ruled = 'block')::DOUBLE AS bad FROM r GROUP BY name),
 m AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS m0 FROM h),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m0) AS m0 FROM h, m GROUP BY suffix),
 sk AS ({strength("s", "m0")}),
@@ -123,11 +142,11 @@ s2 AS (SELECT suffix, (bad + k * m0) / (n + k) AS sm FROM s, sk),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(sm) AS sm FROM h JOIN s2 USING (suffix) GROUP BY ALL),
 dk AS ({strength("d", "sm")}),
 d2 AS (SELECT domain, (bad + k * sm) / (n + k) AS dm FROM d, dk),
-f AS (SELECT host, n, bad, dm FROM h JOIN d2 USING (domain)),
+f AS (SELECT name, n, bad, dm FROM h JOIN d2 USING (domain)),
 fk AS ({strength("f", "dm")}),
-ab AS (SELECT host, bad + k * dm AS a, n - bad + k * (1 - dm) AS b FROM f, fk),
-lo AS (SELECT host, a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low FROM ab)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN low >= {max_bad} THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN lo USING (host)
+ab AS (SELECT name, bad + k * dm AS a, n - bad + k * (1 - dm) AS b FROM f, fk),
+lo AS (SELECT name, a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low FROM ab)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN low >= {times} * m0 THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN lo USING (name), m
 """.replace("\\\\", "\\")
 
 

@@ -123,6 +123,35 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_names_of_hosts(spark):
+    want = {
+        "a.b.example.co.uk": ("co.uk", "example.co.uk"), "example.com": ("com", "example.com"), "u:p@www.example.com:8080": ("com", "example.com"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"),
+        "[::1]:80": ("[::1]", "[::1]"), "localhost": ("localhost", "localhost"), "x.org.": ("org", "x.org"), "": ("", ""), "co.uk": ("co.uk", "co.uk"),
+    }
+    name = url_filter.host_name(F.col("host"))
+    got = spark.createDataFrame([(h,) for h in want], "host string").select("host", *(c.alias(n) for c, n in zip(url_filter.suffix_and_domain(name), "sd", strict=True))).collect()
+    assert {r.host: (r.s, r.d) for r in got} == want
+
+
+def test_reputation_blocks_a_bad_host(spark):
+    """A host that most labelled pages of are bad is blocked; so is a host without labels on a bad domain, and no other one."""
+    rows = [(f"http://bad.example.com/{'de' if k % 10 else 'fr'}/{k}", None) for k in range(60)] + [(f"http://good{k % 5}.fine.com/fr/{k}", None) for k in range(400)] + [(f"http://good{k % 5}.fine.com/de/{k}", None) for k in range(20)]
+    rows += [("http://bad.example.com:80/en/1", "block"), ("http://new.example.com/en/1", "block"), ("http://good1.fine.com/en", "allow"), ("http://new.fine.com/en", "allow"), ("http://other.net/en", "allow"), (None, "allow")] * 2
+    pages = spark.createDataFrame([(k if k % 7 else None, u, w, "clash") for k, (u, w) in enumerate(rows)], "page_id long, url string, want string, host string")
+    out = url_filter.filter_urls(pages).where("rule IS NULL").collect()
+    assert len(out) == 12 and all(r.bad_low is not None for r in out)
+    assert {(r.host, r.verdict) for r in out} == {(url_filter_host(u), w) for u, w in rows if w}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", [(k, u or "") for k, (u, _) in enumerate(rows)])
+    sql = con.sql(f"SELECT host, verdict FROM ({url_filter.ORACLES['op3_url_filter']}) WHERE rule IS NULL").fetchall()
+    assert sorted(sql) == sorted((r.host, r.verdict) for r in out)
+
+
+def url_filter_host(url):
+    return (url or "://").partition("://")[2].partition("/")[0]
+
+
 def test_flow_is_cheapest():
     flow = reshard.min_cost_flow([7, 1, 4], [4, 4, 4], lambda i, j: int(i != j))
     assert sum(f for (i, j), f in flow.items() if i != j) == 3
