@@ -1,9 +1,10 @@
 """Resharding that moves the fewest bytes: a minimum-cost flow from old shards to new capacities.
 
-The sizes of the old shards and the new capacities form a transport problem whose cost is the bytes that change shard. Its
-flows become cut points in each old shard's order of (text hash, id hash), so equal texts stay together unless a cut
-falls inside a large group of them. Rows larger than a small share of a shard are placed one by one first. Only
-shards that gain or lose rows are written anew; the rest are read where they are.
+The unit is a group of equal texts. Its home is the old shard that holds most of its bytes. The homes' bytes and the new
+capacities form a transport problem whose cost is the bytes that change shard. Large groups follow the flows of their home one
+by one, largest first; the flow is then solved again for the rest, whose flows become cut points in each home's order of
+(text hash, row hash), always between groups. Only a group of over half a shard is split, by rows, since no shard could
+take it within its share. Only shards that gain or lose rows are written anew; the rest are read where they are.
 """
 
 from __future__ import annotations
@@ -13,8 +14,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, narrow_side, shared_dir, table, text_of
 
-#: A row over capacity / HEAVY is placed alone; there are at most shards * HEAVY of them.
+#: A group over capacity / HEAVY is placed alone; there are at most shards * HEAVY of them.
 HEAVY = 64
+#: A group over this share of a shard is split.
+WHOLE = 0.5
+#: Bytes of a shard that one task writes, about.
+TASK_BYTES = 64 << 20
 #: Bits of the histogram in which cut points are looked up first.
 BUCKET_BITS = 12
 #: Steps into which a large group of equal texts can be cut.
@@ -74,37 +79,61 @@ def _bucket(h: Column) -> Column:
     return F.shiftright(h, 64 - BUCKET_BITS)
 
 
-def plan(rows: DataFrame, shards: int, olds: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int]], list[int]]:
-    """(segments, placed, touched) for rows(doc_id, size, h, v, old).
+def place_heavy(heavy: list[tuple[int, int]], flow: dict[tuple[int, int], int], room: list[int]) -> list[int]:
+    """The shards of heavy units (home, size), largest first: along a flow of its home that takes it whole, to stay if that is
+    one; else at home if there is room; else where most room is. room is used up."""
+    left, out = dict(flow), [0] * len(heavy)
+    for k in sorted(range(len(heavy)), key=lambda k: (-heavy[k][1], k)):
+        home, size = heavy[k]
+        fits = [(j == home, left[i, j], -j) for i, j in left if i == home and left[i, j] >= size and room[j] >= size]
+        if fits:
+            j = -max(fits)[2]
+        elif home < len(room) and room[home] >= size:
+            j = home
+        else:
+            j = max(range(len(room)), key=lambda j: (room[j], -j))
+        room[j] -= size
+        left[home, j] = left.get((home, j), 0) - size
+        out[k] = j
+    return out
+
+
+def plan(rows: DataFrame, shards: int) -> tuple[list[tuple[int, int, int, int]], DataFrame, DataFrame, DataFrame]:
+    """(segments, strays, units, split) for rows(size, h, v, old).
 
-    segments: (old, h, v, shard) - rows of that old shard up to (h, v), after the segment before, go to shard.
-    placed: (doc_id, old, shard) of heavy rows, at most shards * HEAVY. touched: shards that gain or lose rows.
+    segments: (home, h, v, shard) - rows of that home up to (h, v), after the segment before, go to shard. strays(h, old,
+    home): rows whose group has another home. units(h, put): heavy groups. split(h, v, old, put): heavy rows of groups that
+    are split. The last two have at most shards * HEAVY rows.
     """
-    total, spark = int(rows.agg(F.sum("size")).first()[0] or 0), rows.sparkSession
+    spark = rows.sparkSession
+    held = rows.groupBy("h", "old").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    groups = held.groupBy("h").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.max_by("old", F.struct("bytes", -F.col("old"))).alias("home"), F.collect_list("old").alias("olds"))
+    groups = materialize(groups)
+    total = int(groups.agg(F.sum("bytes")).first()[0] or 0)
     cap = capacities(total, shards)
-    room = list(cap)
     heavy_size = max(1, total // (shards * HEAVY))
-    heavy = (F.col("size") > heavy_size) & F.col("doc_id").isNotNull()
-    placed, touched = [], set()
-    for doc_id, old, size in sorted(((r[0], r[1], r[2]) for r in rows.where(heavy).groupBy("doc_id", "old").agg(F.sum("size")).collect()), key=lambda r: (-r[2], r[0])):
-        j = old if old < shards and room[old] >= size else max(range(shards), key=lambda j: (room[j], -j))
-        room[j] -= size
-        placed.append((doc_id, old, j))
-        if j != old:
-            touched |= {j, old}
-    light = rows.where(~heavy | heavy.isNull())
+    giant = (F.col("bytes") > max(1, int(WHOLE * total / shards))) & (F.col("n") > 1)
+    giants = [r[0] for r in groups.where(giant).select("h").collect()]  # at most shards / WHOLE
+    strays = materialize(groups.where((F.size("olds") > 1) & ~giant).select("h", F.explode("olds").alias("old"), "home").where("old != home"))
+    whole = groups.where((F.col("bytes") > heavy_size) & ~giant).select("h", "home", "bytes").collect()
+    parts = rows.where(F.col("h").isin(giants)) if giants else rows.limit(0)
+    own = parts.where(F.col("size") > heavy_size).groupBy("h", "v", "old").agg(F.sum("size").alias("bytes")).collect()
+    light = groups.where((F.col("bytes") <= heavy_size) & ~giant).select("home", "h", "bytes", F.lit(True).alias("whole"))
+    light = light.unionByName(parts.where(F.col("size") <= heavy_size).groupBy(F.col("old").alias("home"), "h").agg(F.sum("size").alias("bytes")).withColumn("whole", F.lit(False)))
     hist: dict[int, dict[int, int]] = {}
-    for old, b, size in light.groupBy("old", _bucket(F.col("h")).alias("b")).agg(F.sum("size")).collect():
-        hist.setdefault(old, {})[int(b)] = int(size)
-    supply = [sum(hist.get(i, {}).values()) for i in range(olds)]
-    demand = level(room, sum(supply))
-    flow = min_cost_flow(supply, demand, lambda i, j: int(i != j))
+    for home, b, size in light.groupBy("home", _bucket(F.col("h")).alias("b")).agg(F.sum("bytes")).collect():
+        hist.setdefault(home, {})[int(b)] = int(size)
+    heavy = [(r["home"], int(r["bytes"])) for r in whole] + [(r["old"], int(r["bytes"])) for r in own]
+    rest = [sum(hist.get(i, {}).values()) for i in range(shards)]
+    supply = [x + sum(size for home, size in heavy if home == i) for i, x in enumerate(rest)]
+    cost = lambda i, j: int(i != j)
+    room = list(cap)
+    put = place_heavy(heavy, min_cost_flow(supply, cap, cost), room)
+    flow = min_cost_flow(rest, level(room, sum(rest)), cost)
     cuts, order = [], {}
-    for i in range(olds):
+    for i in range(shards):
         ends = sorted((j for a, j in flow if a == i), key=lambda j: (j != i, j))
         order[i], at = ends, 0
-        if any(j != i for j in ends):
-            touched |= {i, *ends}
         for k, j in enumerate(ends[:-1]):
             at += flow[i, j]
             run = 0
@@ -115,25 +144,25 @@ def plan(rows: DataFrame, shards: int, olds: int) -> tuple[list[tuple[int, int,
                 run += hist[i][b]
     found = {}
     if cuts:
-        want = F.broadcast(spark.createDataFrame(cuts, "old int, b long, k int, rest long"))
-        near = light.withColumn("b", _bucket(F.col("h")).cast("long")).join(F.broadcast(want.select("old", "b").distinct()), ["old", "b"])
-        texts = near.groupBy("old", "b", "h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-        run = F.sum("bytes").over(Window.partitionBy("old", "b").orderBy("h"))
-        hit = texts.withColumn("run", run).join(want, ["old", "b"]).where("run >= rest AND run - bytes < rest")
+        want = F.broadcast(spark.createDataFrame(cuts, "home int, b long, k int, rest long"))
+        near = light.withColumn("b", _bucket(F.col("h")).cast("long")).join(F.broadcast(want.select("home", "b").distinct()), ["home", "b"])
+        run = F.sum("bytes").over(Window.partitionBy("home", "b").orderBy("h"))
+        hit = near.withColumn("run", run).join(want, ["home", "b"]).where("run >= rest AND run - bytes < rest")
         for r in hit.collect():
-            whole = r["n"] == 1 or r["bytes"] <= total // shards // 500
             share = (r["rest"] - r["run"] + r["bytes"]) / r["bytes"]
-            found[r["old"], r["k"]] = (r["h"], (STEPS if share > 0.5 else 0) if whole else round(share * STEPS))
+            found[r["home"], r["k"]] = (r["h"], (STEPS if share > 0.5 else 0) if r["whole"] else round(share * STEPS))
     segments = []
     for i, ends in order.items():
         for k, j in enumerate(ends):
             h, v = found.get((i, k), ((1 << 63) - 1, STEPS)) if k < len(ends) - 1 else ((1 << 63) - 1, STEPS)
             segments.append((i, h, v, j))
-    return segments, placed, sorted(touched)
+    units = spark.createDataFrame([(r["h"], j) for r, j in zip(whole, put, strict=False)], "h long, put int")
+    split = spark.createDataFrame([(r["h"], r["v"], r["old"], j) for r, j in zip(own, put[len(whole) :], strict=True)], "h long, v long, old int, part int")
+    return segments, strays, units, split
 
 
 def _target(segments) -> Column:
-    """The shard of a row (old, h, v) by its old shard's segments, in order."""
+    """The shard of a row (home, h, v) by its home's segments, in order."""
     by: dict[int, list] = {}
     for i, h, v, j in segments:
         by.setdefault(i, []).append((h, v, j))
@@ -142,7 +171,7 @@ def _target(segments) -> Column:
         own = F.lit(parts[-1][2])
         for h, v, j in reversed(parts[:-1]):
             own = F.when((F.col("h") < h) | ((F.col("h") == h) & (F.col("v") < v)), j).otherwise(own)
-        out = F.when(F.col("old") == i, own).otherwise(out)
+        out = F.when(F.col("home") == i, own).otherwise(out)
     return out
 
 
@@ -150,8 +179,9 @@ def reshard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
     """The rows of docs (doc_id, text) with their shard and old_shard; shards that change are rewritten in the shared folder.
 
     Old shards are the files of docs, in the order of their names, folded into at most `shards` of them; rows that come
-    from no file are old shard 0. Sizes of the new shards are near equal. A null text has size 1 and stays null; null ids
-    and repeated rows are placed like any other. An empty table gives an empty result. Other columns of docs are not looked at.
+    from no file are old shard 0. Sizes of the new shards are near equal, and equal texts share a shard unless they have over
+    half of its bytes. A null text has size 1 and stays null; it is a group with the empty ones. Null ids and repeated rows
+    are placed like any other. An empty table gives an empty result. Other columns of docs are not looked at.
     """
     spark = docs.sparkSession
     name = F.regexp_extract(F.input_file_name(), r"[^/]*$", 0)
@@ -159,29 +189,39 @@ def reshard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
     known = F.broadcast(spark.createDataFrame([(f, i * shards // len(files)) for i, f in enumerate(files)] or [("", 0)], "file string, old int"))
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), name.alias("file"))
     size = F.octet_length(text_of("text")).cast("long") + 1
-    full = kept.join(known, "file", "left").withColumn("old", F.coalesce("old", F.lit(0))).drop("file")
-    full = full.withColumns({"size": size, "h": F.xxhash64(text_of("text")), "v": F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(STEPS))})
-    rows = materialize(full.drop("text"))
-    segments, placed, touched = plan(rows, shards, shards)
-    heavy = F.broadcast(spark.createDataFrame(placed, "doc_id long, old int, put int").dropDuplicates(["doc_id", "old"]))
+    full = kept.withColumn("v", F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), F.lit(7)), F.lit(STEPS)))
+    full = full.join(known, "file", "left").withColumn("old", F.coalesce("old", F.lit(0))).drop("file")
+    full = full.withColumns({"size": size, "h": F.xxhash64(text_of("text"))})
+    rows = materialize(full.select("size", "h", "v", "old"))
+    segments, strays, units, split = plan(rows, shards)
+    strays, target = narrow_side(strays), _target(segments)
+
+    def placed(df: DataFrame) -> DataFrame:
+        df = df.join(strays, ["h", "old"], "left").withColumn("home", F.coalesce("home", F.col("old")))
+        df = df.join(F.broadcast(units), "h", "left").join(F.broadcast(split), ["h", "v", "old"], "left")
+        return df.withColumn("shard", F.coalesce("put", "part", target, F.col("old"))).withColumn("old_shard", F.col("old"))
+
+    moves = placed(rows).where("shard != old").groupBy("shard", "old").agg(F.count("*")).collect()
+    touched = sorted({x for r in moves for x in (r[0], r[1])})
     total = int(rows.agg(F.sum("size")).first()[0] or 0)
-    is_heavy = F.col("size") > max(1, total // (shards * HEAVY))
-    moved = full.join(heavy, ["doc_id", "old"], "left")
-    out = moved.select("doc_id", "text", F.coalesce(F.when(is_heavy, F.col("put")), _target(segments), F.col("old")).alias("shard"), F.col("old").alias("old_shard"))
-    changed = out.where(F.col("shard").isin(touched) | F.col("old_shard").isin(touched)) if touched else out.limit(0)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, parts // shards)))
+    out = placed(full).select("doc_id", "text", "shard", "old_shard")
+    if not touched:
+        return out
+    changed = F.col("shard").isin(touched) | F.col("old_shard").isin(touched)
+    salts = 1 + total // shards // TASK_BYTES
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * shards * salts)
     path = shared_dir(spark)
-    changed.withColumn("s", F.col("shard")).repartition(max(parts, shards), "shard", salt).write.option("compression", "zstd").partitionBy("s").parquet(path)
+    salted = out.where(changed).withColumn("s", F.col("shard")).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(max(salts, parts // shards))))
+    salted.repartition(parts, "shard", "salt").drop("salt").write.option("compression", "zstd").partitionBy("s").parquet(path)
     again = spark.read.schema(out.schema).parquet(path).select(out.columns)
-    same = out.where(~(F.col("shard").isin(touched) | F.col("old_shard").isin(touched))) if touched else out
-    return again.unionByName(same)
+    return again.unionByName(out.where(~changed))
 
 
 def with_slots(rows: DataFrame, rows_per_block: int = 20_000) -> DataFrame:
     """Adds slot, gapless from 0 in each shard: the rows of earlier blocks of the shard, then the place in the block."""
-    n = rows.count()
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(max(1, n // (16 * rows_per_block)))).cast("int"))
+    blocks = rows.groupBy("shard").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    block = F.pmod(F.monotonically_increasing_id(), F.lit(1 + blocks // rows_per_block)).cast("int")
+    blocked = materialize(rows.withColumn("block", block))  # rows of a block stay in it
     counts = blocked.groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("shard", "block", before.alias("start"))

@@ -158,6 +158,65 @@ def test_flow_is_cheapest():
     assert reshard.level([5, -3, 9], 11) == [4, 0, 7]
 
 
+def sharded(spark, rows, files, **more):
+    """The rows written as so many files, resharded; a column of them clashes with the operator's own."""
+    path = shared_dir(spark)
+    df = spark.createDataFrame([(*r, k % files, "clash") for k, r in enumerate(rows)], "doc_id long, text string, f int, shard string")
+    for k in range(files):
+        df.where(F.col("f") == k).drop("f").coalesce(1).write.mode("append").parquet(f"{path}/d{k}")
+    docs = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    return reshard.reshard(docs, **more).collect()
+
+
+def test_equal_texts_share_a_shard(spark):
+    rnd = random.Random(8)
+    texts = [words(rnd, rnd.randrange(5, 120)) for _ in range(400)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    for t in texts[:60]:  # groups over all files, some of them heavy
+        rows += [(len(rows), t) for _ in range(rnd.choice((1, 2, 5, 30)))]
+    rows += [(None, texts[0]), (None, None), (5, ""), (5, ""), (5, None)]
+    rows += [(len(rows), "hot") for _ in range(9000)]  # more than a shard: has to be split
+    rnd.shuffle(rows)
+    got = sharded(spark, rows, 8)
+    key = lambda x: (str(x[0]), str(x[1]))
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(rows, key=key)
+    where, size, group = collections.defaultdict(set), collections.Counter(), collections.Counter()
+    for r in got:
+        where[r.text or ""].add(r.shard)
+        size[r.shard] += len((r.text or "").encode()) + 1
+        group[r.text or ""] += len((r.text or "").encode()) + 1
+    mean = sum(size.values()) / 16
+    assert len(where["hot"]) > 1 and sum(n > 2 * mean / reshard.HEAVY for n in group.values()) > 5
+    assert all(len(where[t]) == 1 for t, n in group.items() if n <= mean / 2)
+    assert set(size) == set(range(16)) and max(size.values()) < 1.1 * mean and min(size.values()) > 0.9 * mean
+    assert sharded(spark, [], 1) == [] and {r.shard for r in sharded(spark, [(1, "a")], 1)} == {0}
+
+
+def test_moves_the_fewest_bytes(spark):
+    """Texts of one size and old shards of uneven ones: the bytes moved are what the old shards have over the new capacity."""
+    path = shared_dir(spark)
+    counts = [640, 0, 100, 60] + [0] * 12
+    for k, n in enumerate(counts):
+        if n:
+            spark.createDataFrame([(k * 1000 + j, f"{k:02d}-{j:05d}") for j in range(n)], "doc_id long, text string").coalesce(1).write.parquet(f"{path}/d{k}")
+    docs = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    names = sorted(f.rsplit("/", 1)[-1] for f in docs.inputFiles())
+    rows = reshard.reshard(docs, shards=4).collect()
+    held, size = collections.Counter(r.old_shard for r in rows), collections.Counter(r.shard for r in rows)
+    assert len(names) == 3 and set(size.values()) == {200}
+    assert sum(r.shard != r.old_shard for r in rows) == sum(max(0, n - 200) for n in held.values())
+    flow = reshard.min_cost_flow([held[k] for k in range(4)], [200] * 4, lambda i, j: int(i != j))
+    best = min(sum(abs(x) for x in (held[0] - 200, held[1] - 200, held[2] - 200, held[3] - 200)) // 2, 10**9)
+    assert sum(f for (i, j), f in flow.items() if i != j) == best
+
+
+def test_heavy_groups_follow_the_flow():
+    flow = {(0, 0): 100, (0, 1): 50, (2, 2): 30}
+    room = [100, 60, 40]
+    assert reshard.place_heavy([(0, 45), (0, 90), (2, 35)], flow, room) == [1, 0, 2]
+    assert room == [10, 15, 5]
+
+
 def test_shards(docs):
     rows = reshard.with_slots(reshard.reshard(docs).select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "shard")).collect()
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(r[0]) for r in corpus())
