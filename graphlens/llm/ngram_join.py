@@ -1,19 +1,24 @@
-"""Near duplicates: an exact Jaccard self-join on sets of word n-grams, by prefixes and tries, and its components.
-
-Documents of one and the same set (by a 128-bit hash) link to the first of them, which alone goes on. All n-grams have one global order: rare ones first, by a count sketch of fixed size over all documents, then by hash. Two
-sets that are similar enough share at least `ELL` of the first grams of each (fewer only if they are tiny), so documents
-meet by the grams of their prefixes. Pairs are made in two rounds. In the first each gram pairs its documents with the
-least of them only; pairs that share enough prefix grams are verified, and the links give components. In the second,
-documents of one gram that are still in different components pair up, which finds every link that the star missed and
-makes no pairs inside a group that is already joined. So groups of thousands of copies cost a pair for each copy.
-
-Pairs are verified in blocks: the candidates of one document are sorted in the global order, which lays them out as a
-trie; the walk carries the overlap of shared paths from one set to the next and leaves a path as soon as the grams that
-remain cannot reach the overlap that the sizes ask for.
+"""Near duplicates: an exact Jaccard self-join on sets of word n-grams, by prefix tries, and its components.
+
+Documents of one and the same set (by a 128-bit hash) link to the first of them, which alone goes on. All n-grams have one
+global order: rare ones first, by a count sketch of fixed size over all documents, then by hash. Grams are 58 bits of a hash
+with a frequency class; they are not compared as words. Two sets that are similar enough share at least `ELL` of the first
+grams of each (fewer only if they are tiny), so documents meet by the grams of their prefixes.
+
+Partners are found in two rounds. In the first each gram leads its documents to the least of them, its star, only, and the
+links to it give components. In the second the documents of a star that are still in different components meet: their prefixes
+are stored as tries, in the global order, and each document outside the star's component walks them. A node stands for all
+sets below it: a walk goes to the nodes that carry its grams, passes over a subtree whose sizes or remaining lengths can't
+reach the overlap, and counts what is left. So a group of thousands of copies costs a pair for each copy. Tries hold a bounded
+number of rows: a star's documents are dealt over size bands and chunks, and a walk goes to the chunks of fitting sizes.
+
+Candidates are verified on whole sets, in tries too: a walk carries the overlap of shared paths from one set to the next and
+skips a subtree as soon as the grams that remain cannot reach the overlap that the sizes below ask for.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +40,10 @@ _BLOCK = 4096
 _STEP = 64
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _ROWS = 1 << 16
+#: Prefix rows of a trie, on average at most.
+TRIE_ROWS = 1 << 14
+#: Size bands are a little wider than the ratio of two similar sets, so these are in neighbouring bands.
+BAND = math.log(4 / 3) * 1.0001
 
 
 class _WordHash(dict):
@@ -220,6 +229,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _PAIR = ["a", "b", "na", "nb", "k", "pa", "pb"]
+_INT = {"na", "nb", "pa", "pb"}
 
 
 def _combined(held: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -229,68 +239,128 @@ def _combined(held: list[list[np.ndarray]]) -> pa.RecordBatch:
     a, b, na, nb, p, q = (c[by] for c in (a, b, na, nb, p, q))
     start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     count = np.diff(np.r_[start, len(a)])
-    cols = [a[start], b[start], na[start], nb[start], count.astype(np.int64), np.minimum.reduceat(p, start), np.minimum.reduceat(q, start)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=_PAIR)
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by star and gram -> pairs of documents of one gram that are in different components and can be similar by size.
-
-    The grams that a group of documents shares mostly have one star, so they come together and their pairs are combined here.
-    """
-    rest = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int64)]
+    cols = [a[start], b[start], na[start], nb[start], count, np.minimum.reduceat(p, start), np.minimum.reduceat(q, start)]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32 if name in _INT else np.int64)) for name, c in zip(_PAIR, cols, strict=True)], names=_PAIR)
+
+
+class PrefixTrie:
+    """Prefixes of documents, sorted: a node is a gram at a depth with an interval of sets that share the path to it."""
+
+    def __init__(self, gram: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, comp: np.ndarray, base: np.ndarray):
+        """Rows sorted by document and place; base marks documents of the star's component."""
+        gram = gram.view(np.uint64)
+        start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        size = np.diff(np.r_[start, len(doc)])
+        big = gram.astype(">u8")
+        order = sorted(range(len(start)), key=lambda k: big[start[k] : start[k] + size[k]].tobytes())
+        start, size = start[order], size[order]
+        self.doc, self.n, self.comp, self.base = doc[start], n[start].astype(np.int64), comp[start], base[start]
+        sets, depths, ends, path, last = [], [], np.empty(len(gram), np.int64), np.empty(0, np.int64), gram[:0]
+        made = 0
+        for k in range(len(start)):
+            own = gram[start[k] : start[k] + size[k]]
+            m = min(len(own), len(last))
+            differs = np.flatnonzero(own[:m] != last[:m])
+            shared = int(differs[0]) if len(differs) else m
+            ends[path[shared:]] = k  # the nodes that this set leaves
+            new = np.arange(made, made + len(own) - shared)
+            sets.append(np.full(len(new), k))
+            depths.append(np.arange(shared, len(own)))
+            path, last, made = np.concatenate([path[:shared], new]), own, made + len(new)
+        ends[path] = len(start)
+        lo, depth = np.concatenate(sets), np.concatenate(depths)
+        node_gram = gram[start[lo] + depth]
+        by = np.argsort(node_gram, kind="stable")
+        lo, depth, self.gram = lo[by], depth[by], node_gram[by]
+        self.count = ends[:made][by] - lo
+        self.first = np.cumsum(self.count) - self.count
+        #: The sets below each node, and the node's place in each.
+        self.below = np.arange(self.count.sum()) - np.repeat(self.first - lo, self.count)
+        self.place = pos[start[self.below] + np.repeat(depth, self.count)].astype(np.int64)
+        sizes = self.n[self.below]
+        self.least, self.most, self.early = np.minimum.reduceat(sizes, self.first), np.maximum.reduceat(sizes, self.first), np.minimum.reduceat(self.place, self.first)
+
+    def walk(self, gram, doc, pos, n, comp) -> Iterator[list[np.ndarray]]:
+        """Rows of walking documents -> a, b, na, nb, place in a, place in b of each gram that a walker shares with a set it may link to."""
+        gram, n, pos = gram.view(np.uint64), n.astype(np.int64), pos.astype(np.int64)
+        lo, hi = np.searchsorted(self.gram, gram), np.searchsorted(self.gram, gram, "right")
+        row = np.repeat(np.arange(len(gram)), hi - lo)
+        node = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - hi, hi - lo)
+        na = n[row]
+        least, most = np.maximum(self.least[node], -(-3 * na // 4)), np.minimum(self.most[node], 4 * na // 3)
+        fits = (least <= most) & (pos[row] < na + ELL - least_overlap(na, least)) & (self.early[node] < most + ELL - least_overlap(na, most))
+        row, node = row[fits], node[fits]
+        ends = np.cumsum(self.count[node])
+        at = 0
+        while at < len(row):  # some subtrees at a time
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 16 * _ROWS, "right")))
+            count = self.count[node[at:to]]
+            r = np.repeat(row[at:to], count)
+            k = np.arange(len(r)) - np.repeat(np.cumsum(count) - count - self.first[node[at:to]], count)
+            s, q = self.below[k], self.place[k]
+            na, nb = n[r], self.n[s]
+            room = ELL - least_overlap(na, nb)
+            ok = (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (pos[r] < na + room) & (q < nb + room) & (comp[r] != self.comp[s]) & (self.base[s] | (doc[r] < self.doc[s]))
+            r, s, q = r[ok], s[ok], q[ok]
+            if len(r):
+                swap = doc[r] > self.doc[s]
+                pair = lambda x, y: [np.where(swap, y, x), np.where(swap, x, y)]  # noqa: B023, E731
+                yield [*pair(doc[r], self.doc[s]), *pair(n[r], self.n[s]), *pair(pos[r], q)]
+            at = to
+
+
+def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (star, band, chunk, walks, gram, doc, pos, n, comp, base), sorted: of each block the trie's rows, then the walkers'."""
+    at, rows, trie = None, [], None
     held: list[list[np.ndarray]] = []
     size = 0
 
-    def of(gram, doc, pos, n, comp):
-        # all complete grams of a batch at once: pair each row with the next 1, 2, ... rows of its gram in the order of size
-        by = np.lexsort((n, gram))
-        gram, doc, pos, n, comp = (x[by] for x in (gram, doc, pos, n, comp))
-        start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        count = np.diff(np.r_[start, len(gram)])
-        use = np.repeat(np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start), count)
-        gram, doc, pos, n, comp = (x[use] for x in (gram, doc, pos, n, comp))
-        live, gap = np.arange(len(gram)), 0
-        while len(live):
-            gap += 1
-            live = live[live + gap < len(gram)]
-            other = live + gap
-            fits = (gram[live] == gram[other]) & (3 * n[other].astype(np.int64) <= 4 * n[live].astype(np.int64))
-            live, other = live[fits], other[fits]  # beyond the first that doesn't fit, none does
-            # a pair's own prefixes are shorter than those of its sizes alone
-            room = ELL - least_overlap(n[live].astype(np.int64), n[other].astype(np.int64))
-            ok = (comp[live] != comp[other]) & (doc[live] != doc[other]) & (pos[live] < n[live] + room) & (pos[other] < n[other] + room)
-            a, b = live[ok], other[ok]
-            if len(a):
-                swap = doc[a] > doc[b]
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                yield [doc[a], doc[b], n[a], n[b], pos[a], pos[b]]
-
-    def take(cols):
-        nonlocal size
-        for pairs in of(*cols):
-            held.append(pairs)
-            size += len(pairs[0])
-            if size > 16 * _ROWS:
-                yield _combined(held)
-                held.clear()
-                size = 0
-
     for batch in batches:
-        cols = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True)]
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if not len(cols[0]):
             continue
-        other = np.flatnonzero(cols[0] != cols[0][-1])
-        last = other[-1] + 1 if len(other) else 0  # the last gram may go on
-        rest = [c[last:] for c in cols]
-        if last:
-            yield from take([c[:last] for c in cols])
-    if len(rest[0]):
-        yield from take(rest)
+        cuts = np.flatnonzero(np.r_[True, *[np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)]])
+        for lo, hi in zip(cuts, np.r_[cuts[1:], len(cols[0])], strict=True):
+            key, walks = tuple(c[lo] for c in cols[:3]), cols[3][lo]
+            if key != at:
+                at, rows, trie = key, [], None
+            own = [c[lo:hi] for c in cols[4:]]
+            if not walks:
+                rows.append(own)
+                continue
+            if trie is None:
+                if not rows:
+                    continue
+                trie, rows = PrefixTrie(*(np.concatenate(c) for c in zip(*rows, strict=True))), []
+            for pairs in trie.walk(*own[:5]):
+                held.append(pairs)
+                size += len(pairs[0])
+                if size > 16 * _ROWS:
+                    yield _combined(held)
+                    held.clear()
+                    size = 0
     if held:
         yield _combined(held)
 
 
+def meetings(joined: DataFrame, parts: int) -> DataFrame:
+    """joined(gram, doc, pos, n, comp, star) -> pairs(a, b, na, nb, k, pa, pb) that share k grams of their prefixes and are in
+    different components; pa and pb are the first places of these."""
+    joined = joined.withColumn("band", F.floor(F.log("n") / BAND).cast("int"))
+    stars = joined.groupBy("star").agg(F.max(F.when(F.col("doc") == F.col("star"), F.col("comp"))).alias("own"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    stars = materialize(stars.select("star", "own"))
+    rows = materialize(joined.join(narrow_side(stars), "star").withColumn("base", F.col("comp") == F.col("own")))
+    blocks = rows.groupBy("star", "band").agg(F.ceil(F.count("*") / TRIE_ROWS).cast("int").alias("chunks"))
+    blocks = narrow_side(materialize(blocks))
+    cols = ["star", "band", "chunk", "walks", "gram", "doc", "pos", "n", "comp", "base"]
+    stored = rows.join(blocks, ["star", "band"]).withColumns({"chunk": F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"), "walks": F.lit(False)})
+    near = rows.where("NOT base").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    near = near.join(blocks, ["star", "band"]).withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "walks": F.lit(True)})
+    both = stored.select(cols).unionByName(near.select(cols)).repartition(parts, "star", "band", "chunk")
+    found = both.sortWithinPartitions("star", "band", "chunk", "walks", "doc", "pos").mapInArrow(_walks, "a long, b long, na int, nb int, k long, pa int, pb int")
+    return found.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
+
+
 # -- verification -----------------------------------------------------------
 
 
@@ -300,19 +370,22 @@ class Trie:
     def __init__(self, sets: list[np.ndarray]):
         self.order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
         self.sets = [sets[k] for k in self.order]
-        self.shared = [0]
+        self.sizes = np.array([len(x) for x in self.sets], np.int64)
+        shared = [0]
         for x, y in zip(self.sets, self.sets[1:], strict=False):
             m = min(len(x), len(y))
             differs = np.flatnonzero(x[:m] != y[:m])
-            self.shared.append(int(differs[0]) if len(differs) else m)
+            shared.append(int(differs[0]) if len(differs) else m)
+        self.shared = np.array(shared, np.int64)
 
     def overlapping(self, probe: np.ndarray) -> list[int]:
         """Numbers of the sets that are similar to the probe."""
-        found, a = [], len(probe)
+        found, a, k = [], len(probe), 0
         run = np.zeros(1, np.int64)  # overlaps of the last path's first 0, 1, ... grams, as far as it was walked
-        for k, own in enumerate(self.sets):
+        while k < len(self.sets):
+            own = self.sets[k]
             b, need = len(own), int(least_overlap(a, len(own)))
-            run = run[: min(self.shared[k], len(run) - 1) + 1]
+            run = run[: min(int(self.shared[k]), len(run) - 1) + 1]
             while (depth := len(run) - 1) < b:
                 seen = int(np.searchsorted(probe, own[depth]))
                 if run[-1] + min(b - depth, a - seen) < need:
@@ -323,6 +396,16 @@ class Trie:
             else:
                 if similar(a, b, int(run[-1])):
                     found.append(self.order[k])
+                k += 1
+                continue
+            # no set below this node can reach its overlap, from the largest to the smallest: on behind them
+            leaves = np.flatnonzero(self.shared[k + 1 :] <= depth)
+            end = k + 1 + (int(leaves[0]) if len(leaves) else len(self.sets) - k - 1)
+            below = self.sizes[k + 1 : end]
+            if len(below) and run[-1] + min(int(below.max()) - depth, a - seen) < least_overlap(a, int(below.min())):
+                k = end
+            else:
+                k += 1
         return found
 
 
@@ -418,9 +501,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links)
 
     joined = postings.join(narrow_side(found), "doc", "left").select("gram", "doc", "pos", "n", F.coalesce("component", "doc").alias("comp"), "star")
-    by_star = joined.repartition(parts, "star").sortWithinPartitions("star", "gram").select("gram", "doc", "pos", "n", "comp")
-    crossing = by_star.mapInArrow(_pairs, "a long, b long, na int, nb int, k long, pa int, pb int")
-    crossing = crossing.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
+    crossing = meetings(joined, parts)
     reach = 1 + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
     crossing = crossing.where((F.col("k") >= F.least(F.lit(ELL), need)) & (reach >= need)).select("a", "b", "nb")
     more = verified(crossing, texts, shared, parts)

@@ -336,31 +336,88 @@ def test_letter_probabilities_sum_to_one():
     assert sum(np.exp(m.letters(np.array([context | np.uint64(c)]))[0, 0]) for c in known) == pytest.approx(1, abs=0.06)
 
 
-def test_near_duplicates(docs, empty):
+def components_by_hand(rows):
     sets = {}
-    for doc_id, t, *_ in corpus():
+    for doc_id, t, *_ in rows:
         w = (t or "").encode().lower().split()
         sets[doc_id] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
     ids = [k for k in sets if k is not None]
     comp = {k: k for k in ids}
-    for _ in ids:
-        for a in ids:
-            for b in ids:
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                    comp[a] = comp[b] = min(comp[a], comp[b])
+
+    def top(k):
+        while comp[k] != k:
+            k = comp[k]
+        return k
+
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                comp[max(x, y)] = min(x, y)
+    return {k: (len(sets[k]), top(k)) for k in ids}
+
+
+def test_near_duplicates(docs, empty):
+    want = components_by_hand(corpus())
     got = {r.doc_id: r for r in ngram_join.near_duplicates(docs).collect()}
-    assert {k: (len(sets[k]), comp[k]) for k in ids} == {k: (got[k].n_shingles, got[k].component_id) for k in ids}
+    assert want == {k: (got[k].n_shingles, got[k].component_id) for k in want}
     assert got[None].component_id is None
     assert ngram_join.near_duplicates(empty).count() == 0
     kept = ngram_join.keep_one(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {k for k in ids if comp[k] == k} | {None}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {k for k in want if want[k][1] == k} | {None}
+
+
+def test_links_that_no_star_has(spark, monkeypatch):
+    """Windows of one long text: neighbours link, far ones only share grams; tries are small, so that blocks and bands matter."""
+    monkeypatch.setattr(ngram_join, "TRIE_ROWS", 40)
+    rnd = random.Random(6)
+    rows = []
+    for _ in range(4):
+        long = words(rnd, 500).split()
+        for k in range(0, 400, 5):
+            rows.append((rnd.randrange(10**6), " ".join(long[k : k + rnd.choice((30, 40, 60, 64, 90))])))
+        shared = " ".join(long[:60])  # a passage that many different texts share
+        rows += [(rnd.randrange(10**6), words(rnd, rnd.randrange(5, 60)) + " " + shared + " " + words(rnd, rnd.randrange(5, 60))) for _ in range(25)]
+        rows += [(rnd.randrange(10**6), shared + " " + words(rnd, 3)) for _ in range(10)]
+    rows = list({r[0]: r for r in rows}.values())
+    want = components_by_hand(rows)
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len({c for _, c in want.values()}) > 100 and max(collections.Counter(c for _, c in want.values()).values()) > 10
+
+
+def test_prefix_trie_walk():
+    rnd = np.random.default_rng(2)
+    for _ in range(20):
+        n = rnd.integers(10, 60, 60)
+        sets = [np.sort(rnd.choice(np.arange(rnd.choice((70, 200))), k, replace=False)) for k in n]
+        comp, base = rnd.integers(0, 3, 60), rnd.random(60) < 0.5
+
+        def rows(ids):
+            own = [(int(x), k, place, int(n[k]), int(comp[k]), bool(base[k])) for k in ids for place, x in enumerate(sets[k][: ngram_join.prefix_size(int(n[k]))])]  # noqa: B023
+            return [np.array(c, t) for c, t in zip(zip(*own, strict=True), (np.int64, np.int64, np.int32, np.int32, np.int64, bool), strict=True)]
+
+        trie = ngram_join.PrefixTrie(*rows(range(60)))
+        got = sorted(x for part in trie.walk(*rows(range(30))[:5]) for x in zip(*(c.tolist() for c in part), strict=True))
+        want = []
+        for a in range(30):
+            for b in range(60):
+                need = int(ngram_join.least_overlap(int(n[a]), int(n[b])))
+                if comp[a] != comp[b] and (base[b] or a < b) and 4 * min(n[a], n[b]) >= 3 * max(n[a], n[b]):
+                    for x in set(sets[a][: n[a] + ngram_join.ELL - need]) & set(sets[b][: n[b] + ngram_join.ELL - need]):
+                        p, q = int(np.searchsorted(sets[a], x)), int(np.searchsorted(sets[b], x))
+                        if p < ngram_join.prefix_size(int(n[a])) and q < ngram_join.prefix_size(int(n[b])):
+                            want.append((a, b, int(n[a]), int(n[b]), p, q) if a < b else (b, a, int(n[b]), int(n[a]), q, p))
+        assert got == sorted(want)
 
 
 def test_trie_walk():
     rnd = np.random.default_rng(1)
     sets = [np.unique(rnd.integers(0, 60, rnd.integers(1, 50))).astype(np.uint64) for _ in range(80)]
+    head = np.arange(100, 130, dtype=np.uint64)  # sets that share a path and differ behind it
+    sets += [np.concatenate([head[:k], 1000 + np.unique(rnd.integers(0, 90, rnd.integers(1, 30))).astype(np.uint64)]) for k in rnd.integers(5, 30, 80)]
     trie = ngram_join.Trie(sets)
-    for p in sets[:20]:
+    for p in sets[:20] + sets[80:110]:
         assert sorted(trie.overlapping(p)) == [k for k, s in enumerate(sets) if 100 * len(np.intersect1d(p, s)) >= 75 * len(np.union1d(p, s))]
 
 
