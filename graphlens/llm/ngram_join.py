@@ -523,4 +523,15 @@ def op7_ngram_join(spark, sf_dir):
 
 
 QUERIES = {"op7_ngram_join": op7_ngram_join}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n FROM s), u AS (SELECT doc_id, unnest(g) AS g FROM s),
+k AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM k JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.other)
+SELECT r.doc_id, any_value(n.n) AS n_shingles, min(r.other) AS component_id FROM r JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+""",
+}
