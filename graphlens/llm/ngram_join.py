@@ -10,7 +10,8 @@ links to it give components. In the second the documents of a star that are stil
 are stored as tries, in the global order, and each document outside the star's component walks them. A node stands for all
 sets below it: a walk goes to the nodes that carry its grams, passes over a subtree whose sizes or remaining lengths can't
 reach the overlap, and counts what is left. So a group of thousands of copies costs a pair for each copy. Tries hold a bounded
-number of rows: a star's documents are dealt over size bands and chunks, and a walk goes to the chunks of fitting sizes.
+number of rows: a star's documents are dealt over size bands and chunks, the walkers over parts, and each part meets the chunks
+of fitting sizes.
 
 Candidates are verified on whole sets, in tries too: a walk carries the overlap of shared paths from one set to the next and
 skips a subtree as soon as the grams that remain cannot reach the overlap that the sizes below ask for.
@@ -40,8 +41,8 @@ _BLOCK = 4096
 _STEP = 64
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _ROWS = 1 << 16
-#: Prefix rows of a trie, on average at most.
-TRIE_ROWS = 1 << 14
+#: Prefix rows of a trie, and of the documents that walk it in one task, on average at most.
+TRIE_ROWS = 1 << 12
 #: Size bands are a little wider than the ratio of two similar sets, so these are in neighbouring bands.
 BAND = math.log(4 / 3) * 1.0001
 
@@ -310,7 +311,7 @@ class PrefixTrie:
 
 
 def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (star, band, chunk, walks, gram, doc, pos, n, comp, base), sorted: of each block the trie's rows, then the walkers'."""
+    """Rows (star, band, chunk, part, walks, gram, doc, pos, n, comp, base), sorted: of each block the trie's rows, then the walkers'."""
     at, rows, trie = None, [], None
     held: list[list[np.ndarray]] = []
     size = 0
@@ -319,12 +320,12 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if not len(cols[0]):
             continue
-        cuts = np.flatnonzero(np.r_[True, *[np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)]])
+        cuts = np.flatnonzero(np.r_[True, *[np.any([c[1:] != c[:-1] for c in cols[:5]], axis=0)]])
         for lo, hi in zip(cuts, np.r_[cuts[1:], len(cols[0])], strict=True):
-            key, walks = tuple(c[lo] for c in cols[:3]), cols[3][lo]
+            key, walks = tuple(c[lo] for c in cols[:4]), cols[4][lo]
             if key != at:
                 at, rows, trie = key, [], None
-            own = [c[lo:hi] for c in cols[4:]]
+            own = [c[lo:hi] for c in cols[5:]]
             if not walks:
                 rows.append(own)
                 continue
@@ -350,14 +351,16 @@ def meetings(joined: DataFrame, parts: int) -> DataFrame:
     stars = joined.groupBy("star").agg(F.max(F.when(F.col("doc") == F.col("star"), F.col("comp"))).alias("own"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
     stars = materialize(stars.select("star", "own"))
     rows = materialize(joined.join(narrow_side(stars), "star").withColumn("base", F.col("comp") == F.col("own")))
-    blocks = rows.groupBy("star", "band").agg(F.ceil(F.count("*") / TRIE_ROWS).cast("int").alias("chunks"))
-    blocks = narrow_side(materialize(blocks))
-    cols = ["star", "band", "chunk", "walks", "gram", "doc", "pos", "n", "comp", "base"]
-    stored = rows.join(blocks, ["star", "band"]).withColumns({"chunk": F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"), "walks": F.lit(False)})
     near = rows.where("NOT base").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    near = near.join(blocks, ["star", "band"]).withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "walks": F.lit(True)})
-    both = stored.select(cols).unionByName(near.select(cols)).repartition(parts, "star", "band", "chunk")
-    found = both.sortWithinPartitions("star", "band", "chunk", "walks", "doc", "pos").mapInArrow(_walks, "a long, b long, na int, nb int, k long, pa int, pb int")
+    some = lambda df, name: df.groupBy("star", "band").agg(F.ceil(F.count("*") / TRIE_ROWS).cast("int").alias(name))
+    blocks = narrow_side(materialize(some(rows, "chunks").join(some(near, "parts"), ["star", "band"])))
+    deal = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["star", "band", "chunk", "part", "walks", "gram", "doc", "pos", "n", "comp", "base"]
+    stored = rows.join(blocks, ["star", "band"]).withColumns({"chunk": deal("chunks"), "part": every("parts"), "walks": F.lit(False)})
+    near = near.join(blocks, ["star", "band"]).withColumns({"chunk": every("chunks"), "part": deal("parts"), "walks": F.lit(True)})
+    both = stored.select(cols).unionByName(near.select(cols)).repartition(parts, "star", "band", "chunk", "part")
+    found = both.sortWithinPartitions("star", "band", "chunk", "part", "walks", "doc", "pos").mapInArrow(_walks, "a long, b long, na int, nb int, k long, pa int, pb int")
     return found.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
 
 
