@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import EDGE_WEIGHTS, EXTENSIONS
+from ..schemas import CLASS_HINTS, DECLARATION_ENDS, EDGE_WEIGHTS, EXTENSIONS, FUNCTION_HINTS, NO_SYMBOLS
 
 
 def saturate(x: Column, k: float) -> Column:
@@ -111,3 +112,33 @@ def identifiers(code: Column, keywords) -> Column:
     """Distinct identifiers of more than one letter that are no keywords (ASCII)."""
     found = F.regexp_extract_all(code, F.lit("[A-Za-z0-9_]+"), F.lit(0))
     return F.filter(F.array_distinct(found), lambda x: (F.length(x) > 1) & (F.substring(x, 1, 1).rlike("[A-Za-z_]")) & ~x.isin(list(keywords)))
+
+
+def node_class(node_type: Column) -> Column:
+    """function or class for a parser's node type that declares a symbol, else null."""
+    low = F.lower(node_type)
+    has = lambda hints: reduce(lambda a, b: a | b, (F.contains(low, F.lit(h)) for h in hints))
+    declares = reduce(lambda a, b: a | b, (node_type.endswith(e) for e in DECLARATION_ENDS))
+    kind = F.when(has(FUNCTION_HINTS), "function").when(has(CLASS_HINTS), "class").otherwise("function")
+    return F.when(declares & ~node_type.isin(NO_SYMBOLS), kind)
+
+
+def symbol_kind(kind: Column, of_changes: bool = False) -> Column:
+    """A symbol's node kind; unknown kinds are functions. A change's symbols may be modules and files, in any case of letters."""
+    known = ["function", "method", "class", "type", "constant"] + (["module", "file"] if of_changes else [])
+    kind = F.lower(kind) if of_changes else kind
+    return F.when(kind.isin(known), kind).otherwise("function")
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Half to even, as reports have it: quality with 4 digits, catalogues with 3."""
+    return F.bround(x, digits)
+
+
+def map_to_json(x: Column) -> Column:
+    """A map as JSON text; an empty or null map is null."""
+    return F.when(F.size(x) > 0, F.to_json(x))
+
+
+def map_from_json(x: Column) -> Column:
+    return F.coalesce(F.from_json(x, "map<string,string>"), F.create_map().cast("map<string,string>"))

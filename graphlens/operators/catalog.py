@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import detect_language
 from ..schemas import FRAMEWORKS
+from ..sources.shared import materialize
 from .graph import cross_repo_edges
 
 
@@ -14,6 +15,7 @@ def dependency_map(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """repo, direction (out or in), other, kind, cnt of cross-repository edges."""
     e = cross_repo_edges(nodes, edges)
     out = e.groupBy(F.col("source_repo").alias("repo"), F.col("target_repo").alias("other"), "kind").agg(F.count("*").alias("cnt")).withColumn("direction", F.lit("out"))
+    out = materialize(out)  # a row for each pair of repositories and kind
     into = out.select(F.col("other").alias("repo"), F.col("repo").alias("other"), "kind", "cnt", F.lit("in").alias("direction"))
     return out.unionByName(into)
 
@@ -42,6 +44,32 @@ def owners(commits: DataFrame, last: int = 200) -> DataFrame:
     return n.groupBy("repo").agg(F.min_by("author", F.struct(-F.col("n"), "author")).alias("author"), F.max("n").alias("commits")).select("repo", F.concat(F.lit("user:"), F.col("author")).alias("owner"), "commits")
 
 
+def every_owner(repos: DataFrame, commits: DataFrame, last: int = 200) -> DataFrame:
+    """repos(repo) -> repo, owner; `unknown` for a repository without commits."""
+    recent = commits.withColumn("rn", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("committed_at"), F.desc("hash")))).where(F.col("rn") <= last)
+    n = recent.groupBy("repo", "author").agg(F.count("*").alias("n")).groupBy("repo").agg(F.min_by("author", F.struct(-F.col("n"), "author")).alias("author"))
+    return repos.select("repo").distinct().join(n, "repo", "left").select("repo", F.coalesce(F.concat(F.lit("user:"), F.col("author")), F.lit("unknown")).alias("owner"))
+
+
+def kinds_by_repository(nodes: DataFrame) -> DataFrame:
+    """repo, counts: a map from each node kind to its number."""
+    n = nodes.groupBy("repo", "kind").agg(F.count("*").alias("n"))
+    return n.groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("counts"))
+
+
+def quality_by_repository(nodes: DataFrame, scores: DataFrame) -> DataFrame:
+    """repo, mean and numbers of good (0.7 and more), moderate (0.4 and more) and poor nodes; the repository's own node counts."""
+    q = nodes.select("id", "repo").join(scores.select("id", "quality"), "id")
+    good, fair = F.col("quality") >= 0.7, F.col("quality") >= 0.4
+    return q.groupBy("repo").agg(F.avg("quality").alias("mean"), F.count_if(good).alias("good"), F.count_if(fair & ~good).alias("moderate"), F.count_if(~fair).alias("poor"))
+
+
+def index_report(changes: DataFrame) -> DataFrame:
+    """changes(repo, status) of an incremental run -> repo, added, modified, deleted, renamed."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return changes.groupBy("repo").agg(n("added"), n("modified"), n("deleted"), n("renamed"))
+
+
 def languages(files: DataFrame) -> DataFrame:
     return files.withColumn("language", detect_language(F.col("path"))).where("language != ''").groupBy("repo", "language").agg(F.count("*").alias("cnt"))
 

@@ -1,6 +1,7 @@
 """Lookups, traversals and aggregates over nodes and edges.
 
-Traversals expand a frontier by joins, one hop a round, and anti-join what was seen; hops are few and bounded by the caller.
+Traversals expand a frontier by joins, one hop a round, and anti-join what was seen. Each hop is written to the shared folder,
+so its plan holds one hop only; without a bound a traversal ends when nothing new is reached.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import edge_weight
-from ..schemas import CROSS_REPO_KINDS, DEPENDENCY_KINDS
+from ..schemas import CROSS_REPO_KINDS, DEPENDENCY_KINDS, SYMBOL_KINDS
+from ..sources.shared import materialize
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -74,23 +76,28 @@ def coupling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("instability", F.when(F.col("ca") + F.col("ce") > 0, F.col("ce") / (F.col("ca") + F.col("ce"))).otherwise(F.lit(0.0)))
 
 
-def _hops(seeds: DataFrame, step, max_hops: int) -> DataFrame:
+def _hops(seeds: DataFrame, step, max_hops: int | None = None) -> DataFrame:
     """seeds(id) -> id, hop of everything reached, seeds at hop 0; step(frontier, hop) -> ids."""
-    reached = seeds.select("id").distinct().withColumn("hop", F.lit(0))
-    frontier, found = reached, reached
-    for hop in range(1, max_hops + 1):
-        frontier = step(frontier, hop).select("id").distinct().join(found.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
+    frontier = materialize(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
+    found, hop = frontier, 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
+        frontier = materialize(step(frontier, hop).select("id").distinct().join(found.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
+        if frontier.isEmpty():
+            break
         found = found.unionByName(frontier)
     return found
 
 
-def descendants(edges: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFrame:
-    """Containment closure: root, id, depth, by joining each root's level with its children."""
-    down = edges.where(F.col("kind") == "contains").select(F.col("source").alias("id"), F.col("target").alias("child"))
+def descendants(edges: DataFrame, roots: DataFrame, max_depth: int | None = 10) -> DataFrame:
+    """Containment closure: root, id, depth, by joining each root's level with its children. Containment is a tree."""
+    down = materialize(edges.where(F.col("kind") == "contains").select(F.col("source").alias("id"), F.col("target").alias("child")))
     level = roots.select(F.col("id").alias("root"), "id").withColumn("depth", F.lit(0))
-    levels = []
-    for depth in range(1, max_depth + 1):
-        level = level.join(down, "id").select("root", F.col("child").alias("id"), F.lit(depth).alias("depth"))
+    levels = [level.limit(0)]
+    while max_depth is None or len(levels) <= max_depth:
+        level = materialize(level.join(down, "id").select("root", F.col("child").alias("id"), F.lit(len(levels)).alias("depth")))
+        if level.isEmpty():
+            break
         levels.append(level)
     return reduce(DataFrame.unionByName, levels)
 
@@ -110,23 +117,56 @@ def impact(edges: DataFrame, targets: DataFrame, max_hops: int = 3) -> DataFrame
     return _hops(targets, step, max_hops).where("hop > 0")
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
+def impact_roles(nodes: DataFrame, edges: DataFrame, targets: DataFrame, max_hops: int = 3) -> DataFrame:
+    """What depends on each of targets(id): target, role (caller, user, implementer, transitive), hop, id.
+
+    The first hop follows incoming calls, uses and inheritance; a node can have several of these roles, and a self-loop counts.
+    Later hops follow those and imports, and give each node once. All targets are walked together.
+    """
+    ids = nodes.select("id")
+    up = edges.where(F.col("kind").isin(*IMPACT_LATER)).select(F.col("source").alias("id"), F.col("target").alias("at"), "kind")
+    up = materialize(up.join(ids, "id", "left_semi"))
+    role = F.when(F.col("kind") == "calls", "caller").when(F.col("kind") == "uses_type", "user").otherwise("implementer")
+    start = targets.join(ids, "id", "left_semi").select("id").distinct()
+    first = up.where(F.col("kind").isin(*IMPACT_FIRST)).join(start.withColumnRenamed("id", "at"), "at", "left_semi").select(F.col("at").alias("target"), role.alias("role"), F.lit(1).alias("hop"), "id")
+    first = materialize(first)
+    level = first.select("target", "id").distinct()
+    seen = materialize(level.unionByName(start.select(F.col("id").alias("target"), "id")).distinct())
+    level, found = seen.join(level, ["target", "id"], "left_semi"), first
+    for hop in range(2, max_hops + 1):
+        level = level.withColumnRenamed("id", "at").join(up.select("id", "at"), "at").select("target", "id").distinct()
+        level = materialize(level.join(seen, ["target", "id"], "left_anti"))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+        found = found.unionByName(level.select("target", F.lit("transitive").alias("role"), F.lit(hop).alias("hop"), "id"))
+    return found
+
+
+def impact_counts(roles: DataFrame) -> DataFrame:
+    """target, callers, users, implementers, transitive and total of impact_roles()."""
+    n = lambda r: F.count_if(F.col("role") == r)
+    return roles.groupBy("target").agg(n("caller").alias("callers"), n("user").alias("users"), n("implementer").alias("implementers"), n("transitive").alias("transitive"), F.count("*").alias("total"))
+
+
+def distances(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Directed distances from sources(id): id, hop."""
     return _hops(sources, lambda f, _: f.join(edges, f["id"] == edges["source"]).select(F.col("target").alias("id")), max_hops)
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 8) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int | None = None) -> DataFrame:
     """Edges of one shortest directed path: ord, source, target. Ties go to the least parent id; no path, no rows."""
     spark = edges.sparkSession
     level = spark.createDataFrame([(source, None, 0)], "id string, parent string, hop int")
-    seen, found = level, source == target
-    for hop in range(1, max_hops + 1):
-        if found:
-            break
+    seen, found, hop = level, source == target, 0
+    while not found and (max_hops is None or hop < max_hops):
+        hop += 1
         nxt = level.join(edges.select(F.col("source").alias("id"), "target"), "id").groupBy(F.col("target").alias("id")).agg(F.min("id").alias("parent"))
-        level = nxt.join(seen.select("id"), "id", "left_anti").select("id", "parent", F.lit(hop).alias("hop"))
+        level = materialize(nxt.join(seen.select("id"), "id", "left_anti").select("id", "parent", F.lit(hop).alias("hop")))
+        if level.isEmpty():
+            break
         seen = seen.unionByName(level)
-        found = bool(level.where(F.col("id") == target).limit(1).count())
+        found = not level.where(F.col("id") == target).isEmpty()
     at, rows = target, []
     while found and at != source:
         parent = seen.where(F.col("id") == at).select("parent").first()[0]
@@ -135,20 +175,20 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 8)
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(reversed(rows))], "ord int, source string, target string")
 
 
-def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, similarity: DataFrame, max_hops: int, gate: float, cut=lambda df: df) -> DataFrame:
+def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, similarity: DataFrame, max_hops: int, gate: float) -> DataFrame:
     """Undirected expansion from seeds(id, score): id, score, hop.
 
     A neighbour joins if it has no similarity or one of at least the gate; its score is similarity (0.5 if unknown) times the
-    weight of the edge that reached it, the best of those of its first hop. `cut` is applied to each hop, to keep its lineage short.
+    weight of the edge that reached it, the best of those of its first hop.
     """
     both = edges.select(F.col("source").alias("id"), F.col("target").alias("to"), "kind").unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("to"), "kind"))
-    found = seeds.select("id", "score").withColumn("hop", F.lit(0))
+    found = materialize(seeds.select("id", "score").withColumn("hop", F.lit(0)))
     frontier = found
     sim = nodes.select("id").join(similarity.select("id", "sim"), "id", "left")
     for hop in range(1, max_hops + 1):
         near = frontier.select("id").join(both, "id").groupBy(F.col("to").alias("id")).agg(F.max(edge_weight(F.col("kind"))).alias("w"))
         near = near.join(found.select("id"), "id", "left_anti").join(sim, "id").where(F.col("sim").isNull() | (F.col("sim") >= gate))
-        frontier = cut(near.select("id", (F.coalesce("sim", F.lit(0.5)) * F.col("w")).alias("score"), F.lit(hop).alias("hop")))
+        frontier = materialize(near.select("id", (F.coalesce("sim", F.lit(0.5)) * F.col("w")).alias("score"), F.lit(hop).alias("hop")))
         found = found.unionByName(frontier)
     return found
 
@@ -159,28 +199,37 @@ def context_of(edges: DataFrame, members: DataFrame, kind: str, score: float) ->
     return out.join(members.select("id"), "id", "left_anti").withColumn("score", F.lit(score))
 
 
-def new_cycles(edges: DataFrame, new_edges: DataFrame, kinds, max_length: int = 4, limit: int | None = None) -> DataFrame:
-    """Simple cycles of at most max_length edges with a new edge in them: cycle (ids, the least first), length, is_new count.
+def new_cycles(edges: DataFrame, new_edges: DataFrame, kinds, max_length: int | None = None, limit: int | None = 100) -> DataFrame:
+    """Simple cycles with a new edge in them: cycle (ids, the least first), length. The shortest `limit` of them, of any length.
 
     From each new edge u -> v paths are grown from v until they come back to u; the edge that closes one joins on both ends.
+    Only nodes that are reached from a new edge and lead back to one can be on a cycle; the rest is left out first. Paths grow
+    until there are enough cycles or none is left, as there can be exponentially many: give a limit or a length.
     """
     allowed = F.col("kind").isin(*kinds)
-    fresh = new_edges.where(allowed).select("source", "target").distinct()
-    every = edges.where(allowed).select("source", "target").unionByName(fresh).distinct()
-    path = fresh.select(F.array("source", "target").alias("p"))
-    loops = [path.where(F.col("p")[0] == F.col("p")[1]).select(F.array(F.col("p")[0]).alias("cycle"))]
-    path = path.where(F.col("p")[0] != F.col("p")[1])
-    for length in range(2, max_length + 1):
-        ends = path.withColumn("source", F.element_at("p", -1))
-        loops.append(ends.withColumn("target", F.col("p")[0]).join(every, ["source", "target"]).select(F.col("p").alias("cycle")))
-        if length < max_length:
-            path = ends.join(every, "source").where(~F.array_contains("p", F.col("target"))).select(F.concat("p", F.array("target")).alias("p"))
-    cycles = reduce(DataFrame.unionByName, loops)
+    fresh = materialize(new_edges.where(allowed).select("source", "target").distinct())
+    every = materialize(edges.where(allowed).select("source", "target").unionByName(fresh).distinct())
+    turned = every.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    ahead, back = distances(every, fresh.select(F.col("target").alias("id"))), distances(turned, fresh.select(F.col("source").alias("id")))
+    alive = materialize(ahead.select("id").join(back.select("id"), "id", "left_semi"))
+    every = materialize(valid_edges(every, alive))
+    path = fresh.join(every, ["source", "target"], "left_semi").select(F.array("source", "target").alias("p"))
     least = F.array_min("cycle")
     at = F.array_position("cycle", least).cast("int")
-    turned = F.concat(F.slice("cycle", at, F.size("cycle")), F.slice("cycle", F.lit(1), at - 1))
-    out = cycles.select(turned.alias("cycle")).distinct().withColumn("length", F.size("cycle"))
-    return out.orderBy("length", "cycle").limit(limit) if limit else out
+    first = F.concat(F.slice("cycle", at, F.size("cycle")), F.slice("cycle", F.lit(1), at - 1))
+    shaped = lambda df: materialize(df.select(first.alias("cycle")).distinct().withColumn("length", F.size("cycle")))
+    found = shaped(path.where(F.col("p")[0] == F.col("p")[1]).select(F.array(F.col("p")[0]).alias("cycle")))
+    path, length = path.where(F.col("p")[0] != F.col("p")[1]), 1
+    while max_length is None or length < max_length:
+        length += 1
+        ends = path.withColumn("source", F.element_at("p", -1))
+        found = found.unionByName(shaped(ends.withColumn("target", F.col("p")[0]).join(every, ["source", "target"]).select(F.col("p").alias("cycle"))))
+        if length == max_length or (limit and found.count() >= limit):
+            break
+        path = materialize(ends.join(every, "source").where(~F.array_contains("p", F.col("target"))).select(F.concat("p", F.array("target")).alias("p")))
+        if path.isEmpty():
+            break
+    return found.orderBy("length", "cycle").limit(limit) if limit else found
 
 
 def page(nodes: DataFrame, limit: int, offset: int = 0, kind: str | None = None, repo: str | None = None) -> DataFrame:
@@ -208,6 +257,26 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
+def file_node(nodes: DataFrame, path: str) -> DataFrame:
+    """The file node of a path: equal or by suffix, else by its base name; the first inserted."""
+    from ..functions.expressions import path_suffix_match
+
+    at = F.col("path")
+    rank = F.when(path_suffix_match(at, F.lit(path)), 0).when(at.endswith(path.rsplit("/", 1)[-1]), 1)
+    return nodes.where("kind = 'file'").withColumn("_rank", rank).where("_rank IS NOT NULL").orderBy("_rank", "seq", "id").limit(1).drop("_rank")
+
+
+def first_named(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """names(repo, name) -> repo, name, id of the first symbol of that name in the repository."""
+    symbols = nodes.where(F.col("kind").isin(*SYMBOL_KINDS)).groupBy("repo", "name").agg(F.min_by("id", F.struct("seq", "id")).alias("id"))
+    return names.join(symbols, ["repo", "name"])
+
+
+def repositories(nodes: DataFrame) -> DataFrame:
+    """One row: the sorted names of all repositories."""
+    return nodes.groupBy("repo").agg(F.lit(1)).agg(F.array_sort(F.collect_list("repo")).alias("repos"))
+
+
 def resolve_target(nodes: DataFrame, node_id: str | None = None, file: str | None = None, symbol: str | None = None) -> DataFrame:
     """One node: by id, by file and symbol, by symbol, by file; in each the first inserted."""
     from ..functions.expressions import path_suffix_match

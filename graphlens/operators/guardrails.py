@@ -35,13 +35,8 @@ def impact_threshold(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max
     """
     start = nodes.join(changed.select("id").distinct(), "id", "left_semi")
     start = start.where(F.col("kind").isin(*kinds)) if kinds else start
-    level = start.select(F.col("id").alias("root"), "id")
-    seen = level
-    for hop in range(1, max_hops + 1):
-        up = edges.where(F.col("kind").isin(*(graph.IMPACT_FIRST if hop == 1 else graph.IMPACT_LATER))).select(F.col("source").alias("next"), F.col("target").alias("id"))
-        level = level.join(up, "id").select("root", F.col("next").alias("id")).distinct().join(seen, ["root", "id"], "left_anti")
-        seen = seen.unionByName(level)
-    return seen.where("root != id").groupBy(F.col("root").alias("id")).agg(F.count("*").alias("total")).where(F.col("total") > max_impact)
+    counts = graph.impact_counts(graph.impact_roles(nodes, edges, start, max_hops))
+    return counts.where(F.col("total") > max_impact).select(F.col("target").alias("id"), "total")
 
 
 def file_scope_ban(files: DataFrame, pattern: str) -> DataFrame:

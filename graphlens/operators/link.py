@@ -15,6 +15,12 @@ from .graph import first_by
 AMBIGUOUS = 20
 
 
+def head_of(kind: Column, signature: Column, raw_code: Column) -> Column:
+    """What names the bases of a class or type: its signature, else the first line of its code; empty for other kinds."""
+    line = F.coalesce(F.nullif(signature, F.lit("")), F.substring_index(raw_code, "\n", 1), F.lit(""))
+    return F.when(kind.isin("class", "type"), line).otherwise(F.lit(""))
+
+
 def bases(signature: Column) -> Column:
     """Capitalised base names of a class signature: in parentheses, after a colon, after extends or implements."""
 
@@ -34,13 +40,13 @@ def bases(signature: Column) -> Column:
 def link_names(symbols: DataFrame, existing: DataFrame | None = None, ambiguous: int = AMBIGUOUS) -> DataFrame:
     """symbols(id, name, kind, raw_code, signature) -> source, target, kind of new cross-references.
 
-    An identifier of a symbol's code links to every symbol of that name unless it is its own name or has too many
+    Only classes and types inherit. An identifier of a symbol's code links to every symbol of that name unless it is its own name or has too many
     definitions. Bases inherit, classes and types are used, the rest is called. Each distinct identifier is one row.
     """
     targets = symbols.select(F.col("id").alias("target"), "name", F.col("kind").alias("target_kind"))
     few = targets.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") <= ambiguous).select("name")
     targets = targets.join(few, "name", "left_semi")
-    code = symbols.where("raw_code != ''").select(F.col("id").alias("source"), F.col("name").alias("own"), bases(F.coalesce("signature", F.lit(""))).alias("bases"), F.explode(identifiers(F.col("raw_code"), KEYWORDS)).alias("name"))
+    code = symbols.where("raw_code != ''").select(F.col("id").alias("source"), F.col("name").alias("own"), bases(head_of(F.col("kind"), F.col("signature"), F.col("raw_code"))).alias("bases"), F.explode(identifiers(F.col("raw_code"), KEYWORDS)).alias("name"))
     kind = F.when(F.array_contains("bases", F.col("name")), "inherits").when(F.col("target_kind").isin("class", "type"), "uses_type").otherwise("calls")
     out = code.join(targets, "name").where("name != own AND source != target").select("source", "target", kind.alias("kind")).distinct()
     return out.join(existing.select("source", "target", "kind"), ["source", "target", "kind"], "left_anti") if existing is not None else out
@@ -56,8 +62,8 @@ def affected_links(symbols: DataFrame, new_ids: DataFrame, ambiguous: int = AMBI
 
 
 def client_urls(code: Column) -> Column:
-    """URLs of client calls: requests, httpx or aiohttp verbs, and fetch."""
-    verbs = F.regexp_extract_all(code, F.lit("(?i)(?:requests|httpx|aiohttp)\\.(?:get|post|put|delete|patch)\\s*\\(\\s*[\"']([^\"']+)"), F.lit(1))
+    """URLs of client calls: the first text in the call of a requests, httpx or aiohttp verb, or in fetch."""
+    verbs = F.regexp_extract_all(code, F.lit("(?i)(?:requests|httpx|aiohttp)\\.(?:get|post|put|delete|patch)\\s*\\([^)\"']*[\"']([^\"']+)"), F.lit(1))
     fetch = F.regexp_extract_all(code, F.lit("(?i)fetch\\s*\\(\\s*[`\"']([^`\"']+)"), F.lit(1))
     return F.concat(verbs, fetch)
 

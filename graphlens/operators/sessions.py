@@ -53,5 +53,18 @@ def topic(queries: DataFrame, alpha: float = 0.3) -> DataFrame:
     return ends.join(sums, "lo", "left").select(F.col("s").alias("session_id"), topic.alias("topic"))
 
 
+def record(context: DataFrame, queries: DataFrame) -> DataFrame:
+    """queries(session_id, seq, node_id) numbered as turns after the last one of the session's context(session_id, turn, node_id)."""
+    last = context.groupBy("session_id").agg(F.max("turn").alias("last"))
+    turn = F.dense_rank().over(Window.partitionBy("session_id").orderBy("seq"))
+    new = queries.withColumn("turn", turn).join(last, "session_id", "left").withColumn("turn", (F.coalesce("last", F.lit(0)) + F.col("turn")).cast("int"))
+    return context.select("session_id", "turn", "node_id").unionByName(new.select("session_id", F.col("turn").cast(context.schema["turn"].dataType), "node_id"))
+
+
+def state(context: DataFrame) -> DataFrame:
+    """session_id, turns, nodes: how far each session is."""
+    return context.groupBy("session_id").agg(F.max("turn").alias("turns"), F.count_distinct("node_id").alias("nodes"))
+
+
 def unexpired(sessions: DataFrame, now: Column, days: int = 7) -> DataFrame:
     return sessions.where(F.col("updated_at") >= now - F.make_interval(days=F.lit(days))).orderBy(F.desc("updated_at"))

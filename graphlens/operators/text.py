@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import normalize_route, split_name
 from ..schemas import INTENTS, STOPWORDS
+from ..sources.shared import materialize
 
 
 def tokens(text: Column) -> Column:
@@ -19,10 +20,10 @@ def bm25(docs: DataFrame, query: str, k: int = 9, k1: float = 1.5, b: float = 0.
     """docs(id, text) -> id, score of the k best, divided by the best score; scores of 0 and less are dropped.
 
     Terms in over half of the documents take epsilon times the mean idf. Query terms count as often as they occur.
-    Documents are tokenised once; term counts are combined before the shuffle, and only the query's postings go on.
+    Documents are tokenised once, into a table in the shared folder; term counts are combined before the shuffle, and only the query's postings go on.
     """
     spark = docs.sparkSession
-    terms = docs.select("id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    terms = materialize(docs.select("id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0))
     lengths = terms.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg"))
     df = terms.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(lengths.select("n"))).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))

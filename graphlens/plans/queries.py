@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import any_glob, detect_language, identifiers, normalize_route, path_suffix_match, recency, saturate, split_name, token_estimate
-from ..operators import catalog, graph, guardrails, link, quality, sessions, temporal, text, vector
+from ..functions.expressions import any_glob, map_to_json, detect_language, identifiers, normalize_route, path_suffix_match, recency, saturate, split_name, token_estimate
+from ..operators import catalog, changeset, graph, guardrails, link, quality, sessions, summaries, temporal, text, vector
 from ..schemas import EDGE_WEIGHTS, EXTENSIONS, FRAMEWORKS, INTENTS, KEYWORDS, STOPWORDS, SYMBOL_KINDS, THIN_CLASS
+from ..sources.shared import materialize
 from ..streaming import changes
 from .adapters import SQL_EDGES, SQL_GRAPH, SQL_NODES, edges, nodes, table
 
@@ -25,19 +26,13 @@ def query(sql: str | None = None):
     return add
 
 
-def whole(f):
-    """Registers f over whole tables too, as NAME_all; its SQL covers the share that DuckDB is compared on."""
+def _nodes(spark, d) -> DataFrame:
+    """The star schema's nodes, written once: a query reads them several times."""
+    return materialize(nodes(spark, d))
 
-    def every(spark, d):
-        return f(spark, d, every=True)
 
-    every.__name__ = f"{f.__name__}_all"
-    QUERIES[every.__name__] = every
-    return f
-
-
-def _share(rows: DataFrame, condition: str, every: bool) -> DataFrame:
-    return rows if every else rows.where(condition)
+def _edges(spark, d) -> DataFrame:
+    return materialize(edges(spark, d))
 
 
 def _r(column: str, digits: int = 6):
@@ -91,7 +86,7 @@ _CROSS = "x AS (SELECT e.*, a.repo AS source_repo, b.repo AS target_repo FROM ed
 
 @query(f"WITH {SQL_GRAPH}, {_CROSS} SELECT source_repo, target_repo, kind, count(*) AS cnt FROM x GROUP BY ALL")
 def cross_repo_edges(spark, d):
-    return graph.cross_repo_edges(nodes(spark, d), edges(spark, d)).groupBy("source_repo", "target_repo", "kind").agg(F.count("*").alias("cnt"))
+    return graph.cross_repo_edges(_nodes(spark, d).select("id", "repo"), edges(spark, d)).groupBy("source_repo", "target_repo", "kind").agg(F.count("*").alias("cnt"))
 
 
 _COUPLING = """dep AS (SELECT * FROM edges WHERE kind <> 'contains'),
@@ -115,58 +110,53 @@ def contains_closure(spark, d):
     return graph.descendants(edges(spark, d), roots, 4).groupBy("root", "depth").agg(F.count("*").alias("cnt"))
 
 
-@whole
-@query(f"""WITH RECURSIVE {SQL_EDGES}, t AS (SELECT 'p:' || p_partkey AS id, 0 AS hop FROM part WHERE p_partkey % 50 = 1 UNION SELECT e.source, hop + 1 FROM t JOIN edges e ON e.target = t.id AND (e.kind IN ('calls','uses_type','inherits','implements') OR (e.kind = 'imports' AND hop >= 1)) WHERE hop < 3)
+@query(f"""WITH RECURSIVE {SQL_EDGES}, t AS (SELECT 'p:' || p_partkey AS id, 0 AS hop FROM part UNION SELECT e.source, hop + 1 FROM t JOIN edges e ON e.target = t.id AND (e.kind IN ('calls','uses_type','inherits','implements') OR (e.kind = 'imports' AND hop >= 1)) WHERE hop < 3)
 SELECT id, min(hop) AS hop FROM t GROUP BY id HAVING min(hop) > 0""")
-def impact_hops(spark, d, every=False):
-    targets = _share(table(spark, d, "part"), "p_partkey % 50 = 1", every).select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"))
-    return graph.impact(edges(spark, d), targets, 3)
+def impact_hops(spark, d):
+    targets = table(spark, d, "part").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"))
+    return graph.impact(_edges(spark, d), targets, 3)
 
 
-@whole
-@query(f"WITH RECURSIVE {SQL_EDGES}, t AS (SELECT 'c:' || c_custkey AS id, 0 AS hop FROM customer WHERE c_custkey % 100 = 1 UNION SELECT e.target, hop + 1 FROM t JOIN edges e ON e.source = t.id WHERE hop < 4) SELECT id, min(hop) AS hop FROM t GROUP BY id")
-def shortest_path_len(spark, d, every=False):
-    sources = _share(table(spark, d, "customer"), "c_custkey % 100 = 1", every).select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
-    return graph.distances(edges(spark, d), sources, 4)
+@query(f"WITH RECURSIVE {SQL_EDGES}, t AS (SELECT 'c:' || c_custkey AS id, 0 AS hop FROM customer UNION SELECT e.target, hop + 1 FROM t JOIN edges e ON e.source = t.id WHERE hop < 4) SELECT id, min(hop) AS hop FROM t GROUP BY id")
+def shortest_path_len(spark, d):
+    sources = table(spark, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
+    return graph.distances(_edges(spark, d), sources, 4)
 
 
-_NEW = "fresh AS (SELECT DISTINCT 'p:' || l_partkey AS source, 'c:' || o_custkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 10 = 0 AND o_custkey % 10 = 0)"
+_NEW = "fresh AS (SELECT DISTINCT 'p:' || l_partkey AS source, 'c:' || o_custkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
-def _new_edges(spark, d, every=False) -> DataFrame:
-    line = _share(table(spark, d, "lineitem"), "l_partkey % 10 = 0", every).select("l_orderkey", "l_partkey")
-    pairs = line.join(_share(table(spark, d, "orders"), "o_custkey % 10 = 0", every).select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_partkey", "o_custkey").distinct()
+def _new_edges(spark, d) -> DataFrame:
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    pairs = line.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_partkey", "o_custkey").distinct()
     ident = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     return pairs.select(ident("p:", "l_partkey").alias("source"), ident("c:", "o_custkey").alias("target"), F.lit("imports").alias("kind"))
 
 
-@whole
 @query(f"""WITH {SQL_EDGES}, {_NEW}, every AS (SELECT source, target FROM edges WHERE kind IN ('imports','calls') UNION SELECT source, target FROM fresh)
 SELECT a.source AS part, count(*) AS cycles FROM fresh a JOIN every b ON b.source = a.target JOIN every c ON c.source = b.target AND c.target = a.source WHERE b.target <> a.source AND b.target <> a.target GROUP BY 1""")
-def cycles_new_edges(spark, d, every=False):
-    found = graph.new_cycles(edges(spark, d), _new_edges(spark, d, every), ("imports", "calls"), 3)
+def cycles_new_edges(spark, d):
+    found = graph.new_cycles(_edges(spark, d), _new_edges(spark, d), ("imports", "calls"), 3, None)
     return found.withColumn("part", F.filter("cycle", lambda x: x.startswith("p:"))[0]).groupBy("part").agg(F.count("*").alias("cycles"))
 
 
-@whole
-@query(f"""WITH {SQL_GRAPH}, seeds AS (SELECT id, 0.9::DOUBLE AS score FROM nodes WHERE kind = 'class' AND seq % 40 = 1), sim AS (SELECT id, (seq % 10) / 10.0::DOUBLE AS sim FROM nodes WHERE seq % 3 > 0),
+@query(f"""WITH {SQL_GRAPH}, seeds AS (SELECT id, 0.9::DOUBLE AS score FROM nodes WHERE kind = 'class'), sim AS (SELECT id, (seq % 10) / 10.0::DOUBLE AS sim FROM nodes WHERE seq % 3 > 0),
 w AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in EDGE_WEIGHTS.items())}) v(kind, w)),
 both_ends AS (SELECT source AS id, target AS t, kind FROM edges UNION ALL SELECT target, source, kind FROM edges),
 h1 AS (SELECT n.id, coalesce(sim, 0.5) * max(w) AS score FROM seeds s JOIN both_ends b ON b.id = s.id JOIN w USING (kind) JOIN nodes n ON n.id = b.t LEFT JOIN sim ON sim.id = n.id WHERE n.id NOT IN (SELECT id FROM seeds) AND (sim IS NULL OR sim >= 0.3) GROUP BY n.id, sim),
 f1 AS (SELECT id, score, 0 AS hop FROM seeds UNION ALL SELECT id, score, 1 FROM h1),
 h2 AS (SELECT n.id, coalesce(sim, 0.5) * max(w) AS score FROM h1 s JOIN both_ends b ON b.id = s.id JOIN w USING (kind) JOIN nodes n ON n.id = b.t LEFT JOIN sim ON sim.id = n.id WHERE n.id NOT IN (SELECT id FROM f1) AND (sim IS NULL OR sim >= 0.3) GROUP BY n.id, sim)
 SELECT id, round(score, 6) AS score, hop FROM f1 UNION ALL SELECT id, round(score, 6), 2 FROM h2""")
-def expand_khop(spark, d, every=False):
-    n = nodes(spark, d)
-    seeds = _share(n.where("kind = 'class'"), "seq % 40 = 1", every).select("id", F.lit(0.9).alias("score"))
+def expand_khop(spark, d):
+    n = _nodes(spark, d)
+    seeds = n.where("kind = 'class'").select("id", F.lit(0.9).alias("score"))
     sim = n.where("seq % 3 > 0").select("id", ((F.col("seq") % 10) / 10).alias("sim"))
-    return graph.expand(n, edges(spark, d), seeds, sim, 2, 0.3).select("id", _r("score"), "hop")
+    return graph.expand(n, _edges(spark, d), seeds, sim, 2, 0.3).select("id", _r("score"), "hop")
 
 
-@whole
-@query(f"WITH {SQL_EDGES} SELECT DISTINCT target AS id, 0.3::DOUBLE AS score FROM edges WHERE kind = 'uses_type' AND source IN (SELECT 'o:' || o_orderkey FROM orders WHERE o_orderkey % 100 = 1)")
-def type_context(spark, d, every=False):
-    members = _share(table(spark, d, "orders"), "o_orderkey % 100 = 1", every).select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("id"))
+@query(f"WITH {SQL_EDGES} SELECT DISTINCT target AS id, 0.3::DOUBLE AS score FROM edges WHERE kind = 'uses_type' AND source IN (SELECT 'o:' || o_orderkey FROM orders)")
+def type_context(spark, d):
+    members = table(spark, d, "orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("id"))
     return graph.context_of(edges(spark, d), members, "uses_type", 0.3)
 
 
@@ -183,10 +173,9 @@ def paginate(spark, d):
     return graph.page(nodes(spark, d), 25, 10, kind="class").select("id", "kind", "name")
 
 
-@whole
-@query(f"WITH {SQL_GRAPH}, m AS (SELECT id FROM nodes WHERE seq % 20 = 0) SELECT source, target, kind FROM edges WHERE source IN (SELECT id FROM m) AND target IN (SELECT id FROM m)")
-def induced_subgraph(spark, d, every=False):
-    return graph.induced(edges(spark, d), _share(nodes(spark, d), "seq % 20 = 0", every)).select("source", "target", "kind")
+@query(f"WITH {SQL_GRAPH}, m AS (SELECT id FROM nodes WHERE repo = 'ASIA') SELECT source, target, kind FROM edges WHERE source IN (SELECT id FROM m) AND target IN (SELECT id FROM m)")
+def induced_subgraph(spark, d):
+    return graph.induced(_edges(spark, d), materialize(nodes(spark, d).where("repo = 'ASIA'").select("id"))).select("source", "target", "kind")
 
 
 @query(f"WITH {SQL_GRAPH}, gone AS (SELECT id FROM nodes WHERE path LIKE 'ASIA/%' AND kind <> 'module') SELECT kind, count(*) AS cnt FROM edges WHERE source NOT IN (SELECT id FROM gone) AND target NOT IN (SELECT id FROM gone) GROUP BY 1")
@@ -220,7 +209,7 @@ q AS (SELECT *, w[1] * density + w[2] * embedded + w[3] * content + w[4] * cover
 
 
 def _quality(spark, d) -> DataFrame:
-    return quality.scores(nodes(spark, d), edges(spark, d))
+    return quality.scores(_nodes(spark, d), _edges(spark, d))
 
 
 @query(f"WITH {SQL_GRAPH}, {_QUALITY} SELECT id, round(quality, 6) AS quality, round(density, 6) AS density, coverage FROM q")
@@ -285,7 +274,7 @@ def _tokens_sql(x: str) -> str:
     return f"flatten(list_transform(regexp_extract_all({x}, '[a-zA-Z_][a-zA-Z0-9_]{{2,}}'), lambda w: list_concat([lower(w)], {_split_sql('w')})))"
 
 
-_BM25 = f"""terms AS (SELECT doc_id AS id, {_tokens_sql("text")} AS t FROM documents WHERE lang = 'en'), tt AS (SELECT * FROM terms WHERE len(t) > 0), st AS (SELECT count(*) AS n, avg(len(t)) AS avg FROM tt),
+_BM25 = f"""terms AS (SELECT doc_id AS id, {_tokens_sql("text")} AS t FROM documents), tt AS (SELECT * FROM terms WHERE len(t) > 0), st AS (SELECT count(*) AS n, avg(len(t)) AS avg FROM tt),
 df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM tt) GROUP BY 1), idf AS (SELECT term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM df, st), mi AS (SELECT avg(idf) AS mean FROM idf),
 ask AS (SELECT term, count(*) AS qn FROM (SELECT unnest({_tokens_sql(f"'{_ASK}'")}) AS term) GROUP BY 1), wt AS (SELECT term, qn, CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END AS idf FROM idf JOIN ask USING (term), mi),
 po AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM tt) WHERE term IN (SELECT term FROM ask) GROUP BY ALL),
@@ -293,22 +282,20 @@ sc AS (SELECT id, sum(qn * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl /
 bm AS (SELECT id, CASE WHEN max(raw) OVER () > 0 THEN raw / max(raw) OVER () END AS score, raw FROM (SELECT * FROM sc ORDER BY raw DESC, id LIMIT 9))"""
 
 
-def _bm25(spark, d, every=False) -> DataFrame:
-    return text.bm25(_share(table(spark, d, "documents"), "lang = 'en'", every).select(F.col("doc_id").alias("id"), "text"), _ASK)
+def _bm25(spark, d) -> DataFrame:
+    return text.bm25(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _ASK)
 
 
-@whole
 @query(f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm WHERE raw > 0")
-def bm25_topk(spark, d, every=False):
-    return _bm25(spark, d, every).select("id", _r("score"))
+def bm25_topk(spark, d):
+    return _bm25(spark, d).select("id", _r("score"))
 
 
-@whole
 @query(f"""WITH {_BM25}, {_Q}, v AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS v FROM embeddings, q ORDER BY v DESC, vec_id LIMIT 200)
 SELECT id, round(CASE WHEN k IS NULL THEN v WHEN v IS NULL THEN 0.3::DOUBLE * k ELSE 0.7::DOUBLE * v + 0.3::DOUBLE * k END, 6) AS score FROM v FULL JOIN (SELECT id, score AS k FROM bm WHERE raw > 0) USING (id)""")
-def hybrid_blend(spark, d, every=False):
+def hybrid_blend(spark, d):
     v = vector.top_k(_vectors(spark, d), _query_vector(spark, d), 200).select("id", "score")
-    return text.blend(v, _bm25(spark, d, every), 0.7).select("id", _r("score"))
+    return text.blend(v, _bm25(spark, d), 0.7).select("id", _r("score"))
 
 
 _WORDS = text.query_words("find Supplier large plated Almond steel burnished")
@@ -345,19 +332,17 @@ _KEYS = ", ".join(f"'{k}'" for k in KEYWORDS)
 _IDS = f"list_filter(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]+')), lambda x: length(x) > 1 AND regexp_matches(x, '^[A-Za-z_]') AND x NOT IN ({_KEYS}))"
 
 
-@whole
-@query(f"SELECT doc_id, len({_IDS}) AS n, list_min({_IDS}) AS first FROM documents WHERE lang = 'en'")
-def ident_extract(spark, d, every=False):
+@query(f"SELECT doc_id, len({_IDS}) AS n, list_min({_IDS}) AS first FROM documents")
+def ident_extract(spark, d):
     ids = identifiers(F.col("text"), KEYWORDS)
-    return _share(table(spark, d, "documents"), "lang = 'en'", every).select("doc_id", ids.alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("first"))
+    return table(spark, d, "documents").select("doc_id", ids.alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("first"))
 
 
-@whole
-@query(f"""WITH s AS (SELECT doc_id AS id, regexp_extract(text, '[A-Za-z]{{4,}}', 0) AS name, CASE WHEN doc_id % 2 = 0 THEN 'class' ELSE 'function' END AS kind, text FROM documents WHERE lang = 'en' AND text <> ''),
+@query(f"""WITH s AS (SELECT doc_id AS id, regexp_extract(text, '[A-Za-z]{{4,}}', 0) AS name, CASE WHEN doc_id % 2 = 0 THEN 'class' ELSE 'function' END AS kind, text FROM documents WHERE text <> ''),
 few AS (SELECT name FROM s GROUP BY 1 HAVING count(*) <= 20), i AS (SELECT id AS source, name AS own, unnest({_IDS}) AS name FROM s)
 SELECT source, t.id AS target, CASE WHEN t.kind = 'class' THEN 'uses_type' ELSE 'calls' END AS kind FROM i JOIN s t USING (name) JOIN few USING (name) WHERE name <> own AND source <> t.id GROUP BY ALL""")
-def crossfile_link(spark, d, every=False):
-    docs = _share(table(spark, d, "documents"), "lang = 'en'", every).where("text != ''")
+def crossfile_link(spark, d):
+    docs = table(spark, d, "documents").where("text != ''")
     s = docs.select(F.col("doc_id").alias("id"), F.regexp_extract("text", "[A-Za-z]{4,}", 0).alias("name"), F.when(F.col("doc_id") % 2 == 0, "class").otherwise("function").alias("kind"), F.col("text").alias("raw_code"), F.lit("").alias("signature"))
     return link.link_names(s)
 
@@ -381,13 +366,12 @@ def budget_prefix(spark, d):
     return prefix(t, 8000).select("id", F.col("cum").cast("long").alias("cum"))
 
 
-@whole
-@query(f"""WITH {SQL_GRAPH}, m AS (SELECT id, kind, (seq % 13)::DOUBLE AS score, seq FROM nodes WHERE seq % 60 = 0 AND kind <> 'function' OR kind = 'function' AND seq % 600 = 0), tg AS (SELECT DISTINCT target AS id FROM edges WHERE source IN (SELECT id FROM m) AND target IN (SELECT id FROM m)),
+@query(f"""WITH {SQL_GRAPH}, m AS (SELECT id, kind, (seq % 13)::DOUBLE AS score, seq FROM nodes), tg AS (SELECT DISTINCT target AS id FROM edges WHERE source IN (SELECT id FROM m) AND target IN (SELECT id FROM m)),
 b AS (SELECT m.*, CASE WHEN kind = 'type' THEN 0 WHEN kind IN ('config', 'constant') THEN 1 WHEN tg.id IS NOT NULL THEN 2 ELSE 3 END AS bucket FROM m LEFT JOIN tg USING (id)) SELECT id, bucket, row_number() OVER (ORDER BY bucket, score DESC, seq, id) - 1 AS ord FROM b""")
-def order_buckets(spark, d, every=False):
+def order_buckets(spark, d):
     from .search import ordered
 
-    m = _share(nodes(spark, d), "seq % 60 = 0 AND kind != 'function' OR kind = 'function' AND seq % 600 = 0", every).select("id", "kind", (F.col("seq") % 13).cast("double").alias("score"), "seq")
+    m = nodes(spark, d).select("id", "kind", (F.col("seq") % 13).cast("double").alias("score"), "seq")
     return ordered(m, graph.induced(edges(spark, d), m)).select("id", "bucket", F.col("ord").cast("long"))
 
 
@@ -407,9 +391,9 @@ def search_bundle(spark, d):
     from .search import search
 
     v = _vectors(spark, d).select(F.concat(F.lit("s:"), (F.col("id") + 1).cast("string")).alias("id"), "embedding")
-    n = nodes(spark, d)
+    n = _nodes(spark, d)
     docs = n.where("kind = 'class' OR kind = 'type'").select("id", F.coalesce("raw_code", "summary", "name").alias("text"))
-    found = search(n, edges(spark, d), v, docs, "where is Supplier 7 defined", _query_vector(spark, d))
+    found = search(n, _edges(spark, d), v, docs, "where is Supplier 7 defined", _query_vector(spark, d))
     return found.select("id", _r("score"), "ord", "summarised")
 
 
@@ -418,19 +402,19 @@ def search_bundle(spark, d):
 
 @query(f"WITH {SQL_GRAPH}, {_CROSS}, o AS (SELECT source_repo AS repo, target_repo AS other, kind, count(*) AS cnt, 'out' AS direction FROM x GROUP BY ALL) SELECT * FROM o UNION ALL SELECT other, repo, kind, cnt, 'in' FROM o")
 def dep_map(spark, d):
-    return catalog.dependency_map(nodes(spark, d), edges(spark, d))
+    return catalog.dependency_map(_nodes(spark, d), edges(spark, d))
 
 
 @query(f"WITH {SQL_GRAPH}, {_CROSS}, a AS (SELECT DISTINCT target_repo AS name FROM x WHERE source_repo = 'ASIA'), dc AS (SELECT * FROM (VALUES ('AFRICA'), ('EUROPE'), ('ATLANTIS')) v(name)) SELECT name, CASE WHEN a.name IS NULL THEN 'missing' WHEN dc.name IS NULL THEN 'undeclared' ELSE 'ok' END AS status FROM dc FULL JOIN a USING (name)")
 def drift_full_outer(spark, d):
-    actual = graph.cross_repo_edges(nodes(spark, d), edges(spark, d)).where("source_repo = 'ASIA'").select(F.col("target_repo").alias("name"))
+    actual = graph.cross_repo_edges(_nodes(spark, d).select("id", "repo"), edges(spark, d)).where("source_repo = 'ASIA'").select(F.col("target_repo").alias("name"))
     return catalog.drift(spark.createDataFrame([("AFRICA",), ("EUROPE",), ("ATLANTIS",)], "name string"), actual)
 
 
 @query(f"""WITH {SQL_GRAPH}, {_CROSS} SELECT repo, count(*) AS nodes, count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind IN ('function','class','type','method')) AS symbols,
  (SELECT count(DISTINCT target_repo) FROM x WHERE source_repo = n.repo) AS dependencies, (SELECT count(DISTINCT source_repo) FROM x WHERE target_repo = n.repo) AS dependents FROM nodes n GROUP BY repo""")
 def catalog_entry(spark, d):
-    return catalog.service_rows(nodes(spark, d), edges(spark, d))
+    return catalog.service_rows(_nodes(spark, d), edges(spark, d))
 
 
 @query("""WITH c AS (SELECT o_custkey % 25 AS repo, o_orderpriority AS author FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY o_orderdate DESC, o_orderkey DESC) <= 200), n AS (SELECT repo, author, count(*) AS n FROM c GROUP BY ALL)
@@ -493,12 +477,11 @@ def metric_rule(spark, d):
     return guardrails.metric_threshold(n, edges(spark, d), n.where("kind = 'class'"), "afferent_coupling", 50)
 
 
-@whole
-@query(f"""WITH RECURSIVE {SQL_EDGES}, t AS (SELECT 's:' || s_suppkey AS root, 's:' || s_suppkey AS id, 0 AS hop FROM supplier WHERE s_suppkey % 20 = 3 UNION SELECT root, e.source, hop + 1 FROM t JOIN edges e ON e.target = t.id AND (e.kind IN ('calls','uses_type','inherits','implements') OR (e.kind = 'imports' AND hop >= 1)) WHERE hop < 2)
+@query(f"""WITH RECURSIVE {SQL_EDGES}, t AS (SELECT 's:' || s_suppkey AS root, 's:' || s_suppkey AS id, 0 AS hop FROM supplier UNION SELECT root, e.source, hop + 1 FROM t JOIN edges e ON e.target = t.id AND (e.kind IN ('calls','uses_type','inherits','implements') OR (e.kind = 'imports' AND hop >= 1)) WHERE hop < 2)
 SELECT root AS id, count(DISTINCT id) AS total FROM t WHERE id <> root GROUP BY 1 HAVING count(DISTINCT id) > 10""")
-def impact_rule(spark, d, every=False):
-    n = nodes(spark, d)
-    return guardrails.impact_threshold(n, edges(spark, d), _share(n.where("kind = 'class'"), "seq % 20 = 3", every), 10, 2)
+def impact_rule(spark, d):
+    n = _nodes(spark, d)
+    return guardrails.impact_threshold(n, _edges(spark, d), n.where("kind = 'class'"), 10, 2)
 
 
 @query(f"WITH {SQL_NODES} SELECT DISTINCT path FROM nodes WHERE kind = 'file' AND regexp_matches(path, '(?s)^AMERICA/.*[05]$')")
@@ -562,8 +545,8 @@ test_file_match.__test__ = False
 t AS (SELECT route, arg_max(page_id, page_id) AS target FROM (SELECT page_id, R AS route FROM (SELECT page_id, url FROM e WHERE page_id % 3 = 0)) GROUP BY 1)
 SELECT source, target, url FROM (SELECT source, url, R AS route FROM c WHERE source % 3 > 0) JOIN t USING (route) WHERE source % 2 <> target % 2""".replace("R AS route", f"{_ROUTE} AS route"))
 def api_contracts(spark, d):
-    p = table(spark, d, "pages")
-    callers = p.where("page_id % 3 > 0").select(F.col("page_id").alias("id"), (F.col("page_id") % 2).alias("repo"), F.concat(F.lit("fetch('"), F.regexp_replace("url", "\\?.*$", ""), F.lit("')")).alias("raw_code"))
+    p, url = table(spark, d, "pages"), F.regexp_replace("url", "\\?.*$", "")
+    callers = p.where("page_id % 3 > 0").select(F.col("page_id").alias("id"), (F.col("page_id") % 2).alias("repo"), F.when(F.col("page_id") % 3 == 1, F.concat(F.lit("fetch('"), url, F.lit("')"))).otherwise(F.concat(F.lit('requests.post(BASE + "'), url, F.lit('", x)'))).alias("raw_code"))
     ends = p.where("page_id % 3 = 0").select(F.col("page_id").alias("id"), (F.col("page_id") % 2).alias("repo"), F.col("url").alias("route_path"), F.col("page_id").alias("seq"))
     return link.api_contracts(callers, ends)
 
@@ -572,7 +555,7 @@ def api_contracts(spark, d):
 def inherit_detect(spark, d):
     k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
     sig = F.when(k % 3 == 0, F.concat(F.lit("class A(Base"), n, F.lit("[T], Mixin, metaclass=Meta):"))).when(k % 3 == 1, F.concat(F.lit("struct A : Proto"), n, F.lit("<X>, Codable {"))).otherwise(F.concat(F.lit("class A extends Parent implements Iface"), n, F.lit(" {")))
-    return table(spark, d, "supplier").select(k.alias("id"), F.array_join(F.filter(link.bases(sig), lambda x: x != "Meta"), ",").alias("bases"))
+    return table(spark, d, "supplier").select(k.alias("id"), F.array_join(link.bases(sig), ",").alias("bases"))
 
 
 # -- sessions and changes ---------------------------------------------------
@@ -619,3 +602,122 @@ def debounce_batches(spark, d):
 b AS (SELECT *, sum(new) OVER (PARTITION BY repo ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS g FROM e), c AS (SELECT *, (us - min(us) OVER (PARTITION BY repo, g)) // 14400000000 AS cut FROM b) SELECT repo, min(us) AS start, count(*) AS n FROM c GROUP BY repo, g, cut""")
 def capped_batches(spark, d):
     return changes.batches(_events(spark, d), 7200, 14400).select("repo", F.unix_micros("start").alias("start"), "n")
+
+
+# -- changes of a graph, reports --------------------------------------------
+
+_DIFF = """f AS (SELECT c_custkey AS k, path, c_custkey % 500 + 1 AS a, c_custkey % 500 + 1 + c_custkey % 7 + 1 AS b, c_custkey % 10 = 3 AS gone FROM cust),
+modified AS (SELECT n.id FROM nodes n JOIN f USING (path) WHERE gone OR (n.start_line <= b AND n.end_line >= a)),
+fresh AS (SELECT 'c:' || k AS source, 's:' || (SELECT s_suppkey FROM supplier WHERE s_suppkey = k % 90 + 1) AS target FROM f WHERE NOT gone)"""
+
+
+def _change(spark, d) -> changeset.ChangeSet:
+    """A diff of each customer's file: a few lines at a place by its key with an import of a supplier; some files are deleted."""
+    n, k = _nodes(spark, d), F.col("seq")
+    place = F.format_string("@@ -1,2 +%d,%d @@\n+import \"s:%d\"\n", k % 500 + 1, k % 7 + 1, k % 90 + 1)
+    text = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n"), F.when(k % 10 == 3, "deleted file mode 100644\n").otherwise(place))
+    return changeset.analyze(n.where("kind = 'file'").select("id", text.alias("diff")), n, _edges(spark, d))
+
+
+@query(f"WITH {SQL_GRAPH}, {_DIFF} SELECT 'modified' AS what, id AS a, NULL AS b FROM modified UNION ALL SELECT 'imports', source, target FROM fresh UNION ALL SELECT CASE WHEN gone THEN 'deleted' ELSE 'changed' END, path, NULL FROM f")
+def change_set(spark, d):
+    c = _change(spark, d)
+    files = c.files.select(F.when(F.col("status") == "deleted", "deleted").otherwise("changed").alias("what"), F.col("path").alias("a"), F.lit(None).cast("string").alias("b"))
+    return c.modified.select(F.lit("modified").alias("what"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(c.new_edges.select(F.col("kind").alias("what"), F.col("source").alias("a"), F.col("target").alias("b"))).unionByName(files)
+
+
+_RULES = [
+    {"id": "scope", "type": "file_scope_ban", "description": "No changes in Asia", "severity": "block", "config": {"path_pattern": "ASIA/*"}},
+    {"id": "ban", "type": "dependency_ban", "description": "Asia does not use Europe", "severity": "block", "config": {"source_pattern": "ASIA/*", "target_pattern": "EUROPE/*", "edge_kind": ["imports"]}},
+    {"id": "coupling", "type": "metric_threshold", "description": "Few dependencies", "severity": "warning", "config": {"metric": "efferent_coupling", "threshold": 30}},
+    {"id": "broken", "type": "metric_threshold", "description": "Lacks its metric", "severity": "block", "config": {}},
+]
+
+
+@query(f"""WITH {SQL_GRAPH}, {_DIFF}, {_COUPLING}, v AS (SELECT 'scope' AS rule_id, 'block' AS severity, path AS file_path FROM f WHERE path LIKE 'ASIA/%'
+UNION ALL SELECT 'ban', 'block', a.path FROM fresh JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target WHERE a.path LIKE 'ASIA/%' AND b.path LIKE 'EUROPE/%'
+UNION ALL SELECT 'coupling', 'warning', n.path FROM modified JOIN cpl USING (id) JOIN nodes n USING (id) WHERE ce > 30) SELECT * FROM v""")
+def evaluate_change(spark, d):
+    n, e = _nodes(spark, d), _edges(spark, d)
+    return changeset.evaluate(n, e, _change(spark, d), _RULES).select("rule_id", "severity", "file_path")
+
+
+@query(f"""WITH {SQL_GRAPH}, up AS (SELECT source, target, kind FROM edges WHERE kind IN ('calls','uses_type','imports')), t AS (SELECT id AS target FROM nodes WHERE kind IN ('type', 'class') AND repo = 'ASIA'),
+h1 AS (SELECT t.target, kind, source AS id FROM t JOIN up USING (target) WHERE kind <> 'imports'), h2 AS (SELECT DISTINCT h1.target, up.source AS id FROM (SELECT DISTINCT target, id FROM h1) h1 JOIN up ON up.target = h1.id WHERE up.source <> h1.target AND (h1.target, up.source) NOT IN (SELECT target, id FROM h1)),
+c AS (SELECT target, count(*) FILTER (kind = 'calls') AS callers, count(*) FILTER (kind = 'uses_type') AS users FROM h1 GROUP BY 1), l AS (SELECT target, count(*) AS transitive FROM h2 GROUP BY 1)
+SELECT target, callers, users, 0 AS implementers, coalesce(transitive, 0) AS transitive, callers + users + coalesce(transitive, 0) AS total FROM c LEFT JOIN l USING (target)""")
+def impact_roles(spark, d):
+    n = _nodes(spark, d)
+    return graph.impact_counts(graph.impact_roles(n, _edges(spark, d), n.where("kind IN ('type', 'class') AND repo = 'ASIA'"), 2))
+
+
+@query(f"WITH {SQL_GRAPH}, {_QUALITY} SELECT repo, round(avg(quality), 6) AS mean, count(*) FILTER (quality >= 0.7) AS good, count(*) FILTER (quality >= 0.4 AND quality < 0.7) AS moderate, count(*) FILTER (quality < 0.4) AS poor FROM q GROUP BY repo")
+def quality_by_repository(spark, d):
+    n = _nodes(spark, d)
+    return catalog.quality_by_repository(n, quality.scores(n, _edges(spark, d))).withColumn("mean", F.round("mean", 6))
+
+
+def _full(n: DataFrame) -> DataFrame:
+    empty = F.lit(None).cast("string")
+    return n.withColumns({"signature": empty, "http_method": empty, "route_path": empty})
+
+
+@query(f"""WITH {SQL_GRAPH}, ch AS (SELECT e.source AS of, n.name, n.docstring, n.seq, n.id, row_number() OVER (PARTITION BY e.source ORDER BY n.seq, n.id) AS rn, (SELECT count(*) FROM edges x WHERE x.kind = 'contains' AND x.source = n.id) AS size FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind = 'contains'),
+l AS (SELECT of, string_agg('\n  ' || name || CASE WHEN docstring <> '' THEN ' — ' || substr(docstring, 1, 80) ELSE '' END, '' ORDER BY seq, id) FILTER (rn <= 20) AS files, string_agg('\n  ' || name || ' (' || size || ' symbols)', '' ORDER BY seq, id) AS modules, string_agg('\n  ' || name || '/ (' || size || ' files)', '' ORDER BY seq, id) AS repos FROM ch GROUP BY of)
+SELECT n.id, CASE kind WHEN 'file' THEN 'File: ' || path || coalesce(files, '') WHEN 'module' THEN 'Module: ' || name || coalesce(modules, '') WHEN 'repository' THEN 'Repository: ' || name || coalesce(repos, '') WHEN 'function' THEN coalesce(nullif(docstring, ''), name) ELSE name END AS summary FROM nodes n LEFT JOIN l ON l.of = n.id""".replace("\\n", "\n"))
+def heuristic_summaries(spark, d):
+    return summaries.heuristic_summaries(_full(_nodes(spark, d)), _edges(spark, d))
+
+
+@query(f"""WITH {SQL_GRAPH}, near AS (SELECT e.kind, e.source AS of, n.name, n.seq, n.id FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind IN ('contains', 'calls') UNION ALL SELECT 'called', e.target, n.name, n.seq, n.id FROM edges e JOIN nodes n ON n.id = e.source WHERE e.kind = 'calls'),
+r AS (SELECT *, row_number() OVER (PARTITION BY of, kind ORDER BY seq, id) AS rn FROM near),
+l AS (SELECT of, string_agg(name, '\n' ORDER BY rn) FILTER (kind = 'contains' AND rn <= 30) AS inside, string_agg(name, ', ' ORDER BY rn) FILTER (kind = 'calls' AND rn <= 10) AS calls, string_agg(name, ', ' ORDER BY rn) FILTER (kind = 'called' AND rn <= 10) AS called FROM r GROUP BY of),
+c AS (SELECT n.*, inside, nullif(concat_ws('\n', 'File: ' || nullif(path, ''), 'Doc: ' || nullif(docstring, ''), 'Calls: ' || calls, 'Called by: ' || called), '') AS context, nullif(concat_ws('\n', path, inside), '') AS box FROM nodes n LEFT JOIN l ON l.of = n.id)
+SELECT id, substr(CASE WHEN kind IN ('function', 'class', 'type') THEN coalesce(nullif(raw_code, ''), name) || coalesce('\n\n# Context\n' || context, '') ELSE coalesce(concat_ws('\n', box, CASE WHEN box IS NOT NULL THEN nullif(summary, '') END), name) END, 1, 4000) AS text FROM c""".replace("\\n", "\n"))
+def embedding_texts(spark, d):
+    out = summaries.embedding_texts(_full(_nodes(spark, d)), _edges(spark, d))
+    return out.withColumn("text", F.when(F.col("text") == "", F.col("id")).otherwise(F.col("text")))
+
+
+@query(f"WITH {SQL_NODES}, n AS (SELECT repo, kind, count(*) AS n FROM nodes GROUP BY ALL) SELECT repo, '{{' || string_agg('\"' || kind || '\":' || n, ',' ORDER BY kind) || '}}' AS counts FROM n GROUP BY repo")
+def kinds_by_repository(spark, d):
+    return catalog.kinds_by_repository(nodes(spark, d)).select("repo", map_to_json(F.col("counts")).alias("counts"))
+
+
+@query("""WITH c AS (SELECT o_custkey % 25 AS repo, o_orderpriority AS author FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY o_orderdate DESC, o_orderkey DESC) <= 200), n AS (SELECT repo, author, count(*) AS n FROM c GROUP BY ALL),
+o AS (SELECT repo, author FROM n QUALIFY row_number() OVER (PARTITION BY repo ORDER BY n DESC, author) = 1) SELECT r.repo, coalesce('user:' || author, 'unknown') AS owner FROM (SELECT DISTINCT c_custkey % 40 AS repo FROM customer) r LEFT JOIN o USING (repo)""")
+def every_owner(spark, d):
+    c = table(spark, d, "orders").select((F.col("o_custkey") % 25).alias("repo"), F.col("o_orderpriority").alias("author"), F.col("o_orderdate").alias("committed_at"), F.col("o_orderkey").alias("hash"))
+    return catalog.every_owner(table(spark, d, "customer").select((F.col("c_custkey") % 40).alias("repo")), c)
+
+
+@query("""WITH c AS (SELECT conv_id % 20 AS s, turn, conv_id AS node FROM conversations), l AS (SELECT s, max(turn) AS last FROM c GROUP BY 1)
+SELECT s AS session_id, turn, node AS node_id FROM c UNION ALL SELECT user_id, coalesce(last, 0) + dense_rank() OVER (PARTITION BY user_id ORDER BY event_id), -event_id FROM events LEFT JOIN l ON s = user_id""")
+def record_turns(spark, d):
+    context = table(spark, d, "conversations").select((F.col("conv_id") % 20).alias("session_id"), "turn", F.col("conv_id").alias("node_id"))
+    return sessions.record(context, table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), (-F.col("event_id")).alias("node_id")))
+
+
+@query("""SELECT event_id, 'f' || event_id % 9 AS path, 'deleted' AS op FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, 'g' || user_id, 'created' FROM events WHERE event_type = 'click'
+UNION ALL SELECT event_id, 'f' || event_id % 9, event_type FROM events WHERE event_type <> 'click'""")
+def move_events(spark, d):
+    e = _events(spark, d).withColumns({"op": F.when(F.col("op") == "click", "moved").otherwise(F.col("op")), "dest": F.concat(F.lit("g"), F.col("repo").cast("string"))})
+    return changes.moves_as_two(e).select("event_id", "path", "op")
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 7 DAY THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM e)
+SELECT user_id AS session_id, min(ts)::VARCHAR AS started, max(ts)::VARCHAR AS updated FROM b GROUP BY user_id, g""")
+def live_sessions(spark, d):
+    s = changes.live_sessions(table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts")))
+    return s.select("session_id", F.col("started").cast("string").alias("started"), F.col("updated").cast("string").alias("updated"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, ['class', 'type', 'function'][(s_suppkey % 3 + 1)::INT] AS kind FROM supplier), e AS (SELECT k, kind, k + 1 AS t, k % 2 = 0 AS base FROM s UNION ALL SELECT k, kind, k + 7, k % 2 = 1 FROM s)
+SELECT e.k AS source, s.k AS target, CASE WHEN base AND e.kind <> 'function' THEN 'inherits' WHEN s.kind = 'function' THEN 'calls' ELSE 'uses_type' END AS kind FROM e JOIN s ON s.k = e.t""")
+def link_signatures(spark, d):
+    """Classes and types whose bases stand in the signature, or in the first line of the code; functions of the same form inherit nothing."""
+    k = F.col("s_suppkey")
+    name = lambda x: F.concat(F.lit("Supplier"), x.cast("string"))
+    code = F.concat(F.lit("class own : "), name(k + 7), F.lit(" {\nuse "), name(k + 1))
+    sign = F.when(k % 2 == 0, F.concat(F.lit("class own("), name(k + 1), F.lit("):"))).otherwise(F.lit(""))
+    return link.link_names(table(spark, d, "supplier").select(k.alias("id"), name(k).alias("name"), F.element_at(F.array(F.lit("class"), F.lit("type"), F.lit("function")), (k % 3 + 1).cast("int")).alias("kind"), code.alias("raw_code"), sign.alias("signature")))

@@ -110,7 +110,7 @@ def search(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFra
     kept = budget_prefix(blended.join(tokens, "id"), budget).select("id", "score")
     kept = materialize(kept)
     similarity = vectors.select("id", cosine(F.col("embedding"), query_vector).alias("sim"))
-    grown = graph.expand(nodes, edges, kept, similarity, hops, gate, cut=materialize)
+    grown = graph.expand(nodes, edges, kept, similarity, hops, gate)
     for kind, score in (("uses_type", 0.3), ("reads_config", 0.2)):
         grown = grown.unionByName(graph.context_of(edges, grown, kind, score).withColumn("hop", F.lit(hops + 1)))
         grown = materialize(grown)

@@ -15,6 +15,8 @@ NODES = _s(
 EDGES = _s(("source", _STR), ("target", _STR), ("kind", _STR), ("weight", _DBL), ("metadata", T.MapType(_STR, _STR)), ("seq", _LONG))
 VECTORS = _s(("id", _STR), ("embedding", T.ArrayType(T.FloatType())), ("repo", _STR), ("kind", _STR), ("path", _STR), ("last_modified", _TS), ("http_method", _STR), ("route_path", _STR), ("document", _STR))
 SYMBOLS = _s(("repo", _STR), ("path", _STR), ("name", _STR), ("kind", _STR), ("start_line", _INT), ("end_line", _INT), ("code", _STR), ("signature", _STR), ("docstring", _STR), ("decorators", T.ArrayType(_STR)), ("seq", _LONG))
+SESSIONS = _s(("session_id", _STR), ("created_at", _TS), ("updated_at", _TS), ("data", _STR))
+REPO_STATE = _s(("repo_name", _STR), ("commit", _STR), ("updated_at", _TS))
 RULES = _s(("id", _STR), ("type", _STR), ("description", _STR), ("severity", _STR), ("config", T.MapType(_STR, _STR)))
 
 # They must equal the engine's that this one replaces.
@@ -57,5 +59,13 @@ KEYWORDS = (
     "convenience inout typealias"
 ).split()
 REQUIRED_CONFIG = {"dependency_ban": ("source_pattern", "target_pattern"), "cycle_detection": ("scope",), "metric_threshold": ("metric", "threshold"), "impact_threshold": ("max_impact",), "file_scope_ban": ("path_pattern",)}
+# How a parser's node types are classed.
+DECLARATION_ENDS = ("_declaration", "_definition", "_item")
+NO_SYMBOLS = (
+    "expression_statement assignment variable_declaration lexical_declaration short_var_declaration const_declaration let_declaration var_declaration field_declaration parameter parameter_declaration "
+    "argument_list import_declaration import_statement include_statement package_declaration comment line_comment block_comment ERROR"
+).split()
+FUNCTION_HINTS = ("function", "method", "func", "constructor", "initializer")
+CLASS_HINTS = ("class", "struct", "enum", "protocol", "interface", "trait", "impl", "type", "module", "namespace", "object")
 SEVERITIES = ("info", "warning", "block")
 METRICS = ("afferent_coupling", "efferent_coupling", "instability")

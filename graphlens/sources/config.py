@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tomllib
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,8 +86,20 @@ class Settings:
 
 
 def read_settings(path: str) -> Settings:
+    """The settings of a TOML file; keys that are unknown are left out, with a warning."""
     with open(path, "rb") as f:
         data = tomllib.load(f)
     flat = {k: v for section in data.values() if isinstance(section, dict) for k, v in section.items()}
     known = {k: tuple(v) if isinstance(v, list) else v for k, v in flat.items() if k in Settings.__dataclass_fields__ and k != "unknown"}
-    return Settings(**known, unknown=tuple(sorted(set(flat) - set(known))))
+    unknown = tuple(sorted(set(flat) - set(known)))
+    if unknown:
+        warnings.warn(f"{path} has unknown keys: {', '.join(unknown)}", stacklevel=2)
+    return Settings(**known, unknown=unknown)
+
+
+def read_repositories(path: str) -> list[dict]:
+    """name and path of each [[repos]] entry; relative paths are below the file's folder."""
+    with open(path, "rb") as f:
+        repos = tomllib.load(f).get("repos", [])
+    root = os.path.dirname(os.path.abspath(path))
+    return [{"name": r["name"], "path": os.path.normpath(os.path.join(root, r["path"])), "language": r.get("language_hint")} for r in repos]

@@ -4,17 +4,49 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_made: list[str] = []
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df below spark.checkpoint.dir (a temporary folder only where that is unset) and reads it back."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="graphlens-")
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir, the folder that driver and executors share.
+
+    Only where that setting is absent, as in local use, a temporary folder takes its place.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_graphlens_dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="graphlens-")
+        spark._graphlens_dir = base
+    _made.append(f"{base.rstrip('/')}/graphlens-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was written to the shared folder inside; results have to be stored or collected by then."""
+    start = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[start:]:
+            remove(spark, path)
+        del _made[start:]
+
+
+def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,6 +16,30 @@ def relevant(events: DataFrame, extensions, excluded) -> DataFrame:
     return events.where(ext.isin(*extensions)).where(~F.exists(F.split("path", "/"), lambda p: any_glob(p, excluded)))
 
 
+def moves_as_two(events: DataFrame) -> DataFrame:
+    """events(repo, path, op, ts, event_id, dest): a move is a deletion of its path and a creation of its destination."""
+    moved = F.col("op") == "moved"
+    parts = F.when(moved & F.col("dest").isNotNull() & (F.col("dest") != ""), F.array(F.struct("path", F.lit("deleted").alias("op")), F.struct(F.col("dest").alias("path"), F.lit("created").alias("op"))))
+    parts = parts.otherwise(F.array(F.struct("path", F.when(moved, "deleted").otherwise(F.col("op")).alias("op"))))
+    return events.withColumn("_e", F.explode(parts)).withColumns({"path": F.col("_e.path"), "op": F.col("_e.op")}).drop("_e", "dest")
+
+
+def live_sessions(updates: DataFrame, days: int = 7) -> DataFrame:
+    """The last update of each session; on a stream, sessions that were quiet for so many days leave the state.
+
+    updates(session_id, ts): a window of each session's updates that ends `days` after the last one, with a watermark of the
+    same length on a stream. Columns: session_id, started, updated.
+    """
+    gap = f"{days} days"
+    u = updates.withWatermark("ts", gap) if updates.isStreaming else updates
+    return u.groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("started"), F.max("ts").alias("updated")).select("session_id", "started", "updated")
+
+
+def refresh_every(source: DataFrame, refresh: Callable[[DataFrame, int], None], checkpoint: str, every: str = "10 minutes"):
+    """Calls refresh(batch, batch_id) on a schedule, for a catalogue that is rebuilt as a whole whenever its source has news."""
+    return source.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def last_operations(events: DataFrame) -> DataFrame:
     """The last operation of each path; ties go to the greater event id."""
     return events.groupBy("repo", "path").agg(F.max_by("op", F.struct("ts", "event_id")).alias("op"), F.max("ts").alias("ts"))
