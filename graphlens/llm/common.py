@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize, shared_dir  # noqa: F401
+
 #: The white space that separates words: space and U+0009 to U+000D.
 SPACES = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -15,26 +14,6 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path below the folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where that setting is absent, as in local tests, a temporary folder takes its place.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_graphlens_dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="graphlens-")
-        spark._graphlens_dir = base
-    return f"{base.rstrip('/')}/graphlens-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def narrow_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks df for broadcast if its counted rows are within the limit, else leaves it to a shuffle join."""
     n = df.count() if rows is None else rows

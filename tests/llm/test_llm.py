@@ -542,3 +542,87 @@ def test_packing(docs, empty):
         assert at <= 2048
     assert packing.cut(5000) == [(0, 904), (904, 2048), (2952, 2048)] and packing.cut(2048) == [(0, 2048)] and packing.cut(1) == [(0, 1)]
     assert packing.pack(packing.pieces(empty, bpe.byte_bpe_path())).count() == 0
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+def held_out_rows(spark, name, query, data=DATA):
+    """(row of the query, row of the table) of the held-out fold; the fold and the number of rows are checked."""
+    got = query(spark, data).collect()
+    table = {r.doc_id: r for r in spark.read.parquet(f"{data}/{name}.parquet").collect()}
+    assert len(got) == spark.read.parquet(f"{data}/documents.parquet").count()
+    for r in got:
+        assert not hasattr(r, "held_out") or r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    return [(r, table[r.doc_id]) for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2 and r.doc_id in table]
+
+
+def test_languages_of_the_held_out_fold(spark):
+    rows = [(r, d) for r, d in held_out_rows(spark, "documents", langid.op5_langid) if d.lang and any(c.isalpha() for c in d.text or "")]
+    assert len(rows) > 100 and sum(r.lang_pred == d.lang for r, d in rows) > 0.98 * len(rows)
+
+
+def test_quality_of_the_held_out_fold(spark):
+    rows = [(r, d) for r, d in held_out_rows(spark, "labels", pu_quality.op8_pu_quality, "/root/testdata/sf0.1") if d.quality is not None]
+    assert len(rows) > 50 and sum(r.predicted == d.quality for r, d in rows) > 0.95 * len(rows)
+    good, bad = ([r.score for r, d in rows if d.quality == q] for q in (1, 0))
+    assert sum(a > b for a in good for b in bad) > 0.97 * len(good) * len(bad)
+
+
+def test_learned_rules_on_the_held_out_fold(spark):
+    rows = [(r, d) for r, d in held_out_rows(spark, "labels", quality_rules.op1_quality_rules, "/root/testdata/sf0.1") if d.quality is not None and not r.base_failed]
+    good, bad = ([r.kept for r, d in rows if d.quality == q] for q in (1, 0))
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.2 * len(bad)
+
+
+def test_pipeline_stage_by_stage(spark, docs, empty, tmp_path):
+    from tokenizers import Tokenizer
+
+    spark.createDataFrame([(k, int(k % 5 > 0), 0) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    stage = dict(corpus_pipeline.STAGES)
+    assert names == ["quality_rules", "quality_classifier", "exact_dedup", "ngram_join", "packing"]
+    key = lambda r: (str(r.doc_id), r.text or "", r.lang or "", r.source)
+    before = docs
+    for name in names[:-1]:
+        after = stage[name](spark, before, str(tmp_path))
+        assert after.columns == docs.columns
+        rows, kept = before.collect(), collections.Counter(map(key, after.collect()))
+        if name == "quality_rules":
+            def fails(t):
+                w = WORD.findall(t or "")
+                win = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+                covered = {p for k in range(len(w) - 7) if win[tuple(w[k : k + 8])] > 1 for p in range(k, k + 8)}
+                return len(w) < 20 or 100 * len(covered) > 30 * len(w)
+
+            learned = quality_rules.learn_rules(quality_rules.labelled_sample(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")))
+            rejected = {key(r) for r in rows if fails(r.text)}
+            assert not rejected & set(kept) and (learned or set(kept) == {key(r) for r in rows} - rejected)
+            before = docs  # few pass; the next stages are tried on all rows
+            continue
+        if name == "quality_classifier":
+            model = pu_quality.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+            score = {key(r): model.score(np.array([pu_quality.describe(r.text or "")]))[0] for r in rows}
+            assert kept == collections.Counter(key(r) for r in rows if score[key(r)] >= 0.7)
+            before = docs
+            continue
+        if name == "exact_dedup":
+            groups = collections.defaultdict(list)
+            for r in rows:
+                groups[re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")].append(r.doc_id)
+            want = collections.Counter(str(min((i for i in g if i is not None), default=None)) for g in groups.values())
+            assert collections.Counter(r.doc_id is None and "None" or str(r.doc_id) for r in after.collect()) == want
+        if name == "ngram_join":
+            top = components_by_hand([(r.doc_id, r.text) for r in rows])
+            assert {r.doc_id for r in after.collect()} == {k for k, (_, c) in top.items() if c == k} | {r.doc_id for r in rows if r.doc_id is None}
+        before = spark.createDataFrame(after.collect(), docs.schema)
+    got, tk = stage["packing"](spark, before, "").collect(), Tokenizer.from_file(bpe.byte_bpe_path())
+    ids = collections.Counter()
+    for r in before.collect():
+        ids[str(r.doc_id)] += len(tk.encode(r.text or "", add_special_tokens=False).ids) + 1
+    packed = collections.Counter()
+    for r in got:
+        packed[str(r.doc_id)] += r.length
+    assert packed == ids
+    for name in names:
+        assert stage[name](spark, empty, str(tmp_path)).count() == 0
