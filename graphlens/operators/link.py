@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import basename, identifiers, normalize_route
-from ..schemas import KEYWORDS
+from ..schemas import BASES, KEYWORDS
 from .graph import first_by
 
 #: Names with more definitions are never linked.
@@ -28,12 +28,7 @@ def bases(signature: Column) -> Column:
         cut = F.transform(F.split(part, ","), lambda x: F.trim(F.regexp_extract(F.trim(x), "^[^<\\[(=]*", 0)))
         return F.filter(cut, lambda x: x.rlike("^[A-Z][A-Za-z0-9_]*$"))
 
-    found = [
-        names(F.regexp_extract(signature, "\\(\\s*([^)]+)\\)", 1)),
-        names(F.regexp_extract(signature, "(?:class|struct|enum|protocol|interface)\\s+\\w+\\s*:\\s*(.+?)(?:\\{|where|$)", 1)),
-        names(F.regexp_extract(signature, "extends\\s+([\\w,\\s<>]+?)(?:\\{|implements|$)", 1)),
-        names(F.regexp_extract(signature, "implements\\s+([\\w,\\s<>]+?)(?:\\{|implements|$)", 1)),
-    ]
+    found = [names(F.regexp_extract(signature, p, 1)) for p in BASES]
     return F.array_sort(F.array_distinct(F.concat(*found)))
 
 

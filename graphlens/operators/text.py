@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import normalize_route, split_name
-from ..schemas import INTENTS, STOPWORDS
+from ..schemas import INTENTS, REQUEST, STOPWORDS, TEXT_WORD
 from ..sources.shared import materialize
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of three characters and more, each followed by the parts of its name."""
-    found = F.regexp_extract_all(text, F.lit("[a-zA-Z_][a-zA-Z0-9_]{2,}"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(TEXT_WORD), F.lit(0))
     return F.flatten(F.transform(found, lambda w: F.concat(F.array(F.lower(w)), split_name(w))))
 
 
@@ -71,7 +71,7 @@ def route_match(endpoints: DataFrame, query: str) -> DataFrame:
     """
     import re
 
-    found = re.search(r"(?:\b(GET|POST|PUT|DELETE|PATCH)\s+)?(/\S*)", query, re.IGNORECASE)
+    found = re.search(REQUEST, query, re.IGNORECASE)
     if not found:
         return endpoints.select("id", F.lit(0.0).alias("score")).limit(0)
     method = (found[1] or "").upper()

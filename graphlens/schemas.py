@@ -67,5 +67,18 @@ NO_SYMBOLS = (
 ).split()
 FUNCTION_HINTS = ("function", "method", "func", "constructor", "initializer")
 CLASS_HINTS = ("class", "struct", "enum", "protocol", "interface", "trait", "impl", "type", "module", "namespace", "object")
+# Words before and of a declaration where no parser knows the language, and the most lines that it may take.
+FUNCTION_WORDS = ("func", "def", "fn", "fun", "function")
+TYPE_WORDS = ("class", "struct", "enum", "protocol", "interface", "trait", "object")
+FUNCTION_MODIFIERS = ("pub", "public", "priv", "private", "prot", "protected", "internal", "open", "fileprivate", "static", "async", "override", "final", "abstract", "virtual")
+TYPE_MODIFIERS = ("pub", "public", "priv", "private", "prot", "protected", "internal", "open", "fileprivate", "static", "final", "abstract", "sealed")
+LONGEST_DECLARATION = 200
+# A word of a text, an HTTP request in a question, and the forms in which a signature names its bases.
+TEXT_WORD = "[a-zA-Z_][a-zA-Z0-9_]{2,}"
+REQUEST = r"(?:\b(GET|POST|PUT|DELETE|PATCH)\s+)?(/\S*)"
+BASES = (
+    "\\(\\s*([^)]+)\\)", "(?:class|struct|enum|protocol|interface)\\s+\\w+\\s*:\\s*(.+?)(?:\\{|where|$)",
+    "extends\\s+([\\w,\\s<>]+?)(?:\\{|implements|$)", "implements\\s+([\\w,\\s<>]+?)(?:\\{|implements|$)",
+)
 SEVERITIES = ("info", "warning", "block")
 METRICS = ("afferent_coupling", "efferent_coupling", "instability")
