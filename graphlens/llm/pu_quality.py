@@ -1,17 +1,17 @@
 """Quality classifier learned from positives and unlabelled text.
 
-A text becomes a few statistics of its whole length; each is cut at quantiles of the training sample into indicator
+A text becomes a few statistics of its whole length; each is cut at quantiles of all training texts into indicator
 columns, and a logistic model on them minimises the non-negative unbiased risk: trusted positives (label 1), unlabelled
 web text as a mixture of both classes, and the estimated share of positives in it. That share is the least ratio of
-unlabelled to positive mass above any threshold of a model that tells the two samples apart. Labelled training rows of
-both classes then fit two numbers that turn margins into probabilities.
+the mass of all training texts to the positive mass above any threshold of a model that tells the two kinds apart.
+Labelled training rows of both classes then fit two numbers that turn margins into probabilities.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import fold_of, materialize, table
 
-#: Rows of each kind (positive, negative for calibration only, unlabelled) that the model is fitted on, at most; those with the least hash of the id.
+#: Rows of each kind (positive, negative for calibration only, unlabelled) whose weights the model is fitted on, at most; those with
+#: the least hash of the id. Quantiles and the class prior are statistics of all training texts.
 SAMPLE = 12_000
 BINS = 16
 FEATURES = 16
@@ -87,33 +88,50 @@ def _descend(rows: list[np.ndarray], size: int, gradient, rounds: int = 400, rat
     return w[:size], w[size]
 
 
-def class_prior(pos: np.ndarray, unl: np.ndarray, least: float = 0.4) -> float:
-    """Share of positives among the unlabelled, from scores of a model that tells the samples apart.
+def class_prior(pos: np.ndarray, above: Callable[[np.ndarray], np.ndarray], least: float = 0.4) -> float:
+    """Share of positives among the unlabelled, from scores of a model that tells the two apart.
 
-    Unlabelled mass above a threshold is at least the prior times the positive mass above it; the tightest threshold with
-    at least `least` of the positives above it gives the estimate.
+    above(thresholds) is the unlabelled mass from each threshold on. It is at least the prior times the positive mass there;
+    the tightest threshold with at least `least` of the positives above it gives the estimate.
     """
     grid = np.quantile(pos, np.linspace(0, 1 - least, 50))
-    ratio = [(unl >= t).mean() / max((pos >= t).mean(), 1e-9) for t in grid]
-    return float(np.clip(min(ratio), 0.05, 0.99))
+    return float(np.clip((above(grid) / np.maximum(_share_above(pos, grid), 1e-9)).min(), 0.05, 0.99))
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, labelled: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
-    """The model of rows of statistics: trusted positives, unlabelled rows, and labelled (rows, 0/1) for calibration."""
+def _share_above(margins: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    return (margins[:, None] >= grid).mean(0)
+
+
+def cut_points(n: int) -> list[float]:
+    """The quantiles that n rows are cut at: few rows, few bins; tails only where they hold rows."""
+    bins = min(BINS, max(3, n // 150))
+    tails = [q for q in (0.005, 0.01, 0.02, 0.04) if q * n >= 10]
+    return sorted([*np.linspace(0, 1, bins + 1)[1:-1].tolist(), *tails, *(1 - q for q in tails)])
+
+
+def fit(pos: np.ndarray, unl: np.ndarray, labelled: tuple[np.ndarray, np.ndarray] | None = None, cuts: np.ndarray | None = None, halves: tuple[np.ndarray, np.ndarray] | None = None, above=None) -> Model:
+    """The model of rows of statistics: trusted positives, unlabelled rows, and labelled (rows, 0/1) for calibration.
+
+    Where unl is a sample of a larger table, that table gives its cuts[feature, cut], the half (0 or 1) of each row of pos and
+    unl, and above(margins, thresholds), the share of its rows from each threshold on, for margins(rows, halves).
+    """
     both = np.concatenate([pos, unl])
-    bins = min(BINS, max(3, len(both) // 150))  # few rows, few bins
-    tails = [q for q in (0.005, 0.01, 0.02, 0.04) if q * len(both) >= 10]
-    model = Model(np.quantile(both, sorted([*np.linspace(0, 1, bins + 1)[1:-1], *tails, *(1 - q for q in tails)]), axis=0).T, np.zeros(0))
+    model = Model(np.quantile(both, cut_points(len(both)), axis=0).T if cuts is None else cuts, np.zeros(0))
     decay = min(0.01, max(1e-4, 1 / len(both)))
     size = both.shape[1] * (model.cuts.shape[1] + 1)
     p, u = model.columns(pos), model.columns(unl)
     tell = lambda z: [-_sigmoid(-z[0]) / len(z[0]), _sigmoid(z[1]) / len(z[1])]
-    margins: list[list[np.ndarray]] = [[], []]
-    for half in (0, 1):  # each half is scored by the other half's model
-        w, b = _descend([p[half::2], u[half::2]], size, tell, rounds=200, decay=decay)
-        for out, c in zip(margins, (p, u), strict=True):
-            out.append(w[c[1 - half :: 2]].sum(1) + b)
-    model.prior = prior = class_prior(*map(np.concatenate, margins))
+    hp, hu = halves or (np.arange(len(pos)) % 2, np.arange(len(unl)) % 2)
+    # each half is scored by the other half's model
+    tellers = [_descend([p[hp != half], u[hu != half]], size, tell, rounds=200, decay=decay) for half in (0, 1)]
+    columns = model.columns
+
+    def margins(x: np.ndarray, half: np.ndarray) -> np.ndarray:
+        c = columns(x)
+        return np.where(half == 0, *(w[c].sum(1) + b for w, b in tellers))
+
+    mass = (lambda grid: _share_above(margins(unl, hu), grid)) if above is None else (lambda grid: above(margins, grid))
+    model.prior = prior = class_prior(margins(pos, hp), mass)
 
     def gradient(z):
         # risk = prior * E_p[loss(z)] + max(0, E_u[loss(-z)] - prior * E_p[loss(-z)]), logistic loss
@@ -136,27 +154,54 @@ def fit(pos: np.ndarray, unl: np.ndarray, labelled: tuple[np.ndarray, np.ndarray
     return model
 
 
+def half_of(ids) -> np.ndarray:
+    """The half of each id in cross-fitting: a bit of its hash that the folds do not use."""
+    return np.array([zlib.crc32(str(i).encode()) >> 2 & 1 for i in ids], int)
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """A model of docs and labels(doc_id, quality) outside the held-out fold; None without positives or other text."""
-    kind = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").where(fold_of(F.col("doc_id")) != 2).dropDuplicates(["doc_id"])
-    least = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").where(fold_of(F.col("doc_id")) != 2)
-    unl = least(ids.withColumn("h", F.xxhash64("doc_id", F.lit(3))).orderBy("h", "doc_id").limit(rows).select("doc_id").distinct()).withColumn("y", F.lit(-1))
-    wanted = materialize(least(kind.where("y = 1")).unionByName(least(kind.where("y = 0"))).unionByName(unl).groupBy("doc_id").agg(F.collect_set("y").alias("ys")))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "doc_id").select("ys", "text")
+    """A model of docs and labels(doc_id, quality) outside the held-out fold; None without positives or other text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Rows with a null id are left out; of several labels of an id the least counts, and of several texts of a sampled id the one
+    with the least statistics.
+    """
+    kind = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").where(fold_of(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.min("y").alias("y"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL").where(fold_of(F.col("doc_id")) != 2)
+
+    def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([describe(t.as_py() or "") for t in batch.column(1)], pa.list_(pa.float64()))], names=["ys", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([describe(t.as_py() or "") for t in batch.column(1)], pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    got = texts.mapInArrow(run, "ys array<int>, x array<double>").toArrow()
-    x = np.array(got.column("x").to_pylist()).reshape(-1, FEATURES)
-    ys = got.column("ys").to_pylist()
+    every = materialize(own.mapInArrow(statistics, "doc_id long, x array<double>"))
+    least = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    unl = every.groupBy("doc_id").agg(F.xxhash64("doc_id", F.lit(3)).alias("h")).orderBy("h", "doc_id").limit(rows).select("doc_id", F.lit(-1).alias("y"))
+    wanted = materialize(least(kind.where("y = 1")).unionByName(least(kind.where("y = 0"))).unionByName(unl).groupBy("doc_id").agg(F.collect_set("y").alias("ys")))
+    got = every.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "ys").agg(F.min("x").alias("x")).orderBy("doc_id").toArrow().combine_chunks()
+    ids, ys = got.column("doc_id").to_pylist(), got.column("ys").to_pylist()
     part = {y: np.array([y in own for own in ys], bool) for y in (1, 0, -1)}
     if not part[1].any() or not part[-1].any():
         return None
+    x, half = np.array(got.column("x").to_pylist(), float).reshape(-1, FEATURES), half_of(ids)
+    at = F.array(*map(F.lit, cut_points(every.count())))
+    cuts = np.array(every.agg(*(F.percentile_approx(F.col("x")[i], at, 10_000).alias(f"c{i}") for i in range(FEATURES))).first(), float)
+
+    def above(margins, grid: np.ndarray) -> np.ndarray:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(grid) + 1, int)
+            for batch in batches:
+                z = margins(_matrix(batch.column(1)), half_of(batch.column(0).to_pylist()))
+                total += [*(z[:, None] >= grid).sum(0), len(z)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["k", "n"])
+
+        sums = every.mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
+        return np.array([r["n"] for r in sums[:-1]], float) / sums[-1]["n"]
+
     known = part[1] | part[0]
-    return fit(x[part[1]], x[part[-1]], (x[known], part[1][known].astype(float)))
+    return fit(x[part[1]], x[part[-1]], (x[known], part[1][known].astype(float)), cuts, (half[part[1]], half[part[-1]]), above)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -438,6 +438,27 @@ def test_pu_scores(spark, docs, empty):
     assert pu_quality.keep_good(docs, model).columns == docs.columns
 
 
+def test_pu_statistics_cover_all_texts(spark):
+    """With a sample of 60 rows of each kind, quantiles and the unlabelled mass are still those of all training texts."""
+    texts = [(k, "| # 1 2 $ " * (k % 40 + 3) if k % 5 == 0 else " ".join(f"word{k * j % 97} reads" for j in range(k % 50 + 10))) for k in range(3000)]
+    docs = spark.createDataFrame([*texts, *texts[:200], (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 > 0)) for k in range(0, 3000, 2)], "doc_id long, quality int")
+    model = pu_quality.train(docs, labels, rows=60)
+    kept = [t for k, t in [*texts, *texts[:200]] if zlib.crc32(str(k).encode()) % 4 != 2]
+    x, points = np.array([pu_quality.describe(t) for t in kept]), pu_quality.cut_points(len(kept))
+    assert model.cuts.shape == (pu_quality.FEATURES, len(points))
+    for cuts, column in zip(model.cuts, x.T, strict=True):
+        column = np.sort(column)
+        for c, q in zip(cuts, points, strict=True):
+            lo, hi = np.searchsorted(column, c, "left"), np.searchsorted(column, c, "right")
+            assert lo - 2 <= q * len(column) <= hi + 2
+    assert abs(model.prior - 0.8) < 0.15  # the least ratio over thresholds set by 60 positives: a low estimate
+    got = pu_quality.score(docs, model).where("doc_id IS NOT NULL").collect()
+    assert sum(r.predicted == int(r.doc_id % 5 > 0) for r in got) > 0.97 * len(got)
+    again = pu_quality.train(docs.repartition(5), labels, rows=60)
+    assert np.allclose(again.weights, model.weights) and again.prior == model.prior
+
+
 def test_encoding(docs):
     from tokenizers import Tokenizer
 
