@@ -20,18 +20,22 @@ def bm25(docs: DataFrame, query: str, k: int = 9, k1: float = 1.5, b: float = 0.
     """docs(id, text) -> id, score of the k best, divided by the best score; scores of 0 and less are dropped.
 
     Terms in over half of the documents take epsilon times the mean idf. Query terms count as often as they occur.
-    Documents are tokenised once, into a table in the shared folder; term counts are combined before the shuffle, and only the query's postings go on.
+    Documents are tokenised once: words are counted before their names are split, and term counts go to a table in the shared folder.
+    Rows with the same id are one document.
     """
     spark = docs.sparkSession
-    terms = materialize(docs.select("id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0))
-    lengths = terms.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg"))
-    df = terms.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    found = docs.select("id", F.explode(F.regexp_extract_all("text", F.lit(TEXT_WORD), F.lit(0))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("k"))
+    parts = found.select("id", "k", F.explode(F.concat(F.array(F.lower("w")), split_name(F.col("w")))).alias("term"))
+    terms = materialize(parts.groupBy("id", "term").agg(F.sum("k").alias("tf")))
+    by_doc = terms.groupBy(F.col("id").alias("of")).agg(F.sum("tf").alias("dl"))
+    lengths = by_doc.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(lengths.select("n"))).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean"))
     asked = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qn"))
     weights = idf.join(F.broadcast(asked), "term").crossJoin(F.broadcast(mean)).select("term", "qn", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
     words = [r[0] for r in asked.collect()]
-    postings = terms.select("id", F.size("t").alias("dl"), F.explode(F.filter("t", lambda x: x.isin(words))).alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    postings = terms.where(F.col("term").isin(words)).join(by_doc, F.col("id").eqNullSafe(F.col("of")))
     part = F.col("qn") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg")))
     scores = postings.join(F.broadcast(weights), "term").crossJoin(F.broadcast(lengths.select("avg"))).groupBy("id").agg(F.sum(part).alias("raw"))
     best = scores.orderBy(F.desc("raw"), "id").limit(k)
