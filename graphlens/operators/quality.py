@@ -10,12 +10,14 @@ from ..schemas import EXPECTED_EDGES, QUALITY_WEIGHTS, SYMBOL_KINDS, THIN_CLASS
 
 def scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, kind, repo, quality and its parts for nodes(id, repo, kind, name, start_line, end_line, raw_code, summary, docstring, has_embedding)."""
-    out = edges.groupBy(F.col("source").alias("id")).agg(
-        F.count_if(F.col("kind") != "contains").alias("m_out"), F.count_if(F.col("kind") == "contains").alias("c"), F.collect_set("kind").alias("kinds"),
-    )
-    into = edges.where("kind != 'contains'").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("m_in"))
-    n = nodes.join(out, "id", "left").join(into, "id", "left")
-    m = F.coalesce("m_out", F.lit(0)) + F.coalesce("m_in", F.lit(0))
+    # one pass over both ends of each edge; of the outgoing kinds only the expected ones matter
+    wanted = sorted({"contains", *(k for want in EXPECTED_EDGES.values() for k in want)})
+    end = lambda column, out: F.struct(F.col(column).alias("id"), "kind", F.lit(out).alias("out"))
+    e = edges.select(F.explode(F.array(end("source", True), end("target", False))).alias("e")).select("e.*")
+    link, out = F.col("kind") != "contains", F.col("out")
+    sums = e.groupBy("id").agg(F.count_if(link).alias("m"), F.count_if(out & ~link).alias("c"), *(F.max(out & (F.col("kind") == k)).alias(f"has_{k}") for k in wanted))
+    n = nodes.join(sums, "id", "left")
+    m = F.coalesce("m", F.lit(0))
     c = F.coalesce("c", F.lit(0))
     low = F.lower("name")
     named = F.lit(False)
@@ -30,7 +32,7 @@ def scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     embedded = F.col("has_embedding").cast("double")
     content = (has("raw_code") | has("summary")).cast("double")
     content = F.when(is_symbol, 0.7 * content + 0.3 * has("docstring").cast("double")).otherwise(content)
-    kinds = F.coalesce("kinds", F.array().cast("array<string>"))
+    kinds = F.array_compact(F.array(*(F.when(F.col(f"has_{k}"), F.lit(k)) for k in wanted)))
     expected = F.when(is_file & (c == 0), F.array().cast("array<string>")).when(is_file & (c <= 2), F.array(F.lit("contains")))
     for kind, want in EXPECTED_EDGES.items():
         expected = expected.when(F.col("kind") == kind, F.array(*map(F.lit, want)))
