@@ -474,6 +474,24 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("u", "c")
 
 
+def apart(rows: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows(doc_id, text) with a number of its own for each text of the ids in several, and names(doc_id, name): those numbers'
+    ids. The numbers are hashes of id and text; repeated rows stay one."""
+    known = rows.join(narrow_side(several.withColumn("known", F.lit(True))), "doc_id", "left")
+    number = F.when(F.col("known"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    names = materialize(known.where("known").select(number.alias("doc_id"), F.col("doc_id").alias("name")).distinct())
+    return known.select(number.alias("doc_id"), "text"), names
+
+
+def by_name(links: DataFrame, names: DataFrame | None) -> DataFrame:
+    """links(u, v) between documents, from links between their texts."""
+    if names is None:
+        return links
+    for end in ("u", "v"):
+        links = links.join(narrow_side(names.select(F.col("doc_id").alias(end), F.col("name"))), end, "left").withColumn(end, F.coalesce("name", end)).drop("name")
+    return links.select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs.
 
@@ -484,11 +502,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    measured = materialize(rows.mapInArrow(_measure, "doc_id long, n long, print binary, block int, counts binary"))
+    measure = lambda df: materialize(df.mapInArrow(_measure, "doc_id long, n long, print binary, block int, counts binary"))
+    measured = measure(rows)
     shared = spark.sparkContext.broadcast(_classes(measured.where("block IS NOT NULL").select("block", "counts")))
-    sets = measured.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("print").alias("print"), F.max("print").alias("other")).where("print = other")
+    sets = measured.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("print").alias("print"), F.max("print").alias("other"))
+    several = materialize(sets.where("print != other").select("doc_id"))
+    sets, names = sets.where("print = other").select("doc_id", "print"), None
+    if several.limit(1).count():
+        rows, names = apart(rows, several)
+        sets = sets.unionByName(measure(rows.join(narrow_side(names.select("doc_id")), "doc_id", "left_semi")).where("n > 0").select("doc_id", "print"))
     first = sets.groupBy("print").agg(F.min("doc_id").alias("v"), F.count("*").alias("k")).where("k > 1").select("print", "v")
-    copies = materialize(sets.join(narrow_side(materialize(first)), "print").where("doc_id != v").select(F.col("doc_id").alias("u"), "v"))
+    copies = materialize(sets.join(narrow_side(materialize(first)), "print").where("doc_id != v").select(F.col("doc_id").alias("u"), "v").distinct())
     named = rows.where("doc_id IS NOT NULL").join(narrow_side(copies.select(F.col("u").alias("doc_id"))), "doc_id", "left_anti")
     grams = named.mapInArrow(_prefixes(shared), "gram long, doc long, pos int, n int")
     postings = materialize(grams.repartition(parts, "gram").sortWithinPartitions("gram", "doc").mapInArrow(_stars, "gram long, doc long, pos int, n int, star long, star_n int"))
@@ -501,15 +525,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = stars.groupBy(F.col("star").alias("a"), F.col("doc").alias("b"), F.col("star_n").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("k"))
     links = verified(stars.where(F.col("k") >= F.least(F.lit(ELL), need)).select("a", "b", "nb"), texts, shared, parts)
     links = links.unionByName(copies)
-    found = components(links)
+    found = components(by_name(links, names))
+    placed = found
+    if names is not None:
+        own = names.select(F.col("doc_id").alias("doc"), F.col("name")).join(found.withColumnRenamed("doc", "name"), "name", "left").select("doc", F.coalesce("component", "name").alias("component"))
+        placed = materialize(found.unionByName(own))
 
-    joined = postings.join(narrow_side(found), "doc", "left").select("gram", "doc", "pos", "n", F.coalesce("component", "doc").alias("comp"), "star")
+    joined = postings.join(narrow_side(placed), "doc", "left").select("gram", "doc", "pos", "n", F.coalesce("component", "doc").alias("comp"), "star")
     crossing = meetings(joined, parts)
     reach = 1 + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
     crossing = crossing.where((F.col("k") >= F.least(F.lit(ELL), need)) & (reach >= need)).select("a", "b", "nb")
     more = verified(crossing, texts, shared, parts)
     if more.limit(1).count():
-        found = components(links.unionByName(more))
+        found = components(by_name(links.unionByName(more), names))
     sizes = measured.where("block IS NULL").select("doc_id", F.col("n").alias("n_shingles"))
     out = sizes.join(narrow_side(found.withColumnRenamed("doc", "doc_id")), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
