@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ByteBpe, byte_bpe_path, load
+from .bpe import ByteBpe, byte_bpe_path, load, own_encoder
 from .common import materialize, narrow_side, table
 
 SEQUENCE = 2048
 #: A bin with at most so many free tokens is emitted at once.
 SLACK = 8
+#: Texts with so much white space in a run go to the encoder of this package; the fast one runs out of stack on such runs.
+_LONG_SPACE = re.compile(r"\s{20000}")
 #: Groups that are merged into one at the next level.
 FAN_IN = 8
 
@@ -130,12 +133,16 @@ def pieces(docs: DataFrame, tokenizer: str, separator: int = 0, size: int = SEQU
     """doc_id, piece, start, length, ids_crc32 of each row's whole text (null: empty) with the separator's id at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _fast_encoder(tokenizer)
+        encoder, exact = _fast_encoder(tokenizer), own_encoder(tokenizer)
         end = np.array([separator], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array(encoder.encode(text.as_py() or "", allowed_special="all", disallowed_special=()), "<u4").tobytes() + end
+            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = value.as_py() or ""
+                if len(text) >= 20000 and _LONG_SPACE.search(text):
+                    ids = next(iter(exact.encode([text]))) + end
+                else:
+                    ids = np.array(encoder.encode(text, allowed_special="all", disallowed_special=()), "<u4").tobytes() + end
                 for k, (s, n) in enumerate(cut(len(ids) // 4, size)):
                     rows.append((doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
@@ -186,9 +193,9 @@ def pack(items: DataFrame, size: int = SEQUENCE, per_group: int = 40_000) -> Dat
 
     Repeated rows are items of their own, with null ids too. An empty table gives an empty result. Items are at most `size` long.
     """
-    rows = materialize(items)
+    rows = materialize(items.withColumn("row", F.monotonically_increasing_id()))
     groups = max(1, -(-rows.count() // per_group))
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups))).drop("row")  # by row, so ids that repeat are no hot group
     cols = [c.split()[0] for c in _PIECE.split(", ")] + ["sequence_id", "offset"]
     packed = materialize(rows.groupBy("group").applyInArrow(_packer(size, groups == 1), _ROW))
     finished, level = [packed.where("done").select(cols)], 1
