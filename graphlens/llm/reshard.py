@@ -9,6 +9,7 @@ take it within its share. Only shards that gain or lose rows are written anew; t
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,12 +185,17 @@ def reshard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
     are placed like any other. An empty table gives an empty result. Other columns of docs are not looked at.
     """
     spark = docs.sparkSession
-    name = F.regexp_extract(F.input_file_name(), r"[^/]*$", 0)
-    files = sorted({f.rsplit("/", 1)[-1] for f in docs.inputFiles()})
-    known = F.broadcast(spark.createDataFrame([(f, i * shards // len(files)) for i, f in enumerate(files)] or [("", 0)], "file string, old int"))
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), name.alias("file"))
+    try:
+        docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+        files_of = docs
+    except AnalysisException:  # rows that come from no Parquet file; once written, each has a place that stays the same
+        files_of = None
+        docs = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    files = sorted({f.rsplit("/", 1)[-1] for f in (files_of.inputFiles() if files_of is not None else [])})
+    known = narrow_side(spark.createDataFrame([(f, i * shards // len(files)) for i, f in enumerate(files)] or [("", 0)], "file string, old int"), max(1, len(files)))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "file", F.xxhash64("file", "row").alias("place"))
     size = F.octet_length(text_of("text")).cast("long") + 1
-    full = kept.withColumn("v", F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), F.lit(7)), F.lit(STEPS)))
+    full = kept.withColumn("v", F.pmod(F.xxhash64("place"), F.lit(STEPS)))  # by place, so repeated rows differ
     full = full.join(known, "file", "left").withColumn("old", F.coalesce("old", F.lit(0))).drop("file")
     full = full.withColumns({"size": size, "h": F.xxhash64(text_of("text"))})
     rows = materialize(full.select("size", "h", "v", "old"))
@@ -204,15 +210,16 @@ def reshard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
     moves = placed(rows).where("shard != old").groupBy("shard", "old").agg(F.count("*")).collect()
     touched = sorted({x for r in moves for x in (r[0], r[1])})
     total = int(rows.agg(F.sum("size")).first()[0] or 0)
-    out = placed(full).select("doc_id", "text", "shard", "old_shard")
+    out = placed(full).select("doc_id", "text", "shard", "old_shard", "place")
     if not touched:
-        return out
+        return out.drop("place")
     changed = F.col("shard").isin(touched) | F.col("old_shard").isin(touched)
     salts = 1 + total // shards // TASK_BYTES
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * shards * salts)
     path = shared_dir(spark)
-    salted = out.where(changed).withColumn("s", F.col("shard")).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(max(salts, parts // shards))))
-    salted.repartition(parts, "shard", "salt").drop("salt").write.option("compression", "zstd").partitionBy("s").parquet(path)
+    salted = out.where(changed).withColumn("s", F.col("shard")).withColumn("salt", F.pmod(F.xxhash64("place", F.lit(1)), F.lit(max(salts, parts // shards))))
+    salted.repartition(parts, "shard", "salt").drop("salt", "place").write.option("compression", "zstd").partitionBy("s").parquet(path)
+    out = out.drop("place")
     again = spark.read.schema(out.schema).parquet(path).select(out.columns)
     return again.unionByName(out.where(~changed))
 
