@@ -174,10 +174,15 @@ def decision(rules: list[Rule], m: Column | None = None) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """FEATURES, doc_id and bad of at most `rows` labelled rows outside the held-out fold."""
+    """FEATURES, doc_id and bad of at most `rows` labelled documents outside the held-out fold.
+
+    Of an id's labels the least counts, so one bad label makes it bad; of its texts the least counts. Null ids and labels teach
+    nothing.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 0).alias("bad")).where("doc_id IS NOT NULL AND bad IS NOT NULL").where(fold_of(F.col("doc_id")) != 2)
-    own = own.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    own = own.groupBy("doc_id").agg(F.max("bad").alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(own), "doc_id")
+    texts = texts.groupBy("doc_id", "bad").agg(F.min("text").alias("text"))
     return materialize(texts.select("doc_id", "bad", measure(F.col("text")).alias("m")).select("doc_id", "bad", "m.*"))
 
 
