@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.expressions import any_glob, map_to_json, detect_language, identifiers, normalize_route, path_suffix_match, recency, saturate, split_name, token_estimate
 from ..operators import catalog, changeset, graph, guardrails, link, quality, sessions, summaries, temporal, text, vector
 from ..schemas import EDGE_WEIGHTS, EXTENSIONS, FRAMEWORKS, INTENTS, KEYWORDS, STOPWORDS, SYMBOL_KINDS, THIN_CLASS
-from ..sources.shared import materialize
-from ..streaming import changes
+from ..sources.shared import materialize, shared_dir
+from ..streaming import changes, stateful
 from .adapters import SQL_EDGES, SQL_GRAPH, SQL_NODES, edges, nodes, table
 
 QUERIES: dict = {}
@@ -604,6 +604,33 @@ def capped_batches(spark, d):
     return changes.batches(_events(spark, d), 7200, 14400).select("repo", F.unix_micros("start").alias("start"), "n")
 
 
+def _file_events(e: DataFrame) -> DataFrame:
+    """Rows of events as changes of files: errors are deletions."""
+    op = F.when(F.col("event_type") == "error", "deleted").otherwise("modified")
+    return e.select(F.col("user_id").cast("string").alias("repo"), F.concat(F.lit("f"), (F.col("event_id") % 9).cast("string")).alias("path"), op.alias("op"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+
+
+_FLUSHES = """WITH e AS (SELECT user_id::VARCHAR AS repo, event_id, 'f' || event_id % 9 AS path, event_type = 'error' AS gone, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 7200000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY repo ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS g FROM e), c AS (SELECT *, (us - min(us) OVER (PARTITION BY repo, g)) // 14400000000 AS cut FROM b),
+l AS (SELECT repo, g, cut, path, arg_max(gone, us::HUGEINT * 1000000000 + event_id) AS gone, min(us) AS lo, max(us) AS hi, count(*) AS n FROM c GROUP BY ALL)
+SELECT repo, min(lo) AS start, max(hi) AS last, sum(n)::BIGINT AS n, coalesce(string_agg(path, ' ' ORDER BY path) FILTER (NOT gone), '') AS changed, coalesce(string_agg(path, ' ' ORDER BY path) FILTER (gone), '') AS deleted FROM l GROUP BY repo, g, cut"""
+
+
+def _flush_rows(f: DataFrame) -> DataFrame:
+    return f.select("repo", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("last"), "n", F.array_join("changed", " ").alias("changed"), F.array_join("deleted", " ").alias("deleted"))
+
+
+@query(_FLUSHES)
+def flush_batches(spark, d):
+    return _flush_rows(stateful.flushes(_file_events(table(spark, d, "events")), 7200, 14400))
+
+
+@query(_FLUSHES)
+def stream_flushes(spark, d):
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table(spark, d, "events").schema)
+    return _flush_rows(stateful.flushed(spark, f"{d}/event[s].parquet", schema, _file_events, 7200, 14400, shared_dir(spark)))
+
+
 # -- changes of a graph, reports --------------------------------------------
 
 _DIFF = """f AS (SELECT c_custkey AS k, path, c_custkey % 500 + 1 AS a, c_custkey % 500 + 1 + c_custkey % 7 + 1 AS b, c_custkey % 10 = 3 AS gone FROM cust),

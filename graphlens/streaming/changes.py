@@ -54,15 +54,23 @@ def debounced(events: DataFrame, gap: str = "1 second", watermark: str | None =
     return e.groupBy("repo", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("repo", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def batches(events: DataFrame, gap_seconds: float = 1.0, longest_seconds: float = 2.0) -> DataFrame:
-    """Bursts that also end `longest_seconds` after they began: repo, start, n; a burst is cut at multiples of that length."""
+def marked_batches(events: DataFrame, gap_seconds: float, longest_seconds: float) -> DataFrame:
+    """events with us, the number of their burst and of the part of it that they fall into."""
     by = Window.partitionBy("repo").orderBy("ts", "event_id")
     us = F.unix_micros("ts")
     new = F.coalesce((us - F.lag(us).over(by) >= int(gap_seconds * 1e6)).cast("int"), F.lit(1))
-    marked = events.select("repo", "ts", "event_id", us.alias("us"), new.alias("new")).withColumn("burst", F.sum("new").over(by))
+    marked = events.withColumns({"us": us, "new": new}).withColumn("burst", F.sum("new").over(by)).drop("new")
     first = F.min("us").over(Window.partitionBy("repo", "burst"))
-    cut = F.floor((F.col("us") - first) / int(longest_seconds * 1e6))
-    return marked.withColumn("cut", cut).groupBy("repo", "burst", "cut").agg(F.min("ts").alias("start"), F.count("*").alias("n")).select("repo", "start", "n")
+    return marked.withColumn("cut", F.floor((F.col("us") - first) / int(longest_seconds * 1e6)))
+
+
+def batches(events: DataFrame, gap_seconds: float = 1.0, longest_seconds: float = 2.0) -> DataFrame:
+    """Bursts that also end `longest_seconds` after they began: repo, start, n; a burst is cut at multiples of that length.
+
+    On tables; `stateful.flushes` gives them on a stream, with their paths.
+    """
+    marked = marked_batches(events.select("repo", "ts", "event_id"), gap_seconds, longest_seconds)
+    return marked.groupBy("repo", "burst", "cut").agg(F.min("ts").alias("start"), F.count("*").alias("n")).select("repo", "start", "n")
 
 
 def upsert_each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
