@@ -32,28 +32,44 @@ def bases(signature: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*found)))
 
 
+def definitions(symbols: DataFrame) -> DataFrame:
+    """symbols(id, name, kind) -> name, target, target_kind."""
+    return symbols.select("name", F.col("id").alias("target"), F.col("kind").alias("target_kind"))
+
+
+def mentions(symbols: DataFrame) -> DataFrame:
+    """symbols(id, name, kind, raw_code, signature) -> source, own, base, name: each distinct identifier of a symbol's code; base if
+    the symbol inherits it."""
+    code = symbols.where("raw_code != ''").select(F.col("id").alias("source"), F.col("name").alias("own"), bases(head_of(F.col("kind"), F.col("signature"), F.col("raw_code"))).alias("bases"), F.explode(identifiers(F.col("raw_code"), KEYWORDS)).alias("name"))
+    return code.select("source", "own", F.array_contains("bases", F.col("name")).alias("base"), "name")
+
+
+def joined_names(found: DataFrame, targets: DataFrame, ambiguous: int = AMBIGUOUS) -> DataFrame:
+    """source, target, kind of mentions and definitions by name; targets has all definitions of each of its names."""
+    few = targets.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") <= ambiguous).select("name")
+    kind = F.when(F.col("base"), "inherits").when(F.col("target_kind").isin("class", "type"), "uses_type").otherwise("calls")
+    return found.join(targets.join(few, "name", "left_semi"), "name").where("name != own AND source != target").select("source", "target", kind.alias("kind")).distinct()
+
+
 def link_names(symbols: DataFrame, existing: DataFrame | None = None, ambiguous: int = AMBIGUOUS) -> DataFrame:
     """symbols(id, name, kind, raw_code, signature) -> source, target, kind of new cross-references.
 
     Only classes and types inherit. An identifier of a symbol's code links to every symbol of that name unless it is its own name or has too many
     definitions. Bases inherit, classes and types are used, the rest is called. Each distinct identifier is one row.
     """
-    targets = symbols.select(F.col("id").alias("target"), "name", F.col("kind").alias("target_kind"))
-    few = targets.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") <= ambiguous).select("name")
-    targets = targets.join(few, "name", "left_semi")
-    code = symbols.where("raw_code != ''").select(F.col("id").alias("source"), F.col("name").alias("own"), bases(head_of(F.col("kind"), F.col("signature"), F.col("raw_code"))).alias("bases"), F.explode(identifiers(F.col("raw_code"), KEYWORDS)).alias("name"))
-    kind = F.when(F.array_contains("bases", F.col("name")), "inherits").when(F.col("target_kind").isin("class", "type"), "uses_type").otherwise("calls")
-    out = code.join(targets, "name").where("name != own AND source != target").select("source", "target", kind.alias("kind")).distinct()
+    out = joined_names(mentions(symbols), definitions(symbols), ambiguous)
     return out.join(existing.select("source", "target", "kind"), ["source", "target", "kind"], "left_anti") if existing is not None else out
 
 
 def affected_links(symbols: DataFrame, new_ids: DataFrame, ambiguous: int = AMBIGUOUS) -> DataFrame:
-    """Links of link_names that start or end at a new symbol."""
-    all_links = link_names(symbols, ambiguous=ambiguous)
+    """Links of link_names that start or end at a new symbol: its mentions with all definitions, and all mentions of its name with it."""
     ids = new_ids.select("id").distinct()
-    start = all_links.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").select("source", "target", "kind")
-    end = all_links.join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target", "kind")
-    return start.unionByName(end).distinct()
+    new = symbols.join(ids, "id", "left_semi")
+    names = new.select("name").distinct()
+    start = joined_names(mentions(new), definitions(symbols), ambiguous)
+    targets = definitions(symbols.join(names, "name", "left_semi"))
+    end = joined_names(mentions(symbols).join(names, "name", "left_semi"), targets, ambiguous).join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return start.unionByName(end.select(start.columns)).distinct()
 
 
 def client_urls(code: Column) -> Column:

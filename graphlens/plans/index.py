@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 from ..functions.expressions import basename, symbol_kind
 from ..operators import catalog, link, summaries
 from ..sources import parse
+from ..sources.kept import Kept
 from ..sources.shared import materialize
-from ..sources.snapshots import Store
+from ..sources.snapshots import Replace, Store, View
 
 NODE = "id string, repo string, kind string, name string, path string, start_line int, end_line int, raw_code string, signature string, docstring string, http_method string, route_path string, seq long"
 
 
+#: Who defines a name and who mentions it, by file and looked up by name.
+DEFINITIONS = Kept("definitions", "repo string, path string, name string, target string, target_kind string", ("repo", "path"), "name")
+MENTIONS = Kept("mentions", "repo string, path string, name string, source string, own string, base boolean", ("repo", "path"), "name")
+_NAMED = ("calls", "uses_type", "inherits")
+_COLUMNS = [x.split()[0] for x in NODE.split(", ")]
+
+
 @dataclass(frozen=True)
 class Graph:
     nodes: DataFrame
@@ -60,41 +68,109 @@ def build(files: DataFrame) -> Graph:
     return Graph(nodes, materialize(contains))
 
 
+def _code(nodes: DataFrame) -> DataFrame:
+    """The nodes whose code is linked."""
+    return nodes.where("raw_code != ''").select("id", "name", "kind", "repo", "path", "raw_code", "signature", "route_path", "seq")
+
+
+def _of_files(links: DataFrame, end: str, nodes: DataFrame) -> DataFrame:
+    """Definitions or mentions with the file of the node at `end`."""
+    return links.join(nodes.select(F.col("id").alias(end), "repo", "path"), end)
+
+
+def _calls(code: DataFrame, nodes: DataFrame) -> DataFrame:
+    return link.api_contracts(code, nodes.where("kind = 'api_endpoint'")).select("source", "target", F.lit("api_calls").alias("kind"))
+
+
+def _finished(nodes: DataFrame, edges: DataFrame) -> Graph:
+    """With shared imports and each node's summary."""
+    edges = materialize(edges.unionByName(link.shared_imports(nodes, edges)).distinct())
+    return Graph(nodes.join(summaries.heuristic_summaries(nodes, edges), "id", "left"), edges)
+
+
 def linked(g: Graph) -> Graph:
     """With cross-references, calls of endpoints and shared imports, and each node's summary."""
-    code = g.nodes.where("raw_code != ''").select("id", "name", "kind", "repo", "raw_code", "signature", "route_path", "seq")
-    names = link.link_names(code)
-    calls = link.api_contracts(code, g.nodes.where("kind = 'api_endpoint'")).select("source", "target", F.lit("api_calls").alias("kind"))
-    edges = g.edges.unionByName(names).unionByName(calls)
-    edges = materialize(edges.unionByName(link.shared_imports(g.nodes, edges)).distinct())
-    return Graph(g.nodes.join(summaries.heuristic_summaries(g.nodes, edges), "id", "left"), edges)
+    code = _code(g.nodes)
+    return _finished(g.nodes, g.edges.unionByName(link.link_names(code)).unionByName(_calls(code, g.nodes)))
+
+
+def _whole(kept: Kept, view: View, rows: DataFrame) -> dict:
+    """The table of an index anew, without marks."""
+    nobody = view.store.spark.createDataFrame([], kept.marks)
+    fresh = kept.delta(view, rows, nobody)
+    return {kept.name: Replace(fresh[kept.name].rows, fresh[kept.name].by), kept.gone: Replace(nobody)}
 
 
 def index_all(store: Store, files: DataFrame) -> Graph:
-    """Builds the graph of all files and stores its nodes and edges as new snapshots."""
+    """Builds the graph of all files and stores its nodes, its edges and the index of its names in one commit."""
     g = linked(build(files))
-    store.save("nodes", g.nodes)
-    store.save("edges", g.edges)
+    code = materialize(_code(g.nodes))
+    names = materialize(_of_files(link.definitions(code), "target", code)), materialize(_of_files(link.mentions(code), "source", code))
+    store.commit(lambda view: {"nodes": g.nodes, "edges": g.edges, **_whole(DEFINITIONS, view, names[0]), **_whole(MENTIONS, view, names[1])})
     return g
 
 
+def relinked(view: View, kept_nodes: DataFrame, new_nodes: DataFrame, gone: DataFrame) -> tuple[DataFrame, dict]:
+    """(name links and calls of the changed graph, what a commit writes) for the new nodes in place of those of the files gone(repo, path).
+
+    Only names whose definitions changed, which may cross the limit of definitions, and names that new code mentions are
+    looked up; links of other names stay. Calls of endpoints are found for new code only, unless an endpoint changed.
+    """
+    old = view.load("nodes").select(_COLUMNS)
+    removed = materialize(old.join(gone, ["repo", "path"], "left_semi").select("id", "name", "kind", "raw_code"))
+    code = materialize(_code(new_nodes))
+    fresh_defs, fresh_mentions = materialize(_of_files(link.definitions(code), "target", code)), materialize(_of_files(link.mentions(code), "source", code))
+    changed = materialize(removed.where("raw_code != ''").select("name").unionByName(fresh_defs.select("name")).distinct())
+    asked = materialize(changed.unionByName(fresh_mentions.select("name")).distinct())
+
+    def now(kept: Kept, names: DataFrame, fresh: DataFrame) -> DataFrame:
+        """The rows of these names once the delta is in."""
+        rows = kept.read(view, names).join(gone, ["repo", "path"], "left_anti")
+        return rows.select(kept.columns).unionByName(fresh.join(names, "name", "left_semi").select(kept.columns))
+
+    targets = materialize(now(DEFINITIONS, asked, fresh_defs))
+    sources = now(MENTIONS, changed, fresh_mentions).unionByName(fresh_mentions.select(MENTIONS.columns)).distinct()
+    links = link.joined_names(sources.select("source", "own", "base", "name"), targets.select("name", "target", "target_kind"))
+    edges = view.load("edges").select("source", "target", "kind")
+    dead = removed.select("id")
+    stay = edges.where(F.col("kind").isin(*_NAMED))
+    renamed = old.join(changed, "name", "left_semi").select(F.col("id").alias("target"))  # their links are found anew
+    stay = stay.join(dead.withColumnRenamed("id", "source"), "source", "left_anti").join(renamed, "target", "left_anti")
+    ends = new_nodes.where("kind = 'api_endpoint'").select("id").unionByName(removed.where("kind = 'api_endpoint'").select("id"))
+    nodes = kept_nodes.unionByName(new_nodes.select(kept_nodes.columns))
+    if ends.limit(1).count():
+        calls = _calls(_code(nodes), nodes)
+    else:
+        before = edges.where("kind = 'api_calls'").join(dead.withColumnRenamed("id", "source"), "source", "left_anti")
+        calls = before.select("source", "target", "kind").unionByName(_calls(code, nodes))
+    found = stay.select("source", "target", "kind").unionByName(links).unionByName(calls).distinct()
+    return found, {**DEFINITIONS.delta(view, fresh_defs, gone), **MENTIONS.delta(view, fresh_mentions, gone)}
+
+
 def index_incremental(store: Store, changes: DataFrame, files: DataFrame) -> DataFrame:
     """Applies changes(repo, status, old_path, new_path) with the files(repo, path, content) that they need to the stored graph.
 
-    The nodes of removed paths go, those of parsed paths come, and links are found anew over the whole graph, as a new name
-    can link old code. Returns repo, added, modified, deleted, renamed.
+    The nodes of removed paths go, those of parsed paths come, and what links by a changed name is linked anew, in old code
+    too; the result is that of index_all. Nodes, edges and the index of names are one commit. Returns repo, added,
+    modified, deleted, renamed.
     """
     steps = parse.file_changes(changes.withColumns({"old_path": F.concat_ws("\0", "repo", "old_path"), "new_path": F.concat_ws("\0", "repo", "new_path")}))
-    steps = steps.select(F.substring_index("path", "\0", 1).alias("repo"), F.substring_index("path", "\0", -1).alias("path"), "action")
-    old = store.load("nodes").select([x.split()[0] for x in NODE.split(", ")])
-    kept = old.where("kind IN ('module', 'repository')").unionByName(old.where("kind NOT IN ('module', 'repository')").join(steps.select("repo", "path").distinct(), ["repo", "path"], "left_anti").select(old.columns))
+    steps = materialize(steps.select(F.substring_index("path", "\0", 1).alias("repo"), F.substring_index("path", "\0", -1).alias("path"), "action"))
+    gone = materialize(steps.select("repo", "path").distinct())
     new = build(files.join(steps.where("action = 'parse'").select("repo", "path").distinct(), ["repo", "path"], "left_semi"))
-    nodes = materialize(new.nodes.unionByName(kept.join(new.nodes.select("id"), "id", "left_anti").select(new.nodes.columns)))
-    contains = store.load("edges").where("kind = 'contains'").select("source", "target", "kind").unionByName(new.edges).distinct()
-    ids = nodes.select("id")
-    for end in ("source", "target"):
-        contains = contains.join(ids.withColumnRenamed("id", end), end, "left_semi")
-    g = linked(Graph(nodes, materialize(contains.select("source", "target", "kind"))))
-    store.save("nodes", g.nodes)
-    store.save("edges", g.edges)
+
+    def change(view: View) -> dict:
+        old = view.load("nodes").select(_COLUMNS)
+        kept = old.where("kind IN ('module', 'repository')").unionByName(old.where("kind NOT IN ('module', 'repository')").join(gone, ["repo", "path"], "left_anti").select(old.columns))
+        kept = materialize(kept.join(new.nodes.select("id"), "id", "left_anti").select(_COLUMNS))
+        nodes = materialize(new.nodes.select(_COLUMNS).unionByName(kept))
+        contains = view.load("edges").where("kind = 'contains'").select("source", "target", "kind").unionByName(new.edges).distinct()
+        links, index = relinked(view, kept, new.nodes.select(_COLUMNS), gone)
+        edges, ids = contains.unionByName(links), nodes.select("id")
+        for end in ("source", "target"):
+            edges = edges.join(ids.withColumnRenamed("id", end), end, "left_semi")
+        g = _finished(nodes, materialize(edges.select("source", "target", "kind").distinct()))
+        return {"nodes": g.nodes, "edges": g.edges, **index}
+
+    store.commit(change)
     return catalog.index_report(changes)
