@@ -101,12 +101,17 @@ def _whole(kept: Kept, view: View, rows: DataFrame) -> dict:
     return {kept.name: Replace(fresh[kept.name].rows, fresh[kept.name].by), kept.gone: Replace(nobody)}
 
 
-def index_all(store: Store, files: DataFrame) -> Graph:
-    """Builds the graph of all files and stores its nodes, its edges and the index of its names in one commit."""
-    g = linked(build(files))
+def adopt(store: Store, g: Graph) -> None:
+    """Stores a linked graph with the index of its names in one commit."""
     code = materialize(_code(g.nodes))
     names = materialize(_of_files(link.definitions(code), "target", code)), materialize(_of_files(link.mentions(code), "source", code))
     store.commit(lambda view: {"nodes": g.nodes, "edges": g.edges, **_whole(DEFINITIONS, view, names[0]), **_whole(MENTIONS, view, names[1])})
+
+
+def index_all(store: Store, files: DataFrame) -> Graph:
+    """Builds the graph of all files and stores its nodes, its edges and the index of its names in one commit."""
+    g = linked(build(files))
+    adopt(store, g)
     return g
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import any_glob, map_to_json, detect_language, identifiers, normalize_route, path_suffix_match, recency, saturate, split_name, token_estimate
-from ..operators import catalog, changeset, graph, guardrails, link, quality, sessions, summaries, temporal, text, vector
+from ..operators import catalog, changeset, graph, guardrails, link, quality, sessions, summaries, temporal, text, text_index, vector
 from ..schemas import EDGE_WEIGHTS, EXTENSIONS, FRAMEWORKS, INTENTS, KEYWORDS, STOPWORDS, SYMBOL_KINDS, THIN_CLASS
 from ..sources.shared import materialize, shared_dir
+from ..sources.snapshots import Store
 from ..streaming import changes, stateful
+from . import index
 from .adapters import SQL_EDGES, SQL_GRAPH, SQL_NODES, edges, nodes, table
 
 QUERIES: dict = {}
@@ -291,6 +293,18 @@ def bm25_topk(spark, d):
     return _bm25(spark, d).select("id", _r("score"))
 
 
+#: Documents of one language go, those of another change.
+_CHANGED = "changed AS (SELECT doc_id::VARCHAR AS doc_id, CASE WHEN lang = 'es' THEN text || ' ' || substr(text, 6) ELSE text END AS text FROM documents WHERE lang IS NULL OR lang <> 'de')"
+
+
+@query(f"WITH {_CHANGED}, {_BM25.replace('FROM documents', 'FROM changed')} SELECT id, round(score, 6) AS score FROM bm WHERE raw > 0")
+def bm25_after_changes(spark, d):
+    store, docs = Store(spark, shared_dir(spark)), table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "lang")
+    text_index.update(store, docs)
+    text_index.update(store, docs.where("lang = 'es'").select("id", F.concat_ws(" ", "text", F.substring("text", 6, 1 << 30)).alias("text")), docs.where("lang = 'de'").select("id"))
+    return text_index.search(store.view(), _ASK).select("id", _r("score"))
+
+
 @query(f"""WITH {_BM25}, {_Q}, v AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS v FROM embeddings, q ORDER BY v DESC, vec_id LIMIT 200)
 SELECT id, round(CASE WHEN k IS NULL THEN v WHEN v IS NULL THEN 0.3::DOUBLE * k ELSE 0.7::DOUBLE * v + 0.3::DOUBLE * k END, 6) AS score FROM v FULL JOIN (SELECT id, score AS k FROM bm WHERE raw > 0) USING (id)""")
 def hybrid_blend(spark, d):
@@ -347,6 +361,25 @@ def crossfile_link(spark, d):
     return link.link_names(s)
 
 
+@query(f"""WITH {_CHANGED.replace("text || ' ' || substr(text, 6)", "substr(text, 6)")}, s AS (SELECT doc_id AS id, regexp_extract(text, '[A-Za-z]{{4,}}', 0) AS name, CASE WHEN doc_id::BIGINT % 2 = 0 THEN 'class' ELSE 'function' END AS kind, text FROM changed WHERE text <> ''),
+few AS (SELECT name FROM s GROUP BY 1 HAVING count(*) <= 20), i AS (SELECT id AS source, name AS own, unnest({_IDS}) AS name FROM s)
+SELECT source, t.id AS target, CASE WHEN t.kind = 'class' THEN 'uses_type' ELSE 'calls' END AS kind FROM i JOIN s t USING (name) JOIN few USING (name) WHERE name <> own AND source <> t.id GROUP BY ALL""")
+def links_after_changes(spark, d):
+    docs, store = table(spark, d, "documents").where("text != ''"), Store(spark, shared_dir(spark))
+    kind = F.when(F.col("doc_id") % 2 == 0, "class").otherwise("function")
+
+    def symbols(rows: DataFrame, code) -> DataFrame:
+        own = {"id": F.col("doc_id").cast("string"), "repo": F.col("source"), "kind": kind, "name": F.regexp_extract(code, "[A-Za-z]{4,}", 0), "path": F.concat_ws("/", "source", "doc_id"), "raw_code": code, "signature": F.lit(""), "seq": F.col("doc_id")}
+        return rows.where(code != "").select(*(own.get(n, F.lit(None)).cast(t).alias(n) for n, t in (c.split() for c in index.NODE.split(", "))))
+
+    first = materialize(symbols(docs, F.col("text")))
+    index.adopt(store, index.Graph(first, link.link_names(first)))
+    changed = materialize(symbols(docs.where("lang = 'es'"), F.substring("text", 6, 1 << 30)))
+    gone = first.join(docs.where("lang IN ('de', 'es')").select(F.col("doc_id").cast("string").alias("id")), "id", "left_semi").select("repo", "path")
+    view = store.view()
+    return index.relinked(view, first.join(gone, ["repo", "path"], "left_anti"), changed, gone)[0].where("kind != 'api_calls'")
+
+
 @query(f"WITH {SQL_NODES}, t AS (SELECT id, greatest(1, floor(length(coalesce(nullif(raw_code, ''), nullif(summary, ''), '')) / 4)) + 15 AS tokens FROM nodes) SELECT id, tokens::BIGINT AS tokens FROM t")
 def token_estimates(spark, d):
     from ..functions.expressions import token_text
