@@ -5,6 +5,9 @@ columns, and a logistic model on them minimises the non-negative unbiased risk:
 web text as a mixture of both classes, and the estimated share of positives in it. That share is the least ratio of
 the mass of all training texts to the positive mass above any threshold of a model that tells the two kinds apart.
 Labelled training rows of both classes then fit two numbers that turn margins into probabilities.
+
+All unlabelled training rows have a part in the risk: they are dealt by hash into chunks of a bounded size, each chunk is an
+unlabelled sample of its own against the trusted positives, tasks minimise its risk, and the weights are averaged over chunks.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import fold_of, materialize, table
 
-#: Rows of each kind (positive, negative for calibration only, unlabelled) whose weights the model is fitted on, at most; those with
-#: the least hash of the id. Quantiles and the class prior are statistics of all training texts.
+#: Labelled rows of each kind (positive; negative for calibration only) that the model is fitted on, at most: those with the least
+#: hash of the id. Unlabelled rows are all used, so many to a chunk. Quantiles and the class prior are of all training texts too.
 SAMPLE = 12_000
 BINS = 16
 FEATURES = 16
@@ -109,40 +112,32 @@ def cut_points(n: int) -> list[float]:
     return sorted([*np.linspace(0, 1, bins + 1)[1:-1].tolist(), *tails, *(1 - q for q in tails)])
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, labelled: tuple[np.ndarray, np.ndarray] | None = None, cuts: np.ndarray | None = None, halves: tuple[np.ndarray, np.ndarray] | None = None, above=None) -> Model:
-    """The model of rows of statistics: trusted positives, unlabelled rows, and labelled (rows, 0/1) for calibration.
+def _decay(n: int) -> float:
+    return min(0.01, max(1e-4, 1 / n))
 
-    Where unl is a sample of a larger table, that table gives its cuts[feature, cut], the half (0 or 1) of each row of pos and
-    unl, and above(margins, thresholds), the share of its rows from each threshold on, for margins(rows, halves).
-    """
-    both = np.concatenate([pos, unl])
-    model = Model(np.quantile(both, cut_points(len(both)), axis=0).T if cuts is None else cuts, np.zeros(0))
-    decay = min(0.01, max(1e-4, 1 / len(both)))
-    size = both.shape[1] * (model.cuts.shape[1] + 1)
-    p, u = model.columns(pos), model.columns(unl)
-    tell = lambda z: [-_sigmoid(-z[0]) / len(z[0]), _sigmoid(z[1]) / len(z[1])]
-    hp, hu = halves or (np.arange(len(pos)) % 2, np.arange(len(unl)) % 2)
-    # each half is scored by the other half's model
-    tellers = [_descend([p[hp != half], u[hu != half]], size, tell, rounds=200, decay=decay) for half in (0, 1)]
-    columns = model.columns
 
-    def margins(x: np.ndarray, half: np.ndarray) -> np.ndarray:
-        c = columns(x)
-        return np.where(half == 0, *(w[c].sum(1) + b for w, b in tellers))
+def tellers(p: np.ndarray, u: np.ndarray, hp: np.ndarray, hu: np.ndarray, size: int) -> np.ndarray:
+    """Weights and bias of two models that tell positives from unlabelled rows, each learned from one half: [for half 0, for half 1]."""
+    tell = lambda z: [-_sigmoid(-z[0]) / max(1, len(z[0])), _sigmoid(z[1]) / max(1, len(z[1]))]
+    return np.array([np.r_[_descend([p[hp != half], u[hu != half]], size, tell, rounds=200, decay=_decay(len(p) + len(u)))] for half in (0, 1)])
+
 
-    mass = (lambda grid: _share_above(margins(unl, hu), grid)) if above is None else (lambda grid: above(margins, grid))
-    model.prior = prior = class_prior(margins(pos, hp), mass)
+def risk_weights(p: np.ndarray, u: np.ndarray, prior: float, size: int) -> np.ndarray:
+    """Weights and bias of the least non-negative risk."""
 
     def gradient(z):
         # risk = prior * E_p[loss(z)] + max(0, E_u[loss(-z)] - prior * E_p[loss(-z)]), logistic loss
         negative = np.logaddexp(0, z[1]).mean() - prior * np.logaddexp(0, z[0]).mean()
-        d_pos, d_unl = -prior * _sigmoid(-z[0]) / len(pos), np.zeros(len(unl))
-        part_p, part_u = -prior * _sigmoid(z[0]) / len(pos), _sigmoid(z[1]) / len(unl)
+        d_pos, d_unl = -prior * _sigmoid(-z[0]) / len(p), np.zeros(len(u))
+        part_p, part_u = -prior * _sigmoid(z[0]) / len(p), _sigmoid(z[1]) / len(u)
         if negative >= 0:
             return [d_pos + part_p, d_unl + part_u]
         return [-part_p, -part_u]  # below zero: step back up
 
-    model.weights, model.bias = _descend([p, u], size, gradient, decay=decay)
+    return np.r_[_descend([p, u], size, gradient, decay=_decay(len(p) + len(u)))]
+
+
+def calibrated(model: Model, labelled: tuple[np.ndarray, np.ndarray] | None) -> Model:
     if labelled is not None and len(set(labelled[1])) == 2:
         z, y = model.margin(labelled[0]), labelled[1]
         a, b = 1.0, 0.0
@@ -154,6 +149,20 @@ def fit(pos: np.ndarray, unl: np.ndarray, labelled: tuple[np.ndarray, np.ndarray
     return model
 
 
+def fit(pos: np.ndarray, unl: np.ndarray, labelled: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """The model of rows of statistics that fit in memory: trusted positives, unlabelled rows, labelled (rows, 0/1) for calibration."""
+    both = np.concatenate([pos, unl])
+    model = Model(np.quantile(both, cut_points(len(both)), axis=0).T, np.zeros(0))
+    size = both.shape[1] * (model.cuts.shape[1] + 1)
+    p, u, hp, hu = model.columns(pos), model.columns(unl), np.arange(len(pos)) % 2, np.arange(len(unl)) % 2
+    each = tellers(p, u, hp, hu, size)
+    margins = lambda c, half: np.where(half == 0, *(w[:-1][c].sum(1) + w[-1] for w in each))
+    model.prior = class_prior(margins(p, hp), lambda grid: _share_above(margins(u, hu), grid))
+    w = risk_weights(p, u, model.prior, size)
+    model.weights, model.bias = w[:-1], w[-1]
+    return calibrated(model, labelled)
+
+
 def half_of(ids) -> np.ndarray:
     """The half of each id in cross-fitting: a bit of its hash that the folds do not use."""
     return np.array([zlib.crc32(str(i).encode()) >> 2 & 1 for i in ids], int)
@@ -178,30 +187,57 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, id_col: str =
 
     every = materialize(own.mapInArrow(statistics, "doc_id long, x array<double>"))
     least = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    unl = every.groupBy("doc_id").agg(F.xxhash64("doc_id", F.lit(3)).alias("h")).orderBy("h", "doc_id").limit(rows).select("doc_id", F.lit(-1).alias("y"))
-    wanted = materialize(least(kind.where("y = 1")).unionByName(least(kind.where("y = 0"))).unionByName(unl).groupBy("doc_id").agg(F.collect_set("y").alias("ys")))
-    got = every.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "ys").agg(F.min("x").alias("x")).orderBy("doc_id").toArrow().combine_chunks()
-    ids, ys = got.column("doc_id").to_pylist(), got.column("ys").to_pylist()
-    part = {y: np.array([y in own for own in ys], bool) for y in (1, 0, -1)}
-    if not part[1].any() or not part[-1].any():
+    wanted = materialize(least(kind.where("y = 1")).unionByName(least(kind.where("y = 0"))))
+    got = every.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).orderBy("doc_id").toArrow().combine_chunks()
+    ids, y = got.column("doc_id").to_pylist(), np.array(got.column("y").to_pylist(), int)
+    if not (y == 1).any():
         return None
-    x, half = np.array(got.column("x").to_pylist(), float).reshape(-1, FEATURES), half_of(ids)
-    at = F.array(*map(F.lit, cut_points(every.count())))
-    cuts = np.array(every.agg(*(F.percentile_approx(F.col("x")[i], at, 10_000).alias(f"c{i}") for i in range(FEATURES))).first(), float)
-
-    def above(margins, grid: np.ndarray) -> np.ndarray:
+    x = np.array(got.column("x").to_pylist(), float).reshape(-1, FEATURES)
+    n = every.count()
+    at = F.array(*map(F.lit, cut_points(n)))
+    model = Model(np.array(every.agg(*(F.percentile_approx(F.col("x")[i], at, 10_000).alias(f"c{i}") for i in range(FEATURES))).first(), float), np.zeros(0))
+    size = FEATURES * (model.cuts.shape[1] + 1)
+    p, hp = model.columns(x[y == 1]), half_of(ids)[y == 1]
+    shared = docs.sparkSession.sparkContext.broadcast((model, p, hp))
+    # equal rows of one id count once in the risk, so no id or row makes a chunk large
+    chunk = F.pmod(F.xxhash64("doc_id", "x"), F.lit(max(1, -(-n // rows))))
+    unlabelled = materialize(every.distinct().withColumn("chunk", chunk))
+
+    def averaged(learn, width: int) -> np.ndarray:
+        """The mean, by rows, of learn(columns, halves of a chunk's rows), which gives `width` numbers."""
+
+        def run(key, group):
+            own, ids = _matrix(group.column("x").combine_chunks()), group.column("doc_id").to_numpy()
+            by = np.lexsort((*own.T, ids))  # the same sums in whatever order the rows came
+            w = learn(shared.value[0].columns(own[by]), half_of(ids[by].tolist()))
+            return pa.table({"k": pa.array(range(width), pa.int32()), "w": pa.array(w * len(own)), "n": pa.array([len(own)] * width), "chunk": pa.array([key[0].as_py()] * width)})
+
+        sums = unlabelled.groupBy("chunk").applyInArrow(run, "k int, w double, n long, chunk long")
+        # summed in order of the chunks, so that the result does not change between runs
+        parts = sums.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("chunk", "w", "n"))).alias("x"))
+        total = parts.select("k", F.aggregate("x", F.lit(0.0), lambda a, c: a + c["w"]).alias("w"), F.aggregate("x", F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("n")).orderBy("k").collect()
+        return np.array([r["w"] / r["n"] for r in total])
+
+    each = averaged(lambda u, hu: tellers(shared.value[1], u, shared.value[2], hu, size).ravel(), 2 * (size + 1)).reshape(2, size + 1)
+
+    def margins(c: np.ndarray, half: np.ndarray) -> np.ndarray:
+        return np.where(half == 0, *(w[:-1][c].sum(1) + w[-1] for w in each))
+
+    def above(grid: np.ndarray) -> np.ndarray:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(grid) + 1, int)
+            total, columns = np.zeros(len(grid) + 1, int), shared.value[0].columns
             for batch in batches:
-                z = margins(_matrix(batch.column(1)), half_of(batch.column(0).to_pylist()))
+                z = margins(columns(_matrix(batch.column(1))), half_of(batch.column(0).to_pylist()))
                 total += [*(z[:, None] >= grid).sum(0), len(z)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["k", "n"])
 
         sums = every.mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
         return np.array([r["n"] for r in sums[:-1]], float) / sums[-1]["n"]
 
-    known = part[1] | part[0]
-    return fit(x[part[1]], x[part[-1]], (x[known], part[1][known].astype(float)), cuts, (half[part[1]], half[part[-1]]), above)
+    model.prior = prior = class_prior(margins(p, hp), above)
+    w = averaged(lambda u, _: risk_weights(shared.value[1], u, prior, size), size + 1)
+    model.weights, model.bias = w[:-1], float(w[-1])
+    return calibrated(model, (x, y.astype(float)))
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
