@@ -94,6 +94,22 @@ def linked(g: Graph) -> Graph:
     return _finished(g.nodes, g.edges.unionByName(link.link_names(code)).unionByName(_calls(code, g.nodes)))
 
 
+def timed(nodes: DataFrame, times: DataFrame | None, old: DataFrame | None = None) -> DataFrame:
+    """nodes with last_modified and modification_count of their file by times(repo, path, last_modified, modification_count).
+
+    Of nodes whose file times has not, or without times, old's stay; nodes that neither knows have none and a count of 0.
+    """
+    spark = nodes.sparkSession
+    none = spark.createDataFrame([], "id string, last_modified timestamp, modification_count int")
+    old = none if old is None or not {"last_modified", "modification_count"} <= set(old.columns) else old
+    old = old.select("id", F.col("last_modified").alias("_at"), F.col("modification_count").alias("_n"))
+    times = times if times is not None else spark.createDataFrame([], "repo string, path string, last_modified timestamp, modification_count int")
+    times = times.select("repo", "path", F.col("last_modified").cast("timestamp"), F.col("modification_count").cast("int"))
+    both = nodes.join(times, ["repo", "path"], "left").join(old, "id", "left")
+    at, n = F.coalesce("last_modified", "_at"), F.coalesce("modification_count", "_n", F.lit(0))
+    return both.withColumns({"last_modified": at, "modification_count": n}).select(*nodes.columns, "last_modified", "modification_count")
+
+
 def _whole(kept: Kept, view: View, rows: DataFrame) -> dict:
     """The table of an index anew, without marks."""
     nobody = view.store.spark.createDataFrame([], kept.marks)
@@ -108,9 +124,13 @@ def adopt(store: Store, g: Graph) -> None:
     store.commit(lambda view: {"nodes": g.nodes, "edges": g.edges, **_whole(DEFINITIONS, view, names[0]), **_whole(MENTIONS, view, names[1])})
 
 
-def index_all(store: Store, files: DataFrame) -> Graph:
-    """Builds the graph of all files and stores its nodes, its edges and the index of its names in one commit."""
+def index_all(store: Store, files: DataFrame, times: DataFrame | None = None) -> Graph:
+    """Builds the graph of all files and stores its nodes, its edges and the index of its names in one commit.
+
+    times, as sources.git.file_times gives them, are the files' last changes and counts.
+    """
     g = linked(build(files))
+    g = Graph(materialize(timed(g.nodes, times)), g.edges)
     adopt(store, g)
     return g
 
@@ -152,7 +172,7 @@ def relinked(view: View, kept_nodes: DataFrame, new_nodes: DataFrame, gone: Data
     return found, {**DEFINITIONS.delta(view, fresh_defs, gone), **MENTIONS.delta(view, fresh_mentions, gone)}
 
 
-def index_incremental(store: Store, changes: DataFrame, files: DataFrame) -> DataFrame:
+def index_incremental(store: Store, changes: DataFrame, files: DataFrame, times: DataFrame | None = None) -> DataFrame:
     """Applies changes(repo, status, old_path, new_path) with the files(repo, path, content) that they need to the stored graph.
 
     The nodes of removed paths go, those of parsed paths come, and what links by a changed name is linked anew, in old code
@@ -175,7 +195,7 @@ def index_incremental(store: Store, changes: DataFrame, files: DataFrame) -> Dat
         for end in ("source", "target"):
             edges = edges.join(ids.withColumnRenamed("id", end), end, "left_semi")
         g = _finished(nodes, materialize(edges.select("source", "target", "kind").distinct()))
-        return {"nodes": g.nodes, "edges": g.edges, **index}
+        return {"nodes": timed(g.nodes, times, view.load("nodes")), "edges": g.edges, **index}
 
     store.commit(change)
     return catalog.index_report(changes)
