@@ -6,10 +6,10 @@ import logging
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import any_glob, basename, path_suffix_match, symbol_kind
+from ..functions.expressions import any_glob, symbol_kind
 from ..schemas import EDGE_KINDS
 from ..sources import parse
 from ..sources.shared import materialize
@@ -30,11 +30,29 @@ class ChangeSet:
     removed_edges: DataFrame
 
 
+def _ends(path: Column) -> Column:
+    """What follows each slash of a path."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts) - k + 1), "/"))
+
+
+def suffix_pairs(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """path, file of paths(path) and files(file) that are equal or end with the other behind a slash.
+
+    Joins on equal paths and on what follows a slash, so that only pairs that match are made, however often a base name occurs.
+    """
+    p, f = paths.select("path").where("path != ''").distinct(), files.select("file").where("file != ''").distinct()
+    deep = lambda df, c: df.where(F.contains(F.col(c), F.lit("/"))).select(c, F.explode(_ends(F.col(c))).alias("end"))
+    equal = p.join(f, p["path"] == f["file"]).select("path", "file")
+    longer = deep(p, "path").join(f, F.col("end") == F.col("file")).select("path", "file")
+    shorter = deep(f, "file").join(p, F.col("end") == F.col("path")).select("path", "file")
+    return equal.unionByName(longer).unionByName(shorter)
+
+
 def in_files(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """nodes and files(path) whose paths are equal or one the other's end: file, and the node's columns. An equi-join on the base name."""
-    n = nodes.where("path != ''").withColumn("_base", basename(F.col("path")))
-    f = files.select(F.col("path").alias("file")).distinct().withColumn("_base", basename(F.col("file")))
-    return n.join(f, "_base").where(path_suffix_match(F.col("path"), F.col("file"))).drop("_base")
+    """nodes and files(path) whose paths are equal or one the other's end: file, and the node's columns."""
+    n = nodes.where("path != ''")
+    return n.join(suffix_pairs(n, files.select(F.col("path").alias("file"))), "path").select(*n.columns, "file")
 
 
 def infer_repositories(nodes: DataFrame, files: DataFrame) -> DataFrame:
@@ -120,17 +138,20 @@ def _check(rule: dict, nodes: DataFrame, edges: DataFrame, change: ChangeSet) ->
 
 
 def evaluate(nodes: DataFrame, edges: DataFrame, change: ChangeSet, rules: list[dict]) -> DataFrame:
-    """The violations of all rules (see VIOLATION). A rule that fails is left out with a warning; the others count.
+    """The violations of all rules (see VIOLATION). A rule whose definition is wrong is left out with a warning; the others count.
 
-    There are few rules; each one's violations are written to the shared folder, where a failing job shows.
+    What fails while a rule's job runs is raised, as a change must not pass for want of a disk. There are few rules; each one's
+    violations are written to the shared folder.
     """
     spark = nodes.sparkSession
     found = [spark.createDataFrame([], VIOLATION)]
     for rule in rules:
         try:
-            found.append(materialize(_check(rule, nodes, edges, change)))
-        except Exception:  # any failure of a rule lets the change pass that rule
-            log.warning("rule %s failed and is left out", rule.get("id"), exc_info=True)
+            broken = _check(rule, nodes, edges, change)
+        except (KeyError, TypeError, ValueError) as e:
+            log.warning("rule %s is left out: %r", rule.get("id"), e)
+            continue
+        found.append(materialize(broken))
     return reduce(DataFrame.unionByName, found)
 
 

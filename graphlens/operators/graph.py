@@ -90,12 +90,17 @@ def _hops(seeds: DataFrame, step, max_hops: int | None = None) -> DataFrame:
 
 
 def descendants(edges: DataFrame, roots: DataFrame, max_depth: int | None = 10) -> DataFrame:
-    """Containment closure: root, id, depth, by joining each root's level with its children. Containment is a tree."""
+    """Containment closure: root, id, depth, by joining each root's level with its children. Containment is a tree; without a depth,
+    a loop in it ends where nothing new is reached."""
     down = materialize(edges.where(F.col("kind") == "contains").select(F.col("source").alias("id"), F.col("target").alias("child")))
     level = roots.select(F.col("id").alias("root"), "id").withColumn("depth", F.lit(0))
     levels = [level.limit(0)]
     while max_depth is None or len(levels) <= max_depth:
-        level = materialize(level.join(down, "id").select("root", F.col("child").alias("id"), F.lit(len(levels)).alias("depth")))
+        level = level.join(down, "id").select("root", F.col("child").alias("id"), F.lit(len(levels)).alias("depth"))
+        if max_depth is None:
+            seen = reduce(DataFrame.unionByName, levels).select("root", "id").unionByName(roots.select(F.col("id").alias("root"), "id"))
+            level = level.distinct().join(seen, ["root", "id"], "left_anti").select("root", "id", "depth")
+        level = materialize(level)
         if level.isEmpty():
             break
         levels.append(level)

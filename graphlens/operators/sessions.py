@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import cosine
 from ..sources.shared import numbered
 
 
@@ -27,11 +28,17 @@ def prune(context: DataFrame, keep: int = 500) -> DataFrame:
     return context.withColumn("rn", rn).where(F.col("rn") <= keep).drop("rn")
 
 
-def dedup(bundle: DataFrame, context: DataFrame, current_turn: int, half_life: float = 5.0) -> DataFrame:
-    """bundle(node_id, ...) with the action that the session's context asks for; nodes not seen are full."""
-    seen = context.groupBy("node_id").agg(F.max("turn").alias("turn"))
-    w = weight(F.lit(current_turn) - F.col("turn"), None, half_life)
-    return bundle.join(seen, "node_id", "left").withColumn("action", F.when(F.col("turn").isNull(), "full").otherwise(action(w))).drop("turn")
+def dedup(bundle: DataFrame, context: DataFrame, current_turn: int, half_life: float = 5.0, question: Column | None = None) -> DataFrame:
+    """bundle(node_id, ...) with the action that the session's context(turn, node_id) asks for; nodes not seen are full.
+
+    With a question's vector, and the vector vec of the question that each node came with in context, nodes of a similar topic
+    fade more slowly. A node's last turn counts; a null vector gives no bonus.
+    """
+    last = F.max_by(F.struct("turn", *(["vec"] if question is not None else [])), F.col("turn")).alias("seen")
+    seen = context.groupBy("node_id").agg(last)
+    near = F.when(F.col("seen.vec").isNotNull() & question.isNotNull(), cosine(F.col("seen.vec"), question)).otherwise(F.lit(0.0)) if question is not None else None
+    w = weight(F.lit(current_turn) - F.col("seen.turn"), near, max(half_life, 1))
+    return bundle.join(seen, "node_id", "left").withColumn("action", F.when(F.col("seen").isNull(), "full").otherwise(action(w))).drop("seen")
 
 
 def topic(queries: DataFrame, alpha: float = 0.3) -> DataFrame:

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import basename, symbol_kind
-from ..operators import catalog, link, summaries
+from ..functions.expressions import basename, detect_language, symbol_kind
+from ..operators import catalog, embed, link, summaries
 from ..sources import parse
 from ..sources.kept import Kept
 from ..sources.shared import materialize
@@ -44,7 +44,7 @@ def build(files: DataFrame) -> Graph:
     symbols = parse.symbols(files).withColumn("base", F.concat("repo", F.lit(":"), "path", F.lit("::"), "name"))
     symbols = materialize(parse.unique_ids(symbols))
     end = catalog.endpoint(F.concat_ws("\n", F.array_join("decorators", "\n"), F.col("code")))
-    place = F.xxhash64("repo", "path").bitwiseAND((1 << 40) - 1) * 4096
+    place = F.xxhash64("repo", "path").bitwiseAND((1 << 42) - 1) * (1 << 20)  # an order that other files do not change
     own = symbols.withColumn("e", end).select(
         "id", "repo", F.when(F.col("e").isNotNull(), "api_endpoint").otherwise(symbol_kind(F.col("kind"))).alias("kind"), "name", "path", "start_line", "end_line", F.col("code").alias("raw_code"), "signature", "docstring",
         F.col("e.method").alias("http_method"), F.col("e.path").alias("route_path"), (place + F.col("seq") + 1).alias("seq"),
@@ -73,6 +73,13 @@ def _code(nodes: DataFrame) -> DataFrame:
     return nodes.where("raw_code != ''").select("id", "name", "kind", "repo", "path", "raw_code", "signature", "route_path", "seq")
 
 
+def _said(code: DataFrame) -> DataFrame:
+    """code with strings and comments taken out, so that only what is said in code links."""
+    language = detect_language(F.col("path"))
+    bare = parse.code_of(code.select("id", F.col("raw_code").alias("code"), language.alias("language")), ["id"])
+    return code.drop("raw_code").join(bare.withColumnRenamed("code", "raw_code"), "id")
+
+
 def _of_files(links: DataFrame, end: str, nodes: DataFrame) -> DataFrame:
     """Definitions or mentions with the file of the node at `end`."""
     return links.join(nodes.select(F.col("id").alias(end), "repo", "path"), end)
@@ -91,7 +98,7 @@ def _finished(nodes: DataFrame, edges: DataFrame) -> Graph:
 def linked(g: Graph) -> Graph:
     """With cross-references, calls of endpoints and shared imports, and each node's summary."""
     code = _code(g.nodes)
-    return _finished(g.nodes, g.edges.unionByName(link.link_names(code)).unionByName(_calls(code, g.nodes)))
+    return _finished(g.nodes, g.edges.unionByName(link.link_names(_said(code))).unionByName(_calls(code, g.nodes)))
 
 
 def timed(nodes: DataFrame, times: DataFrame | None, old: DataFrame | None = None) -> DataFrame:
@@ -110,6 +117,39 @@ def timed(nodes: DataFrame, times: DataFrame | None, old: DataFrame | None = Non
     return both.withColumns({"last_modified": at, "modification_count": n}).select(*nodes.columns, "last_modified", "modification_count")
 
 
+VECTOR = "id string, embedding array<float>, repo string, kind string, path string, document string"
+
+
+def hydrated(view: View, nodes: DataFrame, edges: DataFrame) -> dict:
+    """What a commit writes so that each node has the vector of its text: those of nodes that are gone go, and only nodes without
+    a vector, or whose text is another than their vector's, are embedded. The first call fits the model, later ones use it."""
+    texts = materialize(summaries.embedding_texts(nodes, edges).withColumn("text", F.coalesce("text", F.lit(""))))
+    have = view.load("vectors", VECTOR).select(*(c.split()[0] for c in VECTOR.split(", ")))
+    known = bool(view.tables.get("embedding_model"))
+    model = view.load("embedding_model", embed.MODEL) if known else materialize(embed.fit(texts))
+    stay = have.join(texts, "id").where("document = text").select(have.columns)
+    stay = materialize(stay)
+    missing = texts.join(stay.select("id"), "id", "left_anti")
+    new = embed.embed(missing, model).join(texts, "id").join(nodes.select("id", "repo", "kind", "path"), "id").select("id", "embedding", "repo", "kind", "path", F.col("text").alias("document"))
+    return {"vectors": stay.unionByName(new.select(stay.columns)), **({} if known else {"embedding_model": model})}
+
+
+def hydrate(store: Store) -> int:
+    """Embeds the nodes of the stored graph that have no vector of their text; how many they were."""
+    made = []
+
+    def change(view: View) -> dict:
+        before = view.load("vectors", VECTOR).select("id", "document")
+        out = hydrated(view, view.load("nodes"), view.load("edges"))
+        out["vectors"] = materialize(out["vectors"])
+        made[:] = [out["vectors"].join(before, ["id", "document"], "left_anti").count()]
+        changed = made[0] or out["vectors"].count() != before.count()
+        return out if changed else {}
+
+    store.commit(change)
+    return made[0]
+
+
 def _whole(kept: Kept, view: View, rows: DataFrame) -> dict:
     """The table of an index anew, without marks."""
     nobody = view.store.spark.createDataFrame([], kept.marks)
@@ -117,21 +157,21 @@ def _whole(kept: Kept, view: View, rows: DataFrame) -> dict:
     return {kept.name: Replace(fresh[kept.name].rows, fresh[kept.name].by), kept.gone: Replace(nobody)}
 
 
-def adopt(store: Store, g: Graph) -> None:
-    """Stores a linked graph with the index of its names in one commit."""
+def adopt(store: Store, g: Graph, vectors: bool = False) -> None:
+    """Stores a linked graph with the index of its names, and the vectors of its texts, in one commit."""
     code = materialize(_code(g.nodes))
-    names = materialize(_of_files(link.definitions(code), "target", code)), materialize(_of_files(link.mentions(code), "source", code))
-    store.commit(lambda view: {"nodes": g.nodes, "edges": g.edges, **_whole(DEFINITIONS, view, names[0]), **_whole(MENTIONS, view, names[1])})
+    names = materialize(_of_files(link.definitions(code), "target", code)), materialize(_of_files(link.mentions(_said(code)), "source", code))
+    store.commit(lambda view: {"nodes": g.nodes, "edges": g.edges, **_whole(DEFINITIONS, view, names[0]), **_whole(MENTIONS, view, names[1]), **(hydrated(view, g.nodes, g.edges) if vectors else {})})
 
 
-def index_all(store: Store, files: DataFrame, times: DataFrame | None = None) -> Graph:
-    """Builds the graph of all files and stores its nodes, its edges and the index of its names in one commit.
+def index_all(store: Store, files: DataFrame, times: DataFrame | None = None, vectors: bool = True) -> Graph:
+    """Builds the graph of all files and stores nodes, edges, the index of names and (unless told otherwise) vectors in one commit.
 
     times, as sources.git.file_times gives them, are the files' last changes and counts.
     """
     g = linked(build(files))
     g = Graph(materialize(timed(g.nodes, times)), g.edges)
-    adopt(store, g)
+    adopt(store, g, vectors)
     return g
 
 
@@ -144,7 +184,7 @@ def relinked(view: View, kept_nodes: DataFrame, new_nodes: DataFrame, gone: Data
     old = view.load("nodes").select(_COLUMNS)
     removed = materialize(old.join(gone, ["repo", "path"], "left_semi").select("id", "name", "kind", "raw_code"))
     code = materialize(_code(new_nodes))
-    fresh_defs, fresh_mentions = materialize(_of_files(link.definitions(code), "target", code)), materialize(_of_files(link.mentions(code), "source", code))
+    fresh_defs, fresh_mentions = materialize(_of_files(link.definitions(code), "target", code)), materialize(_of_files(link.mentions(_said(code)), "source", code))
     changed = materialize(removed.where("raw_code != ''").select("name").unionByName(fresh_defs.select("name")).distinct())
     asked = materialize(changed.unionByName(fresh_mentions.select("name")).distinct())
 
@@ -195,7 +235,8 @@ def index_incremental(store: Store, changes: DataFrame, files: DataFrame, times:
         for end in ("source", "target"):
             edges = edges.join(ids.withColumnRenamed("id", end), end, "left_semi")
         g = _finished(nodes, materialize(edges.select("source", "target", "kind").distinct()))
-        return {"nodes": timed(g.nodes, times, view.load("nodes")), "edges": g.edges, **index}
+        vectors = hydrated(view, g.nodes, g.edges) if view.exists("vectors") else {}
+        return {"nodes": timed(g.nodes, times, view.load("nodes")), "edges": g.edges, **index, **vectors}
 
     store.commit(change)
     return catalog.index_report(changes)

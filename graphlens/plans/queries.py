@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import any_glob, map_to_json, detect_language, identifiers, normalize_route, path_suffix_match, recency, saturate, split_name, token_estimate
-from ..operators import catalog, changeset, graph, guardrails, link, quality, sessions, summaries, temporal, text, text_index, vector
+from ..operators import catalog, changeset, graph, guardrails, link, quality, sessions, summaries, temporal, text, text_index, vector, vector_index
 from ..schemas import EDGE_WEIGHTS, EXTENSIONS, FRAMEWORKS, INTENTS, KEYWORDS, STOPWORDS, SYMBOL_KINDS, THIN_CLASS
 from ..sources.shared import materialize, shared_dir
 from ..sources.snapshots import Store
@@ -251,6 +251,14 @@ def vec_topk(spark, d):
     return vector.top_k(_vectors(spark, d), _query_vector(spark, d)).select("id", _r("score"))
 
 
+@query(f"WITH {_Q} SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10")
+def vec_index_topk(spark, d):
+    store = Store(spark, shared_dir(spark))
+    vector_index.build(store, _vectors(spark, d))
+    asked = table(spark, d, "embeddings").orderBy("vec_id").select("embedding").first()[0]
+    return vector_index.search(store.view(), list(asked), exact=True).select("id", _r("score"))
+
+
 @query(f"WITH {_Q} SELECT vec_id AS id, round((1 + list_cosine_similarity(embedding::DOUBLE[], q)) / 2, 6) AS score FROM embeddings, q WHERE label = 3 ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10")
 def vec_topk_filtered(spark, d):
     return vector.top_k(_vectors(spark, d), _query_vector(spark, d), where={"label": 3}, unit=True).select("id", _r("score"))
@@ -545,9 +553,9 @@ def line_overlap(spark, d):
 
 @query(f"WITH {SQL_NODES}, f AS (SELECT path, id FROM nodes WHERE kind = 'file'), c AS (SELECT substr(path, instr(path, '/') + 1) AS file FROM f WHERE seq_ok) SELECT 1".replace("SELECT 1", "SELECT count(*) AS cnt FROM f JOIN c ON f.path = c.file OR ends_with(f.path, '/' || c.file) OR ends_with(c.file, '/' || f.path)").replace("WHERE seq_ok", "WHERE hash_ok").replace("hash_ok", "id LIKE '%7'"))
 def path_suffixes(spark, d):
-    f = nodes(spark, d).where("kind = 'file'").select("path", "id", F.regexp_extract("path", "[^/]*$", 0).alias("base"))
-    c = f.where("id LIKE '%7'").select(F.expr("substr(path, instr(path, '/') + 1)").alias("file"), "base")
-    return f.join(c, "base").where(path_suffix_match(F.col("path"), F.col("file"))).agg(F.count("*").alias("cnt"))
+    f = materialize(nodes(spark, d).where("kind = 'file'").select("path", "id"))
+    c = f.where("id LIKE '%7'").select(F.expr("substr(path, instr(path, '/') + 1)").alias("file"))
+    return changeset.suffix_pairs(f, c).join(f, "path").join(c, "file").agg(F.count("*").alias("cnt"))
 
 
 @query("WITH s AS (SELECT p_partkey AS seq, p_brand || '::' || p_type AS base, row_number() OVER (PARTITION BY p_brand || '::' || p_type ORDER BY p_partkey) AS rn FROM part) SELECT seq, CASE WHEN rn > 1 THEN base || '_' || rn ELSE base END AS id FROM s")
@@ -603,6 +611,16 @@ def session_decay(spark, d):
     return c.join(last, "conv_id").select("conv_id", "turn", F.round(w, 6).alias("weight"), sessions.action(w).alias("action"))
 
 
+@query(f"""WITH {_Q}, c AS (SELECT label AS node_id, vec_id AS turn, embedding::DOUBLE[] AS vec FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) = 1), m AS (SELECT max(vec_id) AS now FROM embeddings),
+w AS (SELECT node_id, least(1, exp(-ln(2::DOUBLE) / 5 * (now - turn)) + 0.2::DOUBLE * greatest(0, list_cosine_similarity(vec, q))) AS w FROM c, m, q)
+SELECT p_partkey AS node_id, CASE WHEN w IS NULL THEN 'full' WHEN w > 0.8 THEN 'drop' WHEN w > 0.3 THEN 'summary' ELSE 'full' END AS action FROM part LEFT JOIN w ON node_id = p_partkey""")
+def session_topic_decay(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("label").alias("node_id"), F.col("vec_id").alias("turn"), F.col("embedding").alias("vec"))
+    now = v.agg(F.max("turn")).first()[0]
+    bundle = table(spark, d, "part").select(F.col("p_partkey").alias("node_id"))
+    return sessions.dedup(bundle, v, now, question=_query_vector(spark, d)).select("node_id", "action")
+
+
 @query("SELECT user_id AS session_id, event_id AS node_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 5")
 def session_prune(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("node_id"), F.col("ts").alias("turn"))

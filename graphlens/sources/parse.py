@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import any_glob, detect_language
-from ..schemas import FUNCTION_MODIFIERS, FUNCTION_WORDS, LONGEST_DECLARATION, SYMBOLS, TYPE_MODIFIERS, TYPE_WORDS
+from ..functions.expressions import any_glob, detect_language, identifiers
+from ..schemas import FUNCTION_MODIFIERS, FUNCTION_WORDS, KEYWORDS, LONGEST_DECLARATION, SYMBOLS, TYPE_MODIFIERS, TYPE_WORDS
+from .lexer import LEXIS, scan, symbols_of_braces
 
 def walk(spark: SparkSession, root: str, repo: str, excluded=(), max_kb: int = 500) -> DataFrame:
     """Files below root: repo, path (relative), content, length, modified. Excluded names and larger files are left out."""
@@ -89,15 +90,40 @@ def symbols_of_python(source: str) -> list[dict]:
     return found
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """files(repo, path, content) -> one row per symbol; files of no known language give none."""
-    known = files.withColumn("language", detect_language(F.col("path"))).where("language != '' AND content IS NOT NULL").select("repo", "path", "language", "content")
+def symbols_of(source: str, language: str) -> list[dict]:
+    """By Python's parser, by braces, or by indentation, whichever the language has."""
+    if language == "python":
+        return symbols_of_python(source)
+    return symbols_of_braces(source, language) if language in LEXIS and LEXIS[language].braces else symbols_by_pattern(source)
+
+
+def code_of(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """rows(keep, code, language) with code as it is without strings and comments; an unknown language changes nothing."""
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["code"] = [scan(c, x).code if isinstance(c, str) else None for c, x in zip(batch["code"], batch["language"], strict=True)]
+            yield batch[[*keep, "code"]]
+
+    return rows.select(*keep, "code", "language").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", code string")
+
+
+def code_identifiers(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, identifiers of rows(keep, code, language): those of the code itself, without strings and comments."""
+    return code_of(rows, keep).select(*keep, identifiers(F.coalesce("code", F.lit("")), KEYWORDS).alias("identifiers"))
+
+
+def symbols(files: DataFrame, language: str | None = None) -> DataFrame:
+    """files(repo, path, content) -> one row per symbol; files of no known language give none, unless one is named for them."""
+    found = detect_language(F.col("path"))
+    known = files.withColumn("language", F.when(found == "", F.lit(language or "")).otherwise(found)).where("language != '' AND content IS NOT NULL").select("repo", "path", "language", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for f in batch.itertuples(index=False):
-                own = symbols_of_python(f.content) if f.language == "python" else symbols_by_pattern(f.content)
+                own = symbols_of(f.content, f.language)
                 rows += [{"repo": f.repo, "path": f.path, "seq": k, **s} for k, s in enumerate(own)]
             yield pd.DataFrame(rows, columns=SYMBOLS.names)
 

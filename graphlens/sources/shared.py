@@ -16,10 +16,13 @@ _made: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir, the folder that driver and executors share.
 
-    Only where that setting is absent, as in local use, a temporary folder takes its place.
+    Where that setting is absent, a local master takes a temporary folder; any other refuses, as its executors share none.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_graphlens_dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="graphlens-")
         spark._graphlens_dir = base
     _made.append(f"{base.rstrip('/')}/graphlens-{uuid.uuid4().hex}")
