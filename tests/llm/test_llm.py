@@ -327,6 +327,8 @@ def test_language_models_as_tables_leave_no_gram_out(spark, monkeypatch):
     assert np.allclose([got[int(x)] for x in grams.view(np.int64)], held.letters(grams))
     key = lambda r: (str(r.doc_id), r.lang_pred, round(r.score, 4), r.rejected)
     assert sorted(map(key, langid.identify(df, tables).collect())) == sorted(map(key, langid.identify(df, held).collect()))
+    exact = lambda models: sorted((str(r.doc_id), r.lang_pred, r.score, r.rejected) for r in langid.identify(df, models).collect())
+    assert exact(tables) == exact(held) and tables.temperature == held.temperature and list(tables.limits) == list(held.limits)
 
 
 def test_letter_probabilities_sum_to_one():
