@@ -104,6 +104,64 @@ def service_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def entity_name(name: Column) -> Column:
-    """A catalogue entity's name: letters, digits, - _ . only, at most 63."""
-    clean = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9\\-_.]+", "-"), "^[-_.]+|[-_.]+$", "")
-    return F.coalesce(F.nullif(F.substring(clean, 1, 63), F.lit("")), F.lit("unknown"))
+    """A catalogue entity's name: lower case, each run of what is no ASCII letter or digit one hyphen, none at either end."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9-]", "-"), "-+", "-"), "^-|-$", "")
+
+
+def api_name(repo: Column, method: Column, path: Column) -> Column:
+    """The name of an endpoint's entity; braces of the path go."""
+    inner = F.replace(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[{}]", ""), F.lit("/"), F.lit("-"))
+    return entity_name(F.concat_ws("-", repo, F.lower(method), inner))
+
+
+def catalogue(nodes: DataFrame, edges: DataFrame, imports: DataFrame, quality: DataFrame, owners: DataFrame | None = None, repos: DataFrame | None = None) -> DataFrame:
+    """One row for each repository, put together from its parts: repo, node_id, owner, quality, kinds, languages, frameworks,
+    top_dependencies, apis, dependencies (with evidence) and dependents.
+
+    imports(repo, name, seq), quality(id, quality) and owners(repo, owner) as their operators give them. With repos(repo) those
+    are the rows; one that the graph lacks has an empty entry. The lists hold endpoints and neighbours of one repository.
+    """
+    rows = (nodes if repos is None else repos).select("repo").where("repo IS NOT NULL").distinct()
+    own = nodes.where("kind = 'repository'").groupBy("repo").agg(F.min_by("id", F.struct("seq", "id")).alias("node_id"))
+    mean = nodes.select("id", "repo").join(quality.select("id", F.col("quality").alias("score")), "id").groupBy("repo").agg(F.round(F.avg("score"), 3).alias("quality"))
+    pairs = lambda df, key, value: df.groupBy("repo").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value)))).alias("m"))
+    kinds = pairs(nodes.groupBy("repo", "kind").agg(F.count("*").alias("cnt")), "kind", "cnt").withColumnRenamed("m", "kinds")
+    langs = pairs(languages(nodes.where("kind = 'file'").select("repo", "path")), "language", "cnt").withColumnRenamed("m", "languages")
+    top = top_dependencies(imports).groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("rn", "name", "cnt"))).alias("x")).select("repo", F.col("x.name").alias("top_dependencies"))
+    api = F.struct(F.col("seq"), F.coalesce("http_method", F.lit("GET")).alias("method"), F.coalesce("route_path", F.lit("")).alias("path"), F.col("id").alias("node_id"), F.col("name").alias("function"))
+    apis = nodes.where("kind = 'api_endpoint'").groupBy("repo").agg(F.sort_array(F.collect_list(api)).alias("apis"))
+    proof = evidence(nodes, edges).groupBy("source_repo", "target_repo", "kind").agg(F.sort_array(F.collect_list(F.struct("source", "target"))).alias("evidence"))
+    links = materialize(dependency_map(nodes, edges))
+    out = links.where("direction = 'out'").join(proof, (F.col("repo") == F.col("source_repo")) & (F.col("other") == F.col("target_repo")) & (links["kind"] == proof["kind"]), "left")
+    out = out.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct(F.col("other").alias("repo"), links["kind"].alias("type"), "cnt", "evidence"))).alias("dependencies"))
+    into = links.where("direction = 'in'").groupBy("repo").agg(F.sort_array(F.collect_set("other")).alias("dependents"))
+    parts = [own, mean, kinds, langs, frameworks(imports), top, apis, out, into, *([] if owners is None else [owners.select("repo", "owner")])]
+    for part in parts:
+        rows = rows.join(part, "repo", "left")
+    none = {"kinds": F.create_map().cast("map<string,bigint>"), "languages": F.create_map().cast("map<string,bigint>")}
+    lists = {c: F.array().cast(rows.schema[c].dataType) for c in ("frameworks", "top_dependencies", "apis", "dependencies", "dependents")}
+    filled = rows.withColumns({c: F.coalesce(c, v) for c, v in (none | lists).items()})
+    return filled.withColumns({"owner": F.coalesce(F.col("owner") if owners is not None else F.lit(None).cast("string"), F.lit("unknown")), "quality": F.coalesce("quality", F.lit(0.0))})
+
+
+def entities(entries: DataFrame) -> DataFrame:
+    """kind, name, type, owner, tags, provides, consumes, depends_on, node_id, repo of rows of catalogue().
+
+    A repository is a Component: a service if it has endpoints, else a library; its tags are languages and frameworks, each once.
+    An endpoint is an API. References name their kind and the default namespace; calls of another repository's endpoints are
+    consumed, other dependencies depended on.
+    """
+    ref = lambda kind, name: F.concat(F.lit(f"{kind}:default/"), name)
+    tags = F.array_distinct(F.concat(F.map_keys("languages"), F.transform("frameworks", entity_name)))
+    others = lambda keep: F.transform(F.filter("dependencies", keep), lambda d: ref("component", entity_name(d["repo"])))
+    component = entries.select(
+        F.lit("Component").alias("kind"), entity_name(F.col("repo")).alias("name"), F.when(F.size("apis") > 0, "service").otherwise("library").alias("type"), "owner", tags.alias("tags"),
+        F.transform("apis", lambda a: ref("api", api_name(F.col("repo"), a["method"], a["path"]))).alias("provides"), others(lambda d: d["type"] == "api_calls").alias("consumes"),
+        others(lambda d: d["type"] != "api_calls").alias("depends_on"), "node_id", "repo",
+    )
+    none = F.array().cast("array<string>")
+    api = entries.select("repo", "owner", F.explode("apis").alias("a")).select(
+        F.lit("API").alias("kind"), api_name(F.col("repo"), F.col("a.method"), F.col("a.path")).alias("name"), F.lit("openapi").alias("type"), "owner", none.alias("tags"), none.alias("provides"), none.alias("consumes"),
+        none.alias("depends_on"), F.col("a.node_id").alias("node_id"), "repo",
+    )
+    return component.unionByName(api)

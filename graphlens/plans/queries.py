@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import any_glob, map_to_json, detect_language, identifiers, normalize_route, path_suffix_match, recency, saturate, split_name, token_estimate
 from ..operators import catalog, changeset, graph, guardrails, link, quality, sessions, summaries, temporal, text, text_index, vector, vector_index
 from ..schemas import EDGE_WEIGHTS, EXTENSIONS, FRAMEWORKS, INTENTS, KEYWORDS, STOPWORDS, SYMBOL_KINDS, THIN_CLASS
+from ..sources import parse
 from ..sources.shared import materialize, shared_dir
 from ..sources.snapshots import Store
 from ..streaming import changes, stateful
@@ -799,3 +800,50 @@ def link_signatures(spark, d):
     code = F.concat(F.lit("class own : "), name(k + 7), F.lit(" {\nuse "), name(k + 1))
     sign = F.when(k % 2 == 0, F.concat(F.lit("class own("), name(k + 1), F.lit("):"))).otherwise(F.lit(""))
     return link.link_names(table(spark, d, "supplier").select(k.alias("id"), name(k).alias("name"), F.element_at(F.array(F.lit("class"), F.lit("type"), F.lit("function")), (k % 3 + 1).cast("int")).alias("kind"), code.alias("raw_code"), sign.alias("signature")))
+
+
+# -- lookups ----------------------------------------------------------------
+
+
+@query(f"""WITH {SQL_GRAPH}, x AS (SELECT DISTINCT a.repo, b.repo AS other, edges.kind FROM edges JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target WHERE a.repo <> b.repo),
+q AS (SELECT *, trim(regexp_replace(regexp_replace(lower(repo), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '-') AS name FROM (SELECT DISTINCT repo FROM nodes)), o AS (SELECT *, 'component:default/' || trim(regexp_replace(regexp_replace(lower(other), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '-') AS ref FROM x)
+SELECT 'Component' AS kind, name, 'library' AS type, 'unknown' AS owner, coalesce((SELECT string_agg(ref, ' ' ORDER BY other, kind) FROM o WHERE o.repo = q.repo), '') AS depends_on, 'r:' || (SELECT min(seq) FROM nodes n WHERE n.kind = 'repository' AND n.repo = q.repo) AS node_id FROM q""")
+def catalog_entities(spark, d):
+    n, e = _nodes(spark, d), _edges(spark, d)
+    n = n.withColumns({"http_method": F.lit(None).cast("string"), "route_path": F.lit(None).cast("string")})
+    imports = e.where("kind = 'imports'").join(n.select(F.col("id").alias("source"), "repo"), "source").select("repo", F.col("target").alias("name"), "seq")
+    found = catalog.entities(catalog.catalogue(n, e, imports, quality.scores(n, e)))
+    return found.select("kind", "name", "type", "owner", F.array_join("depends_on", " ").alias("depends_on"), "node_id")
+
+
+@query(f"""WITH {SQL_GRAPH} SELECT 'child' AS role, source AS "of", target AS id FROM edges WHERE kind = 'contains' UNION ALL SELECT 'caller', target, source FROM edges WHERE kind = 'calls'""")
+def neighbour_roles(spark, d):
+    n, e = _nodes(spark, d), _edges(spark, d)
+    of = lambda role, kind, into: graph.neighbours(n, e, kind, into).select(F.lit(role).alias("role"), "of", "id")
+    return of("child", "contains", False).unionByName(of("caller", "calls", True))
+
+
+@query(f"WITH {SQL_NODES}, f AS (SELECT repo, name, id, row_number() OVER (PARTITION BY repo, name ORDER BY seq, id) AS k FROM nodes WHERE kind IN {SYMBOL_KINDS!r}) SELECT repo, name, id FROM f WHERE k = 1")
+def first_symbols(spark, d):
+    n = _nodes(spark, d)
+    return graph.first_named(n, n.select("repo", "name").distinct())
+
+
+@query(f"""WITH {SQL_NODES}, p AS (SELECT path FROM nodes WHERE path <> '' GROUP BY 1), one AS (SELECT min(repo) AS lo, max(repo) AS hi FROM nodes), heads AS (SELECT split_part(path, '/', 1) AS part, repo, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY seq, id) AS k, seq, id FROM nodes WHERE path <> ''),
+h AS (SELECT * FROM heads WHERE k = 1), c AS (SELECT path, h.repo, row_number() OVER (PARTITION BY path ORDER BY h.seq, h.id) AS k FROM p JOIN h ON starts_with(split_part(path, '/', 1), part))
+SELECT p.path, coalesce(CASE WHEN lo = hi THEN lo END, c.repo, lo) AS repo FROM p LEFT JOIN c ON c.path = p.path AND c.k = 1, one""")
+def repositories_of_files(spark, d):
+    n = _nodes(spark, d)
+    return changeset.infer_repositories(n, n.where("path != ''").select("path"))
+
+
+@query("SELECT doc_id, 'Doc' || doc_id AS class_name, 2::BIGINT AS symbols, 'value' || doc_id AS last_name FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(92))")
+def code_symbols(spark, d):
+    """Each text as comment and string of a class: only the class, its method and what its code names are found."""
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.contains("text", F.lit("\\")))
+    line = F.translate(F.regexp_replace("text", "[\\n\\r\\x0B\\x0C\\x85\\u2028\\u2029]", " "), '"', " ")
+    code = F.concat(F.lit("class Doc"), "doc_id", F.lit(" {\n  // "), line, F.lit('\n  void run() { call("'), line, F.lit('", value'), "doc_id", F.lit("); }\n}\n"))
+    files = materialize(docs.select(F.lit("r").alias("repo"), F.concat(F.col("doc_id").cast("string"), F.lit(".java")).alias("path"), code.alias("content"), "doc_id"))
+    found = parse.symbols(files.drop("doc_id")).groupBy("path").agg(F.count("*").alias("symbols"), F.min_by("name", "seq").alias("class_name"))
+    names = parse.code_identifiers(files.select("doc_id", "path", F.col("content").alias("code"), F.lit("java").alias("language")), ["doc_id", "path"])
+    return found.join(names, "path").select("doc_id", "class_name", "symbols", F.array_max("identifiers").alias("last_name"))

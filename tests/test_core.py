@@ -331,3 +331,60 @@ def test_text_queries_over_all_languages(spark):
 
     assert {(r.source, r.target) for r in QUERIES["crossfile_link"](spark, SMALL).collect()} == {(a, b) for a, b in want if len(names[b]) > 1 and names[b] not in KEYWORDS}
     assert QUERIES["bm25_topk"](spark, SMALL).count() and QUERIES["hybrid_blend"](spark, SMALL).count()
+
+
+def test_catalogue_entries_and_entities(spark):
+    from graphlens.operators import quality
+
+    node = "id string, repo string, kind string, name string, path string, start_line int, end_line int, raw_code string, summary string, docstring string, has_embedding boolean, http_method string, route_path string, seq long"
+    rows = [
+        ("r1", "My Shop!", "repository", "My Shop!", None), ("f1", "My Shop!", "file", "a.py", "src/a.py"), ("g1", "My Shop!", "function", "go", "src/a.py"), ("e1", "My Shop!", "api_endpoint", "list_orders", "src/a.py"),
+        ("e2", "My Shop!", "api_endpoint", "plain", "src/a.py"), ("r2", "pay--ments", "repository", "pay--ments", None), ("f2", "pay--ments", "file", "b.go", "b.go"),
+    ]
+    full = [(*r, 1, 9, "x", None, None, True, *{"e1": ("GET", "/orders/{id}"), "e2": (None, None)}.get(r[0], (None, None)), k) for k, r in enumerate(rows)]
+    nodes = spark.createDataFrame(full, node)
+    edges = spark.createDataFrame([("f2", "e1", "api_calls", 0), ("f2", "f1", "imports", 1), ("g1", "f1", "calls", 2)], "source string, target string, kind string, seq long")
+    imports = spark.createDataFrame([("My Shop!", "fastapi.routing", 0), ("My Shop!", "os", 1), ("My Shop!", "os", 2)], "repo string, name string, seq long")
+    owners = spark.createDataFrame([("My Shop!", "user:ann@x")], "repo string, owner string")
+    names = spark.createDataFrame([("My Shop!",), ("pay--ments",), ("nothing",)], "repo string")
+    entries = catalog.catalogue(nodes, edges, imports, quality.scores(nodes, edges), owners, names)
+    by = {r.repo: r for r in entries.collect()}
+    shop, pay, none = by["My Shop!"], by["pay--ments"], by["nothing"]
+    assert (shop.owner, shop.kinds, shop.languages, shop.frameworks, shop.top_dependencies, shop.dependents) == ("user:ann@x", {"api_endpoint": 2, "file": 1, "function": 1, "repository": 1}, {"python": 1}, ["FastAPI"], ["os", "fastapi.routing"], ["pay--ments"])
+    assert [(a.method, a.path, a.node_id, a.function) for a in shop.apis] == [("GET", "/orders/{id}", "e1", "list_orders"), ("GET", "", "e2", "plain")] and shop.node_id == "r1" and shop.quality > 0
+    assert [(d.repo, d.type, d.cnt, [(x.source, x.target) for x in d.evidence]) for d in pay.dependencies] == [("My Shop!", "api_calls", 1, [("f2", "e1")]), ("My Shop!", "imports", 1, [("f2", "f1")])]
+    assert (none.owner, none.quality, none.node_id, none.kinds, none.apis, none.dependencies) == ("unknown", 0.0, None, {}, [], [])
+    found = {(r.kind, r.name): r for r in catalog.entities(entries).collect()}
+    assert set(found) == {("Component", "my-shop"), ("Component", "pay-ments"), ("Component", "nothing"), ("API", "my-shop-get-orders-id"), ("API", "my-shop-get")}
+    shop = found["Component", "my-shop"]
+    assert (shop.type, shop.tags, shop.provides) == ("service", ["python", "fastapi"], ["api:default/my-shop-get-orders-id", "api:default/my-shop-get"])
+    assert (found["Component", "pay-ments"].type, found["Component", "pay-ments"].consumes, found["Component", "pay-ments"].depends_on) == ("library", ["component:default/my-shop"], ["component:default/my-shop"])
+    assert found["API", "my-shop-get-orders-id"].owner == "user:ann@x"
+
+
+def test_session_topic_slows_the_decay(spark):
+    from graphlens.operators import sessions, vector
+
+    context = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 8, [0.0, 1.0]), ("b", 8, [1.0, 0.0]), ("c", 8, None), ("d", 0, [1.0, 0.0])], "node_id string, turn int, vec array<double>")
+    bundle = spark.createDataFrame([(x,) for x in "abcde"], "node_id string")
+    act = lambda **kw: {r.node_id: r.action for r in sessions.dedup(bundle, context, 10, **kw).collect()}
+    assert act() == {"a": "summary", "b": "summary", "c": "summary", "d": "full", "e": "full"}
+    assert act(question=vector.literal([2.0, 0.0])) == {"a": "summary", "b": "drop", "c": "summary", "d": "summary", "e": "full"}
+
+
+def test_a_containment_loop_ends(spark):
+    from graphlens.operators import graph
+
+    edges = spark.createDataFrame([("a", "b", "contains"), ("b", "c", "contains"), ("c", "a", "contains")], "source string, target string, kind string")
+    got = graph.descendants(edges, spark.createDataFrame([("a",)], "id string"), None)
+    assert sorted((r.id, r.depth) for r in got.collect()) == [("b", 1), ("c", 2)]
+
+
+def test_paths_that_end_alike(spark):
+    from graphlens.operators import changeset
+
+    paths = spark.createDataFrame([("a/b/c.py",), ("c.py",), ("x/c.py",), ("b/c.py",), ("abc.py",), ("",)], "path string")
+    files = spark.createDataFrame([("b/c.py",), ("z/abc.py",), ("c.py",), ("q",)], "file string")
+    want = {(p.path, f.file) for p in paths.collect() for f in files.collect() if p.path and (p.path == f.file or p.path.endswith("/" + f.file) or f.file.endswith("/" + p.path))}
+    got = [tuple(r) for r in changeset.suffix_pairs(paths, files).collect()]
+    assert len(got) == len(want) and set(got) == want
