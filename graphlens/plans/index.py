@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import basename, detect_language, symbol_kind
 from ..operators import catalog, embed, link, summaries
-from ..sources import parse
+from ..sources import git, parse
 from ..sources.kept import Kept
 from ..sources.shared import materialize
 from ..sources.snapshots import Replace, Store, View
@@ -240,3 +241,26 @@ def index_incremental(store: Store, changes: DataFrame, files: DataFrame, times:
 
     store.commit(change)
     return catalog.index_report(changes)
+
+
+def index_repository(store: Store, path: str, repo: str, extensions: Iterable[str], start: str = "HEAD") -> str | None:
+    """Brings the stored graph of a git repository to the commit that start names; that commit, or None without commits.
+
+    Only files that differ from the commit of the last time are read, from the repository's objects, and nodes get the times
+    of the history. The commit is noted after the graph, so a run that fails between is made again, with the same result.
+    """
+    spark = store.spark
+    head = git.Repository(path).resolve(start)
+    if head is None:
+        return None
+    before = [r[0] for r in store.load("repo_state").where(F.col("repo_name") == repo).select("commit").collect()]
+    if before == [head]:
+        return head
+    ends = tuple(extensions)
+    ours = lambda c: F.coalesce(F.lower(F.regexp_extract(c, "(\\.[^./]+)$", 1)).isin(*ends), F.lit(False))
+    changed = materialize(git.changed_between(spark, repo, path, before[0] if before else None, head).where(ours(F.col("old_path")) | ours(F.col("new_path"))))
+    if changed.limit(1).count():
+        files = materialize(git.contents(changed.where(ours(F.col("new_path"))), path))
+        index_incremental(store, changed.drop("blob"), files, materialize(git.file_times(spark, {repo: path})))
+    store.upsert("repo_state", spark.createDataFrame([(repo, head)], "repo_name string, commit string").withColumn("updated_at", F.current_timestamp()))
+    return head

@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: rows=commits: one for each commit. rows=paths: one for each path that a commit changed.
 COMMITS = "repo string, hash string, parents array<string>, author string, author_name string, authored_at timestamp, committed_at timestamp, message string"
 PATHS = f"{COMMITS}, path string, status string"
+BETWEEN = "repo string, status string, old_path string, new_path string, blob string"
 #: Commits that one task reads.
 SLICE = 500
 _KINDS = {1: b"commit", 2: b"tree", 3: b"blob", 4: b"tag"}
@@ -280,6 +281,36 @@ class Repository:
             if file_x or file_y:
                 yield path, "modified" if file_x and file_y else "added" if file_y else "deleted"
 
+    def blob(self, tree: str, path: bytes) -> str:
+        """The hash of a file below a tree."""
+        *folders, name = path.split(b"/")
+        for folder in folders:
+            tree = self.tree(tree)[folder][1]
+        return self.tree(tree)[name][1]
+
+    def between(self, old: str | None, new: str) -> Iterator[tuple[str, str | None, str | None, str | None]]:
+        """(status, old path, new path, hash) of the files that differ between two commits; a deleted and an added file with
+        the same content are one renamed, in order of their paths."""
+        text = lambda b: b.decode("utf-8", "replace")
+        a, b = self.commit(old)["tree"] if old else None, self.commit(new)["tree"]
+        gone: dict[str, list[bytes]] = {}
+        added = []
+        for path, status in self.changes(a, b):
+            if status == "modified":
+                yield "modified", text(path), text(path), self.blob(b, path)
+            elif status == "added":
+                added.append((path, self.blob(b, path)))
+            else:
+                gone.setdefault(self.blob(a, path), []).append(path)
+        for path, sha in added:
+            if gone.get(sha):
+                yield "renamed", text(gone[sha].pop(0)), text(path), sha
+            else:
+                yield "added", None, text(path), sha
+        for paths in gone.values():
+            for path in paths:
+                yield "deleted", text(path), None, None
+
     def changed_paths(self, commit: dict) -> list[tuple[str, str]]:
         """Paths that differ from each parent's, with their status against the first; so a merge has only what it settles itself."""
         tree = lambda sha: self.commit(sha)["tree"]
@@ -299,13 +330,17 @@ class _Slice(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.repos = json.loads(options["repos"]) if "repos" in options else {options.get("repo", ""): options["path"]}
-        self.start, self.paths, self.slice = options.get("start", "HEAD"), options.get("rows", "paths") == "paths", int(options.get("slice", SLICE))
+        self.start, self.rows, self.slice = options.get("start", "HEAD"), options.get("rows", "paths"), int(options.get("slice", SLICE))
+        self.since = options.get("since") or None
 
     def partitions(self) -> list[_Slice]:
         out = []
         for repo, path in self.repos.items():
             r = Repository(path)
             start = r.resolve(self.start)
+            if self.rows == "between":  # a comparison of two trees is one slice
+                out += [_Slice(repo, path, [start])] if start else []
+                continue
             commits = list(r.reached(start)) if start else []
             out += [_Slice(repo, path, commits[k : k + self.slice]) for k in range(0, len(commits), self.slice)]
         return out or [_Slice("", "", [])]
@@ -314,11 +349,15 @@ class _Reader(DataSourceReader):
         if not part.commits:
             return
         r = Repository(part.path)
+        if self.rows == "between":
+            for row in r.between(self.since, part.commits[0]):
+                yield part.repo, *row
+            return
         for sha in part.commits:
             c = r.commit(sha)
             name, email, authored = c["author"]
             row = part.repo, sha, c["parents"], email, name, authored, c["committer"][2], c["message"]
-            if self.paths:
+            if self.rows == "paths":
                 for path, status in r.changed_paths(c):
                     yield (*row, path, status)
             else:
@@ -326,7 +365,8 @@ class _Reader(DataSourceReader):
 
 
 class GitHistory(DataSource):
-    """Options: path and repo, or repos (JSON: name -> path); start (a reference, HEAD); rows (paths or commits); slice.
+    """Options: path and repo, or repos (JSON: name -> path); start (a reference, HEAD); rows (paths, commits, or between: the files
+    that differ between the commit `since`, or nothing, and start); slice.
 
     Rows of paths hold a commit's message once for each path. Paths and texts that are no UTF-8 have U+FFFD. A shallow clone's
     last commits count as first ones. Repositories with SHA-256 names are not read.
@@ -337,7 +377,7 @@ class GitHistory(DataSource):
         return "git_history"
 
     def schema(self) -> str:
-        return PATHS if self.options.get("rows", "paths") == "paths" else COMMITS
+        return {"paths": PATHS, "commits": COMMITS, "between": BETWEEN}[self.options.get("rows", "paths")]
 
     def reader(self, schema) -> _Reader:
         return _Reader(dict(self.options))
@@ -349,6 +389,36 @@ def history(spark: SparkSession, repos: dict[str, str], rows: str = "paths", sta
     return spark.read.format("git_history").option("repos", json.dumps(repos)).option("rows", rows).option("start", start).option("slice", slice_).load()
 
 
+def changed_between(spark: SparkSession, repo: str, path: str, since: str | None, start: str = "HEAD") -> DataFrame:
+    """repo, status, old_path, new_path, blob: what differs between two commits, as plans.index.index_incremental takes it."""
+    spark.dataSource.register(GitHistory)
+    reader = spark.read.format("git_history").option("repos", json.dumps({repo: path})).option("rows", "between").option("start", start)
+    return (reader.option("since", since) if since else reader).load()
+
+
+def contents(rows: DataFrame, path: str, limit_bytes: int = 500 << 10) -> DataFrame:
+    """repo, path, content of rows(repo, new_path, blob), read from the objects by the tasks; larger files and those that are no UTF-8 are left out."""
+
+    def read(batches):
+        import pyarrow as pa
+
+        own = None
+        for batch in batches:
+            own, out = own or Repository(path), []
+            for repo, new_path, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                body = own.get(blob)[1]
+                if len(body) <= limit_bytes:
+                    try:
+                        out.append((repo, new_path, body.decode()))
+                    except UnicodeDecodeError:
+                        continue
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)] or [pa.array([], pa.string())] * 3, names=["repo", "path", "content"])
+
+    wanted = rows.where("blob IS NOT NULL").select("repo", "new_path", "blob")
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return wanted.repartition(parts, "blob").mapInArrow(read, "repo string, path string, content string")
+
+
 def file_times(spark: SparkSession, repos: dict[str, str], cap: int = 50) -> DataFrame:
     """repo, path, last_modified, modification_count of each path that the histories name."""
     from ..operators.temporal import file_history

@@ -158,3 +158,35 @@ def test_indexed_nodes_have_times(spark, repo):
     after = {r.id: r.modification_count for r in store.load("nodes").where("path LIKE '%.py'").collect()}
     assert after["r:src/a.py"] == after["r:src/a.py::a"] == got["r:src/a.py"].modification_count + 1
     assert after["r:src/deep/er/b.py"] == got["r:src/deep/er/b.py"].modification_count
+
+
+def test_changes_between_commits(spark, repo):
+    r = git.Repository(repo)
+    for old, new in (("HEAD~9", "HEAD"), ("HEAD~6", "HEAD~5"), ("HEAD", "HEAD")):
+        a, b = run(repo, "rev-parse", old).strip(), run(repo, "rev-parse", new).strip()
+        want = {tuple(x.split("\t")) for x in run(repo, "-c", "core.quotePath=false", "diff", "--no-renames", "--name-status", a, b).splitlines()}
+        got = set()
+        for status, before, after, blob in r.between(a, b):
+            assert blob is None or blob == run(repo, "rev-parse", f"{b}:{after}").strip()
+            got |= {("D", before), ("A", after)} if status == "renamed" else {(status[0].upper(), after or before)}
+        assert got == want
+    assert {x[2] for x in r.between(None, r.resolve())} == set(run(repo, "-c", "core.quotePath=false", "ls-tree", "-r", "--name-only", "HEAD").splitlines())
+
+
+def test_a_repository_is_indexed_by_commits(spark, repo, tmp_path):
+    work = f"{tmp_path}/work"
+    subprocess.run(["git", "clone", "-q", repo, work], env=ENV, check=True, capture_output=True)
+    store, fresh = Store(spark, shared_dir(spark)), Store(spark, shared_dir(spark))
+    first = run(work, "rev-parse", "HEAD~4").strip()
+    assert index.index_repository(store, work, "r", [".py"], first) == first
+    n = store.view().number
+    assert index.index_repository(store, work, "r", [".py"], first) == first and store.view().number == n  # nothing to do
+    run(work, "mv", "src/deep/er/b.py", "src/moved.py")
+    run(work, "commit", "-q", "-m", "moved", at=30_000)
+    head = index.index_repository(store, work, "r", [".py"])
+    assert head == run(work, "rev-parse", "HEAD").strip() == index.index_repository(fresh, work, "r", [".py"])
+    rows = lambda s: sorted((r.id, r.kind, r.summary or "", str(r.last_modified), r.modification_count) for r in s.load("nodes").where("kind NOT IN ('module', 'repository')").collect())
+    links = lambda s: sorted((r.source, r.target, r.kind) for r in s.load("edges").where("kind != 'contains'").collect())
+    assert rows(store) == rows(fresh) and links(store) == links(fresh)
+    assert ("r:src/a.py::a" in {x[0] for x in rows(store)}) and not any("deep" in x[0] for x in rows(store))
+    assert [r.commit for r in store.load("repo_state").collect()] == [head]
