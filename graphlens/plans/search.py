@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import cosine, token_estimate, token_text
-from ..operators import graph, quality, text, vector
+from ..operators import embed, graph, quality, text, text_index, vector
 from ..schemas import PROFILES, SYMBOL_KINDS
 from ..sources.shared import materialize, numbered
+from ..sources.snapshots import Store, View
 
 
 def budget_prefix(seeds: DataFrame, budget: int, share: float = 0.75) -> DataFrame:
@@ -83,10 +84,10 @@ def ordered(members: DataFrame, edges: DataFrame) -> DataFrame:
     return numbered(out, F.col("bucket"), F.desc("score"), F.col("seq"), F.col("id"), name="ord").withColumn("ord", F.col("ord").cast("int"))
 
 
-def search(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame, question: str, query_vector: Column, budget: int = 8000, width: int = 3, repos=None, flat: bool = False) -> DataFrame:
+def search(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFrame | None, question: str, query_vector: Column, budget: int = 8000, width: int = 3, repos=None, flat: bool = False, hits: DataFrame | None = None) -> DataFrame:
     """The result of one question: id, score, ord, summarised (only the summary fits).
 
-    nodes and edges of a graph, vectors(id, embedding), docs(id, text). Intent sets the blend, hops and gate. Text hits are
+    nodes and edges of a graph, vectors(id, embedding), docs(id, text), or in place of docs the text hits(id, score) themselves. Intent sets the blend, hops and gate. Text hits are
     cut before the repository filter, as the vector search filters before its cut only for a single repository.
     """
     spark = nodes.sparkSession
@@ -100,7 +101,7 @@ def search(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFra
     seeds = materialize(seeds)
     if not seeds.limit(1).count():
         return spark.createDataFrame([], "id string, score double, ord int, summarised boolean")
-    blended = text.blend(seeds, in_repo(text.bm25(docs, question, 3 * width)), alpha)
+    blended = text.blend(seeds, in_repo(text.bm25(docs, question, 3 * width) if hits is None else hits), alpha)
     blended = text.raise_scores(blended, in_repo(text.name_match(nodes, question)))
     if "route_path" in nodes.columns:
         blended = text.raise_scores(blended, in_repo(text.route_match(nodes.where("kind = 'api_endpoint'"), question)))
@@ -126,3 +127,40 @@ def search(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, docs: DataFra
     )
     final = materialize(scored.join(fit_budgets(items, budget).select("id", "summarised"), "id"))
     return ordered(final.select("id", "kind", "score", "seq", "summarised"), graph.induced(near, final)).select("id", "score", "ord", "summarised")
+
+
+def node_texts(nodes: DataFrame) -> DataFrame:
+    """id, text that keywords are looked for in: a node's code, else its summary, else its name."""
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    return nodes.select("id", F.coalesce(filled("raw_code"), filled("summary"), F.col("name")).alias("text"))
+
+
+_TEXTS = "id string, sha string"
+
+
+def index_texts(store: Store) -> int:
+    """Brings the store's BM25 index to the texts of its nodes, in one commit; how many texts were new or changed."""
+    made = []
+
+    def change(view: View) -> dict:
+        now = materialize(node_texts(view.load("nodes")).where("text IS NOT NULL").withColumn("sha", F.sha2("text", 256)))
+        before = view.load("bm25_texts", _TEXTS)
+        docs = materialize(now.join(before, ["id", "sha"], "left_anti").select("id", "text"))
+        gone = materialize(before.join(now, "id", "left_anti").select("id"))
+        made[:] = [docs.count()]
+        if not made[0] and not gone.limit(1).count():
+            return {}
+        return {**text_index.changed(view, docs, gone), "bm25_texts": now.select("id", "sha")}
+
+    store.commit(change)
+    return made[0]
+
+
+def ask(store: Store, question: str, budget: int = 8000, width: int = 3, repos=None, flat: bool = False) -> DataFrame:
+    """search() over what a store keeps: its graph, its vectors and their model, and its BM25 index, all of one commit."""
+    view = store.view()
+    vectors = view.load("vectors")
+    nodes = view.load("nodes").join(vectors.select("id", F.lit(True).alias("has_embedding")), "id", "left").withColumn("has_embedding", F.coalesce("has_embedding", F.lit(False)))
+    query_vector = embed.question(store.spark, question, view.load("embedding_model"))
+    hits = materialize(text_index.search(view, question, 3 * width))
+    return search(materialize(nodes), view.load("edges"), vectors.select("id", "embedding"), None, question, query_vector, budget, width, repos, flat, hits)

@@ -128,3 +128,31 @@ def test_index_of_nothing(spark, clustered):
     assert vector_index.search(store.view(), [1.0] * 16).count() == 0
     vector_index.build(store, clustered.where("id >= 3000"))
     assert [r.id for r in vector_index.search(store.view(), [1.0] * 16, exact=True).collect()] == [3000]
+
+
+def test_a_store_is_asked(spark):
+    from graphlens.plans import search
+
+    store = Store(spark, shared_dir(spark))
+    schema = "repo string, path string, content string"
+    code = {("a", "parse/tree.py"): "def parse_tree(grammar):\n    return build_node(grammar)\n\ndef build_node(rule):\n    return rule\n", ("b", "net/socket.py"): "def open_socket(host):\n    return connect(host)\n\ndef connect(host):\n    return host\n"}
+    frame = lambda c: spark.createDataFrame([(*k, v) for k, v in c.items()], schema)
+    index.index_all(store, frame(code))
+    assert search.index_texts(store) == store.load("nodes").count() and search.index_texts(store) == 0
+    best = lambda q, **kw: [r.id for r in search.ask(store, q, **kw).orderBy(F.desc("score"), "ord").collect()]
+    assert "a:parse/tree.py::parse_tree" in best("where is parse_tree defined")[:3]  # its file may come first
+    assert "b:net/socket.py::open_socket" in best("where is open_socket defined")[:3]
+    inside = best("where is open_socket defined", repos=["a"])
+    assert inside and "b:net/socket.py::open_socket" not in inside  # seeds come from the named repositories
+    assert best("where is open_socket defined", repos=["none"]) == []
+    changed = spark.createDataFrame([("b", "modified", "net/socket.py", "net/socket.py")], "repo string, status string, old_path string, new_path string")
+    index.index_incremental(store, changed, frame({("b", "net/socket.py"): "def close_channel(host):\n    return host\n"}))
+    assert 0 < search.index_texts(store) < store.load("nodes").count()
+    view = store.view()
+    nodes = view.load("nodes")
+    hits = lambda q: [(r.id, round(r.score, 9)) for r in q.collect()]
+    from graphlens.operators import text, text_index
+
+    for q in ("close_channel host", "parse a rule"):
+        assert hits(text_index.search(view, q)) == hits(text.bm25(search.node_texts(nodes), q))
+    assert "b:net/socket.py::close_channel" in best("where is close_channel defined")[:3]
