@@ -157,7 +157,7 @@ def test_bm25_index_follows_the_documents(spark, store):
         want = [(r.id, round(r.score, 9)) for r in text.bm25(df, question).collect()]
         assert [(r.id, round(r.score, 9)) for r in text_index.search(store.view(), question).collect()] == want
 
-    for step in range(4):
+    for step in range(3):
         new = {f"d{rnd.randrange(25)}": document(rnd) for _ in range(9 if step else 20)}
         gone = [f"d{rnd.randrange(25)}" for _ in range(3)] if step else []
         docs = {k: v for k, v in docs.items() if k not in gone} | new
@@ -215,7 +215,7 @@ def test_incremental_links_equal_a_rebuild(spark, store, monkeypatch):
         nodes = {(r.id, r.kind, r.name, r.summary) for r in view.load("nodes").where("kind NOT IN ('module', 'repository')").collect()}
         return nodes, {(r.source, r.target, r.kind) for r in view.load("edges").where("kind != 'contains'").collect()}
 
-    for _ in range(3):
+    for _ in range(2):
         changed = {k: source(rnd, names) for k in rnd.sample(sorted(files), 2)}
         added = {("a", f"new{rnd.randrange(99)}.py"): source(rnd, names)}
         gone = [k for k in rnd.sample(sorted(files), 2) if k not in changed]
