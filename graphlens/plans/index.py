@@ -22,6 +22,8 @@ NODE = "id string, repo string, kind string, name string, path string, start_lin
 DEFINITIONS = Kept("definitions", "repo string, path string, name string, target string, target_kind string", ("repo", "path"), "name")
 MENTIONS = Kept("mentions", "repo string, path string, name string, source string, own string, base boolean", ("repo", "path"), "name")
 _NAMED = ("calls", "uses_type", "inherits")
+#: Kinds of edges that indexing finds itself; others, of an adopted graph, stay while both their ends do.
+_FOUND = (*_NAMED, "contains", "api_calls", "shared_lib")
 _COLUMNS = [x.split()[0] for x in NODE.split(", ")]
 
 
@@ -96,6 +98,22 @@ def _finished(nodes: DataFrame, edges: DataFrame) -> Graph:
     return Graph(nodes.join(summaries.heuristic_summaries(nodes, edges), "id", "left"), edges)
 
 
+def _refreshed(view: View, new_nodes: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[Graph, DataFrame]:
+    """_finished() after a change, and the ids whose texts may be others; the summaries of the rest are those of before."""
+    edges = materialize(edges.unionByName(link.shared_imports(nodes, edges)).distinct())
+    before = view.load("nodes")
+    box = F.col("kind").isin("module", "repository")
+    came = new_nodes.where(~box).select("id").unionByName(new_nodes.where(box).select("id").join(before.select("id"), "id", "left_anti"))
+    went = before.select("id").join(nodes.select("id"), "id", "left_anti")
+    stale = summaries.stale(view.load("edges"), edges, came.unionByName(went))
+    if "summary" not in before.columns:  # an adopted graph that has none yet
+        stale = materialize(nodes.select("id").unionByName(went))
+        before = before.withColumn("summary", F.lit(None).cast("string"))
+    made = summaries.heuristic_summaries(nodes, edges, stale)
+    kept = before.select("id", "summary").join(stale, "id", "left_anti")
+    return Graph(materialize(nodes.join(made.unionByName(kept), "id", "left")), edges), stale
+
+
 def linked(g: Graph) -> Graph:
     """With cross-references, calls of endpoints and shared imports, and each node's summary."""
     code = _code(g.nodes)
@@ -121,16 +139,22 @@ def timed(nodes: DataFrame, times: DataFrame | None, old: DataFrame | None = Non
 VECTOR = "id string, embedding array<float>, repo string, kind string, path string, document string"
 
 
-def hydrated(view: View, nodes: DataFrame, edges: DataFrame) -> dict:
+def hydrated(view: View, nodes: DataFrame, edges: DataFrame, stale: DataFrame | None = None) -> dict:
     """What a commit writes so that each node has the vector of its text: those of nodes that are gone go, and only nodes without
-    a vector, or whose text is another than their vector's, are embedded. The first call fits the model, later ones use it."""
-    texts = materialize(summaries.embedding_texts(nodes, edges).withColumn("text", F.coalesce("text", F.lit(""))))
+    a vector, or whose text is another than their vector's, are embedded. The first call fits the model, later ones use it.
+
+    With stale(id), texts are made only for those and for nodes without a vector; the vectors of the others stay."""
     have = view.load("vectors", VECTOR).select(*(c.split()[0] for c in VECTOR.split(", ")))
     known = bool(view.tables.get("embedding_model"))
+    asked, stay = None, have.limit(0)
+    if stale is not None and known:
+        asked = materialize(stale.select("id").unionByName(nodes.select("id").join(have.select("id"), "id", "left_anti")).distinct())
+        stay = have.join(asked, "id", "left_anti").join(nodes.select("id"), "id", "left_semi").select(have.columns)
+    texts = materialize(summaries.embedding_texts(nodes, edges, asked).withColumn("text", F.coalesce("text", F.lit(""))))
     model = view.load("embedding_model", embed.MODEL) if known else materialize(embed.fit(texts))
-    stay = have.join(texts, "id").where("document = text").select(have.columns)
-    stay = materialize(stay)
-    missing = texts.join(stay.select("id"), "id", "left_anti")
+    same = materialize(have.join(texts, "id").where("document = text").select(have.columns))
+    missing = texts.join(same.select("id"), "id", "left_anti")
+    stay = stay.unionByName(same)
     new = embed.embed(missing, model).join(texts, "id").join(nodes.select("id", "repo", "kind", "path"), "id").select("id", "embedding", "repo", "kind", "path", F.col("text").alias("document"))
     return {"vectors": stay.unionByName(new.select(stay.columns)), **({} if known else {"embedding_model": model})}
 
@@ -209,7 +233,8 @@ def relinked(view: View, kept_nodes: DataFrame, new_nodes: DataFrame, gone: Data
     else:
         before = edges.where("kind = 'api_calls'").join(dead.withColumnRenamed("id", "source"), "source", "left_anti")
         calls = before.select("source", "target", "kind").unionByName(_calls(code, nodes))
-    found = stay.select("source", "target", "kind").unionByName(links).unionByName(calls).distinct()
+    other = edges.where(~F.col("kind").isin(*_FOUND)).join(dead.withColumnRenamed("id", "source"), "source", "left_anti").select("source", "target", "kind")
+    found = stay.select("source", "target", "kind").unionByName(links).unionByName(calls).unionByName(other).distinct()
     return found, {**DEFINITIONS.delta(view, fresh_defs, gone), **MENTIONS.delta(view, fresh_mentions, gone)}
 
 
@@ -235,8 +260,8 @@ def index_incremental(store: Store, changes: DataFrame, files: DataFrame, times:
         edges, ids = contains.unionByName(links), nodes.select("id")
         for end in ("source", "target"):
             edges = edges.join(ids.withColumnRenamed("id", end), end, "left_semi")
-        g = _finished(nodes, materialize(edges.select("source", "target", "kind").distinct()))
-        vectors = hydrated(view, g.nodes, g.edges) if view.exists("vectors") else {}
+        g, stale = _refreshed(view, new.nodes, nodes, materialize(edges.select("source", "target", "kind").distinct()))
+        vectors = hydrated(view, g.nodes, g.edges, stale) if view.exists("vectors") else {}
         return {"nodes": timed(g.nodes, times, view.load("nodes")), "edges": g.edges, **index, **vectors}
 
     store.commit(change)

@@ -6,7 +6,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from graphlens.operators import link, text, text_index
+from graphlens.operators import link, summaries, text, text_index
 from graphlens.plans import index
 from graphlens.sources import snapshots
 from graphlens.sources.kept import Kept
@@ -200,6 +200,34 @@ def source(rnd, names):
     return "\n".join(out)
 
 
+def _plain(view):
+    """The nodes of a view with summaries that are all made anew, and each vector's text against that of its node."""
+    nodes, edges = view.load("nodes"), view.load("edges")
+    texts = {r.id: r.text or "" for r in summaries.embedding_texts(nodes, edges).collect()}
+    assert {r.id: r.document for r in view.load("vectors").collect()} == texts
+    return nodes.drop("summary").join(summaries.heuristic_summaries(nodes.drop("summary"), edges), "id")
+
+
+def test_a_change_makes_few_summaries(spark, store, monkeypatch):
+    files = {f"d{k}/f{k}.py": f"def one{k}():\n    return two{k}()\n\ndef two{k}():\n    return {k}\n" for k in range(6)}
+    schema = "repo string, path string, content string"
+    index.index_all(store, spark.createDataFrame([("r", p, c) for p, c in files.items()], schema))
+    nodes = store.load("nodes").drop("last_modified", "modification_count", "summary")
+    index.adopt(store, index.Graph(store.load("nodes"), store.load("edges").unionByName(spark.createDataFrame([("r:d1/f1.py", "r:d2/f2.py", "imports"), ("r:d0/f0.py", "r:d2/f2.py", "imports")], "source string, target string, kind string"))))
+    asked = []
+    plain = summaries.heuristic_summaries
+    monkeypatch.setattr(summaries, "heuristic_summaries", lambda n, e, only=None: asked.append({r.id for r in only.collect()} if only is not None else None) or plain(n, e, only))
+    changed = spark.createDataFrame([("r", "modified", "d0/f0.py", "d0/f0.py")], "repo string, status string, old_path string, new_path string")
+    index.index_incremental(store, changed, spark.createDataFrame([("r", "d0/f0.py", "def one0():\n    return two1()\n")], schema))
+    view = store.view()
+    # the file and its functions, the one that went, its module, whose member has another size, and the new callee
+    assert asked == [{"r:d0/f0.py", "r:d0/f0.py::one0", "r:d0/f0.py::two0", "r:d0/", "r:d1/f1.py::two1"}]
+    monkeypatch.undo()
+    assert {(r.id, r.summary) for r in view.load("nodes").collect()} == {(r.id, r.summary) for r in _plain(view).collect()}
+    assert [(r.source, r.target) for r in view.load("edges").where("kind = 'imports'").collect()] == [("r:d1/f1.py", "r:d2/f2.py")]
+    assert nodes.count() == view.load("nodes").count() + 1
+
+
 def test_incremental_links_equal_a_rebuild(spark, store, monkeypatch):
     monkeypatch.setattr(link, "AMBIGUOUS", 3)  # so that names cross the limit
     monkeypatch.setattr(link.joined_names, "__defaults__", (3,))
@@ -212,7 +240,9 @@ def test_incremental_links_equal_a_rebuild(spark, store, monkeypatch):
 
     def state(s):
         view = s.view()
-        nodes = {(r.id, r.kind, r.name, r.summary) for r in view.load("nodes").where("kind NOT IN ('module', 'repository')").collect()}
+        nodes = {(r.id, r.kind, r.name, r.summary) for r in view.load("nodes").collect()}
+        assert nodes == {(r.id, r.kind, r.name, r.summary) for r in _plain(view).collect()}
+        nodes = {x for x in nodes if x[1] not in ("module", "repository")}
         return nodes, {(r.source, r.target, r.kind) for r in view.load("edges").where("kind != 'contains'").collect()}
 
     for _ in range(2):
