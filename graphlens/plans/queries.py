@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import any_glob, map_to_json, detect_language, identifiers, normalize_route, path_suffix_match, recency, saturate, split_name, token_estimate
-from ..operators import catalog, changeset, graph, guardrails, link, quality, sessions, summaries, temporal, text, text_index, vector, vector_index
-from ..schemas import EDGE_WEIGHTS, EXTENSIONS, FRAMEWORKS, INTENTS, KEYWORDS, STOPWORDS, SYMBOL_KINDS, THIN_CLASS
+from ..functions.expressions import any_glob, map_to_json, detect_language, identifiers, node_class, normalize_route, path_suffix_match, recency, rounded, saturate, split_name, symbol_kind, token_estimate
+from ..operators import catalog, changeset, graph, guardrails, link, quality, reports, sessions, summaries, temporal, text, text_index, vector, vector_index
+from ..schemas import CLASS_HINTS, DECLARATION_ENDS, EDGE_WEIGHTS, EXTENSIONS, FRAMEWORKS, FUNCTION_HINTS, INTENTS, KEYWORDS, NO_SYMBOLS, STOPWORDS, SYMBOL_KINDS, THIN_CLASS
 from ..sources import parse
 from ..sources.shared import materialize, shared_dir
 from ..sources.snapshots import Store
@@ -847,3 +847,170 @@ def code_symbols(spark, d):
     found = parse.symbols(files.drop("doc_id")).groupBy("path").agg(F.count("*").alias("symbols"), F.min_by("name", "seq").alias("class_name"))
     names = parse.code_identifiers(files.select("doc_id", "path", F.col("content").alias("code"), F.lit("java").alias("language")), ["doc_id", "path"])
     return found.join(names, "path").select("doc_id", "class_name", "symbols", F.array_max("identifiers").alias("last_name"))
+
+
+_HEADS = ("function", "class", "import", "method", "field", "impl", "object", "lambda", "Enum", "odd", "type", "parameter", "SomeInterface")
+_TAILS = ("_declaration", "_definition", "_item", "_statement", "")
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS id, ({list(_HEADS)!r})[(p_partkey % {len(_HEADS)} + 1)::INT] || ({list(_TAILS)!r})[(p_partkey % {len(_TAILS)} + 1)::INT] AS t, ({list(_HEADS)!r})[(p_partkey % {len(_HEADS)} + 1)::INT] AS head, p_size / 8.0 AS x FROM part)
+SELECT id, t AS node_type, CASE WHEN NOT regexp_matches(t, '({'|'.join(DECLARATION_ENDS)})$') OR t IN {tuple(NO_SYMBOLS)!r} THEN NULL WHEN regexp_matches(lower(t), '{'|'.join(FUNCTION_HINTS)}') THEN 'function' WHEN regexp_matches(lower(t), '{'|'.join(CLASS_HINTS)}') THEN 'class' ELSE 'function' END AS class,
+CASE WHEN head IN ('function', 'method', 'class', 'type', 'constant') THEN head ELSE 'function' END AS kind, round_even(x::DOUBLE, 2) AS rounded FROM t""")
+def node_classes(spark, d):
+    """What a parser's node types declare, and the kinds of symbols that are named so."""
+    one_of = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % len(words) + 1).cast("int"))
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(one_of(_HEADS), one_of(_TAILS)).alias("node_type"), one_of(_HEADS).alias("head"), (F.col("p_size") / 8).alias("x"))
+    return t.select("id", "node_type", node_class(F.col("node_type")).alias("class"), symbol_kind(F.col("head")).alias("kind"), rounded(F.col("x"), 2).alias("rounded"))
+
+
+@query("""WITH k AS (SELECT o_orderkey AS id, o_orderkey::VARCHAR AS k, (o_custkey % 90 + 1)::INT AS a, (o_custkey % 7)::INT AS b, o_orderpriority AS w FROM orders)
+SELECT id, 1 AS file_seq, 'src/x' || k || '.py' AS old_path, 'src/y' || k || '.py' AS new_path, 'renamed' AS status, a AS hunk_start, a + b AS hunk_end, 'import ' || w || ';;last' AS added, 'old' AS removed FROM k
+UNION ALL SELECT id, 1, 'src/x' || k || '.py', 'src/y' || k || '.py', 'renamed', a + 200, a + 201, 'one', '' FROM k
+UNION ALL SELECT id, 2, 'gone', 'gone', 'deleted', NULL, NULL, NULL, NULL FROM k UNION ALL SELECT id, 3, 'n', 'n', 'added', 1, 2, w, '' FROM k WHERE id % 2 = 0""")
+def diff_parts(spark, d):
+    """A diff for each order: a renamed file with two hunks, a deleted one and, in every other diff, a new one."""
+    k, a, w = F.col("o_orderkey").cast("string"), F.col("o_custkey") % 90 + 1, F.col("o_orderpriority")
+    text = F.concat(
+        F.lit("before\ndiff --git a/src/x"), k, F.lit(".py b/src/y"), k, F.lit(".py\nsimilarity index 90%\nrename from src/x\n--- a/src/x\n+++ b/src/y\n@@ -1,2 +"), a.cast("string"), F.lit(","), (F.col("o_custkey") % 7).cast("string"),
+        F.lit(" @@ def f\n+import "), w, F.lit("\n-old\n+++odd\n same\n+\n+last\n@@ -9 +"), (a + 200).cast("string"), F.lit(" @@\n+one\ndiff --git a/gone b/gone\ndeleted file mode 100644\n"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("diff --git a/n b/n\nnew file mode 100644\n@@ -0,0 +1 @@\n+"), w)).otherwise(F.lit("")),
+    )
+    found = parse.diff_hunks(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.alias("diff")))
+    return found.withColumns({"added": F.array_join("added", ";"), "removed": F.array_join("removed", ";"), "file_seq": F.col("file_seq").cast("int")})
+
+
+_ASKED = ("Customer#000000007", "else/where/Customer#000000011", "ASIA/CHINA", "parts/Brand#3/3", "no such")
+
+
+@query(f"""WITH {SQL_NODES}, a AS (SELECT unnest({list(_ASKED)!r}) AS p), f AS (SELECT p AS asked, id, seq, path, kind, name, path = p OR ends_with(path, '/' || p) OR ends_with(p, '/' || path) AS same, kind = 'file' AND ends_with(path, split_part(p, '/', -1)) AS base FROM nodes, a),
+l AS (SELECT 'file' AS how, asked, id, seq, CASE WHEN kind = 'file' AND same THEN 0 WHEN base THEN 1 END AS r FROM f UNION ALL SELECT 'target', asked, id, seq, CASE WHEN same AND kind = 'file' THEN 3 END FROM f
+UNION ALL SELECT 'symbol', asked, id, seq, CASE WHEN same AND name = 'Order' || (SELECT min(o_orderkey) FROM orders WHERE o_custkey = 7) THEN 1 END FROM f)
+SELECT how, asked, id FROM l WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY how, asked ORDER BY r, seq, id) = 1""")
+def node_lookups(spark, d):
+    """Files by the end of a path or by base name, and targets by file or by file and symbol; what is not there gives no row."""
+    n = _nodes(spark, d)
+    name = "Order" + str(table(spark, d, "orders").where("o_custkey = 7").agg(F.min("o_orderkey")).first()[0])
+    found = spark.createDataFrame([], "how string, asked string, id string")
+    for asked in _ASKED:
+        for how, got in (("file", graph.file_node(n, asked)), ("target", graph.resolve_target(n, file=asked)), ("symbol", graph.resolve_target(n, file=asked, symbol=name))):
+            found = found.unionByName(got.select(F.lit(how).alias("how"), F.lit(asked).alias("asked"), "id"))
+    return found
+
+
+@query(f"WITH {SQL_EDGES}, s AS (SELECT 's:' || min(s_suppkey) AS id FROM supplier) SELECT source, target, kind, CASE WHEN source = s.id THEN 'out' ELSE 'in' END AS direction FROM edges, s WHERE source = s.id OR (target = s.id AND kind = 'imports')")
+def incident_edges(spark, d):
+    e, one = _edges(spark, d), "s:" + str(table(spark, d, "supplier").agg(F.min("s_suppkey")).first()[0])
+    return graph.incident(e, one, direction="out").unionByName(graph.incident(e, one, "imports", "in")).select("source", "target", "kind", "direction")
+
+
+@query(f"WITH {SQL_GRAPH} SELECT source, target, 'shared_lib' AS kind FROM edges JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target WHERE edges.kind = 'imports' AND a.repo <> b.repo")
+def shared_imports(spark, d):
+    return link.shared_imports(nodes(spark, d), edges(spark, d))
+
+
+_WIRED = " OR ".join(f"contains(lower(path), '{w}')" for w in link.WIRING)
+
+
+@query(f"""WITH {SQL_GRAPH}, n AS (SELECT id, kind, seq, CASE WHEN kind = 'file' AND seq % 10 = 3 THEN 'tests/test_Customer#' || lpad((seq - 1)::VARCHAR, 9, '0') ELSE path END AS path FROM nodes),
+e AS (SELECT source, target, CASE WHEN kind = 'calls' THEN 'inherits' ELSE kind END AS kind FROM edges UNION ALL SELECT 'c:' || s_suppkey, 's:' || s_suppkey, 'contains' FROM supplier UNION ALL SELECT 'c:' || c_custkey, 'c:' || c_custkey + 1, 'imports' FROM customer),
+f AS (SELECT id AS file, path, split_part(path, '/', -1) AS base FROM n WHERE kind = 'file'), s AS (SELECT file, n.id, n.kind FROM f JOIN e ON source = file AND e.kind = 'contains' JOIN n ON n.id = target),
+up AS (SELECT DISTINCT file, s.id AS sym, target AS iface FROM s JOIN e ON source = s.id AND e.kind = 'inherits' WHERE s.kind IN ('class', 'type')),
+t AS (SELECT path, base, seq, id FROM (SELECT n.*, split_part(path, '/', -1) AS base FROM n WHERE kind = 'file')), tests AS (SELECT file, t.id FROM f JOIN t ON t.base IN ('test_' || f.base, f.base || '_test') QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY t.seq, t.path) = 1),
+r AS (SELECT file, 'symbol' AS role, id FROM s UNION ALL SELECT file, 'interface', iface FROM up UNION ALL SELECT file, 'sibling', source FROM up JOIN e ON e.target = iface AND e.kind = 'inherits' WHERE source <> sym UNION ALL SELECT file, 'test', id FROM tests
+UNION ALL SELECT file, 'wiring', n.id FROM s JOIN e ON e.target = s.id AND e.kind IN ('calls', 'uses_type') JOIN n ON n.id = e.source WHERE s.kind = 'class' AND ({_WIRED}) UNION ALL SELECT file, 'imports', target FROM f JOIN e ON source = file AND e.kind = 'imports' UNION ALL SELECT file, 'imported_by', source FROM f JOIN e ON target = file AND e.kind = 'imports')
+SELECT DISTINCT file, role, r.id FROM r JOIN n ON n.id = r.id""")
+def write_contexts(spark, d):
+    """What to know before an edit of each file: suppliers are the classes of a file and inherit their parts, files import the next one, some are tests."""
+    k = F.col("seq")
+    n = _nodes(spark, d)
+    n = materialize(n.withColumn("path", F.when((F.col("kind") == "file") & (k % 10 == 3), F.concat(F.lit("tests/test_Customer#"), F.lpad((k - 1).cast("string"), 9, "0"))).otherwise(F.col("path"))).select("id", "kind", "path", "seq"))
+    e = edges(spark, d).select("source", "target", F.when(F.col("kind") == "calls", "inherits").otherwise(F.col("kind")).alias("kind"))
+    s, c = F.col("s_suppkey").cast("string"), F.col("c_custkey")
+    e = e.unionByName(table(spark, d, "supplier").select(F.concat(F.lit("c:"), s).alias("source"), F.concat(F.lit("s:"), s).alias("target"), F.lit("contains").alias("kind")))
+    e = e.unionByName(table(spark, d, "customer").select(F.concat(F.lit("c:"), c.cast("string")).alias("source"), F.concat(F.lit("c:"), (c + 1).cast("string")).alias("target"), F.lit("imports").alias("kind")))
+    return link.write_context(n, materialize(e), n.where("kind = 'file'"))
+
+
+@query(f"""WITH {SQL_GRAPH}, u AS (SELECT target AS id, count(*) AS n FROM edges WHERE kind = 'uses_type' AND target IN (SELECT id FROM nodes WHERE kind = 'class' AND repo = 'ASIA') GROUP BY 1), m AS (SELECT id, n FROM u WHERE n > 15 ORDER BY n DESC, id LIMIT 1)
+SELECT id || ' has ' || n || ' dependants, over 15' AS reason FROM m UNION ALL SELECT 'The change adds dependencies between repositories' UNION ALL SELECT * FROM (SELECT 'The change modifies the endpoint ' || name FROM nodes WHERE kind = 'type' AND repo = 'ASIA' ORDER BY seq LIMIT 1)""")
+def review_reasons(spark, d):
+    """A change of all of Asia's suppliers and parts, where parts are endpoints, with a call of them from each supplier."""
+    n = _nodes(spark, d)
+    own = n.where("kind IN ('class', 'type') AND repo = 'ASIA'")
+    n = n.withColumn("kind", F.when(F.col("kind") == "type", "api_endpoint").otherwise(F.col("kind")))
+    e = _edges(spark, d).where("kind != 'calls'")
+    fresh = own.where("kind = 'class'").select(F.col("id").alias("source"), F.lit("x").alias("target"), F.lit("api_calls").alias("kind"))
+    change = changeset.ChangeSet(n.where("false").select("path", F.lit("modified").alias("status")), own.select("id"), n.where("false"), fresh, fresh.where("false"))
+    return changeset.review_reasons(n, e, change, [{"type": "impact_count"}, {"type": "cross_repo"}, {"type": "modifies_api"}])
+
+
+_STATUS = "CASE event_type WHEN 'click' THEN 'renamed' WHEN 'signup' THEN 'added' WHEN 'error' THEN 'deleted' ELSE 'modified' END"
+
+
+@query(f"""WITH c AS (SELECT {_STATUS} AS status, CASE WHEN event_type <> 'signup' THEN 'f' || user_id END AS old_path, CASE WHEN event_type = 'click' THEN 'g' || user_id WHEN event_type <> 'error' THEN 'f' || user_id END AS new_path FROM events)
+SELECT old_path AS path, 'remove' AS action FROM c WHERE status <> 'added' UNION SELECT new_path, 'parse' FROM c WHERE status <> 'deleted'""")
+def file_steps(spark, d):
+    return parse.file_changes(_file_changes(spark, d))
+
+
+@query(f"WITH c AS (SELECT 'r' || event_id % 6 AS repo, {_STATUS} AS s FROM events) SELECT repo, count(*) FILTER (s = 'added') AS added, count(*) FILTER (s = 'modified') AS modified, count(*) FILTER (s = 'deleted') AS deleted, count(*) FILTER (s = 'renamed') AS renamed FROM c GROUP BY repo")
+def change_report(spark, d):
+    return catalog.index_report(_file_changes(spark, d))
+
+
+def _file_changes(spark, d) -> DataFrame:
+    """Events as changes of a file by user: clicks rename it, sign-ups add it, errors delete it, the rest modify it."""
+    kind, f = F.col("event_type"), F.concat(F.lit("f"), F.col("user_id").cast("string"))
+    status = F.when(kind == "click", "renamed").when(kind == "signup", "added").when(kind == "error", "deleted").otherwise("modified")
+    new = F.when(kind == "click", F.concat(F.lit("g"), F.col("user_id").cast("string"))).when(kind != "error", f)
+    return table(spark, d, "events").select(F.concat(F.lit("r"), (F.col("event_id") % 6).cast("string")).alias("repo"), status.alias("status"), F.when(kind != "signup", f).alias("old_path"), new.alias("new_path"))
+
+
+# -- what a store keeps -----------------------------------------------------
+
+
+@query("SELECT user_id::VARCHAR AS node_id, max(ts)::VARCHAR AS last_retrieved, count(*) AS retrieval_count FROM events GROUP BY 1")
+def retrieval_counts(spark, d):
+    """Events appended to a store's log of retrievals in two parts, and what the log then tells of each node."""
+    store = Store(spark, shared_dir(spark))
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("node_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    for part in (e.where("event_type = 'view'"), e.where("event_type != 'view'")):
+        store.append_log("retrieval_log", part.drop("event_type"))
+    return store.retrievals().withColumn("last_retrieved", F.col("last_retrieved").cast("string"))
+
+
+@query("SELECT user_id::VARCHAR AS session_id, max(ts)::VARCHAR AS updated FROM events GROUP BY user_id HAVING max(ts) >= TIMESTAMP '2024-01-29 12:00:00'")
+def kept_sessions(spark, d):
+    """Sessions saved for every user, those of the last day left after a purge; what is asked for later finds the same."""
+    store, now = Store(spark, shared_dir(spark)), F.lit("2024-01-30 12:00:00").cast("timestamp")
+    ts = F.col("ts").cast("timestamp")
+    last = table(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.min(ts).alias("created_at"), F.max(ts).alias("updated_at")).withColumn("data", F.lit("{}"))
+    store.save_session(last.withColumn("updated_at", F.col("created_at")))
+    store.save_session(last)
+    store.purge_sessions(now, 1)
+    return sessions.unexpired(store.load("sessions"), now, 1).select("session_id", F.col("updated_at").cast("string").alias("updated"))
+
+
+@query(f"""WITH {SQL_GRAPH}, n AS (SELECT id, kind, CASE WHEN kind = 'class' THEN 'new ' || name ELSE name END AS name FROM nodes WHERE kind <> 'type' OR seq % 3 <> 0), e AS (SELECT source, target FROM edges WHERE source NOT IN (SELECT id FROM nodes WHERE kind = 'type' AND seq % 3 = 0) AND target NOT IN (SELECT id FROM nodes WHERE kind = 'type' AND seq % 3 = 0)),
+g AS (SELECT id, count(*) AS n FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY 1) SELECT id, kind, name, coalesce(g.n, 0) AS degree FROM n LEFT JOIN g USING (id)""")
+def stored_graph(spark, d):
+    """A graph in a store: suppliers get other names, every third part goes with its edges, and both tables are read as of one commit."""
+    store = Store(spark, shared_dir(spark))
+    n, e = _nodes(spark, d).select("id", "kind", "name", "seq"), edges(spark, d)
+    store.commit(lambda _: {"nodes": n, "edges": e})
+    store.upsert("nodes", n.where("kind = 'class'").withColumn("name", F.concat(F.lit("new "), "name")))
+    store.remove_graph_nodes(store.existing("nodes", n.where("kind = 'type' AND seq % 3 = 0").select("id")))
+    view = store.view()
+    return view.load("nodes").join(graph.degrees(view.load("edges")), "id", "left").select("id", "kind", "name", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+@query("""WITH v AS (SELECT o_orderkey AS k, 'rule' || o_custkey % 7 AS rule_id, CASE o_orderkey % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'warning' ELSE 'info' END AS severity FROM orders), t AS (SELECT count(*) AS n, count(*) FILTER (severity = 'block' AND rule_id <> 'rule1') AS open FROM v)
+SELECT 'Check ' || CASE WHEN open = 0 THEN 'passed' ELSE 'failed' END || chr(10) || '  Rules: 7' || chr(10) || '  Files: 3' || chr(10) || '  Violations: ' || n AS line FROM t
+UNION ALL SELECT '  ' || CASE WHEN severity <> 'block' THEN upper(severity) WHEN rule_id = 'rule1' THEN 'BLOCK (approved)' ELSE 'BLOCK (pending)' END || ' [' || rule_id || '] order ' || k || CASE WHEN k % 2 = 0 THEN chr(10) || '    File: f' || k ELSE '' END || CASE WHEN k % 5 = 0 THEN chr(10) || '    Fix: undo' ELSE '' END FROM v""")
+def rule_report(spark, d):
+    k = F.col("o_orderkey")
+    v = table(spark, d, "orders").select(
+        F.concat(F.lit("rule"), (F.col("o_custkey") % 7).cast("string")).alias("rule_id"), F.when(k % 3 == 0, "block").when(k % 3 == 1, "warning").otherwise("info").alias("severity"), F.concat(F.lit("order "), k.cast("string")).alias("message"),
+        F.when(k % 2 == 0, F.concat(F.lit("f"), k.cast("string"))).alias("file_path"), F.when(k % 5 == 0, "undo").otherwise("").alias("suggested_fix"),
+    )
+    return reports.rule_report(guardrails.approve(v, F.array(F.lit("rule1"))), 7, 3).select("line")
