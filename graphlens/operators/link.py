@@ -79,6 +79,24 @@ def client_urls(code: Column) -> Column:
     return F.concat(verbs, fetch)
 
 
+def client_routes(callers: DataFrame) -> DataFrame:
+    """callers(id, repo, raw_code) -> source, repo, url, route of each distinct client call."""
+    return callers.select(F.col("id").alias("source"), "repo", F.explode(client_urls(F.col("raw_code"))).alias("url")).distinct().withColumn("route", normalize_route(F.col("url")))
+
+
+def route_ends(calls: DataFrame) -> DataFrame:
+    """calls(route, ...) with route set to what follows each of its slashes: the routes that a call may mean besides its own."""
+    behind = F.filter(F.sequence(F.lit(1), F.length("route")), lambda k: F.substring(F.col("route"), k, F.lit(1)) == "/")
+    tails = F.transform(behind, lambda k: F.substring(F.col("route"), k + 1, F.length("route")))
+    return calls.select(*(c for c in calls.columns if c != "route"), F.explode(tails).alias("route"))
+
+
+def meant_routes(callers: DataFrame) -> DataFrame:
+    """source, name: every route that a client call of the source may mean, its own and its ends."""
+    calls = client_routes(callers).select("source", "route").distinct()
+    return calls.unionByName(route_ends(calls)).select("source", F.col("route").alias("name")).where("name != ''").distinct()
+
+
 def api_contracts(callers: DataFrame, endpoints: DataFrame) -> DataFrame:
     """callers(id, repo, raw_code) x endpoints(id, repo, route_path, seq) -> source, target, url of calls between repositories.
 
@@ -87,12 +105,10 @@ def api_contracts(callers: DataFrame, endpoints: DataFrame) -> DataFrame:
     """
     ends = endpoints.where("route_path != ''").select(normalize_route(F.col("route_path")).alias("route"), F.struct("seq", F.col("id").alias("target"), F.col("repo").alias("target_repo")).alias("e"))
     ends = ends.groupBy("route").agg(F.max("e").alias("last"), F.min("e.seq").alias("s")).select("route", "s", "last.target", "last.target_repo")
-    calls = callers.select(F.col("id").alias("source"), "repo", F.explode(client_urls(F.col("raw_code"))).alias("url")).distinct().withColumn("route", normalize_route(F.col("url")))
+    calls = client_routes(callers)
     equal = calls.join(ends, "route").select("source", "repo", "url", "target", "target_repo")
     rest = calls.join(ends.select("route"), "route", "left_anti")
-    behind = F.filter(F.sequence(F.lit(1), F.length("route")), lambda k: F.substring(F.col("route"), k, F.lit(1)) == "/")
-    tails = rest.select("source", "repo", "url", F.explode(F.transform(behind, lambda k: F.substring(F.col("route"), k + 1, F.length("route")))).alias("route"))
-    found = tails.join(ends, "route").groupBy("source", "repo", "url").agg(F.min(F.struct("s", "route", "target", "target_repo")).alias("e"))
+    found = route_ends(rest.select("source", "repo", "url", "route")).join(ends, "route").groupBy("source", "repo", "url").agg(F.min(F.struct("s", "route", "target", "target_repo")).alias("e"))
     found = equal.unionByName(found.select("source", "repo", "url", "e.target", "e.target_repo"))
     return found.where("repo != target_repo").select("source", "target", "url").distinct()
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import basename, detect_language, symbol_kind
+from ..functions.expressions import basename, detect_language, normalize_route, symbol_kind
 from ..operators import catalog, embed, link, summaries
 from ..sources import git, parse
 from ..sources.kept import Kept
@@ -18,9 +18,10 @@ from ..sources.snapshots import Replace, Store, View
 NODE = "id string, repo string, kind string, name string, path string, start_line int, end_line int, raw_code string, signature string, docstring string, http_method string, route_path string, seq long"
 
 
-#: Who defines a name and who mentions it, by file and looked up by name.
+#: Who defines a name and who mentions it, and whose client calls may mean a route, by file and looked up by name or route.
 DEFINITIONS = Kept("definitions", "repo string, path string, name string, target string, target_kind string", ("repo", "path"), "name")
 MENTIONS = Kept("mentions", "repo string, path string, name string, source string, own string, base boolean", ("repo", "path"), "name")
+ROUTES = Kept("client_routes", "repo string, path string, name string, source string", ("repo", "path"), "name")
 _NAMED = ("calls", "uses_type", "inherits")
 #: Kinds of edges that indexing finds itself; others, of an adopted graph, stay while both their ends do.
 _FOUND = (*_NAMED, "contains", "api_calls", "shared_lib")
@@ -186,7 +187,8 @@ def adopt(store: Store, g: Graph, vectors: bool = False) -> None:
     """Stores a linked graph with the index of its names, and the vectors of its texts, in one commit."""
     code = materialize(_code(g.nodes))
     names = materialize(_of_files(link.definitions(code), "target", code)), materialize(_of_files(link.mentions(_said(code)), "source", code))
-    store.commit(lambda view: {"nodes": g.nodes, "edges": g.edges, **_whole(DEFINITIONS, view, names[0]), **_whole(MENTIONS, view, names[1]), **(hydrated(view, g.nodes, g.edges) if vectors else {})})
+    routes = materialize(_of_files(link.meant_routes(code), "source", code))
+    store.commit(lambda view: {"nodes": g.nodes, "edges": g.edges, **_whole(DEFINITIONS, view, names[0]), **_whole(MENTIONS, view, names[1]), **_whole(ROUTES, view, routes), **(hydrated(view, g.nodes, g.edges) if vectors else {})})
 
 
 def index_all(store: Store, files: DataFrame, times: DataFrame | None = None, vectors: bool = True) -> Graph:
@@ -204,10 +206,11 @@ def relinked(view: View, kept_nodes: DataFrame, new_nodes: DataFrame, gone: Data
     """(name links and calls of the changed graph, what a commit writes) for the new nodes in place of those of the files gone(repo, path).
 
     Only names whose definitions changed, which may cross the limit of definitions, and names that new code mentions are
-    looked up; links of other names stay. Calls of endpoints are found for new code only, unless an endpoint changed.
+    looked up; links of other names stay. Calls of endpoints are found for new code and for what may mean a route whose
+    endpoints changed.
     """
     old = view.load("nodes").select(_COLUMNS)
-    removed = materialize(old.join(gone, ["repo", "path"], "left_semi").select("id", "name", "kind", "raw_code"))
+    removed = materialize(old.join(gone, ["repo", "path"], "left_semi").select("id", "name", "kind", "raw_code", "route_path"))
     code = materialize(_code(new_nodes))
     fresh_defs, fresh_mentions = materialize(_of_files(link.definitions(code), "target", code)), materialize(_of_files(link.mentions(_said(code)), "source", code))
     changed = materialize(removed.where("raw_code != ''").select("name").unionByName(fresh_defs.select("name")).distinct())
@@ -226,16 +229,31 @@ def relinked(view: View, kept_nodes: DataFrame, new_nodes: DataFrame, gone: Data
     stay = edges.where(F.col("kind").isin(*_NAMED))
     renamed = old.join(changed, "name", "left_semi").select(F.col("id").alias("target"))  # their links are found anew
     stay = stay.join(dead.withColumnRenamed("id", "source"), "source", "left_anti").join(renamed, "target", "left_anti")
-    ends = new_nodes.where("kind = 'api_endpoint'").select("id").unionByName(removed.where("kind = 'api_endpoint'").select("id"))
     nodes = kept_nodes.unionByName(new_nodes.select(kept_nodes.columns))
-    if ends.limit(1).count():
-        calls = _calls(_code(nodes), nodes)
-    else:
-        before = edges.where("kind = 'api_calls'").join(dead.withColumnRenamed("id", "source"), "source", "left_anti")
-        calls = before.select("source", "target", "kind").unionByName(_calls(code, nodes))
+    calls, index = _called(view, edges, nodes, code, removed, gone)
     other = edges.where(~F.col("kind").isin(*_FOUND)).join(dead.withColumnRenamed("id", "source"), "source", "left_anti").select("source", "target", "kind")
     found = stay.select("source", "target", "kind").unionByName(links).unionByName(calls).unionByName(other).distinct()
-    return found, {**DEFINITIONS.delta(view, fresh_defs, gone), **MENTIONS.delta(view, fresh_mentions, gone)}
+    return found, {**DEFINITIONS.delta(view, fresh_defs, gone), **MENTIONS.delta(view, fresh_mentions, gone), **index}
+
+
+def _called(view: View, edges: DataFrame, nodes: DataFrame, code: DataFrame, removed: DataFrame, gone: DataFrame) -> tuple[DataFrame, dict]:
+    """(calls of endpoints, what a commit writes of their index) for new code in place of what was removed.
+
+    Only sources with a call that may mean a route whose endpoints came or went are linked anew; the calls of others stay.
+    """
+    if not view.exists(ROUTES.name):  # a store of before there was this index
+        every = _code(nodes)
+        return _calls(every, nodes), _whole(ROUTES, view, _of_files(link.meant_routes(every), "source", every))
+    end = F.col("kind") == "api_endpoint"
+    routes = removed.where(end).select("route_path").unionByName(code.where(end).select("route_path")).where("route_path != ''")
+    routes = materialize(routes.select(normalize_route(F.col("route_path")).alias("name")).distinct())
+    touched = ROUTES.read(view, routes).join(gone, ["repo", "path"], "left_anti").select(F.col("source").alias("id")).distinct()
+    again = materialize(code.select("id").unionByName(touched).distinct())
+    before = edges.where("kind = 'api_calls'").select("source", "target", "kind")
+    for ids in (again, removed):
+        before = before.join(ids.select(F.col("id").alias("source")), "source", "left_anti")
+    calls = before.select("source", "target", "kind").unionByName(_calls(_code(nodes).join(again, "id", "left_semi"), nodes))
+    return calls, ROUTES.delta(view, materialize(_of_files(link.meant_routes(code), "source", code)), gone)
 
 
 def index_incremental(store: Store, changes: DataFrame, files: DataFrame, times: DataFrame | None = None) -> DataFrame:

@@ -260,5 +260,42 @@ def test_incremental_links_equal_a_rebuild(spark, store, monkeypatch):
     assert store.view().tables.keys() >= {"nodes", "edges", "definitions", "mentions"}
 
 
+def test_calls_follow_changed_endpoints(spark, store, monkeypatch):
+    schema = "repo string, path string, content string"
+    routes = ["/orders", "api/orders", "users", "/users/{id}", "/x"]
+    serve = lambda k, own: "".join(f"@app.get('{r}')\ndef end{k}_{i}():\n    return {i}\n\n" for i, r in enumerate(own))
+    ask = lambda own: "".join(f"def ask{i}():\n    requests.get('{u}')\n\n" for i, u in enumerate(own))
+    files = {("a", "s0.py"): serve(0, routes[:2]), ("a", "s1.py"): serve(1, routes[2:]), ("b", "c0.py"): ask(["http://h/v1/api/orders", "/orders", "/users/7"]), ("b", "c1.py"): ask(["/x", "/y/users"]), ("b", "c2.py"): ask(["/none"])}
+    frame = lambda fs: spark.createDataFrame([(*k, v) for k, v in fs.items()], schema)
+    called = lambda s: sorted(tuple(r) for r in s.load("edges").where("kind = 'api_calls'").select("source", "target").collect())
+    index.index_all(store, frame(files), vectors=False)
+    assert len(called(store)) == 5
+    linked, plain = [], link.api_contracts
+    monkeypatch.setattr(link, "api_contracts", lambda c, e: linked.append({r.id for r in c.collect()}) or plain(c, e))
+    steps = [
+        ({("a", "s0.py"): serve(0, ["v1/api/orders", "/orders"])}, [], {"r": "c0"}),  # a longer route comes, one goes
+        ({("a", "s2.py"): serve(2, ["/none", "/x"])}, [], {"r": "c1 c2"}),  # a second endpoint of a route
+        ({}, [("a", "s1.py")], {"r": "c0 c1"}),
+        ({("b", "c3.py"): ask(["/none", "/orders"])}, [("b", "c1.py")], {"r": "c3"}),
+    ]
+    for new, dead, want in steps:
+        rows = [(k[0], "modified" if k in files else "added", k[1] if k in files else None, k[1]) for k in new] + [(k[0], "deleted", k[1], None) for k in dead]
+        files = {k: v for k, v in files.items() if k not in dead} | new
+        linked.clear()
+        index.index_incremental(store, spark.createDataFrame(rows, "repo string, status string, old_path string, new_path string"), frame(new or {("z", "z"): ""}))
+        assert {i.split("::")[0].removeprefix("b:").removesuffix(".py") for i in linked[0] if i.startswith("b:")} == set(want["r"].split())
+        nodes = store.load("nodes")
+        whole = plain(nodes.where("raw_code != ''"), nodes.where("kind = 'api_endpoint'"))
+        assert called(store) == sorted({(r.source, r.target) for r in whole.collect()})
+
+
+def test_a_log_keeps_microseconds(spark, store):
+    at = spark.sql("SELECT 'n' AS node_id, TIMESTAMP '2024-05-06 07:08:09.123456' AS ts")
+    store.append_log("retrieval_log", at)
+    assert store.retrievals().selectExpr("last_retrieved = TIMESTAMP '2024-05-06 07:08:09.123456'").first()[0]
+    store.save_session(spark.sql("SELECT 7 AS session_id, current_timestamp() AS created_at, current_timestamp() AS updated_at, '{}' AS data"))
+    assert store.load("sessions").first()["session_id"] == "7"
+
+
 def test_log_folder_is_no_table(store):
     assert snapshots._LOG.startswith("_") and not store.exists("a")
