@@ -3,8 +3,9 @@
 A text's words (runs of letters) are scored with one model per language, each letter given the three before it in its word;
 the language with the least cross-entropy per letter is chosen. All languages share one sorted array of n-gram keys per
 order with a column of log-probabilities for each language, so a batch of new words costs one binary search per letter.
-Words are scored once for each task's bounded memory, texts add up their words' rows. Counts come from all training rows and
-no n-gram is left out: models that are too large for a task's memory stay tables, which the texts' n-grams join.
+Words are scored once for each task's bounded memory, texts add up their words' rows. Counts, the temperature of the scores
+and the limits of rejection come from all training rows, and no n-gram is left out: models that are too large for a task's
+memory stay tables, which the texts' n-grams join.
 """
 
 from __future__ import annotations
@@ -18,13 +19,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch
 from .common import fold_of, materialize, table
 
 ORDER = 4
 #: Cells (n-grams of the highest order times languages) up to which tasks hold the models in memory; beyond, texts join them as tables.
 HELD_CELLS = 8_000_000
-#: Training texts on which confidence and rejection are calibrated, at most; those with the least hash of the id.
-CALIBRATION_ROWS = 4000
+#: Factors of the scores from which the temperature is chosen.
+GRID = (0.25, 0.5, 1.0, 2.0, 4.0)
+#: A text is rejected if its cross-entropy is SLACK beyond this share of those of the training texts taken for its language, of which there have to be LEAST.
+SHARE, SLACK, LEAST = 0.999, 0.25, 20
+#: Cross-entropies are counted in bins of 1 << BIN_BITS multiples of 1 / UNIT first.
+BIN_BITS = 12
 WORDS_HELD = 400_000
 #: Log-probabilities are summed as whole multiples of 1 / UNIT, so sums do not depend on their order or on the models' form.
 UNIT = 1 << 20
@@ -216,7 +222,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, owner = gram_keys(words)
             unique, back = np.unique(key, return_inverse=True)
             count = np.bincount(back, np.fromiter(counter.values(), np.float64, len(words))[owner]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(unique)), pa.array(unique.view(np.int64)), pa.array(count)], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(unique), pa.string()), pa.array(unique.view(np.int64)), pa.array(count)], names=["lang", "gram", "n"])
         held.clear()
 
     held: dict[str, Counter] = {}
@@ -228,12 +234,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def train(docs: DataFrame, calibration_rows: int = CALIBRATION_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Models | Tables | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models | Tables | None:
     """Models of the languages of the rows outside the held-out fold with a non-null lang; None if there are no such letters."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(fold_of(F.col("doc_id")) != 2)
     counts = rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    spark = docs.sparkSession
 
     counts = materialize(counts)
     langs = [r[0] for r in counts.select("lang").distinct().collect()]
@@ -251,14 +256,12 @@ def train(docs: DataFrame, calibration_rows: int = CALIBRATION_ROWS, id_col: str
         models = build(grams)
     else:
         models = tabulate(counts, sorted(langs))
-    least = rows.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows).select("doc_id").distinct()
-    sample = rows.join(F.broadcast(least), "doc_id").select("doc_id", "lang", "text")
-    scored = models.score(sample) if isinstance(models, Tables) else sample.mapInArrow(_scorer(spark.sparkContext.broadcast(models)), _SCORED)
-    _calibrate(models, scored.toArrow())
+    with scratch(docs.sparkSession):
+        _calibrate(models, rows)
     return models
 
 
-_SCORED = "doc_id long, lang string, letters double, logp array<double>"
+_JUDGED = "best int, entropy long, loss array<long>"
 _PARTS = "row long, doc_id long, lang string, grams array<long>, counts array<long>"
 
 
@@ -315,21 +318,67 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _calibrate(models: Models | Tables, scored: pa.Table) -> None:
-    letters = scored.column("letters").to_numpy()
-    use = letters > 0
+def _through(models: Models | Tables, rows: DataFrame, run, schema: str) -> DataFrame:
+    """run over the batches of scored rows(doc_id, lang, text)."""
+    if isinstance(models, Tables):
+        return models.score(rows).mapInArrow(run, schema)
+    score = _scorer(rows.sparkSession.sparkContext.broadcast(models))
+    return rows.mapInArrow(lambda batches: run(score(batches)), schema)
+
+
+def _numbers(batch: pa.RecordBatch, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return batch.column(2).to_numpy(), batch.column(3).flatten().to_numpy().reshape(len(batch), len(langs))
+
+
+def _judge(langs: list[str]):
+    """Scored rows -> best language, its cross-entropy and the loss of each factor of GRID (both in 1 / UNIT), for texts with letters."""
+    number = {x: k for k, x in enumerate(langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            letters, logp = _numbers(batch, langs)
+            use = np.flatnonzero(letters > 0)
+            truth = np.array([number[x] for x in batch.column(1).take(pa.array(use)).to_pylist()], np.int64)
+            best, entropy, x = _margins(letters[use], logp[use])
+            loss = np.stack([-np.log(np.maximum(_softmax(t * x)[np.arange(len(use)), truth], 1e-12)) for t in GRID], 1)
+            best, (entropy, loss) = best.astype(np.int32), (np.rint(v * UNIT).astype(np.int64) for v in (entropy, loss))
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(0, loss.size + 1, len(GRID), dtype=np.int32)), pa.array(loss.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(entropy), cells], names=["best", "entropy", "loss"])
+
+    return run
+
+
+def _at_rank(counts: dict[int, int], rank: int) -> int:
+    """The value at a rank (from 0) of {value: count}."""
+    values = np.array(sorted(counts))
+    return int(values[np.searchsorted(np.cumsum([counts[v] for v in values.tolist()]), rank, "right")])
+
+
+def _calibrate(models: Models | Tables, rows: DataFrame) -> None:
+    """Temperature and limits from all rows(doc_id, lang, text): sums of losses, and quantiles by counts of bins, then of the values in the bins that hold them."""
     models.limits = np.full(len(models.langs), np.inf)
-    if not use.any():
+    judged = materialize(_through(models, rows, _judge(models.langs), _JUDGED))
+    loss = judged.agg(*(F.sum(F.col("loss")[k]) for k in range(len(GRID)))).first()
+    if loss[0] is None:
+        return
+    models.temperature = GRID[int(np.argmin(loss))]
+    bins: dict[int, dict[int, int]] = {}
+    for best, low, n in judged.groupBy("best", F.shiftright("entropy", BIN_BITS).alias("bin")).count().collect():
+        bins.setdefault(best, {})[low << BIN_BITS] = n
+    place = {k: SHARE * (n - 1) for k, own in bins.items() if (n := sum(own.values())) >= LEAST}
+    ranks = {k: (int(np.floor(x)), int(np.ceil(x))) for k, x in place.items()}
+    wanted = sorted({(k, _at_rank(bins[k], r) >> BIN_BITS) for k, two in ranks.items() for r in two})
+    if not wanted:
         return
-    logp = np.array(scored.column("logp").to_pylist())[use]
-    truth = np.array([models.langs.index(x) for x, u in zip(scored.column("lang").to_pylist(), use, strict=True) if u])
-    best, entropy, x = _margins(letters[use], logp)
-    grid = [0.25, 0.5, 1, 2, 4]
-    loss = [-np.log(np.maximum(_softmax(t * x)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
-    models.temperature = grid[int(np.argmin(loss))]
-    for k in range(len(models.langs)):
-        if (own := entropy[best == k]).size >= 20:
-            models.limits[k] = np.quantile(own, 0.999) + 0.25
+    fine = rows.sparkSession.createDataFrame(wanted, "best int, bin long")
+    fine = judged.withColumn("bin", F.shiftright("entropy", BIN_BITS)).join(F.broadcast(fine), ["best", "bin"]).groupBy("best", "entropy").count().collect()
+    for k, low in wanted:
+        del bins[k][low << BIN_BITS]
+    for best, entropy, n in fine:
+        bins[best][entropy] = n
+    for k, two in ranks.items():
+        below, above = (_at_rank(bins[k], r) for r in two)
+        models.limits[k] = (below + (place[k] - two[0]) * (above - below)) / UNIT + SLACK
 
 
 def identify(docs: DataFrame, models: Models | Tables | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,19 +391,17 @@ def identify(docs: DataFrame, models: Models | Tables | None, id_col: str = "doc
     if models is None:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected"))
     langs, temperature, limits = models.langs, models.temperature, models.limits
-    score = iter if isinstance(models, Tables) else _scorer(docs.sparkSession.sparkContext.broadcast(models))
-    rows = models.score(rows) if isinstance(models, Tables) else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in score(batches):
-            letters, logp = batch.column(2).to_numpy(), batch.column(3).flatten().to_numpy().reshape(len(batch), len(langs))
+        for batch in batches:
+            letters, logp = _numbers(batch, langs)
             best, entropy, x = _margins(letters, logp)
             p = _softmax(temperature * x)[np.arange(len(best)), best]
             some = letters > 0
             cols = [batch.column(0), pa.array([langs[b] if s else "und" for b, s in zip(best, some, strict=True)], pa.string()), pa.array(np.where(some, p, 0.0)), pa.array(some & (entropy > limits[best]))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return _through(models, rows, run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def op5_langid(spark, sf_dir):

@@ -331,6 +331,27 @@ def test_language_models_as_tables_leave_no_gram_out(spark, monkeypatch):
     assert exact(tables) == exact(held) and tables.temperature == held.temperature and list(tables.limits) == list(held.limits)
 
 
+def test_language_calibration_takes_all_training_rows(spark):
+    rnd = random.Random(5)
+    rows = [(k, "".join(rnd.choices(["abcdefgh", "efghijkl"][k % 5 > 2], k=rnd.randrange(1, 12))), ["xx", "yy"][k % 5 > 2]) for k in range(9000)]
+    df = spark.createDataFrame([*rows, (9002, "日本", "zz"), (9003, None, "xx"), (None, "abc", "xx")], "doc_id long, text string, lang string")
+    models = langid.train(df)
+    used = [r for r in [*rows, (9002, "日本", "zz")] if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    sums = models.words([r[1].encode() for r in used])
+    letters, truth = sums[:, -1].astype(float), np.array([models.langs.index(r[2]) for r in used])
+    best, entropy, x = langid._margins(letters, sums[:, :-1] / langid.UNIT)
+    grid = [0.25, 0.5, 1, 2, 4]
+    loss = [-np.log(np.maximum(langid._softmax(t * x)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
+    assert len(used) > 6000 and models.temperature == grid[int(np.argmin(loss))]
+    expected = [np.quantile(entropy[best == k], 0.999) + 0.25 if (best == k).sum() >= 20 else np.inf for k in range(len(models.langs))]
+    assert np.allclose(models.limits, expected, rtol=0, atol=2 / langid.UNIT)
+
+
+def test_a_language_whose_texts_have_no_letters(spark):
+    df = spark.createDataFrame([(1, "abc abd", "xx"), (3, "12", "zz"), (4, "bca", "yy")], "doc_id long, text string, lang string").coalesce(1)
+    assert langid.train(df).langs == ["xx", "yy"]
+
+
 def test_letter_probabilities_sum_to_one():
     m = langid.build({"a": tuple(np.unique(langid.gram_keys([b"abab", b"ba", b"abc"])[0], return_counts=True))})
     context = np.uint64(ord("a") << 16 | ord("b")) << np.uint64(16)
