@@ -234,10 +234,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models | Tables | None:
-    """Models of the languages of the rows outside the held-out fold with a non-null lang; None if there are no such letters."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(fold_of(F.col("doc_id")) != 2)
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, lang, text; lang is null in rows that are not learned from."""
+    learned = F.col(text_col).isNotNull() & (fold_of(F.col(id_col).cast("long")) != 2)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(learned, F.col("lang").cast("string")).alias("lang"), F.col(text_col).alias("text"))
+
+
+def _learn(rows: DataFrame) -> Models | Tables | None:
+    """Models of rows(lang, text), not calibrated yet."""
     counts = rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
     counts = materialize(counts)
@@ -253,15 +257,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
             key = gram[own].view(np.uint64)
             by = np.argsort(key)
             grams[name] = (key[by], n[own][by])
-        models = build(grams)
-    else:
-        models = tabulate(counts, sorted(langs))
-    with scratch(docs.sparkSession):
-        _calibrate(models, rows)
+        return build(grams)
+    return tabulate(counts, sorted(langs))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models | Tables | None:
+    """Models of the languages of the rows outside the held-out fold with a non-null lang; None if there are no such letters."""
+    rows = _rows(docs, id_col, text_col).where("lang IS NOT NULL")
+    models = _learn(rows)
+    if models is not None:
+        with scratch(docs.sparkSession):
+            _calibrate(models, materialize(_judged(models, rows)))
     return models
 
 
-_JUDGED = "best int, entropy long, loss array<long>"
+_JUDGED = "doc_id long, best int, entropy double, scores array<double>, loss array<long>"
 _PARTS = "row long, doc_id long, lang string, grams array<long>, counts array<long>"
 
 
@@ -318,34 +328,36 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _through(models: Models | Tables, rows: DataFrame, run, schema: str) -> DataFrame:
-    """run over the batches of scored rows(doc_id, lang, text)."""
-    if isinstance(models, Tables):
-        return models.score(rows).mapInArrow(run, schema)
-    score = _scorer(rows.sparkSession.sparkContext.broadcast(models))
-    return rows.mapInArrow(lambda batches: run(score(batches)), schema)
-
-
-def _numbers(batch: pa.RecordBatch, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column(2).to_numpy(), batch.column(3).flatten().to_numpy().reshape(len(batch), len(langs))
-
+def _judged(models: Models | Tables, rows: DataFrame) -> DataFrame:
+    """rows(doc_id, lang, text) -> doc_id, best language, its cross-entropy, its score by each factor of GRID, and for rows with a lang their losses (in 1 / UNIT).
 
-def _judge(langs: list[str]):
-    """Scored rows -> best language, its cross-entropy and the loss of each factor of GRID (both in 1 / UNIT), for texts with letters."""
+    All but doc_id is null for texts without letters.
+    """
+    langs = models.langs
     number = {x: k for k, x in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letters, logp = _numbers(batch, langs)
-            use = np.flatnonzero(letters > 0)
-            truth = np.array([number[x] for x in batch.column(1).take(pa.array(use)).to_pylist()], np.int64)
-            best, entropy, x = _margins(letters[use], logp[use])
-            loss = np.stack([-np.log(np.maximum(_softmax(t * x)[np.arange(len(use)), truth], 1e-12)) for t in GRID], 1)
-            best, (entropy, loss) = best.astype(np.int32), (np.rint(v * UNIT).astype(np.int64) for v in (entropy, loss))
-            cells = pa.ListArray.from_arrays(pa.array(np.arange(0, loss.size + 1, len(GRID), dtype=np.int32)), pa.array(loss.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(entropy), cells], names=["best", "entropy", "loss"])
+            letters, logp = batch.column(2).to_numpy(), batch.column(3).flatten().to_numpy().reshape(len(batch), len(langs))
+            best, entropy, x = _margins(letters, logp)
+            truth = np.array([number.get(k, -1) for k in batch.column(1).to_pylist()], np.int64)
+            each, none = np.arange(len(batch)), letters == 0
+            p = [_softmax(t * x) for t in GRID]
+            scores = np.stack([v[each, best] for v in p], 1)
+            loss = np.stack([-np.log(np.maximum(v[each, truth], 1e-12)) for v in p], 1)
+            cols = [batch.column(0), pa.array(best.astype(np.int32), mask=none), pa.array(entropy, mask=none)]
+            cols += [_lists(scores, none), _lists(np.rint(loss * UNIT).astype(np.int64), none | (truth < 0))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "best", "entropy", "scores", "loss"])
 
-    return run
+    if isinstance(models, Tables):
+        return models.score(rows).mapInArrow(run, _JUDGED)
+    score = _scorer(rows.sparkSession.sparkContext.broadcast(models))
+    return rows.mapInArrow(lambda batches: run(score(batches)), _JUDGED)
+
+
+def _lists(cells: np.ndarray, none: np.ndarray) -> pa.ListArray:
+    offsets = np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells.ravel()), mask=pa.array(none))
 
 
 def _at_rank(counts: dict[int, int], rank: int) -> int:
@@ -354,10 +366,10 @@ def _at_rank(counts: dict[int, int], rank: int) -> int:
     return int(values[np.searchsorted(np.cumsum([counts[v] for v in values.tolist()]), rank, "right")])
 
 
-def _calibrate(models: Models | Tables, rows: DataFrame) -> None:
-    """Temperature and limits from all rows(doc_id, lang, text): sums of losses, and quantiles by counts of bins, then of the values in the bins that hold them."""
+def _calibrate(models: Models | Tables, judged: DataFrame) -> None:
+    """Temperature and limits from all judged rows with a loss: sums of losses, and quantiles by counts of bins, then of the values in the bins that hold them."""
     models.limits = np.full(len(models.langs), np.inf)
-    judged = materialize(_through(models, rows, _judge(models.langs), _JUDGED))
+    judged = judged.where("loss IS NOT NULL").select("best", F.rint(F.col("entropy") * UNIT).cast("long").alias("entropy"), "loss")
     loss = judged.agg(*(F.sum(F.col("loss")[k]) for k in range(len(GRID)))).first()
     if loss[0] is None:
         return
@@ -370,7 +382,7 @@ def _calibrate(models: Models | Tables, rows: DataFrame) -> None:
     wanted = sorted({(k, _at_rank(bins[k], r) >> BIN_BITS) for k, two in ranks.items() for r in two})
     if not wanted:
         return
-    fine = rows.sparkSession.createDataFrame(wanted, "best int, bin long")
+    fine = judged.sparkSession.createDataFrame(wanted, "best int, bin long")
     fine = judged.withColumn("bin", F.shiftright("entropy", BIN_BITS)).join(F.broadcast(fine), ["best", "bin"]).groupBy("best", "entropy").count().collect()
     for k, low in wanted:
         del bins[k][low << BIN_BITS]
@@ -388,25 +400,31 @@ def identify(docs: DataFrame, models: Models | Tables | None, id_col: str = "doc
     texts whose cross-entropy is beyond what training texts of the language had. Repeated rows are scored alike.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    return _labels(models, rows if models is None else _judged(models, rows))
+
+
+def _labels(models: Models | Tables | None, judged: DataFrame) -> DataFrame:
     if models is None:
-        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected"))
-    langs, temperature, limits = models.langs, models.temperature, models.limits
+        return judged.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected"))
+    own = lambda values: F.get(F.array(*map(F.lit, values)), F.col("best"))
+    limits = [np.inf] * len(models.langs) if models.limits is None else models.limits.tolist()
+    score, rejected = F.col("scores")[GRID.index(models.temperature)], F.col("entropy") > own(limits)
+    return judged.select("doc_id", F.coalesce(own(models.langs), F.lit("und")).alias("lang_pred"), F.coalesce(score, F.lit(0.0)).alias("score"), F.coalesce(rejected, F.lit(False)).alias("rejected"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            letters, logp = _numbers(batch, langs)
-            best, entropy, x = _margins(letters, logp)
-            p = _softmax(temperature * x)[np.arange(len(best)), best]
-            some = letters > 0
-            cols = [batch.column(0), pa.array([langs[b] if s else "und" for b, s in zip(best, some, strict=True)], pa.string()), pa.array(np.where(some, p, 0.0)), pa.array(some & (entropy > limits[best]))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return _through(models, rows, run, "doc_id long, lang_pred string, score double, rejected boolean")
+def train_identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """identify(docs, train(docs)), with each text scored once for calibration and result."""
+    rows = _rows(docs, id_col, text_col)
+    models = _learn(rows.where("lang IS NOT NULL"))
+    if models is None:
+        return _labels(None, rows)
+    judged = materialize(_judged(models, rows))
+    _calibrate(models, judged)
+    return _labels(models, judged)
 
 
 def op5_langid(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    out = identify(docs, train(docs))
+    out = train_identify(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 

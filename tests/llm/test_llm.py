@@ -345,6 +345,8 @@ def test_language_calibration_takes_all_training_rows(spark):
     assert len(used) > 6000 and models.temperature == grid[int(np.argmin(loss))]
     expected = [np.quantile(entropy[best == k], 0.999) + 0.25 if (best == k).sum() >= 20 else np.inf for k in range(len(models.langs))]
     assert np.allclose(models.limits, expected, rtol=0, atol=2 / langid.UNIT)
+    found = [sorted(map(str, x.collect())) for x in (langid.train_identify(df), langid.identify(df, models))]
+    assert found[0] == found[1] and len(found[0]) == len(rows) + 3 and any("rejected=True" in x for x in found[0])
 
 
 def test_a_language_whose_texts_have_no_letters(spark):
