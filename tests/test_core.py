@@ -388,3 +388,13 @@ def test_paths_that_end_alike(spark):
     want = {(p.path, f.file) for p in paths.collect() for f in files.collect() if p.path and (p.path == f.file or p.path.endswith("/" + f.file) or f.file.endswith("/" + p.path))}
     got = [tuple(r) for r in changeset.suffix_pairs(paths, files).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_large_levels_of_a_closure_are_not_broadcast(spark, monkeypatch):
+    plans, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    monkeypatch.setattr(graph, "SMALL", 2)
+    edges = _edges(spark, [("r", f"a{k}", "contains", 0) for k in range(4)] + [(f"a{k}", f"b{k}", "contains", 0) for k in range(4)])
+    got = graph.descendants(edges, spark.createDataFrame([("r",)], "id string"), 2)
+    assert sorted((r.id, r.depth) for r in got.collect()) == [(f"a{k}", 1) for k in range(4)] + [(f"b{k}", 2) for k in range(4)]
+    assert "BroadcastHashJoin" in plans[1] and "SortMergeJoin" in plans[2]
