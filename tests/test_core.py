@@ -398,3 +398,22 @@ def test_large_levels_of_a_closure_are_not_broadcast(spark, monkeypatch):
     got = graph.descendants(edges, spark.createDataFrame([("r",)], "id string"), 2)
     assert sorted((r.id, r.depth) for r in got.collect()) == [(f"a{k}", 1) for k in range(4)] + [(f"b{k}", 2) for k in range(4)]
     assert "BroadcastHashJoin" in plans[1] and "SortMergeJoin" in plans[2]
+
+
+def test_sizes_of_impact_in_blocks_and_slices(spark, monkeypatch):
+    import random
+
+    from graphlens.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 5)
+    monkeypatch.setattr(blocks, "SLICE", 20)
+    dice = random.Random(3)
+    kinds = ("calls", "uses_type", "inherits", "imports", "contains")
+    rows = {(f"n{dice.randrange(40)}", f"n{dice.randrange(40)}", dice.choice(kinds), 0) for _ in range(130)}
+    n, e = _nodes(spark, [f"n{k}" for k in range(38)]), _edges(spark, sorted(rows))
+    start = n.where("id > 'n2'")
+    for hops in (2, 3):
+        want = graph.impact_counts(graph.impact_roles(n, e, start, hops)).collect()
+        got = graph.impact_sizes(n, e, start, hops)
+        assert sorted(got.select("target", "callers", "users", "implementers", "transitive", "total").collect()) == sorted(want)
+    assert sum(r.transitive for r in want) > 100
