@@ -1,4 +1,5 @@
 import fnmatch
+import itertools
 import random
 import re
 
@@ -417,3 +418,19 @@ def test_sizes_of_impact_in_blocks_and_slices(spark, monkeypatch):
         got = graph.impact_sizes(n, e, start, hops)
         assert sorted(got.select("target", "callers", "users", "implementers", "transitive", "total").collect()) == sorted(want)
     assert sum(r.transitive for r in want) > 100
+
+
+def test_cycles_are_closed_in_blocks(spark, monkeypatch):
+    from graphlens.operators import blocks
+
+    monkeypatch.setattr(blocks, "SLICE", 7)
+    monkeypatch.setattr(graph, "closed", lambda paths, edges: blocks.closed(paths, edges, 3))
+    dice = random.Random(1)
+    pick = lambda: f"n{dice.randrange(12)}"
+    old, new = {(pick(), pick()) for _ in range(30)}, {(pick(), pick()) for _ in range(12)}
+    every, nodes = old | new, [f"n{k}" for k in range(12)]
+    walks = [w for n in (1, 2, 3) for w in itertools.permutations(nodes, n) if w[0] == min(w)]
+    ring = lambda w: {(w[k], w[(k + 1) % len(w)]) for k in range(len(w))}
+    want = [w for w in walks if ring(w) <= every and ring(w) & new]
+    got = graph.new_cycles(*(_edges(spark, sorted((a, b, "imports", 0) for a, b in x)) for x in (old, new)), ["imports"], 3, None)
+    assert sorted(tuple(r.cycle) for r in got.collect()) == sorted(want)
