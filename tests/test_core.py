@@ -420,6 +420,18 @@ def test_sizes_of_impact_in_blocks_and_slices(spark, monkeypatch):
     assert sum(r.transitive for r in want) > 100
 
 
+def test_neighbours_in_blocks_and_slices(spark, monkeypatch):
+    from graphlens.operators import blocks
+
+    monkeypatch.setattr(blocks, "SLICE", 7)
+    dice = random.Random(5)
+    pick = lambda: f"n{dice.randrange(12)}"
+    edges, pairs = {(pick(), pick()) for _ in range(30)}, {(pick(), pick(), pick()) for _ in range(40)}
+    got = blocks.reached(spark.createDataFrame(sorted(pairs), "start string, at string, but string"), spark.createDataFrame(sorted(edges), "at string, id string"), 3)
+    want = {(a, y) for a, b, but in pairs for x, y in edges if x == b and y != but}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_cycles_are_closed_in_blocks(spark, monkeypatch):
     from graphlens.operators import blocks
 
