@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,17 +65,53 @@ def fit(items: list[dict], budget: int) -> list[tuple[str, bool]]:
 def fit_budgets(items: DataFrame, budget: int) -> DataFrame:
     """fit() for each query_id of items(query_id, id, score, is_seed, tokens, summary_tokens, has_summary, targets).
 
-    Each eviction depends on those before, so one task fits a whole result; it holds narrow rows and takes n log n steps.
+    Each eviction depends on those before, so one task fits a whole result; it holds narrow rows and takes n log n steps. Results
+    follow one another in a partition, many in a batch.
     """
-
     kind = items.schema["query_id"].dataType.simpleString()
-
-    def run(key, rows):
-        got = fit(rows.to_pylist(), budget)
-        ids = pa.array([key[0].as_py()] * len(got), rows.schema.field("query_id").type)
-        return pa.table({"query_id": ids, "id": pa.array([g[0] for g in got], pa.string()), "summarised": pa.array([g[1] for g in got], pa.bool_())})
-
-    return items.groupBy("query_id").applyInArrow(run, f"query_id {kind}, id string, summarised boolean")
+    names = ["query_id", "id", "score", "is_seed", "tokens", "summary_tokens", "has_summary", "targets"]
+    placed = items.select(names).repartition("query_id").sortWithinPartitions("query_id")
+    return placed.mapInArrow(lambda batches: _fitted(batches, budget), f"query_id {kind}, id string, summarised boolean")
+
+
+def _fitted(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    """fit() for each run of a query_id; the last run of a batch waits for the next batch, which may go on with it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = _starts(batch.column("query_id"))
+        if held and (len(starts) > 1 or held[-1].column("query_id")[-1] != batch.column("query_id")[0]):
+            same = held[-1].column("query_id")[-1] == batch.column("query_id")[0]
+            cut = starts[1] if same else 0
+            yield _fit_runs(pa.Table.from_batches([*held, batch.slice(0, cut)]), budget)
+            held, batch, starts = [], batch.slice(cut), [x - cut for x in starts if x >= cut]
+        if len(starts) > 1:
+            yield _fit_runs(pa.Table.from_batches([batch.slice(0, starts[-1])]), budget)
+            batch = batch.slice(starts[-1])
+        held.append(batch)
+    if held:
+        yield _fit_runs(pa.Table.from_batches(held), budget)
+
+
+def _starts(keys: pa.Array) -> list[int]:
+    """Where each run of equal keys begins."""
+    codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist()]
+
+
+def _fit_runs(rows: pa.Table, budget: int) -> pa.RecordBatch:
+    keys = rows.column("query_id").combine_chunks()
+    names = rows.column_names[1:]
+    items = [dict(zip(names, x)) for x in zip(*(rows.column(c).to_pylist() for c in names))]
+    starts = [*_starts(keys), len(items)]
+    places, ids, summarised = [], [], []
+    for begin, end in zip(starts, starts[1:]):
+        for i, short in fit(items[begin:end], budget):
+            places.append(begin)
+            ids.append(i)
+            summarised.append(short)
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(places, pa.int64())), pa.array(ids, pa.string()), pa.array(summarised, pa.bool_())], ["query_id", "id", "summarised"])
 
 
 def ordered(members: DataFrame, edges: DataFrame) -> DataFrame:

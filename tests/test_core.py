@@ -106,6 +106,25 @@ def test_fit_as_brute_force():
         assert fit(items, budget) == slow_fit(items, budget)
 
 
+def test_results_are_fitted_many_in_a_batch():
+    import pyarrow as pa
+
+    from graphlens.plans import search as plan
+
+    rnd = random.Random(9)
+    rows = []
+    for q in (None, 1, 2, 2, 3, 4, 5):
+        rows += [{"query_id": q, "id": f"{len(rows)}-{k}", "score": rnd.random(), "is_seed": False, "tokens": rnd.randrange(60), "summary_tokens": 3, "has_summary": k % 2 == 0, "targets": []} for k in range(rnd.randrange(1, 9))]
+    table, want = pa.Table.from_pylist(rows), []
+    for q in (None, 1, 2, 3, 4, 5):
+        want += [(q, *x) for x in fit([r for r in rows if r["query_id"] == q], 70)]
+    for size in (1, 3, 100):
+        calls = list(plan._fitted(iter(table.to_batches(size)), 70))
+        assert [tuple(x.values()) for b in calls for x in b.to_pylist()] == want
+        assert size < 100 or len(calls) == 2
+
+
+
 def test_search_fits_all_rows_and_swaps_for_summaries(spark):
     row = lambda i, kind, name, code, summary, k: (i, "r", kind, name, f"p/{i}", 1, 5, code, summary, None, False, k)
     leaves = [f"leaf{k:03}" for k in range(300)]
