@@ -203,3 +203,38 @@ def test_statuses(spark, op):
     assert (r.status, r.old_path, r.new_path) == {"created": ("added", None, "a"), "modified": ("modified", "a", "a"), "deleted": ("deleted", "a", None)}[op]
     assert changes.last_operations(events).count() == 1
     assert watch.as_statuses(events.where(F.lit(False))).count() == 0
+
+
+def test_flushes_write_a_batch_of_paths_once():
+    from types import SimpleNamespace as Row
+
+    from graphlens.streaming.stateful import Flushes
+
+    class State:
+        def __init__(self):
+            self.held, self.writes, self.times = {}, 0, set()
+
+        exists = lambda self: "v" in self.held
+        get = lambda self: self.held["v"]
+        clear = lambda self: self.held.clear()
+        update = put = lambda self, v: self.held.update(v=v)
+        appendList = lambda self, rows: self.held.update(v=[*self.held.get("v", []), *rows])  # noqa: E731, N815
+        iterator = lambda self: iter(list(self.held.items()))
+
+        def updateValue(self, k, v):  # noqa: N802
+            self.writes += 1
+            self.held[k] = v
+
+    timers = set()
+    states = {n: State() for n in ("waiting", "open", "paths")}
+    handle = Row(listTimers=lambda: iter(timers), registerTimer=timers.add, deleteTimer=timers.discard, getListState=lambda n, _: states[n], getValueState=lambda n, _: states[n], getMapState=lambda n, *_: states[n])
+    second = 1_000_000
+    flushes = Flushes(10 * second, 100 * second)
+    flushes.init(handle)
+    at = lambda s: Row(getCurrentWatermarkInMs=lambda: s * 1000)
+    rows = [Row(us=k * second, event_id=k, path=f"p{k % 3}", op="deleted" if k % 3 == 2 else "modified") for k in range(1, 41)]
+    assert not list(flushes.handleInputRows(("r",), iter(rows), at(20))) and states["paths"].writes == 3
+    assert not list(flushes.handleExpiredTimer(("r",), at(30), None)) and states["paths"].writes == 3
+    out = list(flushes.handleExpiredTimer(("r",), at(60), None))
+    assert [(r.start, r.end, r.n, r.changed, r.deleted) for r in out] == [(second, 40 * second, 40, ["p0", "p1"], ["p2"])]
+    assert states["paths"].writes == 3 and not states["paths"].held and not states["open"].held and not timers
