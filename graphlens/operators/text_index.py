@@ -26,9 +26,13 @@ _COUNTS_ROWS, _SPREAD_ROWS = "documents long, terms long", "df long, n long"
 
 
 def _terms(docs: DataFrame) -> DataFrame:
-    """id, term, tf of docs(id, text); words are counted before their names are split."""
-    found = docs.select("id", F.explode(F.regexp_extract_all("text", F.lit(TEXT_WORD), F.lit(0))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("k"))
-    return found.select("id", "k", F.explode(F.concat(F.array(F.lower("w")), split_name(F.col("w")))).alias("term")).groupBy("id", "term").agg(F.sum("k").alias("tf"))
+    """id, term, tf, dl of docs(id, text); words are counted before their names are split. A document's rows meet once, by its id."""
+    found = docs.repartition("id").select("id", F.explode(F.regexp_extract_all("text", F.lit(TEXT_WORD), F.lit(0))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("k"))
+    whole = F.col("w").rlike("^[A-Z]?[a-z]+$")  # a name of one word, which is its own only part
+    part = lambda term, times: F.struct(term.alias("term"), F.lit(times).alias("times"))
+    parts = F.when(whole, F.array(part(F.lower("w"), 2))).otherwise(F.transform(F.concat(F.array(F.lower("w")), split_name(F.col("w"))), lambda t: part(t, 1)))
+    terms = found.select("id", "k", F.explode(parts).alias("p")).groupBy("id", "p.term").agg(F.sum(F.col("k") * F.col("p.times")).alias("tf"))
+    return terms.withColumn("dl", F.sum("tf").over(Window.partitionBy("id")))
 
 
 def changed(view: View, docs: DataFrame, gone: DataFrame) -> dict:
@@ -47,10 +51,9 @@ def changed(view: View, docs: DataFrame, gone: DataFrame) -> dict:
     spread = steps.select("old", F.lit(-1).alias("n")).unionByName(steps.select(F.col("new").alias("old"), F.lit(1).alias("n"))).where("old > 0").groupBy(F.col("old").cast("long").alias("df")).agg(F.sum("n").alias("n")).where("n != 0")
     count = lambda df, sign: df.agg((sign * F.count_distinct("id")).alias("documents"), (sign * F.coalesce(F.sum("tf"), F.lit(0))).alias("terms"))
     counts = count(new, 1).unionByName(count(old, -1)).agg(F.sum("documents").alias("documents"), F.sum("terms").alias("terms"))
-    lengths = new.groupBy("id").agg(F.sum("tf").alias("dl"))
     none = view.store.spark.createDataFrame([], "term string")
     return {
-        **POSTINGS.delta(view, new.join(lengths, "id"), out_ids), **FORWARD.delta(view, new, out_ids), **FREQUENCIES.delta(view, moves, none),
+        **POSTINGS.delta(view, new, out_ids), **FORWARD.delta(view, new, out_ids), **FREQUENCIES.delta(view, moves, none),
         _COUNTS: Append(counts.coalesce(1)), _SPREAD: Append(spread.coalesce(1)),
     }
 

@@ -465,3 +465,13 @@ def test_cycles_are_closed_in_blocks(spark, monkeypatch):
     want = [w for w in walks if ring(w) <= every and ring(w) & new]
     got = graph.new_cycles(*(_edges(spark, sorted((a, b, "imports", 0) for a, b in x)) for x in (old, new)), ["imports"], 3, None)
     assert sorted(tuple(r.cycle) for r in got.collect()) == sorted(want)
+
+
+def test_terms_of_documents_are_shuffled_once(spark):
+    from graphlens.operators import text_index
+
+    docs = spark.createDataFrame([("a", "parseHTTPResponse parse Parse id_of"), ("a", "snake_case"), ("b", "")], "id string, text string")
+    terms = text_index._terms(docs)
+    assert terms._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = {"parsehttpresponse": 1, "parse": 5, "http": 1, "response": 1, "id_of": 1, "id": 1, "of": 1, "snake_case": 1, "snake": 1, "case": 1}
+    assert {(r.id, r.term): (r.tf, r.dl) for r in terms.collect()} == {("a", t): (n, sum(want.values())) for t, n in want.items()}
